@@ -69,7 +69,7 @@ def previous_values(
     for c in cols:
         local = local.withColumn(prefix + c, F.lag(c).over(w))
     # last row of every non-empty slice: at most one row per slice
-    order_struct = F.struct(*[F.col(c) for c in order])
+    order_struct = F.struct(F.col(key), *[F.col(c) for c in order])  # slice order is (key, order)
     tails = sl.groupBy(_PID).agg(
         F.max_by(F.struct(F.col(key).alias("_k"), *[F.col(c).alias("_t_" + c) for c in cols]), order_struct).alias("_tail")
     )

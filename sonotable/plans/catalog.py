@@ -75,3 +75,163 @@ def q_segment_table(spark, sf):
 @register("timeline_rows")
 def q_timeline_rows(spark, sf):
     return SM.timeline_rows(FX.segments(spark, sf))
+
+
+# --- segment row operators ---------------------------------------------------
+
+
+@register("normalised_segments")
+def q_normalised_segments(spark, sf):
+    return SG.normalise(FX.segments(spark, sf))
+
+
+@register("annotation_violations")
+def q_annotation_violations(spark, sf):
+    return SG.check_annotations(FX.segments(spark, sf))
+
+
+@register("gate_short")
+def q_gate_short(spark, sf):
+    return SG.gate_labels(FX.segments(spark, sf))
+
+
+# --- inputs and ids -----------------------------------------------------------
+
+
+def _inputs(spark, sf):
+    from sonotable.operators import inputs as IN
+
+    return IN.with_file_ids(IN.clean_inputs(FX.lines(spark, sf)))
+
+
+@register("clean_inputs")
+def q_clean_inputs(spark, sf):
+    from sonotable.operators import inputs as IN
+
+    return IN.clean_inputs(FX.lines(spark, sf))
+
+
+@register("file_ids")
+def q_file_ids(spark, sf):
+    return _inputs(spark, sf)
+
+
+@register("dedupe_inputs")
+def q_dedupe_inputs(spark, sf):
+    from sonotable.operators import inputs as IN
+
+    return IN.dedupe_inputs(_inputs(spark, sf))
+
+
+@register("upload_ids")
+def q_upload_ids(spark, sf):
+    from sonotable.operators import inputs as IN
+
+    return IN.upload_ids(IN.clean_inputs(FX.lines(spark, sf)).where(~F.col("is_url"))).select("line_no", "source", "upload_id")
+
+
+@register("artifact_paths")
+def q_artifact_paths(spark, sf):
+    from sonotable.operators import inputs as IN
+
+    return IN.artifact_paths(IN.dedupe_inputs(_inputs(spark, sf)), "out")
+
+
+@register("match_landed")
+def q_match_landed(spark, sf):
+    from sonotable.operators import inputs as IN
+
+    ins = _inputs(spark, sf)
+    return IN.match_landed(IN.dedupe_inputs(ins), FX.landed(spark, sf, ins))
+
+
+# --- state fold and what it drives --------------------------------------------
+
+
+def _log_before(spark, sf):
+    log = FX.stage_log(spark, sf)
+    return log.where(F.col("us") < F.lit(FX.RUN_CUT_US))
+
+
+def _files(spark, sf):
+    return FX.table(spark, sf, "events").select(FX.fid("user_id").alias("file_id")).distinct()
+
+
+@register("file_state")
+def q_file_state(spark, sf):
+    from sonotable.operators import state as ST
+
+    return ST.fold_state(FX.stage_log(spark, sf))
+
+
+@register("status_counts")
+def q_status_counts(spark, sf):
+    from sonotable.operators import state as ST
+
+    return ST.status_counts(ST.fold_state(FX.stage_log(spark, sf)))
+
+
+@register("batch_result")
+def q_batch_result(spark, sf):
+    from sonotable.operators import state as ST
+
+    return ST.batch_result(_files(spark, sf), ST.fold_state(_log_before(spark, sf)), ST.fold_state(FX.stage_log(spark, sf)))
+
+
+@register("remaining_inputs")
+def q_remaining_inputs(spark, sf):
+    from sonotable.operators import state as ST
+
+    return ST.remaining_inputs(_files(spark, sf), ST.fold_state(_log_before(spark, sf)))
+
+
+@register("pending_stages")
+def q_pending_stages(spark, sf):
+    from sonotable.operators import state as ST
+
+    return ST.pending_stages(_files(spark, sf), ST.fold_state(_log_before(spark, sf)))
+
+
+@register("stage_elapsed")
+def q_stage_elapsed(spark, sf):
+    from sonotable.operators import state as ST
+
+    return ST.stage_elapsed(FX.stage_log(spark, sf))
+
+
+@register("progress")
+def q_progress(spark, sf):
+    from sonotable.operators import state as ST
+
+    return ST.progress(FX.stage_log(spark, sf))
+
+
+@register("error_triage")
+def q_error_triage(spark, sf):
+    from sonotable.operators import state as ST
+
+    return ST.error_triage(FX.stage_log(spark, sf))
+
+
+# --- manifest -----------------------------------------------------------------
+
+
+def _manifest_log(spark, sf):
+    from sonotable.functions import ids as I
+    from sonotable.operators import manifest as MF
+
+    log = FX.stage_log(spark, sf)
+    urls = _files(spark, sf).select("file_id", I.artifact_path(F.lit("in"), "audio", "file_id", ".wav").alias("url"))
+    return MF.manifest_log(log, FX.segments(spark, sf), urls)
+
+
+@register("manifest")
+def q_manifest(spark, sf):
+    return _manifest_log(spark, sf)
+
+
+@register("latest_manifest")
+def q_latest_manifest(spark, sf):
+    from sonotable.operators import manifest as MF
+
+    return MF.latest_manifest(_manifest_log(spark, sf))

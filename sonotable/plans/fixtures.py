@@ -131,3 +131,8 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
     w = lambda m: ((F.col("doc_id") * m + F.col("n_chars")) % 101).cast("long")
     return d.select("doc_id", w(13).alias("w_en"), w(29).alias("w_fr"), w(41).alias("w_de"), w(59).alias("w_es"))
+
+
+# a run boundary inside the event log: state "before" a re-run is the fold of
+# the events before it (2024-01-16T00:00:00 UTC in epoch microseconds)
+RUN_CUT_US = 1705363200000000

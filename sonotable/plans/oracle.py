@@ -238,3 +238,161 @@ SELECT file_id, segment_idx,
          WHEN 'disgust' THEN '#795548' WHEN 'too_short' THEN '#BDBDBD' WHEN 'error' THEN '#E0E0E0'
          WHEN 'unknown' THEN '#BDBDBD' ELSE '#9E9E9E' END AS color
 FROM fx_segments""")
+
+
+# --- segment row operators -------------------------------------------------
+
+query("normalised_segments", ["fx_segments"], """
+SELECT file_id, segment_idx, coalesce(speaker, 'UNKNOWN') AS speaker,
+       CAST(start_ms AS DOUBLE) / 1000 AS start, CAST(end_ms AS DOUBLE) / 1000 AS "end",
+       coalesce(emotion, 'unknown') AS emotion, coalesce(emotion_confidence, 0) AS emotion_confidence,
+       coalesce(language, 'unknown') AS language, coalesce(language_confidence, 0) AS language_confidence
+FROM fx_segments""")
+
+_REQUIRED = ["speaker", "start_ms", "end_ms", "emotion", "emotion_confidence", "language", "language_confidence"]
+query("annotation_violations", ["fx_segments"], "\nUNION ALL\n".join(
+    [f"SELECT 'missing_key' AS rule, file_id, segment_idx, '{c}' AS detail FROM fx_segments WHERE {c} IS NULL"
+     for c in _REQUIRED]
+    + ["SELECT 'end_not_after_start', file_id, segment_idx, CAST(NULL AS VARCHAR) FROM fx_segments WHERE end_ms <= start_ms",
+       "SELECT 'unknown_emotion_label', file_id, segment_idx, emotion FROM fx_segments WHERE emotion NOT IN "
+       "('neutral', 'happy', 'angry', 'sad', 'fear', 'surprise', 'disgust', 'too_short', 'error', 'unknown')"]))
+
+query("gate_short", ["fx_segments"], """
+SELECT file_id, segment_idx, end_ms - start_ms AS duration_ms,
+       CASE WHEN end_ms - start_ms < 500 THEN 'too_short' ELSE 'model' END AS gate
+FROM fx_segments""")
+
+# --- inputs and ids ----------------------------------------------------------
+
+query("clean_inputs", ["fx_inputs"], "SELECT line_no, source, is_url FROM fx_inputs")
+
+query("file_ids", ["fx_inputs"], """
+SELECT i.line_no, i.source, i.is_url, i.file_id, c.n > 1 AS collision
+FROM fx_inputs i JOIN (SELECT file_id, count(DISTINCT source) AS n FROM fx_inputs GROUP BY file_id) c USING (file_id)""")
+
+query("dedupe_inputs", ["fx_inputs"], """
+SELECT file_id, line_no, source FROM (
+  SELECT file_id, line_no, source, row_number() OVER (PARTITION BY file_id ORDER BY line_no) AS rn FROM fx_inputs
+) WHERE rn = 1""")
+
+query("upload_ids", ["fx_inputs"], """
+SELECT line_no, source, 'clip_' || CAST(line_no AS VARCHAR) || '.tar' AS upload_id FROM fx_inputs WHERE NOT is_url""")
+
+query("artifact_paths", ["fx_inputs"], """
+SELECT file_id, 'out/audio/' || file_id || '.wav' AS wav_path,
+       'out/annotations/' || file_id || '.json' AS json_path,
+       'out/annotations/' || file_id || '.rttm' AS rttm_path
+FROM (SELECT DISTINCT file_id FROM fx_inputs)""")
+
+query("match_landed", ["fx_inputs", "fx_landed"], """
+SELECT d.file_id, h.landed_path, CAST(coalesce(h.n, 0) AS BIGINT) AS n_candidates,
+       CASE WHEN h.landed_path IS NULL THEN 'missing' ELSE 'landed' END AS status
+FROM (SELECT DISTINCT file_id FROM fx_inputs) d
+LEFT JOIN (SELECT file_id, min(path) AS landed_path, count(*) AS n FROM fx_landed
+           WHERE NOT lower(path) LIKE '%.wav' GROUP BY file_id) h USING (file_id)""")
+
+# --- state fold ----------------------------------------------------------------
+
+
+def _fold_sql(src: str) -> str:
+    return f"""
+SELECT file_id,
+       CASE WHEN arg_max(action, seq) FILTER (WHERE action IN ('started', 'completed', 'failed')) = 'started'
+            THEN 'in_progress'
+            ELSE arg_max(action, seq) FILTER (WHERE action IN ('started', 'completed', 'failed')) END AS status,
+       arg_max(stage, seq) FILTER (WHERE action = 'stage') AS stage,
+       CAST(NULL AS VARCHAR) AS url,
+       arg_min(us, seq) FILTER (WHERE action = 'started') AS started_us,
+       arg_max(us, seq) FILTER (WHERE action = 'completed') AS completed_us,
+       CASE WHEN arg_max(action, seq) FILTER (WHERE action IN ('started', 'failed')) = 'failed'
+            THEN arg_max(error, seq) FILTER (WHERE action = 'failed') END AS error
+FROM (SELECT l.* FROM {src} l
+      JOIN (SELECT file_id, min(seq) FILTER (WHERE action = 'started') AS first_seq FROM {src} GROUP BY file_id) f
+      USING (file_id)
+      WHERE f.first_seq IS NOT NULL AND l.seq >= f.first_seq)
+GROUP BY file_id"""
+
+
+cte("fx_log_before", ["fx_stage_log"], "SELECT * FROM fx_stage_log WHERE us < 1705363200000000")
+cte("fx_state", ["fx_stage_log"], _fold_sql("fx_stage_log"))
+cte("fx_state_before", ["fx_log_before"], _fold_sql("fx_log_before"))
+cte("fx_files", ["fx_stage_log"], "SELECT DISTINCT file_id FROM fx_stage_log")
+
+query("file_state", ["fx_state"], "SELECT * FROM fx_state")
+
+query("status_counts", ["fx_state"], """
+SELECT status, CAST(sum(n) AS BIGINT) AS n_files FROM (
+  SELECT status, count(*) AS n FROM fx_state GROUP BY status
+  UNION ALL SELECT 'completed', 0 UNION ALL SELECT 'failed', 0 UNION ALL SELECT 'in_progress', 0
+) GROUP BY status""")
+
+query("batch_result", ["fx_files", "fx_state", "fx_state_before"], """
+SELECT CAST(count(*) FILTER (WHERE b.status = 'completed') AS BIGINT) AS skipped,
+       CAST(count(*) FILTER (WHERE b.status IS DISTINCT FROM 'completed' AND a.status = 'completed') AS BIGINT) AS completed,
+       CAST(count(*) FILTER (WHERE b.status IS DISTINCT FROM 'completed' AND a.status IS DISTINCT FROM 'completed') AS BIGINT) AS failed,
+       count(*) FILTER (WHERE b.status IS DISTINCT FROM 'completed' AND a.status IS DISTINCT FROM 'completed') = 0 AS ok
+FROM fx_files f LEFT JOIN fx_state_before b USING (file_id) LEFT JOIN fx_state a USING (file_id)""")
+
+query("remaining_inputs", ["fx_files", "fx_state_before"], """
+SELECT file_id FROM fx_files
+WHERE file_id NOT IN (SELECT file_id FROM fx_state_before WHERE status = 'completed')""")
+
+query("pending_stages", ["fx_files", "fx_state_before"], """
+SELECT f.file_id, CAST(s.i AS BIGINT) AS stage_pos, s.stage
+FROM fx_files f LEFT JOIN fx_state_before b USING (file_id)
+CROSS JOIN (VALUES (0, 'download'), (1, 'diarize'), (2, 'emotion'), (3, 'language'), (4, 'annotate')) s(i, stage)
+WHERE b.status IS NULL
+   OR (b.status <> 'completed'
+       AND (b.stage IS NULL OR s.i > CASE b.stage WHEN 'download' THEN 0 WHEN 'diarize' THEN 1 WHEN 'emotion' THEN 2
+                                                  WHEN 'language' THEN 3 WHEN 'annotate' THEN 4 END))""")
+
+query("stage_elapsed", ["fx_stage_log"], """
+SELECT file_id, seq, action, stage, us - lag(us) OVER (PARTITION BY file_id ORDER BY seq) AS elapsed_us
+FROM fx_stage_log""")
+
+query("progress", ["fx_stage_log"], """
+SELECT file_id, stage,
+       CAST(CASE stage WHEN 'download' THEN 20 WHEN 'diarize' THEN 45 WHEN 'emotion' THEN 65
+                       WHEN 'language' THEN 80 WHEN 'annotate' THEN 100 ELSE 0 END AS DOUBLE) / 100 AS progress,
+       strftime(make_timestamp(us), '%H:%M:%S') AS clock
+FROM (SELECT file_id, arg_max(stage, seq) AS stage, arg_max(us, seq) AS us
+      FROM fx_stage_log WHERE action = 'stage' GROUP BY file_id)""")
+
+query("error_triage", ["fx_stage_log"], """
+SELECT file_id, seq, error,
+       CASE WHEN contains(lower(error), 'out of memory') THEN 'memory'
+            WHEN contains(lower(error), 'hf_token') OR contains(error, '401') THEN 'auth'
+            WHEN contains(lower(error), 'ffmpeg') THEN 'tool'
+            ELSE 'other' END AS category
+FROM fx_stage_log WHERE action = 'failed'""")
+
+# --- manifest --------------------------------------------------------------------
+
+cte("fx_file_summary", ["fx_segments"], QUERIES["file_summary"].split("\n)\n", 1)[1] if False else """
+SELECT file_id,
+       CAST(count(DISTINCT speaker) + max(CASE WHEN speaker IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS num_speakers,
+       CAST(count(*) AS BIGINT) AS num_segments,
+       floor((max(end_ms) + 5) / 10) / 100 AS duration_sec,
+       coalesce(string_agg(DISTINCT CASE WHEN language NOT IN ('too_short', 'error', 'unknown') THEN language END,
+                           ',' ORDER BY CASE WHEN language NOT IN ('too_short', 'error', 'unknown') THEN language END),
+                'unknown') AS languages_detected
+FROM fx_segments GROUP BY file_id""")
+
+cte("fx_manifest", ["fx_stage_log", "fx_file_summary"], """
+SELECT o.file_id, 'in/audio/' || o.file_id || '.wav' AS url, o.action AS status,
+       CAST(CASE WHEN o.action = 'completed' THEN coalesce(s.num_speakers, 0) ELSE 0 END AS BIGINT) AS num_speakers,
+       CAST(CASE WHEN o.action = 'completed' THEN coalesce(s.num_segments, 0) ELSE 0 END AS BIGINT) AS num_segments,
+       CASE WHEN o.action = 'completed' THEN coalesce(s.duration_sec, 0) ELSE CAST(0 AS DOUBLE) END AS duration_sec,
+       CASE WHEN o.action = 'completed' THEN coalesce(s.languages_detected, 'unknown') ELSE 'unknown' END AS languages_detected,
+       o.us AS processed_us, o.seq AS append_seq
+FROM fx_stage_log o
+JOIN (SELECT file_id, min(seq) AS first_seq FROM fx_stage_log WHERE action = 'started' GROUP BY file_id) st USING (file_id)
+LEFT JOIN fx_file_summary s USING (file_id)
+WHERE o.action IN ('completed', 'failed') AND o.seq > st.first_seq""")
+
+query("manifest", ["fx_manifest"], "SELECT * FROM fx_manifest")
+
+query("latest_manifest", ["fx_manifest"], """
+SELECT * EXCLUDE (rn) FROM (
+  SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY processed_us DESC, append_seq DESC) AS rn FROM fx_manifest
+) WHERE rn = 1""")
