@@ -235,3 +235,77 @@ def q_latest_manifest(spark, sf):
     from sonotable.operators import manifest as MF
 
     return MF.latest_manifest(_manifest_log(spark, sf))
+
+
+# --- interchange round trips ---------------------------------------------------
+
+
+@register("rttm_roundtrip")
+def q_rttm_roundtrip(spark, sf):
+    from sonotable import sinks as K
+    from sonotable.functions import rttm as R
+    from sonotable.functions import timefmt as TF
+
+    lines = K.rttm_lines(FX.segments(spark, sf))
+    p = lines.select("segment_idx", R.parse_line("line").alias("p")).where(F.col("p.is_speaker"))
+    return p.select(
+        F.col("p.file_id").alias("file_id"), "segment_idx", F.col("p.speaker").alias("speaker"),
+        TF.ms_to_seconds(F.col("p.start_ms")).alias("start"), TF.ms_to_seconds(F.col("p.end_ms")).alias("end"),
+        F.col("p.ok").alias("ok"),
+    )
+
+
+@register("annotation_json_roundtrip")
+def q_annotation_json_roundtrip(spark, sf):
+    from sonotable import sinks as K
+    from sonotable.sources.interchange import parse_annotation_lines
+
+    return parse_annotation_lines(K.annotation_lines(FX.segments(spark, sf)))
+
+
+# --- model output top-1 --------------------------------------------------------
+
+_LANG_COLS = [("en", "w_en"), ("fr", "w_fr"), ("de", "w_de"), ("es", "w_es")]
+
+
+def _probs(spark, sf):
+    sc = FX.scores(spark, sf)
+    total = sum((F.col(c) for _, c in _LANG_COLS[1:]), F.col(_LANG_COLS[0][1]))
+    return sc.withColumn("_total", total)
+
+
+@register("top_label")
+def q_top_label(spark, sf):
+    from sonotable.functions import labels as L
+
+    sc = _probs(spark, sf)
+    # a score list in a fixed label order (not best first): top_label orders it
+    scores = F.array(*[
+        F.struct(F.lit(lang).alias("label"), (F.col(c).cast("double") / F.col("_total")).alias("score"))
+        for lang, c in _LANG_COLS
+    ])
+    top = L.top_label(scores)
+    ok = F.col("_total") > 0
+    return sc.select(
+        "doc_id",
+        F.when(ok, top["label"]).otherwise(F.lit("error")).alias("label"),
+        F.when(ok, F.round(top["score"] * 1000).cast("long")).otherwise(F.lit(0).cast("long")).alias("score_milli"),
+    )
+
+
+@register("argmax_language")
+def q_argmax_language(spark, sf):
+    from sonotable.functions import labels as L
+
+    sc = _probs(spark, sf)
+    probs = F.map_from_arrays(
+        F.array(*[F.lit(lang) for lang, _ in _LANG_COLS]),
+        F.array(*[F.col(c).cast("double") / F.col("_total") for _, c in _LANG_COLS]),
+    )
+    best = L.argmax_map(probs)
+    ok = F.col("_total") > 0
+    return sc.select(
+        "doc_id",
+        F.when(ok, best["label"]).otherwise(F.lit("error")).alias("language"),
+        F.when(ok, F.round(best["score"] * 1000).cast("long")).otherwise(F.lit(0).cast("long")).alias("confidence_milli"),
+    )

@@ -396,3 +396,40 @@ query("latest_manifest", ["fx_manifest"], """
 SELECT * EXCLUDE (rn) FROM (
   SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY processed_us DESC, append_seq DESC) AS rn FROM fx_manifest
 ) WHERE rn = 1""")
+
+
+# --- interchange round trips ---------------------------------------------------
+
+query("rttm_roundtrip", ["fx_segments"], """
+SELECT file_id, segment_idx, coalesce(speaker, 'UNKNOWN') AS speaker,
+       CAST(start_ms AS DOUBLE) / 1000 AS start, CAST(end_ms AS DOUBLE) / 1000 AS "end", true AS ok
+FROM fx_segments""")
+
+query("annotation_json_roundtrip", ["fx_segments"], QUERIES["normalised_segments"].split("\n)\n")[-1]
+      if False else """
+SELECT file_id, segment_idx, coalesce(speaker, 'UNKNOWN') AS speaker,
+       CAST(start_ms AS DOUBLE) / 1000 AS start, CAST(end_ms AS DOUBLE) / 1000 AS "end",
+       coalesce(emotion, 'unknown') AS emotion, coalesce(emotion_confidence, 0) AS emotion_confidence,
+       coalesce(language, 'unknown') AS language, coalesce(language_confidence, 0) AS language_confidence
+FROM fx_segments""")
+
+# --- model output top-1 (confidence compared as integer thousandths) -----------
+
+_W = ["w_en", "w_fr", "w_de", "w_es"]
+_BEST = """CASE WHEN w_en >= w_fr AND w_en >= w_de AND w_en >= w_es THEN 'en'
+                WHEN w_fr >= w_de AND w_fr >= w_es THEN 'fr'
+                WHEN w_de >= w_es THEN 'de' ELSE 'es' END"""
+_TOP = "greatest(w_en, w_fr, w_de, w_es)"
+_TOTAL = "(w_en + w_fr + w_de + w_es)"
+
+query("top_label", ["fx_scores"], f"""
+SELECT doc_id,
+       CASE WHEN {_TOTAL} = 0 THEN 'error' ELSE {_BEST} END AS label,
+       CAST(CASE WHEN {_TOTAL} = 0 THEN 0 ELSE floor((2000 * {_TOP} + {_TOTAL}) / (2 * {_TOTAL})) END AS BIGINT) AS score_milli
+FROM fx_scores""")
+
+query("argmax_language", ["fx_scores"], f"""
+SELECT doc_id,
+       CASE WHEN {_TOTAL} = 0 THEN 'error' ELSE {_BEST} END AS language,
+       CAST(CASE WHEN {_TOTAL} = 0 THEN 0 ELSE floor((2000 * {_TOP} + {_TOTAL}) / (2 * {_TOTAL})) END AS BIGINT) AS confidence_milli
+FROM fx_scores""")

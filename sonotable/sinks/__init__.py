@@ -1,0 +1,124 @@
+"""Writers for the exchanged file forms.
+
+The canonical store is one parquet table per stage keyed by ``file_id``; the
+per-file folders written here are exports. Rows are range-partitioned on
+``(file_id, position)`` so one large file is written by many tasks as ordered
+part files (part names sort in range order), and no file is ever collected
+into a single row or task.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sonotable import schemas as S
+from sonotable.functions import rttm as R
+from sonotable.functions import timefmt as TF
+from sonotable.operators.summary import segment_table
+
+
+def rttm_lines(segments: DataFrame) -> DataFrame:
+    """(file_id, segment_idx, line) in RTTM layout."""
+    return segments.select(
+        "file_id", "segment_idx", R.format_line("file_id", "start_ms", "end_ms", "speaker").alias("line")
+    )
+
+
+def _ordered_export(df: DataFrame, order: str, path: str, num_partitions: int | None = None) -> None:
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    (
+        df.repartitionByRange(n, "file_id", order)
+        .sortWithinPartitions("file_id", order)
+        .select("file_id", "line")
+        .write.mode("overwrite")
+        .partitionBy("file_id")
+        .text(path)
+    )
+
+
+def write_rttm(segments: DataFrame, path: str, files: DataFrame | None = None) -> None:
+    """One folder per file of RTTM lines in segment order; a file without segments gets an empty line."""
+    lines = rttm_lines(segments)
+    if files is not None:
+        empty = files.select("file_id").distinct().join(segments.select("file_id").distinct(), "file_id", "left_anti")
+        lines = lines.unionByName(empty.select("file_id", F.lit(-1).cast("long").alias("segment_idx"), F.lit("").alias("line")))
+    _ordered_export(lines, "segment_idx", path)
+
+
+def annotation_record(segments: DataFrame) -> "F.Column":
+    """JSON text of one annotation record: fixed key order, defaults for absent values."""
+    vals = {
+        "speaker": F.coalesce("speaker", F.lit(S.UNKNOWN_SPEAKER)),
+        "start": F.coalesce(TF.ms_to_seconds("start_ms"), F.lit(0.0)),
+        "end": F.coalesce(TF.ms_to_seconds("end_ms"), F.lit(0.0)),
+        "emotion": F.coalesce("emotion", F.lit(S.UNKNOWN)),
+        "emotion_confidence": F.coalesce("emotion_confidence", F.lit(0.0)),
+        "language": F.coalesce("language", F.lit(S.UNKNOWN)),
+        "language_confidence": F.coalesce("language_confidence", F.lit(0.0)),
+    }
+    return F.to_json(F.struct(*[vals[k].alias(k) for k, _ in S.ANNOTATION_DEFAULTS]))
+
+
+def annotation_lines(segments: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """A JSON array per file as ordered lines (file_id, line_idx, line).
+
+    Element ``i`` is ``[`` or ``,`` + record; a closing ``]`` line (line_idx =
+    segment count) comes from a per-file count, so no file is gathered into a
+    row. Files without segments (``files`` minus segment files) get ``[]``.
+    """
+    first = F.col("segment_idx") == 0
+    elems = segments.select(
+        "file_id",
+        F.col("segment_idx").alias("line_idx"),
+        F.concat(F.when(first, F.lit("[")).otherwise(F.lit(",")), annotation_record(segments)).alias("line"),
+    )
+    closers = segments.groupBy("file_id").agg(F.count(F.lit(1)).alias("line_idx")).select(
+        "file_id", "line_idx", F.lit("]").alias("line")
+    )
+    out = elems.unionByName(closers)
+    if files is not None:
+        empty = files.select("file_id").distinct().join(segments.select("file_id").distinct(), "file_id", "left_anti")
+        out = out.unionByName(empty.select("file_id", F.lit(-1).cast("long").alias("line_idx"), F.lit("[]").alias("line")))
+    return out
+
+
+def write_annotations(segments: DataFrame, path: str, files: DataFrame | None = None) -> None:
+    """Export one JSON array per file (folder ``file_id=<id>``, parts in order)."""
+    _ordered_export(annotation_lines(segments, files), "line_idx", path)
+
+
+def append_manifest(rows: DataFrame, path: str) -> None:
+    """Append manifest rows (CSV with header per part); readers take the latest row per file."""
+    from sonotable.functions.timefmt import iso_text
+
+    out = rows
+    if "processed_us" in rows.columns:
+        out = rows.withColumn("processed_at", iso_text("processed_us"))
+    out.select(*S.MANIFEST_COLUMNS).write.mode("append").option("header", True).csv(path)
+
+
+def write_segment_csv(segments: DataFrame, path: str) -> None:
+    """The display table as CSV with a header."""
+    segment_table(segments).write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_file_state(state: DataFrame, path: str) -> None:
+    """State snapshot as a parquet table (the resumable form)."""
+    state.write.mode("overwrite").parquet(path)
+
+
+def file_state_json(state: DataFrame) -> DataFrame:
+    """State as JSON object text ``{file_id: record}``, one object per hash bucket of file_id.
+
+    Buckets keep every object bounded; merge them to get one document.
+    """
+    from sonotable.operators.state import state_as_records
+
+    rec = state_as_records(state)
+    bucket = F.pmod(F.xxhash64("file_id"), F.lit(256))
+    return rec.groupBy(bucket.alias("bucket")).agg(
+        F.to_json(F.map_from_entries(F.collect_list(F.struct(
+            "file_id", F.struct("status", "stage", "url", "started_at", "completed_at", "error")
+        )))).alias("json")
+    )
