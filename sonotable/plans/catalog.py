@@ -309,3 +309,68 @@ def q_argmax_language(spark, sf):
         F.when(ok, best["label"]).otherwise(F.lit("error")).alias("language"),
         F.when(ok, F.round(best["score"] * 1000).cast("long")).otherwise(F.lit(0).cast("long")).alias("confidence_milli"),
     )
+
+
+# --- audio: slicing, headers, validation, normalisation ------------------------
+
+
+@register("segment_slices")
+def q_segment_slices(spark, sf):
+    from sonotable.operators import audio as AU
+
+    segs = FX.segments(spark, sf)
+    _, to_model = SG.gate_short(segs)
+    frames = FX.frames(spark, sf, segs)
+    return AU.slice_stats(AU.slice_segments(to_model, frames, rate=FX.FRAME_SAMPLES))
+
+
+def _file_headers(spark, sf):
+    """One WAV header per file, built as bytes in Spark; rate and channels vary by a rule."""
+    from sonotable.operators import audio as AU
+
+    last = FX.segments(spark, sf).groupBy("file_id", "user_id").agg(F.max("end_ms").alias("max_end_ms"))
+    rate = F.element_at(F.array(*[F.lit(r) for r in FX.HEADER_RATES]), (F.col("user_id") % 4 + 1).cast("int"))
+    ch = F.when(F.col("user_id") % 5 == 4, F.lit(2)).otherwise(F.lit(1))
+    n = F.floor(F.col("max_end_ms") * rate / 1000).cast("long")
+    blobs = last.select("file_id", AU.wav_bytes(rate, ch, n).alias("content"))
+    return blobs.select("file_id", AU.wav_header(F.col("content")).alias("h")).select("file_id", "h.*")
+
+
+@register("wav_headers")
+def q_wav_headers(spark, sf):
+    return _file_headers(spark, sf).select("file_id", "sample_rate", "channels", "n_frames")
+
+
+@register("validate_audio")
+def q_validate_audio(spark, sf):
+    from sonotable.operators import audio as AU
+
+    v = AU.validate_audio(_file_headers(spark, sf))
+    return v.select(
+        "file_id", "duration_ms", "valid",
+        F.array_join("problems", ",").alias("problems"), F.array_join("warnings", ",").alias("warnings"),
+    )
+
+
+@register("normalise_pcm")
+def q_normalise_pcm(spark, sf):
+    """1 s clips built as WAV bytes from fx_frames (every third one stereo), normalised at 100 Hz."""
+    from sonotable.operators import audio as AU
+
+    fr = FX.frames(spark, sf)
+    stereo = F.col("frame_idx") % 3 == 1
+    samples = F.when(stereo, F.flatten(F.transform("pcm", lambda x: F.array(x, x)))).otherwise(F.col("pcm"))
+    ch = F.when(stereo, F.lit(2)).otherwise(F.lit(1))
+    clips = fr.select(
+        F.concat_ws("/", "file_id", F.col("frame_idx").cast("string")).alias("file_id"),
+        AU.wav_bytes(F.lit(FX.FRAME_SAMPLES), ch, F.size("pcm").cast("long"), samples).alias("content"),
+    )
+    frames, _rejects = AU.normalise_pcm(clips, target_rate=FX.FRAME_SAMPLES)
+    key = F.split("file_id", "/")
+    return frames.select(
+        F.get(key, 0).alias("file_id"),
+        F.get(key, 1).cast("long").alias("clip_idx"),
+        F.col("frame_idx"),
+        F.size("pcm").cast("long").alias("n_samples"),
+        F.aggregate("pcm", F.lit(0).cast("long"), lambda a, x: a + x.cast("long")).alias("sample_sum"),
+    )

@@ -136,3 +136,6 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 # a run boundary inside the event log: state "before" a re-run is the fold of
 # the events before it (2024-01-16T00:00:00 UTC in epoch microseconds)
 RUN_CUT_US = 1705363200000000
+
+# declared sample rates of the per-file WAV headers, by user_id % 4
+HEADER_RATES = [16000, 16000, 8000, 44100]

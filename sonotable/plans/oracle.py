@@ -433,3 +433,40 @@ SELECT doc_id,
        CASE WHEN {_TOTAL} = 0 THEN 'error' ELSE {_BEST} END AS language,
        CAST(CASE WHEN {_TOTAL} = 0 THEN 0 ELSE floor((2000 * {_TOP} + {_TOTAL}) / (2 * {_TOTAL})) END AS BIGINT) AS confidence_milli
 FROM fx_scores""")
+
+
+# --- audio -------------------------------------------------------------------------
+
+# theta join: every 10 ms sample t with start <= t < end, value by the fx_frames rule
+query("segment_slices", ["fx_segments"], """
+SELECT file_id, segment_idx, CAST(count(*) AS BIGINT) AS n_samples, CAST(sum(v * v) AS BIGINT) AS sum_sq
+FROM (
+  SELECT s.file_id, s.segment_idx,
+         CAST(((j // 100) * 7919 + (j % 100) * (j % 100) * 31 + s.user_id * 17) % 2001 - 1000 AS BIGINT) AS v
+  FROM fx_segments s, range(CAST(ceil(s.start_ms / 10) AS BIGINT), CAST(ceil(s.end_ms / 10) AS BIGINT)) r(j)
+  WHERE s.end_ms - s.start_ms >= 500
+) GROUP BY file_id, segment_idx""")
+
+cte("fx_headers", ["fx_segments"], """
+SELECT file_id,
+       CAST([16000, 16000, 8000, 44100][CAST(user_id % 4 AS INTEGER) + 1] AS INTEGER) AS sample_rate,
+       CAST(CASE WHEN user_id % 5 = 4 THEN 2 ELSE 1 END AS INTEGER) AS channels,
+       CAST(floor(max_end_ms * [16000, 16000, 8000, 44100][CAST(user_id % 4 AS INTEGER) + 1] / 1000) AS BIGINT) AS n_frames
+FROM (SELECT file_id, user_id, max(end_ms) AS max_end_ms FROM fx_segments GROUP BY file_id, user_id)""")
+
+query("wav_headers", ["fx_headers"], "SELECT * FROM fx_headers")
+
+query("validate_audio", ["fx_headers"], """
+SELECT file_id, CAST(floor(n_frames * 1000 / sample_rate) AS BIGINT) AS duration_ms,
+       (sample_rate = 16000 AND channels = 1 AND n_frames * 1000 >= sample_rate * 1000) AS valid,
+       concat_ws(',', CASE WHEN sample_rate <> 16000 THEN 'sample_rate' END,
+                      CASE WHEN channels <> 1 THEN 'channels' END,
+                      CASE WHEN n_frames * 1000 < sample_rate * 1000 THEN 'too_short' END) AS problems,
+       CASE WHEN n_frames * 1000 < sample_rate * 30000 THEN 'short_audio' ELSE '' END AS warnings
+FROM fx_headers""")
+
+query("normalise_pcm", ["fx_segments"], """
+SELECT m.file_id, f AS clip_idx, CAST(0 AS BIGINT) AS frame_idx, CAST(100 AS BIGINT) AS n_samples,
+       CAST((SELECT sum((f * 7919 + i * i * 31 + m.user_id * 17) % 2001 - 1000) FROM range(0, 100) r(i)) AS BIGINT) AS sample_sum
+FROM (SELECT file_id, user_id, max(end_ms) AS mx FROM fx_segments GROUP BY file_id, user_id) m,
+     range(0, CAST(floor(m.mx / 1000) AS BIGINT) + 1) fr(f)""")
