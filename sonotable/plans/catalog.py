@@ -374,3 +374,37 @@ def q_normalise_pcm(spark, sf):
         F.size("pcm").cast("long").alias("n_samples"),
         F.aggregate("pcm", F.lit(0).cast("long"), lambda a, x: a + x.cast("long")).alias("sample_sum"),
     )
+
+
+# --- model operators with deterministic stand-in models (rows-only checks) -------
+
+
+@register("classify_emotion")
+def q_classify_emotion(spark, sf):
+    from sonotable.operators import infer as IF
+    from sonotable.plans import stubs
+
+    segs = FX.segments(spark, sf)
+    base = segs.select("file_id", "segment_idx", "speaker", "start_ms", "end_ms")
+    out = IF.classify_emotion(base, FX.frames(spark, sf, segs), stubs.energy_scores, rate=FX.FRAME_SAMPLES)
+    return out.select("file_id", "segment_idx", "emotion", "emotion_confidence")
+
+
+@register("detect_language")
+def q_detect_language(spark, sf):
+    from sonotable.operators import infer as IF
+    from sonotable.plans import stubs
+
+    segs = FX.segments(spark, sf)
+    base = segs.select("file_id", "segment_idx", "speaker", "start_ms", "end_ms")
+    out = IF.detect_language(base, FX.frames(spark, sf, segs), stubs.energy_probs, rate=FX.FRAME_SAMPLES)
+    return out.select("file_id", "segment_idx", "language", "language_confidence")
+
+
+@register("diarize")
+def q_diarize(spark, sf):
+    from sonotable.operators import infer as IF
+    from sonotable.plans import stubs
+
+    segs, _errors = IF.diarize(FX.frames(spark, sf), stubs.fixed_turns, rate=FX.FRAME_SAMPLES, window_s=60)
+    return segs
