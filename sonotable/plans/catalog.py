@@ -408,3 +408,41 @@ def q_diarize(spark, sf):
 
     segs, _errors = IF.diarize(FX.frames(spark, sf), stubs.fixed_turns, rate=FX.FRAME_SAMPLES, window_s=60)
     return segs
+
+
+# --- streaming: the same folds as streaming aggregations -----------------------
+
+
+def _stream_dirs(spark, name):
+    from sonotable.session import scratch_path
+
+    base = scratch_path(spark, name)
+    return f"{base}/table", f"{base}/checkpoint"
+
+
+@register("stream_state")
+def q_stream_state(spark, sf):
+    from sonotable.streaming.state import stream_file_state
+
+    out, ck = _stream_dirs(spark, "stream_state")
+    events = FX.stage_log_of(FX.stream_table(spark, sf, "events"))
+    return stream_file_state(spark, events, out, ck)
+
+
+@register("stream_progress")
+def q_stream_progress(spark, sf):
+    from sonotable.streaming.state import stream_progress
+
+    out, ck = _stream_dirs(spark, "stream_progress")
+    events = FX.stage_log_of(FX.stream_table(spark, sf, "events"))
+    return stream_progress(spark, events, out, ck)
+
+
+@register("stream_intake")
+def q_stream_intake(spark, sf):
+    from sonotable.streaming.intake import stream_inputs
+
+    out, ck = _stream_dirs(spark, "stream_intake")
+    return stream_inputs(spark, FX.lines_of(FX.stream_table(spark, sf, "pages")), out, ck).select(
+        "file_id", "line_no", "source"
+    )

@@ -83,11 +83,16 @@ def frames(spark: SparkSession, sf_dir: str, segs: DataFrame | None = None) -> D
 
 def stage_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """fx_stage_log: pipeline stage events, one per driver event."""
-    ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
-    e = F.col("event_id")
-    action = F.coalesce(_map(ACTIONS, F.col("event_type")), F.lit("stage"))
+    return stage_log_of(table(spark, sf_dir, "events"))
+
+
+def stage_log_of(events: DataFrame) -> DataFrame:
+    """The fx_stage_log projection of an events DataFrame (batch or streaming)."""
     from sonotable.schemas import STAGES
 
+    ev = events.select("event_id", "ts", "user_id", "event_type")
+    e = F.col("event_id")
+    action = F.coalesce(_map(ACTIONS, F.col("event_type")), F.lit("stage"))
     return ev.select(
         fid("user_id").alias("file_id"),
         e.alias("seq"),
@@ -100,7 +105,12 @@ def stage_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """fx_lines: an input list with URLs of every shape, paths, comments and blanks."""
-    pg = table(spark, sf_dir, "pages").select("page_id", "url")
+    return lines_of(table(spark, sf_dir, "pages"))
+
+
+def lines_of(pages: DataFrame) -> DataFrame:
+    """The fx_lines projection of a pages DataFrame (batch or streaming)."""
+    pg = pages.select("page_id", "url")
     v = F.substring(F.md5(F.col("page_id").cast("string")), 1, 11)
     kind = F.col("page_id") % 8
     line = (
@@ -116,6 +126,17 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pg.select(F.col("page_id").alias("line_no"), line.alias("line"))
 
 
+def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files: int = 1) -> DataFrame:
+    """A driver table as a file stream (schema from the batch reader, one file per trigger)."""
+    schema = table(spark, sf_dir, name).schema
+    return (
+        spark.readStream.schema(schema)
+        .option("pathGlobFilter", f"{name}.parquet")
+        .option("maxFilesPerTrigger", max_files)
+        .parquet(sf_dir)
+    )
+
+
 def landed(spark: SparkSession, sf_dir: str, inputs: DataFrame) -> DataFrame:
     """fx_landed: files found in a landing folder for some of the usable inputs."""
     base = inputs.where(F.col("line_no") % 3 != 0)

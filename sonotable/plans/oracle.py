@@ -470,3 +470,10 @@ SELECT m.file_id, f AS clip_idx, CAST(0 AS BIGINT) AS frame_idx, CAST(100 AS BIG
        CAST((SELECT sum((f * 7919 + i * i * 31 + m.user_id * 17) % 2001 - 1000) FROM range(0, 100) r(i)) AS BIGINT) AS sample_sum
 FROM (SELECT file_id, user_id, max(end_ms) AS mx FROM fx_segments GROUP BY file_id, user_id) m,
      range(0, CAST(floor(m.mx / 1000) AS BIGINT) + 1) fr(f)""")
+
+
+# --- streaming forms: same results as their batch forms ----------------------------
+
+QUERIES["stream_state"] = QUERIES["file_state"]
+QUERIES["stream_progress"] = QUERIES["progress"]
+QUERIES["stream_intake"] = QUERIES["dedupe_inputs"]
