@@ -89,13 +89,20 @@ def parse_annotation_lines(lines: DataFrame) -> DataFrame:
 
 
 def read_file_state(spark: SparkSession, path: str) -> DataFrame:
-    """State snapshot(s): a JSON object ``{file_id: record}`` per file -> one row per file.
+    """State snapshot(s) -> one row per file.
 
-    A corrupt snapshot reads as empty (no rows), like a fresh start.
+    Accepts a whole-file JSON object ``{file_id: record}`` (pretty-printed or
+    not) and the bucketed export (one object per line). A corrupt snapshot
+    reads as empty (no rows), like a fresh start.
     """
+    mt = T.MapType(T.StringType(), S.STATE_RECORD)
     raw = spark.read.text(path, wholetext=True)
-    m = F.from_json("value", T.MapType(T.StringType(), S.STATE_RECORD))
-    return raw.select(F.explode(m).alias("file_id", "r")).select("file_id", "r.*")
+    whole = F.from_json("value", mt)
+    lines = F.filter(F.split(F.col("value"), r"\r?\n"), lambda ln: F.trim(ln) != "")
+    per_line = F.transform(lines, lambda ln: F.from_json(ln, mt))
+    all_lines_parse = F.size(F.filter(per_line, lambda m: m.isNull())) == 0
+    maps = F.when((F.size(lines) > 0) & all_lines_parse, per_line).when(whole.isNotNull(), F.array(whole))
+    return raw.select(F.explode(maps).alias("m")).select(F.explode("m").alias("file_id", "r")).select("file_id", "r.*")
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
