@@ -1,8 +1,9 @@
 """Audio tables: landing scan facts, validation, normalisation into frames, and
 cutting segments out of frames.
 
-Audio lives in ``audio_frames(file_id, frame_idx, pcm ARRAY<SHORT>)``: one row
-per second of 16-bit mono PCM. A segment's samples are found with an *equi*
+Audio lives in ``audio_frames(file_id, frame_idx, pcm BINARY)``: one row per
+second of 16-bit little-endian mono PCM (2 bytes a sample: compact in parquet
+and handed to numpy without copies through Arrow). A segment's samples are found with an *equi*
 join on (file_id, frame_idx) after exploding each segment into the frame
 numbers it overlaps, so no theta/range join is needed and a long recording is
 spread over its frame numbers instead of one key.
@@ -54,35 +55,60 @@ def slice_segments(segments: DataFrame, frames: DataFrame, rate: int, max_ms: in
     j = sf.join(frames.select("file_id", "frame_idx", "pcm"), ["file_id", "frame_idx"])
     base = F.col("frame_idx") * rate
     lo = F.greatest(F.col("_g0") - base, F.lit(0))
-    hi = F.least(F.col("_g1") - base, F.size("pcm").cast("long"))
+    hi = F.least(F.col("_g1") - base, (F.length("pcm") / 2).cast("long"))
     return j.where(hi > lo).select(
         "file_id", "segment_idx", "frame_idx",
-        F.slice("pcm", (lo + 1).cast("int"), (hi - lo).cast("int")).alias("samples"),
+        F.col("pcm").substr((lo * 2 + 1).cast("int"), ((hi - lo) * 2).cast("int")).alias("samples"),
     )
 
 
+PCM_STATS = T.StructType([
+    T.StructField("n_samples", T.LongType()),
+    T.StructField("sample_sum", T.LongType()),
+    T.StructField("sum_sq", T.LongType()),
+])
+
+
+def pcm_array(x) -> np.ndarray:
+    """int16 samples of a PCM cell: bytes, a list of byte parts, or a list of ints."""
+    if x is None:
+        return np.zeros(0, dtype=np.int16)
+    if isinstance(x, (bytes, bytearray, memoryview)):
+        return np.frombuffer(x, dtype="<i2")
+    if len(x) and isinstance(x[0], (bytes, bytearray, memoryview)):
+        return np.frombuffer(b"".join(bytes(p) for p in x), dtype="<i2")
+    return np.asarray(x, dtype=np.int16)
+
+
+@F.pandas_udf(PCM_STATS)
+def pcm_stats(pcm: pd.Series) -> pd.DataFrame:
+    """Sample count, sum and sum of squares of int16 PCM bytes (numpy per Arrow batch)."""
+    n, s1, s2 = [], [], []
+    for b in pcm:
+        a = pcm_array(b).astype(np.int64)
+        n.append(len(a)), s1.append(int(a.sum())), s2.append(int((a * a).sum()))
+    return pd.DataFrame({"n_samples": n, "sample_sum": s1, "sum_sq": s2})
+
+
 def slice_stats(slices: DataFrame) -> DataFrame:
     """Sample count and integer sum of squares per segment (partial sums per frame, combined map-side)."""
-    per = slices.select(
-        "file_id", "segment_idx",
-        F.size("samples").cast("long").alias("_n"),
-        F.aggregate("samples", F.lit(0).cast("long"), lambda acc, x: acc + x.cast("long") * x.cast("long")).alias("_sq"),
-    )
+    per = slices.select("file_id", "segment_idx", pcm_stats("samples").alias("_s"))
     return per.groupBy("file_id", "segment_idx").agg(
-        F.sum("_n").cast("long").alias("n_samples"), F.sum("_sq").cast("long").alias("sum_sq")
+        F.sum("_s.n_samples").cast("long").alias("n_samples"), F.sum("_s.sum_sq").cast("long").alias("sum_sq")
     )
 
 
 def gather_segments(slices: DataFrame) -> DataFrame:
-    """(file_id, segment_idx, samples) with a segment's frames concatenated in time order.
+    """(file_id, segment_idx, samples ARRAY<BINARY>): a segment's PCM parts in time order.
 
     The group is one segment: bounded by the segment's own length (and by
-    ``max_ms`` when the slicing was capped), never by the file.
+    ``max_ms`` when the slicing was capped), never by the file. The parts are
+    joined only inside the Python worker that feeds the model.
     """
     g = slices.groupBy("file_id", "segment_idx").agg(
         F.array_sort(F.collect_list(F.struct("frame_idx", "samples"))).alias("_parts")
     )
-    return g.select("file_id", "segment_idx", F.flatten(F.transform("_parts", lambda p: p["samples"])).alias("samples"))
+    return g.select("file_id", "segment_idx", F.transform("_parts", lambda p: p["samples"]).alias("samples"))
 
 
 # ---------------------------------------------------------------------------
@@ -215,7 +241,7 @@ def todo_audio(inputs: DataFrame, valid_audio: DataFrame) -> DataFrame:
 FRAMES_OUT = T.StructType([
     T.StructField("file_id", T.StringType()),
     T.StructField("frame_idx", T.LongType()),
-    T.StructField("pcm", T.ArrayType(T.ShortType())),
+    T.StructField("pcm", T.BinaryType()),
     T.StructField("error", T.StringType()),
 ])
 
@@ -255,7 +281,7 @@ def normalise_batches(target_rate: int):
                     for k in range(0, max(len(y), 1), target_rate):
                         out_f.append(fid)
                         out_i.append(k // target_rate)
-                        out_p.append(y[k : k + target_rate])
+                        out_p.append(y[k : k + target_rate].astype("<i2").tobytes())
                         out_e.append(None)
                 except Exception as exc:  # noqa: BLE001 - a bad file is a row, not a failed task
                     out_f.append(fid)
@@ -271,7 +297,7 @@ def normalise_pcm(audio: DataFrame, target_rate: int = S.SAMPLE_RATE) -> tuple[D
     """(file_id, content) WAV rows -> (audio_frames, rejects).
 
     Channels are averaged, the rate is changed by linear interpolation and the
-    result cut into 1 s frames of int16. One file is decoded by one Python
+    result cut into 1 s frames of int16 little-endian bytes. One file is decoded by one Python
     call; a file that is not PCM WAV becomes a reject row. Only PCM WAV is
     decoded here (no codec for compressed formats).
     """
@@ -286,6 +312,23 @@ def normalise_pcm(audio: DataFrame, target_rate: int = S.SAMPLE_RATE) -> tuple[D
 # ---------------------------------------------------------------------------
 
 
+def pack_wav_bytes(rate: int, channels: int, mono: np.ndarray) -> bytes:
+    """A 16-bit PCM WAV of ``mono`` samples repeated on every channel."""
+    buf = io.BytesIO()
+    with wave.open(buf, "wb") as w:
+        w.setnchannels(int(channels))
+        w.setsampwidth(2)
+        w.setframerate(int(rate))
+        w.writeframes(np.repeat(mono.astype("<i2")[:, None], int(channels), axis=1).tobytes())
+    return buf.getvalue()
+
+
+@F.pandas_udf(T.BinaryType())
+def wav_from_pcm(rate: pd.Series, channels: pd.Series, pcm: pd.Series) -> pd.Series:
+    """WAV bytes from int16 PCM bytes (mono samples copied to each channel)."""
+    return pd.Series([pack_wav_bytes(r, c, pcm_array(p)) for r, c, p in zip(rate, channels, pcm)], dtype=object)
+
+
 def _le(x: Column, nbytes: int) -> Column:
     h = F.lpad(F.hex(F.pmod(x.cast("long"), F.lit(1 << (8 * nbytes)))), 2 * nbytes, "0")
     return F.concat(*[F.substring(h, 2 * nbytes - 2 * k - 1, 2) for k in range(nbytes)])

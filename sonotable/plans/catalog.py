@@ -354,25 +354,24 @@ def q_validate_audio(spark, sf):
 
 @register("normalise_pcm")
 def q_normalise_pcm(spark, sf):
-    """1 s clips built as WAV bytes from fx_frames (every third one stereo), normalised at 100 Hz."""
+    """1 s clips written as WAV bytes from fx_frames (every third one stereo), normalised at 100 Hz."""
     from sonotable.operators import audio as AU
 
     fr = FX.frames(spark, sf)
-    stereo = F.col("frame_idx") % 3 == 1
-    samples = F.when(stereo, F.flatten(F.transform("pcm", lambda x: F.array(x, x)))).otherwise(F.col("pcm"))
-    ch = F.when(stereo, F.lit(2)).otherwise(F.lit(1))
+    ch = F.when(F.col("frame_idx") % 3 == 1, F.lit(2)).otherwise(F.lit(1))
     clips = fr.select(
         F.concat_ws("/", "file_id", F.col("frame_idx").cast("string")).alias("file_id"),
-        AU.wav_bytes(F.lit(FX.FRAME_SAMPLES), ch, F.size("pcm").cast("long"), samples).alias("content"),
+        AU.wav_from_pcm(F.lit(FX.FRAME_SAMPLES), ch, F.col("pcm")).alias("content"),
     )
     frames, _rejects = AU.normalise_pcm(clips, target_rate=FX.FRAME_SAMPLES)
     key = F.split("file_id", "/")
+    st = AU.pcm_stats("pcm")
     return frames.select(
         F.get(key, 0).alias("file_id"),
         F.get(key, 1).cast("long").alias("clip_idx"),
         F.col("frame_idx"),
-        F.size("pcm").cast("long").alias("n_samples"),
-        F.aggregate("pcm", F.lit(0).cast("long"), lambda a, x: a + x.cast("long")).alias("sample_sum"),
+        st["n_samples"].alias("n_samples"),
+        st["sample_sum"].alias("sample_sum"),
     )
 
 

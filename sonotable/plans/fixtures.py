@@ -6,8 +6,11 @@ The same definitions are written as DuckDB SQL in ``plans/oracle.py``.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sonotable.operators.sequence import positional_index
 
@@ -66,19 +69,24 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@F.pandas_udf(T.BinaryType())
+def _fixture_pcm(frame_idx: pd.Series, user_id: pd.Series) -> pd.Series:
+    """Sample i of a frame = (frame_idx*7919 + i*i*31 + user_id*17) % 2001 - 1000, as int16 LE bytes."""
+    i = np.arange(FRAME_SAMPLES, dtype=np.int64)
+    v = (frame_idx.to_numpy(np.int64)[:, None] * 7919 + (i * i * 31)[None, :] + user_id.to_numpy(np.int64)[:, None] * 17) % 2001 - 1000
+    v = v.astype("<i2")
+    return pd.Series([row.tobytes() for row in v], dtype=object)
+
+
 def frames(spark: SparkSession, sf_dir: str, segs: DataFrame | None = None) -> DataFrame:
-    """fx_frames: 1 s frames 0..floor(max(end_ms)/1000) per file, 100 samples each."""
+    """fx_frames: 1 s frames 0..floor(max(end_ms)/1000) per file, 100 samples each (int16 LE bytes)."""
     segs = segs if segs is not None else segments(spark, sf_dir)
     last = segs.groupBy("file_id", "user_id").agg(F.max("end_ms").alias("max_end_ms"))
     fr = last.select(
         "file_id", "user_id",
         F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("max_end_ms") / 1000).cast("long"))).alias("frame_idx"),
     )
-    pcm = F.transform(
-        F.sequence(F.lit(0), F.lit(FRAME_SAMPLES - 1)),
-        lambda i: ((F.col("frame_idx") * 7919 + i * i * 31 + F.col("user_id") * 17) % 2001 - 1000).cast("int"),
-    )
-    return fr.select("file_id", "frame_idx", pcm.alias("pcm"))
+    return fr.select("file_id", "frame_idx", _fixture_pcm("frame_idx", "user_id").alias("pcm"))
 
 
 def stage_log(spark: SparkSession, sf_dir: str) -> DataFrame:

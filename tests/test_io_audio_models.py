@@ -148,7 +148,7 @@ def test_headers_validation_and_normalise(spark):
     assert v["junk"].problems == ["unreadable"] and v["junk"].sample_rate is None
     content = AU.read_audio(spark, d, with_content=True)
     frames, rejects = AU.normalise_pcm(content, target_rate=16000)
-    per = {r.file_id: r for r in frames.groupBy("file_id").agg(F.count("*").alias("n"), F.sum(F.size("pcm")).alias("s")).collect()}
+    per = {r.file_id: r for r in frames.groupBy("file_id").agg(F.count("*").alias("n"), F.sum(F.length("pcm") / 2).cast("long").alias("s")).collect()}
     assert per["stereo44"].s == int(1.5 * 44100) * 16000 // 44100 and per["stereo44"].n == 2
     assert per["good"].s == 32000 and per["long"].n == 31
     assert [r.file_id for r in rejects.collect()] == ["junk"]
@@ -158,13 +158,18 @@ def test_headers_validation_and_normalise(spark):
 
 
 def test_slice_segments_equals_python(spark):
-    frames = spark.createDataFrame([("a", i, list(range(i * 100, i * 100 + 100))) for i in range(5)], "file_id string, frame_idx long, pcm array<int>")
+    import numpy as np
+
+    frames = spark.createDataFrame(
+        [("a", i, np.arange(i * 100, i * 100 + 100, dtype="<i2").tobytes()) for i in range(5)],
+        "file_id string, frame_idx long, pcm binary",
+    )
     segs = spark.createDataFrame([("a", 0, 250, 1999), ("a", 1, 990, 1010), ("a", 2, 4000, 4600)], "file_id string, segment_idx long, start_ms long, end_ms long")
-    got = {r.segment_idx: r.samples for r in AU.gather_segments(AU.slice_segments(segs, frames, rate=100)).collect()}
+    got = {r.segment_idx: AU.pcm_array(r.samples).tolist() for r in AU.gather_segments(AU.slice_segments(segs, frames, rate=100)).collect()}
     allv = list(range(500))
     exp = {i: [allv[g] for g in range(500) if s <= g * 10 < e] for i, s, e in [(0, 250, 1999), (1, 990, 1010), (2, 4000, 4600)]}
     assert got == exp
-    capped = {r.segment_idx: len(r.samples) for r in AU.gather_segments(AU.slice_segments(segs, frames, 100, max_ms=300)).collect()}
+    capped = {r.segment_idx: len(AU.pcm_array(r.samples)) for r in AU.gather_segments(AU.slice_segments(segs, frames, 100, max_ms=300)).collect()}
     assert capped[0] == 30
 
 
