@@ -32,8 +32,11 @@ def languages_expr(language: str = "language") -> Column:
 def file_summary(segments: DataFrame, durations: DataFrame | None = None) -> DataFrame:
     """One row per file: num_speakers, num_segments, duration_sec, languages_detected.
 
-    ``durations`` (file_id, n_frames, sample_rate) gives the audio length; a file
-    without a readable header falls back to the largest segment end.
+    ``durations`` (file_id, n_frames, sample_rate) holds one row per file whose
+    audio exists: duration = n_frames / sample_rate to 2 places (half up, exact
+    integers); a row with unreadable facts falls back to the largest segment
+    end; a file without a row (no audio) gets 0.0. Without ``durations`` every
+    file takes the largest-segment-end fallback.
     """
     agg = segments.groupBy("file_id").agg(
         num_speakers_expr().alias("num_speakers"),
@@ -43,12 +46,16 @@ def file_summary(segments: DataFrame, durations: DataFrame | None = None) -> Dat
     )
     fallback = TF.round_ms_2(F.col("_max_end_ms"))
     if durations is not None:
-        d = durations.select("file_id", (F.col("n_frames") * 1000 / F.col("sample_rate")).alias("_audio_ms_exact"),
-                             F.col("n_frames"), F.col("sample_rate"))
+        d = durations.select("file_id", "n_frames", "sample_rate", F.lit(True).alias("_has_audio"))
         agg = agg.join(d, "file_id", "left")
-        audio = F.round(F.col("n_frames").cast("double") / F.col("sample_rate").cast("double"), 2)
-        dur = F.when(F.col("sample_rate") > 0, audio).otherwise(fallback)
-        agg = agg.withColumn("duration_sec", dur).drop("_audio_ms_exact", "n_frames", "sample_rate")
+        rate = F.col("sample_rate").cast("long")
+        centi = F.floor((F.col("n_frames") * 200 + rate) / (rate * 2)).cast("long")
+        dur = (
+            F.when(F.col("_has_audio").isNull(), F.lit(0.0))
+            .when(rate > 0, centi.cast("double") / F.lit(100.0))
+            .otherwise(fallback)
+        )
+        agg = agg.withColumn("duration_sec", dur)
     else:
         agg = agg.withColumn("duration_sec", fallback)
     return agg.select("file_id", "num_speakers", "num_segments", "duration_sec", "languages_detected")

@@ -149,8 +149,7 @@ def q_match_landed(spark, sf):
 
 
 def _log_before(spark, sf):
-    log = FX.stage_log(spark, sf)
-    return log.where(F.col("us") < F.lit(FX.RUN_CUT_US))
+    return FX.stage_log(spark, sf, before_ts=FX.RUN_CUT_TS)
 
 
 def _files(spark, sf):
@@ -336,6 +335,13 @@ def _file_headers(spark, sf):
     return blobs.select("file_id", AU.wav_header(F.col("content")).alias("h")).select("file_id", "h.*")
 
 
+@register("file_summary_audio")
+def q_file_summary_audio(spark, sf):
+    """Per-file summary with the duration taken from each file's WAV header."""
+    h = _file_headers(spark, sf).select("file_id", "n_frames", "sample_rate")
+    return SM.file_summary(FX.segments(spark, sf), durations=h)
+
+
 @register("wav_headers")
 def q_wav_headers(spark, sf):
     return _file_headers(spark, sf).select("file_id", "sample_rate", "channels", "n_frames")

@@ -89,9 +89,15 @@ def frames(spark: SparkSession, sf_dir: str, segs: DataFrame | None = None) -> D
     return fr.select("file_id", "frame_idx", _fixture_pcm("frame_idx", "user_id").alias("pcm"))
 
 
-def stage_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """fx_stage_log: pipeline stage events, one per driver event."""
-    return stage_log_of(table(spark, sf_dir, "events"))
+def stage_log(spark: SparkSession, sf_dir: str, before_ts: str | None = None) -> DataFrame:
+    """fx_stage_log: pipeline stage events, one per driver event (optionally only those before ``before_ts``).
+
+    The cut is a filter on the raw ``ts`` column so it reaches the parquet scan.
+    """
+    ev = table(spark, sf_dir, "events")
+    if before_ts is not None:
+        ev = ev.where(F.col("ts") < F.lit(before_ts).cast("timestamp_ntz"))
+    return stage_log_of(ev)
 
 
 def stage_log_of(events: DataFrame) -> DataFrame:
@@ -163,7 +169,8 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # a run boundary inside the event log: state "before" a re-run is the fold of
-# the events before it (2024-01-16T00:00:00 UTC in epoch microseconds)
+# the events before it (2024-01-16T00:00:00 UTC; also in epoch microseconds)
+RUN_CUT_TS = "2024-01-16 00:00:00"
 RUN_CUT_US = 1705363200000000
 
 # declared sample rates of the per-file WAV headers, by user_id % 4

@@ -477,3 +477,9 @@ FROM (SELECT file_id, user_id, max(end_ms) AS mx FROM fx_segments GROUP BY file_
 QUERIES["stream_state"] = QUERIES["file_state"]
 QUERIES["stream_progress"] = QUERIES["progress"]
 QUERIES["stream_intake"] = QUERIES["dedupe_inputs"]
+
+query("file_summary_audio", ["fx_file_summary", "fx_headers"], """
+SELECT s.file_id, s.num_speakers, s.num_segments,
+       CAST(floor((h.n_frames * 200 + h.sample_rate) / (2 * h.sample_rate)) AS DOUBLE) / 100 AS duration_sec,
+       s.languages_detected
+FROM fx_file_summary s JOIN fx_headers h USING (file_id)""")
