@@ -52,7 +52,9 @@ def segment_frames(segments: DataFrame, rate: int, max_ms: int | None = None) ->
 def slice_segments(segments: DataFrame, frames: DataFrame, rate: int, max_ms: int | None = None) -> DataFrame:
     """(file_id, segment_idx, frame_idx, samples): the part of each frame inside each segment."""
     sf = segment_frames(segments, rate, max_ms)
-    j = sf.join(frames.select("file_id", "frame_idx", "pcm"), ["file_id", "frame_idx"])
+    # frames grow with the data and must never be broadcast: shuffle both sides on
+    # (file_id, frame_idx) and hash the narrow segment-frame rows, streaming the PCM
+    j = sf.hint("shuffle_hash").join(frames.select("file_id", "frame_idx", "pcm"), ["file_id", "frame_idx"])
     base = F.col("frame_idx") * rate
     lo = F.greatest(F.col("_g0") - base, F.lit(0))
     hi = F.least(F.col("_g1") - base, (F.length("pcm") / 2).cast("long"))
