@@ -81,3 +81,21 @@ def previous_values(
     for c in cols:
         out = out.withColumn(prefix + c, F.when(first_in_slice, F.col("_prev._t_" + c)).otherwise(F.col(prefix + c)))
     return out.drop(_PID, "_rn", "_prev")
+
+
+def index_by_slices(df: DataFrame, key: str, slice_col: str, order: list[str], name: str = "idx") -> DataFrame:
+    """Position within ``key`` by (``slice_col``, ``order``) when the data already carries
+    deterministic slices (e.g. time windows of a recording): no sampling pass.
+
+    The position inside a slice is a window over (key, slice); the offset of a
+    slice is the number of rows of the same key in earlier slices, from a
+    one-row-per-(key, slice) count table that is joined back on (key, slice).
+    ``df`` is read twice, so pass a materialised table when it is expensive.
+    """
+    local = df.withColumn(name, F.row_number().over(Window.partitionBy(key, slice_col).orderBy(*order)) - F.lit(1))
+    counts = df.groupBy(key, slice_col).agg(F.count(F.lit(1)).alias("_n"))
+    offs = counts.withColumn(
+        "_off", F.sum("_n").over(Window.partitionBy(key).orderBy(slice_col)) - F.col("_n")
+    ).select(key, slice_col, "_off")
+    out = local.join(offs, [key, slice_col], "left")
+    return out.withColumn(name, (F.col(name) + F.coalesce("_off", F.lit(0))).cast("long")).drop("_off")

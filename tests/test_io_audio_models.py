@@ -226,3 +226,21 @@ def test_entry_and_registry(spark):
     assert df.count() > 0 and df.columns == ["file_id", "num_speakers", "num_segments", "duration_sec", "languages_detected"]
     assert set(E.oracle_sql()) <= set(E.queries())
     _ = struct
+
+
+def test_segment_csv_and_listing(spark, tmpdir_new):
+    import csv
+    import glob
+
+    segs = FX.segments(spark, SF001)
+    out = os.path.join(tmpdir_new, "csv")
+    K.write_segment_csv(segs, out)
+    rows = []
+    for p in glob.glob(out + "/part-*.csv"):
+        with open(p) as fh:
+            rows += list(csv.DictReader(fh))
+    assert len(rows) == segs.count() and rows[0]["confidence_pct"].endswith("%")
+    d = _wav_folder()
+    listing = AU.read_audio(spark, d)
+    assert "content" not in listing.columns and listing.count() == 6
+    assert "content" not in listing._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[-1]
