@@ -244,3 +244,29 @@ def test_segment_csv_and_listing(spark, tmpdir_new):
     listing = AU.read_audio(spark, d)
     assert "content" not in listing.columns and listing.count() == 6
     assert "content" not in listing._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[-1]
+
+
+def test_annotation_job_resumes(spark, tmpdir_new):
+    from sonotable.plans import annotate_job
+
+    segs = FX.segments(spark, SF001)
+    frames = FX.frames(spark, SF001, segs)
+    files = segs.select("file_id").distinct()
+    inputs = files.select("file_id", F.lit(0).cast("long").alias("line_no"), F.concat(F.lit("in/"), "file_id").alias("source"))
+    extra = spark.createDataFrame([("ghost", 1, "in/ghost")], "file_id string, line_no long, source string")
+    root = os.path.join(tmpdir_new, "job")
+    a = annotate_job.run(spark, inputs.unionByName(extra), root, stubs.fixed_turns, stubs.energy_scores, stubs.energy_probs,
+                         audio_frames=frames, rate=FX.FRAME_SAMPLES, window_s=60, run_us=1_000_000)
+    st = {r.file_id: r for r in a["state"].collect()}
+    assert st["ghost"].status == "failed" and "Download failed" in st["ghost"].error
+    assert sum(1 for r in st.values() if r.status == "completed") == files.count()
+    n_ann = a["annotations"].count()
+    m = {r.file_id: r for r in a["manifest"].collect()}
+    assert m["ghost"].status == "failed" and m["ghost"].num_segments == 0
+    # second run: completed files are skipped; the ghost file is retried and fails again
+    b = annotate_job.run(spark, inputs.unionByName(extra), root, stubs.fixed_turns, stubs.energy_scores, stubs.energy_probs,
+                         audio_frames=frames, rate=FX.FRAME_SAMPLES, window_s=60, run_us=2_000_000)
+    assert b["annotations"].count() == n_ann
+    ev = spark.read.parquet(os.path.join(root, "events"))
+    assert ev.where("us >= 2000000 AND file_id <> 'ghost'").count() == 0
+    assert b["annotations"].where("emotion IS NULL OR language IS NULL").count() == 0
