@@ -109,16 +109,13 @@ def write_file_state(state: DataFrame, path: str) -> None:
 
 
 def file_state_json(state: DataFrame) -> DataFrame:
-    """State as JSON object text ``{file_id: record}``, one object per hash bucket of file_id.
+    """State as JSON text, one ``{file_id: record}`` object per line (no grouping).
 
-    Buckets keep every object bounded; merge them to get one document.
+    Concatenating the objects gives the single snapshot object; the reader
+    accepts both forms.
     """
     from sonotable.operators.state import state_as_records
 
     rec = state_as_records(state)
-    bucket = F.pmod(F.xxhash64("file_id"), F.lit(256))
-    return rec.groupBy(bucket.alias("bucket")).agg(
-        F.to_json(F.map_from_entries(F.collect_list(F.struct(
-            "file_id", F.struct("status", "stage", "url", "started_at", "completed_at", "error")
-        )))).alias("json")
-    )
+    body = F.struct("status", "stage", "url", "started_at", "completed_at", "error")
+    return rec.select(F.to_json(F.create_map(F.col("file_id"), body)).alias("json"))
