@@ -270,3 +270,30 @@ def test_annotation_job_resumes(spark, tmpdir_new):
     ev = spark.read.parquet(os.path.join(root, "events"))
     assert ev.where("us >= 2000000 AND file_id <> 'ghost'").count() == 0
     assert b["annotations"].where("emotion IS NULL OR language IS NULL").count() == 0
+
+
+def test_chunked_normalisation_equals_whole_file(spark):
+    d = _wav_folder()
+    _wav(os.path.join(d, "odd.wav"), 22050, 2, 13.3, freq=97.0)
+    whole, wr = AU.normalise_pcm(AU.read_audio(spark, d, with_content=True), target_rate=16000)
+    files = AU.read_audio(spark, d).select("file_id", "path")
+    chunked, cr = AU.normalise_wav_files(files, target_rate=16000, chunk_s=7, num_partitions=5)
+    a = {(r.file_id, r.frame_idx): bytes(r.pcm) for r in whole.collect()}
+    b = {(r.file_id, r.frame_idx): bytes(r.pcm) for r in chunked.collect()}
+    assert a == b
+    assert [r.file_id for r in cr.collect()] == ["junk"]
+
+
+def test_annotation_job_from_wav_files(spark, tmpdir_new):
+    from sonotable.plans import annotate_job
+
+    d = _wav_folder()
+    files = AU.read_audio(spark, d).select("file_id", "path")
+    inputs = files.select("file_id", F.lit(0).cast("long").alias("line_no"), F.col("path").alias("source"))
+    out = annotate_job.run(spark, inputs, os.path.join(tmpdir_new, "job"), stubs.fixed_turns, stubs.energy_scores,
+                           stubs.energy_probs, landed_files=files, rate=16000, window_s=600, run_us=5)
+    st = {r.file_id: r.status for r in out["state"].collect()}
+    assert st == {"good": "completed", "stereo44": "completed", "rate8k": "completed", "long": "completed",
+                  "short": "failed", "junk": "failed"}
+    m = {r.file_id: r for r in out["manifest"].collect()}
+    assert m["long"].num_segments == 11 and m["long"].duration_sec == 31.0
