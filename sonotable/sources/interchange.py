@@ -12,18 +12,41 @@ from sonotable import schemas as S
 from sonotable.functions import ids as I
 from sonotable.functions import rttm as R
 from sonotable.operators.inputs import clean_inputs
+from sonotable.operators.sequence import positional_index
+
+
+def raw_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, _blk, _pos, line) with the splittable line reader.
+
+    Within one file, line order is (start offset of the split, order inside the
+    split); ``monotonically_increasing_id`` gives the second because a split is
+    read in order inside its task. Large files are read by many tasks.
+    """
+    return spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("_blk"),
+        F.monotonically_increasing_id().alias("_pos"),
+        F.col("value").alias("line"),
+    )
+
+
+def ordered_lines(spark: SparkSession, path: str, keep=None) -> DataFrame:
+    """(path, line_no, line, ...) with dense 0-based positions per file among the kept lines."""
+    lines = raw_lines(spark, path)
+    if keep is not None:
+        lines = keep(lines)
+    out = positional_index(lines, "path", ["_blk", "_pos"], name="line_no")
+    return out.drop("_blk", "_pos")
 
 
 def read_inputs(spark: SparkSession, path: str) -> DataFrame:
     """Input list text file(s) -> (line_no, source, is_url, file_id); ``#`` lines and blanks dropped.
 
-    An input list is a small control file, read whole so that ``line_no`` is
-    the true line position (first line of a repeated id wins downstream).
+    ``line_no`` is the 0-based line position in its file (the first line of a
+    repeated id wins downstream).
     """
-    raw = spark.read.text(path, wholetext=True)
-    lines = raw.select(F.posexplode(F.split(F.col("value"), r"\r\n|\n|\r")).alias("line_no", "line"))
-    lines = lines.withColumn("line_no", F.col("line_no").cast("long"))
-    return clean_inputs(lines).withColumn("file_id", I.file_id("source"))
+    lines = ordered_lines(spark, path)
+    return clean_inputs(lines.select("line_no", "line")).withColumn("file_id", I.file_id("source"))
 
 
 def read_rttm(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -31,26 +54,30 @@ def read_rttm(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
     Lines with at least 9 fields starting ``SPEAKER`` are segments; others are
     skipped. A line with a non-numeric start or duration goes to ``rejects``
-    and the rest of the file is kept. ``segment_idx`` is the order among the
-    file's segment lines.
+    and the rest of the file is kept. ``segment_idx`` is the position among the
+    file's accepted segment lines.
     """
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    lines = raw.select("path", F.posexplode(F.split(F.col("value"), r"\r\n|\n|\r")).alias("line_no", "line"))
-    parsed = lines.select("path", "line_no", "line", R.parse_line("line").alias("p")).where(F.col("p.is_speaker"))
-    good = parsed.where(F.col("p.ok")).select(
+    parsed = raw_lines(spark, path).select("*", R.parse_line("line").alias("p")).where(F.col("p.is_speaker"))
+    good = ordered_lines(spark, path, keep=lambda df: df.select("*", R.parse_line("line").alias("p")).where(F.col("p.ok")))
+    segs = good.select(
         F.col("p.file_id").alias("file_id"),
-        F.col("line_no").cast("long").alias("segment_idx"),
+        F.col("line_no").alias("segment_idx"),
         F.col("p.speaker").alias("speaker"),
         F.col("p.start_ms").alias("start_ms"),
         F.col("p.end_ms").alias("end_ms"),
     )
-    rejects = parsed.where(~F.col("p.ok")).select("path", F.col("line_no").cast("long"), "line")
-    return good, rejects
+    rejects = parsed.where(~F.col("p.ok")).select("path", F.col("_blk").alias("block_start"), "line")
+    return segs, rejects
 
 
 def read_annotations(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """JSON annotation files (one array per file, ``<file_id>.json``) -> (segments, rejects).
 
+    A JSON document cannot be split, so each file is one row here: this is the
+    interchange form of one recording (the canonical store is the parquet
+    segments table, and ``parse_annotation_lines`` reads this package's own
+    one-element-per-line export with the splittable reader).
+
     The file id is the file name stem. A file that is not a JSON array of
     objects (object, scalar array, truncated text) is a reject, not an empty
     file. Absent keys read as null and take defaults in ``normalise``.

@@ -297,3 +297,20 @@ def test_annotation_job_from_wav_files(spark, tmpdir_new):
                   "short": "failed", "junk": "failed"}
     m = {r.file_id: r for r in out["manifest"].collect()}
     assert m["long"].num_segments == 11 and m["long"].duration_sec == 31.0
+
+
+def test_line_readers_keep_order_across_splits(spark, tmpdir_new):
+    p = os.path.join(tmpdir_new, "big.rttm")
+    lines = [f"SPEAKER big 1 {i}.5 1.25 <NA> <NA> S{i % 3} <NA> <NA>" for i in range(3000)]
+    lines.insert(10, "SPEAKER big 1 x 1 <NA> <NA> S <NA> <NA>")       # reject, not counted
+    lines.insert(20, "LEXEME big 1 0 1 <NA> <NA> S <NA> <NA>")        # skipped
+    _write(p, "\n".join(lines) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        assert IO.raw_lines(spark, p).rdd.getNumPartitions() > 10
+        segs, rejects = IO.read_rttm(spark, p)
+        got = [(r.segment_idx, r.start_ms) for r in segs.orderBy("segment_idx").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == [(i, i * 1000 + 500) for i in range(3000)] and rejects.count() == 1
