@@ -10,9 +10,10 @@ cross-slice fact needed is carried by a table with at most one row per slice
 Both the per-slice pass and the per-slice summary must see the same slices.
 Spark seeds range-partition sampling per exchange instance, so two branches
 that re-plan the exchange can cut different boundaries; the sliced rows are
-therefore written once with a reliable ``checkpoint()`` (to the shared
-``spark.checkpoint.dir``) and both branches read that copy. Lost executors
-re-read it instead of re-sampling.
+therefore written once as a parquet table in the shared checkpoint folder
+(``spark.checkpoint.dir``) and both branches read that copy (with column
+pruning and real size statistics). Lost executors re-read it instead of
+re-sampling.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sonotable.session import checkpoint_dir
+from sonotable.session import scratch_path
 
 _PID = "_seq_pid"
 
@@ -28,9 +29,10 @@ _PID = "_seq_pid"
 def _slices(df: DataFrame, key: str, order: list[str], num_slices: int | None) -> DataFrame:
     spark = df.sparkSession
     n = num_slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    checkpoint_dir(spark)
     sliced = df.repartitionByRange(n, F.col(key), *[F.col(c) for c in order]).withColumn(_PID, F.spark_partition_id())
-    return sliced.checkpoint(eager=True)
+    path = scratch_path(spark, "slices")
+    sliced.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def positional_index(df: DataFrame, key: str, order: list[str], name: str = "idx", num_slices: int | None = None) -> DataFrame:
