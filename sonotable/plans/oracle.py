@@ -368,7 +368,7 @@ FROM fx_stage_log WHERE action = 'failed'""")
 
 # --- manifest --------------------------------------------------------------------
 
-cte("fx_file_summary", ["fx_segments"], QUERIES["file_summary"].split("\n)\n", 1)[1] if False else """
+cte("fx_file_summary", ["fx_segments"], """
 SELECT file_id,
        CAST(count(DISTINCT speaker) + max(CASE WHEN speaker IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS num_speakers,
        CAST(count(*) AS BIGINT) AS num_segments,
@@ -405,8 +405,7 @@ SELECT file_id, segment_idx, coalesce(speaker, 'UNKNOWN') AS speaker,
        CAST(start_ms AS DOUBLE) / 1000 AS start, CAST(end_ms AS DOUBLE) / 1000 AS "end", true AS ok
 FROM fx_segments""")
 
-query("annotation_json_roundtrip", ["fx_segments"], QUERIES["normalised_segments"].split("\n)\n")[-1]
-      if False else """
+query("annotation_json_roundtrip", ["fx_segments"], """
 SELECT file_id, segment_idx, coalesce(speaker, 'UNKNOWN') AS speaker,
        CAST(start_ms AS DOUBLE) / 1000 AS start, CAST(end_ms AS DOUBLE) / 1000 AS "end",
        coalesce(emotion, 'unknown') AS emotion, coalesce(emotion_confidence, 0) AS emotion_confidence,
