@@ -471,3 +471,8 @@ def q_annotation_run(spark, sf):
         audio_frames=FX.frames(spark, sf, segs), rate=FX.FRAME_SAMPLES, window_s=60, run_us=FX.RUN_CUT_US,
     )
     return out["manifest"].drop("append_seq", "processed_us")
+
+
+@register("quality_report")
+def q_quality_report(spark, sf):
+    return SG.quality_report(SG.check_annotations(FX.segments(spark, sf)))

@@ -250,12 +250,16 @@ SELECT file_id, segment_idx, coalesce(speaker, 'UNKNOWN') AS speaker,
 FROM fx_segments""")
 
 _REQUIRED = ["speaker", "start_ms", "end_ms", "emotion", "emotion_confidence", "language", "language_confidence"]
-query("annotation_violations", ["fx_segments"], "\nUNION ALL\n".join(
+_VIOLATIONS = "\nUNION ALL\n".join(
     [f"SELECT 'missing_key' AS rule, file_id, segment_idx, '{c}' AS detail FROM fx_segments WHERE {c} IS NULL"
      for c in _REQUIRED]
     + ["SELECT 'end_not_after_start', file_id, segment_idx, CAST(NULL AS VARCHAR) FROM fx_segments WHERE end_ms <= start_ms",
        "SELECT 'unknown_emotion_label', file_id, segment_idx, emotion FROM fx_segments WHERE emotion NOT IN "
-       "('neutral', 'happy', 'angry', 'sad', 'fear', 'surprise', 'disgust', 'too_short', 'error', 'unknown')"]))
+       "('neutral', 'happy', 'angry', 'sad', 'fear', 'surprise', 'disgust', 'too_short', 'error', 'unknown')"])
+query("annotation_violations", ["fx_segments"], _VIOLATIONS)
+query("quality_report", ["fx_segments"], f"""
+SELECT rule, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT file_id) AS BIGINT) AS n_files
+FROM ({_VIOLATIONS}) GROUP BY rule""")
 
 query("gate_short", ["fx_segments"], """
 SELECT file_id, segment_idx, end_ms - start_ms AS duration_ms,
@@ -482,3 +486,4 @@ SELECT s.file_id, s.num_speakers, s.num_segments,
        CAST(floor((h.n_frames * 200 + h.sample_rate) / (2 * h.sample_rate)) AS DOUBLE) / 100 AS duration_sec,
        s.languages_detected
 FROM fx_file_summary s JOIN fx_headers h USING (file_id)""")
+
