@@ -25,6 +25,20 @@ from sonotable.session import scratch_path
 
 _PID = "_seq_pid"
 
+# rows one task may take for a plain per-key window; larger keys are sliced
+DEFAULT_MAX_GROUP_ROWS = 1_000_000
+
+
+def _largest_group(df: DataFrame, key: str) -> int:
+    """Row count of the largest key: a partial/final aggregate, one number to the driver."""
+    row = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()
+    return int(row[0] or 0)
+
+
+def _needs_slices(df: DataFrame, key: str, max_group_rows: int | None) -> bool:
+    limit = DEFAULT_MAX_GROUP_ROWS if max_group_rows is None else max_group_rows
+    return limit <= 0 or _largest_group(df, key) > limit
+
 
 def _slices(df: DataFrame, key: str, order: list[str], num_slices: int | None) -> DataFrame:
     spark = df.sparkSession
@@ -35,12 +49,18 @@ def _slices(df: DataFrame, key: str, order: list[str], num_slices: int | None) -
     return spark.read.parquet(path)
 
 
-def positional_index(df: DataFrame, key: str, order: list[str], name: str = "idx", num_slices: int | None = None) -> DataFrame:
+def positional_index(df: DataFrame, key: str, order: list[str], name: str = "idx", num_slices: int | None = None,
+                     max_group_rows: int | None = None) -> DataFrame:
     """Add ``name`` = 0-based position of each row within its ``key``, by ``order``.
 
     Equals ``row_number() over (partition by key order by order) - 1``; ``order``
-    must make rows unique within a key so the result is deterministic.
+    must make rows unique within a key so the result is deterministic. The
+    largest key is measured first: within ``max_group_rows`` (a per-task row
+    budget) the plain window is used, beyond it the sliced form. A
+    non-positive budget always slices.
     """
+    if not _needs_slices(df, key, max_group_rows):
+        return df.withColumn(name, (F.row_number().over(Window.partitionBy(key).orderBy(*order)) - F.lit(1)).cast("long"))
     sl = _slices(df, key, order, num_slices)
     local = sl.withColumn(
         name, F.row_number().over(Window.partitionBy(key, _PID).orderBy(*order)) - F.lit(1)
@@ -59,12 +79,19 @@ def positional_index(df: DataFrame, key: str, order: list[str], name: str = "idx
 
 
 def previous_values(
-    df: DataFrame, key: str, order: list[str], cols: list[str], prefix: str = "prev_", num_slices: int | None = None
+    df: DataFrame, key: str, order: list[str], cols: list[str], prefix: str = "prev_", num_slices: int | None = None,
+    max_group_rows: int | None = None,
 ) -> DataFrame:
     """Add ``prefix+c`` = value of ``c`` on the previous row of the same key (null on the first).
 
-    Equals ``lag(c) over (partition by key order by order)``.
+    Equals ``lag(c) over (partition by key order by order)``; same size check
+    as ``positional_index``.
     """
+    if not _needs_slices(df, key, max_group_rows):
+        w = Window.partitionBy(key).orderBy(*order)
+        for c in cols:
+            df = df.withColumn(prefix + c, F.lag(c).over(w))
+        return df
     sl = _slices(df, key, order, num_slices)
     w = Window.partitionBy(key, _PID).orderBy(*order)
     local = sl.withColumn("_rn", F.row_number().over(w))

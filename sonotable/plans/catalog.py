@@ -476,3 +476,13 @@ def q_annotation_run(spark, sf):
 @register("quality_report")
 def q_quality_report(spark, sf):
     return SG.quality_report(SG.check_annotations(FX.segments(spark, sf)))
+
+
+@register("segment_index_sliced")
+def q_segment_index_sliced(spark, sf):
+    """Position of each event in its file through the sliced (hot-file) path, whatever the sizes."""
+    from sonotable.operators.sequence import positional_index
+
+    ev = FX.table(spark, sf, "events").select("event_id", "ts", "user_id")
+    out = positional_index(ev, "user_id", ["ts", "event_id"], name="segment_idx", max_group_rows=0)
+    return out.select(FX.fid("user_id").alias("file_id"), "event_id", "segment_idx")

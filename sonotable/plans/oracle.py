@@ -487,3 +487,5 @@ SELECT s.file_id, s.num_speakers, s.num_segments,
        s.languages_detected
 FROM fx_file_summary s JOIN fx_headers h USING (file_id)""")
 
+
+query("segment_index_sliced", ["fx_ev"], "SELECT file_id, event_id, CAST(segment_idx AS BIGINT) AS segment_idx FROM fx_ev")

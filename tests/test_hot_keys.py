@@ -22,7 +22,8 @@ def _segments(spark):
         F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.format_string("f%05d", F.col("id") % 2000)).alias("file_id"),
         F.col("id"),
     )
-    segs = SQ.positional_index(base, "file_id", ["id"], "segment_idx", num_slices=12)
+    # the hot file (10,000 rows) is over a 5,000-row task budget, so it is sliced
+    segs = SQ.positional_index(base, "file_id", ["id"], "segment_idx", num_slices=12, max_group_rows=5000)
     return segs.select(
         "file_id", "segment_idx",
         F.concat(F.lit("S"), (F.col("id") % 4).cast("string")).alias("speaker"),
@@ -73,7 +74,7 @@ def test_hot_file_fold_and_lag(spark):
     last_status = [r for r in rows if r["action"] in ("started", "completed", "failed")][-1]["action"]
     assert hot.status == {"started": "in_progress"}.get(last_status, last_status)
     assert hot.stage == [r for r in rows if r["action"] == "stage"][-1]["stage"]
-    lag = SQ.previous_values(ev, "file_id", ["seq"], ["us"], num_slices=12)
+    lag = SQ.previous_values(ev, "file_id", ["seq"], ["us"], num_slices=12, max_group_rows=5000)
     ref = ev.withColumn("ref", F.lag("us").over(Window.partitionBy("file_id").orderBy("seq")))
     bad = lag.join(ref.select("seq", "ref"), "seq").where("NOT (prev_us <=> ref)")
     assert bad.count() == 0
