@@ -18,7 +18,7 @@ re-sampling.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonotable.session import scratch_path

@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import math
 import os
-import struct
 import tempfile
 import wave
 
@@ -225,7 +224,6 @@ def test_entry_and_registry(spark):
     df = E.entry(spark)
     assert df.count() > 0 and df.columns == ["file_id", "num_speakers", "num_segments", "duration_sec", "languages_detected"]
     assert set(E.oracle_sql()) <= set(E.queries())
-    _ = struct
 
 
 def test_segment_csv_and_listing(spark, tmpdir_new):
