@@ -66,6 +66,9 @@ ERROR_RULES = [
     ("tool", ["ffmpeg"], []),
 ]
 
+# segment table display headers, in order (CSV export)
+DISPLAY_HEADERS = ["Start", "End", "Speaker", "Duration(s)", "Emotion", "Confidence%", "Language", "Lang_confidence%"]
+
 # manifest column order
 MANIFEST_COLUMNS = [
     "file_id", "url", "status", "num_speakers", "num_segments",

@@ -98,9 +98,18 @@ def append_manifest(rows: DataFrame, path: str) -> None:
     out.select(*S.MANIFEST_COLUMNS).write.mode("append").option("header", True).csv(path)
 
 
-def write_segment_csv(segments: DataFrame, path: str) -> None:
-    """The display table as CSV with a header."""
-    segment_table(segments).write.mode("overwrite").option("header", True).csv(path)
+def write_segment_csv(segments: DataFrame, path: str, num_partitions: int | None = None) -> None:
+    """The display table as CSV with the display headers, one folder per file, rows in segment order."""
+    t = segment_table(segments)
+    cols = ["start_text", "end_text", "speaker", "duration_s", "emotion", "confidence_pct", "language", "lang_confidence_pct"]
+    shown = t.select("file_id", "segment_idx", *[F.col(c).alias(h) for c, h in zip(cols, S.DISPLAY_HEADERS)])
+    n = num_partitions or int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    (
+        shown.repartitionByRange(n, "file_id", "segment_idx")
+        .sortWithinPartitions("file_id", "segment_idx")
+        .drop("segment_idx")
+        .write.mode("overwrite").option("header", True).partitionBy("file_id").csv(path)
+    )
 
 
 def write_file_state(state: DataFrame, path: str) -> None:

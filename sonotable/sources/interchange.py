@@ -70,6 +70,19 @@ def read_rttm(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return segs, rejects
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path (or glob) matches anything, via the Hadoop file system of the path."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = fs.globStatus(p)
+    return found is not None and len(found) > 0
+
+
+def _empty(spark: SparkSession, schema: str) -> DataFrame:
+    return spark.createDataFrame([], schema)
+
+
 def read_annotations(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """JSON annotation files (one array per file, ``<file_id>.json``) -> (segments, rejects).
 
@@ -82,6 +95,10 @@ def read_annotations(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     objects (object, scalar array, truncated text) is a reject, not an empty
     file. Absent keys read as null and take defaults in ``normalise``.
     """
+    if not _exists(spark, path):  # a missing annotation file reads as no segments
+        return (_empty(spark, "file_id string, segment_idx long, speaker string, start_ms long, end_ms long, "
+                              "emotion string, emotion_confidence double, language string, language_confidence double"),
+                _empty(spark, "file_id string, name string"))
     raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("name"), "value")
     arr_t = T.ArrayType(S.ANNOTATION_RECORD)
     is_array = F.json_array_length("value").isNotNull()
@@ -123,6 +140,9 @@ def read_file_state(spark: SparkSession, path: str) -> DataFrame:
     reads as empty (no rows), like a fresh start.
     """
     mt = T.MapType(T.StringType(), S.STATE_RECORD)
+    if not _exists(spark, path):  # no snapshot yet: a fresh start
+        return _empty(spark, "file_id string, status string, stage string, url string, started_at string, "
+                             "completed_at string, error string")
     raw = spark.read.text(path, wholetext=True)
     whole = F.from_json("value", mt)
     lines = F.filter(F.split(F.col("value"), r"\r?\n"), lambda ln: F.trim(ln) != "")

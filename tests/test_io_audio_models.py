@@ -234,10 +234,10 @@ def test_segment_csv_and_listing(spark, tmpdir_new):
     out = os.path.join(tmpdir_new, "csv")
     K.write_segment_csv(segs, out)
     rows = []
-    for p in glob.glob(out + "/part-*.csv"):
+    for p in glob.glob(out + "/file_id=*/part-*.csv"):
         with open(p) as fh:
             rows += list(csv.DictReader(fh))
-    assert len(rows) == segs.count() and rows[0]["confidence_pct"].endswith("%")
+    assert len(rows) == segs.count() and rows[0]["Confidence%"].endswith("%")
     d = _wav_folder()
     listing = AU.read_audio(spark, d)
     assert "content" not in listing.columns and listing.count() == 6
