@@ -25,25 +25,31 @@ def rttm_lines(segments: DataFrame) -> DataFrame:
     )
 
 
-def _ordered_export(df: DataFrame, order: str, path: str, num_partitions: int | None = None) -> None:
+def _ordered_export(df: DataFrame, order: str, path: str, num_partitions: int | None = None, keep_others: bool = False) -> None:
+    """Write ordered lines into ``file_id=<id>`` folders.
+
+    ``keep_others``: replace only the folders of the files being written
+    (dynamic partition overwrite), leaving other files' exports in place.
+    """
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    (
+    w = (
         df.repartitionByRange(n, "file_id", order)
         .sortWithinPartitions("file_id", order)
         .select("file_id", "line")
         .write.mode("overwrite")
-        .partitionBy("file_id")
-        .text(path)
     )
+    if keep_others:
+        w = w.option("partitionOverwriteMode", "dynamic")
+    w.partitionBy("file_id").text(path)
 
 
-def write_rttm(segments: DataFrame, path: str, files: DataFrame | None = None) -> None:
+def write_rttm(segments: DataFrame, path: str, files: DataFrame | None = None, keep_others: bool = False) -> None:
     """One folder per file of RTTM lines in segment order; a file without segments gets an empty line."""
     lines = rttm_lines(segments)
     if files is not None:
         empty = files.select("file_id").distinct().join(segments.select("file_id").distinct(), "file_id", "left_anti")
         lines = lines.unionByName(empty.select("file_id", F.lit(-1).cast("long").alias("segment_idx"), F.lit("").alias("line")))
-    _ordered_export(lines, "segment_idx", path)
+    _ordered_export(lines, "segment_idx", path, keep_others=keep_others)
 
 
 def annotation_record(segments: DataFrame) -> "F.Column":
@@ -83,9 +89,9 @@ def annotation_lines(segments: DataFrame, files: DataFrame | None = None) -> Dat
     return out
 
 
-def write_annotations(segments: DataFrame, path: str, files: DataFrame | None = None) -> None:
+def write_annotations(segments: DataFrame, path: str, files: DataFrame | None = None, keep_others: bool = False) -> None:
     """Export one JSON array per file (folder ``file_id=<id>``, parts in order)."""
-    _ordered_export(annotation_lines(segments, files), "line_idx", path)
+    _ordered_export(annotation_lines(segments, files), "line_idx", path, keep_others=keep_others)
 
 
 def append_manifest(rows: DataFrame, path: str) -> None:

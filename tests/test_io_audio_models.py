@@ -329,3 +329,32 @@ def test_stream_fold_out_of_order_batches(spark, tmpdir_new):
     batches = spark.read.parquet(os.path.join(tmpdir_new, "t")).select("batch_id").distinct().count()
     assert batches >= 2
     assert got.exceptAll(ST.fold_state(log)).count() == 0 and ST.fold_state(log).exceptAll(got).count() == 0
+
+
+def test_annotation_job_exports(spark, tmpdir_new):
+    import glob
+
+    from sonotable.plans import annotate_job
+
+    segs = FX.segments(spark, SF001)
+    frames = FX.frames(spark, SF001, segs)
+    files = segs.select("file_id").distinct()
+    inputs = files.select("file_id", F.lit(0).cast("long").alias("line_no"), F.concat(F.lit("in/"), "file_id").alias("source"))
+    root = os.path.join(tmpdir_new, "job")
+    first = inputs.where("file_id < 'f000008'")
+    annotate_job.run(spark, first, root, stubs.fixed_turns, stubs.energy_scores, stubs.energy_probs,
+                     audio_frames=frames, rate=FX.FRAME_SAMPLES, window_s=60, run_us=10)
+    annotate_job.run(spark, inputs, root, stubs.fixed_turns, stubs.energy_scores, stubs.energy_probs,
+                     audio_frames=frames, rate=FX.FRAME_SAMPLES, window_s=60, run_us=20)
+    n_files = files.count()
+    jdirs = glob.glob(os.path.join(root, "exports/json/file_id=*"))
+    assert len(jdirs) == n_files  # the second run kept the first run's folders
+    for d in jdirs[:3]:
+        arr = json.loads("".join(open(f).read() for f in sorted(glob.glob(d + "/part-*"))))
+        assert isinstance(arr, list) and all("speaker" in r for r in arr)
+    rttm, rej = IO.read_rttm(spark, os.path.join(root, "exports/rttm/*/*.txt"))
+    turns = spark.read.parquet(os.path.join(root, "turns"))
+    assert rttm.count() == turns.count() and rej.count() == 0
+    assert IO.read_manifest(spark, os.path.join(root, "exports/manifest_csv")).count() == n_files
+    st = IO.read_file_state(spark, os.path.join(root, "exports/state_json"))
+    assert st.where("status = 'completed'").count() == n_files
