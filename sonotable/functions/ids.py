@@ -58,8 +58,9 @@ def _strip_slashes(path) -> Column:
 
 
 def path_name(path) -> Column:
-    """Last path component (trailing slashes ignored)."""
-    return F.regexp_extract(_c(path), r"([^/]*)/*$", 1)
+    """Last path component; empty and ``.`` components do not count (``a/b/``, ``a/.`` -> ``b``, ``a``)."""
+    parts = F.filter(F.split(_c(path), "/"), lambda p: (p != "") & (p != "."))
+    return F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit(""))
 
 
 def path_stem(path) -> Column:
