@@ -45,3 +45,39 @@ def latest_per_key(log: DataFrame, keys: list[str]) -> DataFrame:
     cols = [c for c in log.columns if c not in keys and c != "batch_id"]
     last = log.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.col("batch_id")).alias("_r"))
     return last.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in cols])
+
+
+def compact_batch_log(spark: SparkSession, path: str, keys: list[str]) -> int:
+    """Fold the update log into ``<path>_snapshot/upto=<last batch>`` and return that batch id.
+
+    Readers (``read_latest``) then take the newest snapshot plus only the batches
+    after it, so reading state no longer grows with the number of micro-batches.
+    The snapshot is written under a new folder name, never over the one readers use.
+    """
+    log = read_batch_log(spark, path)
+    upto = int(log.agg(F.max("batch_id")).first()[0])
+    prev = _latest_snapshot(spark, path)
+    base = log if prev is None else prev[1].unionByName(log.where(F.col("batch_id") > prev[0]))
+    latest_per_key(base.where(F.col("batch_id") <= upto), keys).withColumn("batch_id", F.lit(upto)).write.mode(
+        "overwrite").parquet(f"{path}_snapshot/upto={upto}")
+    return upto
+
+
+def _latest_snapshot(spark: SparkSession, path: str):
+    try:
+        snaps = spark.read.parquet(f"{path}_snapshot")
+    except Exception:  # noqa: BLE001 - no snapshot yet
+        return None
+    upto = snaps.agg(F.max("upto")).first()[0]
+    if upto is None:
+        return None
+    return int(upto), snaps.where(F.col("upto") == upto).drop("upto")
+
+
+def read_latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """Latest row per key: newest snapshot + batches after it."""
+    log = read_batch_log(spark, path)
+    snap = _latest_snapshot(spark, path)
+    if snap is not None:
+        log = snap[1].unionByName(log.where(F.col("batch_id") > snap[0]))
+    return latest_per_key(log, keys)

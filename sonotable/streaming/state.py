@@ -10,14 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sonotable.operators import state as ST
-from sonotable.streaming.common import latest_per_key, read_batch_log, run_available
+from sonotable.streaming.common import read_latest, run_available
 
 
 def stream_file_state(spark: SparkSession, events: DataFrame, out_path: str, checkpoint: str) -> DataFrame:
     """Fold a stream of stage events into per-file state; returns the state table as of now."""
     agg = events.groupBy("file_id").agg(*ST.fold_aggregates(events))
     run_available(agg, out_path, checkpoint, "update")
-    return ST.finish_fold(latest_per_key(read_batch_log(spark, out_path), ["file_id"]))
+    return ST.finish_fold(read_latest(spark, out_path, ["file_id"]))
 
 
 def stream_progress(spark: SparkSession, events: DataFrame, out_path: str, checkpoint: str) -> DataFrame:
@@ -29,7 +29,7 @@ def stream_progress(spark: SparkSession, events: DataFrame, out_path: str, check
         F.max_by(F.struct("stage", "us"), F.col("seq")).alias("_m")
     )
     run_available(latest, out_path, checkpoint, "update")
-    t = latest_per_key(read_batch_log(spark, out_path), ["file_id"])
+    t = read_latest(spark, out_path, ["file_id"])
     return t.select(
         "file_id",
         F.col("_m.stage").alias("stage"),

@@ -358,3 +358,23 @@ def test_annotation_job_exports(spark, tmpdir_new):
     assert IO.read_manifest(spark, os.path.join(root, "exports/manifest_csv")).count() == n_files
     st = IO.read_file_state(spark, os.path.join(root, "exports/state_json"))
     assert st.where("status = 'completed'").count() == n_files
+
+
+def test_stream_log_compaction(spark, tmpdir_new):
+    from sonotable.operators import state as ST
+    from sonotable.streaming.common import compact_batch_log, read_latest
+    from sonotable.streaming.state import stream_file_state
+
+    log = FX.stage_log(spark, SF001)
+    src = os.path.join(tmpdir_new, "src")
+    for i, cond in enumerate(["seq < 300", "seq >= 300 AND seq < 700", "seq >= 700"]):
+        log.where(cond).write.parquet(os.path.join(src, f"p{i}"))
+    out, ck = os.path.join(tmpdir_new, "t"), os.path.join(tmpdir_new, "ck")
+    stream = (spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", "true").parquet(src))
+    before = stream_file_state(spark, stream, out, ck)
+    upto = compact_batch_log(spark, out, ["file_id"])
+    after = ST.finish_fold(read_latest(spark, out, ["file_id"]))
+    assert upto >= 2
+    assert after.exceptAll(before).count() == 0 and before.exceptAll(after).count() == 0
+    assert after.exceptAll(ST.fold_state(log)).count() == 0
