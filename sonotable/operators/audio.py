@@ -486,3 +486,37 @@ def normalise_wav_files(files: DataFrame, target_rate: int = S.SAMPLE_RATE, chun
     frames = out.where(F.col("error").isNull()).drop("error")
     rejects = out.where(F.col("error").isNotNull()).select("file_id", "error").unionByName(bad)
     return frames, rejects
+
+
+def _write_bytes(path: str, data: bytes) -> None:
+    import pyarrow.fs as pafs
+
+    if path.startswith("file:") or path.startswith("/"):
+        fs, name = pafs.LocalFileSystem(), _local_path(path)
+    else:
+        fs, name = pafs.FileSystem.from_uri(path)
+    fs.create_dir(name.rsplit("/", 1)[0], recursive=True)
+    with fs.open_output_stream(name) as out:
+        out.write(data)
+
+
+def land_wav_clips(frames: DataFrame, folder: str, rate: int, clip_s: int = 60) -> DataFrame:
+    """Write audio_frames as mono 16-bit WAV files of ``clip_s`` seconds under ``folder``.
+
+    One group is one clip (at most ``clip_s`` frames), assembled and written by
+    the executor that holds it; a retried task rewrites the same bytes to the
+    same path. Returns (file_id, clip, path).
+    """
+    out_t = T.StructType([T.StructField("file_id", T.StringType()), T.StructField("clip", T.LongType()),
+                          T.StructField("path", T.StringType())])
+
+    def write_clip(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("frame_idx")
+        fid, clip = pdf["file_id"].iloc[0], int(pdf["clip"].iloc[0])
+        mono = np.concatenate([pcm_array(p) for p in pdf["pcm"]])
+        path = f"{folder}/{fid}/{clip:06d}.wav"
+        _write_bytes(path, pack_wav_bytes(rate, 1, mono))
+        return pd.DataFrame({"file_id": [fid], "clip": [clip], "path": [path]})
+
+    c = frames.select("file_id", "frame_idx", "pcm", (F.col("frame_idx") / F.lit(clip_s)).cast("long").alias("clip"))
+    return c.groupBy("file_id", "clip").applyInPandas(write_clip, out_t)

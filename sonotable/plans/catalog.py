@@ -486,3 +486,27 @@ def q_segment_index_sliced(spark, sf):
     ev = FX.table(spark, sf, "events").select("event_id", "ts", "user_id")
     out = positional_index(ev, "user_id", ["ts", "event_id"], name="segment_idx", max_group_rows=0)
     return out.select(FX.fid("user_id").alias("file_id"), "event_id", "segment_idx")
+
+
+@register("normalise_wav_files")
+def q_normalise_wav_files(spark, sf):
+    """fx_frames landed as 60 s WAV files, normalised back with header-planned byte-range chunks."""
+    from sonotable.operators import audio as AU
+    from sonotable.session import scratch_path
+
+    clip_s = 60
+    landed = AU.land_wav_clips(FX.frames(spark, sf), scratch_path(spark, "wav_clips"), FX.FRAME_SAMPLES, clip_s)
+    # the clip files are written once here; the normaliser then reads only their bytes
+    listing = scratch_path(spark, "wav_clip_list")
+    landed.write.parquet(listing)
+    files = spark.read.parquet(listing).select(
+        F.concat_ws("/", "file_id", F.col("clip").cast("string")).alias("file_id"), "path")
+    frames, _rejects = AU.normalise_wav_files(files, target_rate=FX.FRAME_SAMPLES, chunk_s=7)
+    key = F.split("file_id", "/")
+    st = AU.pcm_stats("pcm")
+    return frames.select(
+        F.get(key, 0).alias("file_id"),
+        (F.get(key, 1).cast("long") * clip_s + F.col("frame_idx")).alias("frame_idx"),
+        st["n_samples"].alias("n_samples"),
+        st["sample_sum"].alias("sample_sum"),
+    )

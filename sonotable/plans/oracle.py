@@ -489,3 +489,9 @@ FROM fx_file_summary s JOIN fx_headers h USING (file_id)""")
 
 
 query("segment_index_sliced", ["fx_ev"], "SELECT file_id, event_id, CAST(segment_idx AS BIGINT) AS segment_idx FROM fx_ev")
+
+query("normalise_wav_files", ["fx_segments"], """
+SELECT m.file_id, CAST(f AS BIGINT) AS frame_idx, CAST(100 AS BIGINT) AS n_samples,
+       CAST((SELECT sum((f * 7919 + i * i * 31 + m.user_id * 17) % 2001 - 1000) FROM range(0, 100) r(i)) AS BIGINT) AS sample_sum
+FROM (SELECT file_id, user_id, max(end_ms) AS mx FROM fx_segments GROUP BY file_id, user_id) m,
+     range(0, CAST(floor(m.mx / 1000) AS BIGINT) + 1) fr(f)""")
