@@ -60,6 +60,7 @@ def slice_segments(segments: DataFrame, frames: DataFrame, rate: int, max_ms: in
     hi = F.least(F.col("_g1") - base, (F.length("pcm") / 2).cast("long"))
     return j.where(hi > lo).select(
         "file_id", "segment_idx", "frame_idx",
+        (base + lo - F.col("_g0")).alias("offset"),  # first sample of this part, counted from the segment start
         F.col("pcm").substr((lo * 2 + 1).cast("int"), ((hi - lo) * 2).cast("int")).alias("samples"),
     )
 
@@ -71,6 +72,18 @@ PCM_STATS = T.StructType([
 ])
 
 
+def place_parts(parts, offsets) -> np.ndarray:
+    """Join PCM parts at their sample offsets; a gap between parts (missing frame) is silence."""
+    arrs = [pcm_array(p) for p in parts]
+    if offsets is None:
+        return np.concatenate(arrs) if arrs else np.zeros(0, dtype=np.int16)
+    offs = [int(o) for o in offsets]
+    buf = np.zeros(max((o + len(a) for o, a in zip(offs, arrs)), default=0), dtype=np.int16)
+    for o, a in zip(offs, arrs):
+        buf[o : o + len(a)] = a
+    return buf
+
+
 def pcm_array(x) -> np.ndarray:
     """int16 samples of a PCM cell: bytes, a list of byte parts, or a list of ints."""
     if x is None:
@@ -108,9 +121,13 @@ def gather_segments(slices: DataFrame) -> DataFrame:
     joined only inside the Python worker that feeds the model.
     """
     g = slices.groupBy("file_id", "segment_idx").agg(
-        F.array_sort(F.collect_list(F.struct("frame_idx", "samples"))).alias("_parts")
+        F.array_sort(F.collect_list(F.struct("frame_idx", "offset", "samples"))).alias("_parts")
+    )
+    return g.select(
+        "file_id", "segment_idx",
+        F.transform("_parts", lambda p: p["samples"]).alias("samples"),
+        F.transform("_parts", lambda p: p["offset"]).alias("offsets"),
     )
-    return g.select("file_id", "segment_idx", F.transform("_parts", lambda p: p["samples"]).alias("samples"))
 
 
 # ---------------------------------------------------------------------------

@@ -164,12 +164,18 @@ def test_slice_segments_equals_python(spark):
         "file_id string, frame_idx long, pcm binary",
     )
     segs = spark.createDataFrame([("a", 0, 250, 1999), ("a", 1, 990, 1010), ("a", 2, 4000, 4600)], "file_id string, segment_idx long, start_ms long, end_ms long")
-    got = {r.segment_idx: AU.pcm_array(r.samples).tolist() for r in AU.gather_segments(AU.slice_segments(segs, frames, rate=100)).collect()}
+    got = {r.segment_idx: AU.place_parts(r.samples, r.offsets).tolist() for r in AU.gather_segments(AU.slice_segments(segs, frames, rate=100)).collect()}
     allv = list(range(500))
     exp = {i: [allv[g] for g in range(500) if s <= g * 10 < e] for i, s, e in [(0, 250, 1999), (1, 990, 1010), (2, 4000, 4600)]}
     assert got == exp
-    capped = {r.segment_idx: len(AU.pcm_array(r.samples)) for r in AU.gather_segments(AU.slice_segments(segs, frames, 100, max_ms=300)).collect()}
+    capped = {r.segment_idx: len(AU.place_parts(r.samples, r.offsets)) for r in AU.gather_segments(AU.slice_segments(segs, frames, 100, max_ms=300)).collect()}
     assert capped[0] == 30
+    # a missing frame inside a segment is silence at its place, not a shift
+    holes = frames.where("frame_idx <> 1")
+    long_seg = spark.createDataFrame([("a", 9, 250, 2999)], "file_id string, segment_idx long, start_ms long, end_ms long")
+    r = AU.gather_segments(AU.slice_segments(long_seg, holes, rate=100)).first()
+    placed = AU.place_parts(r.samples, r.offsets).tolist()
+    assert placed == [0 if 100 <= g < 200 else g for g in range(25, 300)]
 
 
 def test_inference_error_isolation_and_gate(spark):
@@ -378,3 +384,16 @@ def test_stream_log_compaction(spark, tmpdir_new):
     assert upto >= 2
     assert after.exceptAll(before).count() == 0 and before.exceptAll(after).count() == 0
     assert after.exceptAll(ST.fold_state(log)).count() == 0
+
+
+def test_diarize_keeps_times_across_missing_frames(spark):
+    import numpy as np
+
+    full = [("g", i, np.full(100, 1000 if i >= 5 else 0, dtype="<i2").tobytes()) for i in range(12)]
+    gappy = [r for r in full if r[1] not in (0, 1, 7)]
+    class_ = "file_id string, frame_idx long, pcm binary"
+    a, _ = IF.diarize(spark.createDataFrame(full, class_), stubs.fixed_turns, rate=100, window_s=60)
+    b, _ = IF.diarize(spark.createDataFrame(gappy, class_), stubs.fixed_turns, rate=100, window_s=60)
+    ta = [(r.start_ms, r.end_ms) for r in a.orderBy("segment_idx").collect()]
+    tb = [(r.start_ms, r.end_ms) for r in b.orderBy("segment_idx").collect()]
+    assert ta == tb == [(0, 3000), (3000, 6000), (6000, 9000), (9000, 12000)]
