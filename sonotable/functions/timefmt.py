@@ -72,12 +72,31 @@ def half_even_div(num, den) -> Column:
     return F.when(up, q + 1).otherwise(q)
 
 
+def _epoch_ntz() -> Column:
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+
+def epoch_micros(ts, type_name: str = "timestamp") -> Column:
+    """Epoch microseconds of a timestamp column, independent of the session time zone.
+
+    A ``timestamp_ntz`` is read as UTC wall-clock time (as the stored values are);
+    a ``timestamp`` is an instant already.
+    """
+    if type_name == "timestamp_ntz":
+        return F.timestamp_diff("MICROSECOND", _epoch_ntz(), _c(ts))
+    return F.unix_micros(_c(ts))
+
+
+def utc_wall_clock(us) -> Column:
+    """UTC wall-clock ``timestamp_ntz`` of epoch microseconds (formatting it applies no zone)."""
+    return F.timestamp_add("MICROSECOND", _c(us), _epoch_ntz())
+
+
 def clock_text(us) -> Column:
-    """``HH:MM:SS`` of an epoch-microsecond timestamp (session zone)."""
-    return F.date_format(F.timestamp_micros(_c(us)), "HH:mm:ss")
+    """``HH:MM:SS`` (UTC) of epoch microseconds."""
+    return F.date_format(utc_wall_clock(us), "HH:mm:ss")
 
 
 def iso_text(us) -> Column:
     """ISO-8601 UTC text of epoch microseconds, e.g. ``2024-01-01T00:00:07.179575+00:00``."""
-    ts = F.timestamp_micros(_c(us))
-    return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))
+    return F.concat(F.date_format(utc_wall_clock(us), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))

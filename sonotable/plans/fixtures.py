@@ -120,13 +120,15 @@ def stage_log_of(events: DataFrame) -> DataFrame:
     """The fx_stage_log projection of an events DataFrame (batch or streaming)."""
     from sonotable.schemas import STAGES
 
+    from sonotable.functions.timefmt import epoch_micros
+
     ev = events.select("event_id", "ts", "user_id", "event_type")
     e = F.col("event_id")
     action = F.coalesce(_map(ACTIONS, F.col("event_type")), F.lit("stage"))
     return ev.select(
         fid("user_id").alias("file_id"),
         e.alias("seq"),
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
+        epoch_micros(F.col("ts"), dict(ev.dtypes)["ts"]).alias("us"),
         action.alias("action"),
         F.when(action == "stage", F.element_at(F.array(*[F.lit(s) for s in STAGES]), (e % 5 + 1).cast("int"))).alias("stage"),
         F.when(action == "failed", F.element_at(F.array(*[F.lit(s) for s in ERRORS]), (e % 4 + 1).cast("int"))).alias("error"),
