@@ -495,3 +495,78 @@ SELECT m.file_id, CAST(f AS BIGINT) AS frame_idx, CAST(100 AS BIGINT) AS n_sampl
        CAST((SELECT sum((f * 7919 + i * i * 31 + m.user_id * 17) % 2001 - 1000) FROM range(0, 100) r(i)) AS BIGINT) AS sample_sum
 FROM (SELECT file_id, user_id, max(end_ms) AS mx FROM fx_segments GROUP BY file_id, user_id) m,
      range(0, CAST(floor(m.mx / 1000) AS BIGINT) + 1) fr(f)""")
+
+
+# --- model operators with the deterministic stand-ins (exact integer statistics) ----
+
+# samples of every segment of at least 500 ms, at the fixture's 100 Hz, up to a cap in ms
+_SEG_SAMPLES = """
+SELECT s.file_id, s.segment_idx, j - CAST(ceil(s.start_ms / 10) AS BIGINT) AS k,
+       CAST(((j // 100) * 7919 + (j % 100) * (j % 100) * 31 + s.user_id * 17) % 2001 - 1000 AS BIGINT) AS v
+FROM fx_segments s,
+     range(CAST(ceil(s.start_ms / 10) AS BIGINT), CAST(ceil(least(s.end_ms, s.start_ms + {cap}) / 10) AS BIGINT)) r(j)
+WHERE s.end_ms - s.start_ms >= 500"""
+
+query("classify_emotion", ["fx_segments"], f"""
+WITH x AS ({_SEG_SAMPLES.format(cap=10**12)}),
+a AS (SELECT file_id, segment_idx, sum(abs(v)) AS sa, count(*) AS n FROM x GROUP BY file_id, segment_idx)
+SELECT s.file_id, s.segment_idx,
+       CASE WHEN a.n IS NULL OR a.n < 50 THEN 'too_short'
+            ELSE ['neutral', 'happy', 'angry', 'sad', 'fear', 'surprise', 'disgust'][
+                 CAST(((a.sa * 10000) // (32768 * a.n)) % 7 AS INTEGER) + 1] END AS emotion,
+       CASE WHEN a.n IS NULL OR a.n < 50 THEN CAST(0 AS DOUBLE) ELSE 0.9 END AS emotion_confidence
+FROM fx_segments s LEFT JOIN a USING (file_id, segment_idx)""")
+
+query("detect_language", ["fx_segments"], f"""
+WITH x AS ({_SEG_SAMPLES.format(cap=30000)}),
+w AS (SELECT file_id, segment_idx,
+             abs(sum(v) FILTER (WHERE k % 4 = 0)) + 32768 AS w0, abs(coalesce(sum(v) FILTER (WHERE k % 4 = 1), 0)) + 32768 AS w1,
+             abs(coalesce(sum(v) FILTER (WHERE k % 4 = 2), 0)) + 32768 AS w2, abs(coalesce(sum(v) FILTER (WHERE k % 4 = 3), 0)) + 32768 AS w3,
+             count(*) AS n
+      FROM x GROUP BY file_id, segment_idx),
+b AS (SELECT *, w0 + w1 + w2 + w3 AS tot, greatest(w0, w1, w2, w3) AS top,
+             CASE WHEN w0 >= w1 AND w0 >= w2 AND w0 >= w3 THEN 'en' WHEN w1 >= w2 AND w1 >= w3 THEN 'hi'
+                  WHEN w2 >= w3 THEN 'ta' ELSE 'fr' END AS lang
+      FROM w)
+SELECT s.file_id, s.segment_idx,
+       CASE WHEN b.n IS NULL OR b.n < 50 THEN 'too_short' ELSE b.lang END AS language,
+       CASE WHEN b.n IS NULL OR b.n < 50 THEN CAST(0 AS DOUBLE)
+            ELSE CAST(floor((2000 * b.top + b.tot) / (2 * b.tot)) AS DOUBLE) / 1000 END AS language_confidence
+FROM fx_segments s LEFT JOIN b USING (file_id, segment_idx)""")
+
+# turns of 3 s inside 60 s windows of each file's frames 0..floor(max(end_ms)/1000)
+cte("fx_turns", ["fx_segments"], """
+WITH f AS (SELECT file_id, user_id, CAST(floor(max(end_ms) / 1000) AS BIGINT) AS last_frame FROM fx_segments GROUP BY file_id, user_id),
+w AS (SELECT file_id, user_id, last_frame, wi, least(60, last_frame - 60 * wi + 1) AS dur FROM f, range(0, last_frame // 60 + 1) r(wi)),
+t AS (SELECT file_id, user_id, last_frame, wi, ti, 60 * wi + 3 * ti AS s_sec, 60 * wi + least(3 * ti + 3, dur) AS e_sec
+      FROM w, range(0, CAST(ceil(dur / 3) AS BIGINT)) r(ti)),
+x AS (SELECT file_id, user_id, last_frame, wi, ti, s_sec, e_sec,
+             sum(abs(((g // 100) * 7919 + (g % 100) * (g % 100) * 31 + user_id * 17) % 2001 - 1000)) AS sa
+      FROM t, range(s_sec * 100, e_sec * 100) r(g) GROUP BY ALL)
+SELECT file_id, user_id, last_frame, s_sec, e_sec,
+       CAST(row_number() OVER (PARTITION BY file_id ORDER BY wi, ti) - 1 AS BIGINT) AS segment_idx,
+       'SPEAKER_0' || CAST((sa * 100 // 32768) % 2 AS VARCHAR) AS speaker
+FROM x""")
+
+query("diarize", ["fx_turns"], """
+SELECT file_id, segment_idx, speaker, CAST(s_sec * 1000 AS BIGINT) AS start_ms, CAST(e_sec * 1000 AS BIGINT) AS end_ms
+FROM fx_turns""")
+
+# the job over every fixture file: latest manifest row per file (all complete; languages
+# from the language stand-in over each turn; duration = frames / rate)
+query("annotation_run", ["fx_turns"], """
+WITH x AS (SELECT t.file_id, t.segment_idx, g - t.s_sec * 100 AS k,
+                  ((g // 100) * 7919 + (g % 100) * (g % 100) * 31 + t.user_id * 17) % 2001 - 1000 AS v
+           FROM fx_turns t, range(t.s_sec * 100, least(t.e_sec, t.s_sec + 30) * 100) r(g)),
+w AS (SELECT file_id, segment_idx,
+             abs(sum(v) FILTER (WHERE k % 4 = 0)) + 32768 AS w0, abs(coalesce(sum(v) FILTER (WHERE k % 4 = 1), 0)) + 32768 AS w1,
+             abs(coalesce(sum(v) FILTER (WHERE k % 4 = 2), 0)) + 32768 AS w2, abs(coalesce(sum(v) FILTER (WHERE k % 4 = 3), 0)) + 32768 AS w3
+      FROM x GROUP BY file_id, segment_idx),
+l AS (SELECT file_id, CASE WHEN w0 >= w1 AND w0 >= w2 AND w0 >= w3 THEN 'en' WHEN w1 >= w2 AND w1 >= w3 THEN 'hi'
+                           WHEN w2 >= w3 THEN 'ta' ELSE 'fr' END AS lang FROM w),
+langs AS (SELECT file_id, string_agg(DISTINCT lang, ',' ORDER BY lang) AS languages_detected FROM l GROUP BY file_id),
+per AS (SELECT file_id, max(last_frame) AS last_frame, CAST(count(DISTINCT speaker) AS BIGINT) AS num_speakers,
+               CAST(count(*) AS BIGINT) AS num_segments FROM fx_turns GROUP BY file_id)
+SELECT p.file_id, 'in/audio/' || p.file_id || '.wav' AS url, 'completed' AS status, p.num_speakers, p.num_segments,
+       CAST(p.last_frame + 1 AS DOUBLE) AS duration_sec, coalesce(g.languages_detected, 'unknown') AS languages_detected
+FROM per p LEFT JOIN langs g USING (file_id)""")
