@@ -510,3 +510,23 @@ def q_normalise_wav_files(spark, sf):
         st["n_samples"].alias("n_samples"),
         st["sample_sum"].alias("sample_sum"),
     )
+
+
+@register("stream_audio_intake")
+def q_stream_audio_intake(spark, sf):
+    """fx_frames landed as 60 s WAV clips; a binaryFile stream records header facts and validation per new file."""
+    from sonotable.operators import audio as AU
+    from sonotable.session import scratch_path
+    from sonotable.streaming.intake import stream_audio
+
+    folder = scratch_path(spark, "wav_landing")
+    listing = scratch_path(spark, "wav_landing_list")
+    AU.land_wav_clips(FX.frames(spark, sf), folder, FX.FRAME_SAMPLES, 60).write.parquet(listing)
+    out, ck = _stream_dirs(spark, "stream_audio_intake")
+    t = stream_audio(spark, folder, out, ck)
+    # clip files are <folder>/<file_id>/<clip>.wav
+    parent = F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1)
+    return t.select(
+        parent.alias("file_id"), F.col("file_id").cast("long").alias("clip"), "sample_rate", "channels", "n_frames",
+        "duration_ms", "valid", "problems", "warnings",
+    )

@@ -570,3 +570,12 @@ per AS (SELECT file_id, max(last_frame) AS last_frame, CAST(count(DISTINCT speak
 SELECT p.file_id, 'in/audio/' || p.file_id || '.wav' AS url, 'completed' AS status, p.num_speakers, p.num_segments,
        CAST(p.last_frame + 1 AS DOUBLE) AS duration_sec, coalesce(g.languages_detected, 'unknown') AS languages_detected
 FROM per p LEFT JOIN langs g USING (file_id)""")
+
+query("stream_audio_intake", ["fx_segments"], """
+WITH f AS (SELECT file_id, CAST(floor(max(end_ms) / 1000) AS BIGINT) AS last_frame FROM fx_segments GROUP BY file_id),
+c AS (SELECT file_id, clip, CAST(least(60, last_frame - 60 * clip + 1) * 100 AS BIGINT) AS n_frames
+      FROM f, range(0, last_frame // 60 + 1) r(clip))
+SELECT file_id, CAST(clip AS BIGINT) AS clip, CAST(100 AS INTEGER) AS sample_rate, CAST(1 AS INTEGER) AS channels, n_frames,
+       CAST(n_frames * 10 AS BIGINT) AS duration_ms, false AS valid, 'sample_rate' AS problems,
+       CASE WHEN n_frames * 1000 < 100 * 30000 THEN 'short_audio' ELSE '' END AS warnings
+FROM c""")
