@@ -490,11 +490,11 @@ def q_segment_index_sliced(spark, sf):
 
 @register("normalise_wav_files")
 def q_normalise_wav_files(spark, sf):
-    """fx_frames landed as 60 s WAV files, normalised back with header-planned byte-range chunks."""
+    """fx_frames landed as 10-minute WAV files, normalised back with header-planned byte-range chunks."""
     from sonotable.operators import audio as AU
     from sonotable.session import scratch_path
 
-    clip_s = 60
+    clip_s = FX.LANDED_FILE_S
     landed = AU.land_wav_clips(FX.frames(spark, sf), scratch_path(spark, "wav_clips"), FX.FRAME_SAMPLES, clip_s)
     # the clip files are written once here; the normaliser then reads only their bytes
     listing = scratch_path(spark, "wav_clip_list")
@@ -514,14 +514,14 @@ def q_normalise_wav_files(spark, sf):
 
 @register("stream_audio_intake")
 def q_stream_audio_intake(spark, sf):
-    """fx_frames landed as 60 s WAV clips; a binaryFile stream records header facts and validation per new file."""
+    """fx_frames landed as 10-minute WAV files; a binaryFile stream records header facts and validation per new file."""
     from sonotable.operators import audio as AU
     from sonotable.session import scratch_path
     from sonotable.streaming.intake import stream_audio
 
     folder = scratch_path(spark, "wav_landing")
     listing = scratch_path(spark, "wav_landing_list")
-    AU.land_wav_clips(FX.frames(spark, sf), folder, FX.FRAME_SAMPLES, 60).write.parquet(listing)
+    AU.land_wav_clips(FX.frames(spark, sf), folder, FX.FRAME_SAMPLES, FX.LANDED_FILE_S).write.parquet(listing)
     out, ck = _stream_dirs(spark, "stream_audio_intake")
     t = stream_audio(spark, folder, out, ck)
     # clip files are <folder>/<file_id>/<clip>.wav

@@ -193,3 +193,6 @@ RUN_CUT_US = 1705363200000000
 
 # declared sample rates of the per-file WAV headers, by user_id % 4
 HEADER_RATES = [16000, 16000, 8000, 44100]
+
+# seconds of audio per landed WAV file in the file-based audio queries
+LANDED_FILE_S = 600

@@ -497,6 +497,7 @@ FROM (SELECT file_id, user_id, max(end_ms) AS mx FROM fx_segments GROUP BY file_
      range(0, CAST(floor(m.mx / 1000) AS BIGINT) + 1) fr(f)""")
 
 
+
 # --- model operators with the deterministic stand-ins (exact integer statistics) ----
 
 # samples of every segment of at least 500 ms, at the fixture's 100 Hz, up to a cap in ms
@@ -573,8 +574,8 @@ FROM per p LEFT JOIN langs g USING (file_id)""")
 
 query("stream_audio_intake", ["fx_segments"], """
 WITH f AS (SELECT file_id, CAST(floor(max(end_ms) / 1000) AS BIGINT) AS last_frame FROM fx_segments GROUP BY file_id),
-c AS (SELECT file_id, clip, CAST(least(60, last_frame - 60 * clip + 1) * 100 AS BIGINT) AS n_frames
-      FROM f, range(0, last_frame // 60 + 1) r(clip))
+c AS (SELECT file_id, clip, CAST(least(600, last_frame - 600 * clip + 1) * 100 AS BIGINT) AS n_frames
+      FROM f, range(0, last_frame // 600 + 1) r(clip))
 SELECT file_id, CAST(clip AS BIGINT) AS clip, CAST(100 AS INTEGER) AS sample_rate, CAST(1 AS INTEGER) AS channels, n_frames,
        CAST(n_frames * 10 AS BIGINT) AS duration_ms, false AS valid, 'sample_rate' AS problems,
        CASE WHEN n_frames * 1000 < 100 * 30000 THEN 'short_audio' ELSE '' END AS warnings
