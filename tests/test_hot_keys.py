@@ -89,3 +89,29 @@ def test_hot_file_json_export_is_split_and_valid(spark, tmpdir_new):
     assert len(parts) > 1  # the hot file was written by several tasks
     arr = json.loads("".join(open(os.path.join(folder, f)).read() for f in parts))
     assert len(arr) == N // 3 and arr[0]["start"] == 0.0 and arr[-1]["start"] == float(N // 3 - 1)
+
+
+def test_long_recording_normalised_across_tasks(spark):
+    import math
+    import tempfile
+    import wave
+
+    import numpy as np
+
+    from sonotable.operators import audio as AU
+
+    d = tempfile.mkdtemp(prefix="sonotable-long-")
+    for name, secs in (("long", 300), ("a", 20), ("b", 25)):
+        t = np.arange(int(8000 * secs)) / 8000
+        x = (np.sin(2 * math.pi * 180 * t) * 9000).astype("<i2")
+        with wave.open(os.path.join(d, f"{name}.wav"), "wb") as w:
+            w.setnchannels(1), w.setsampwidth(2), w.setframerate(8000), w.writeframes(x.tobytes())
+    files = AU.read_audio(spark, d).select("file_id", "path")
+    frames, _ = AU.normalise_wav_files(files, target_rate=16000, chunk_s=20, num_partitions=8)
+    tagged = frames.withColumn("task", F.spark_partition_id())
+    tasks = tagged.where("file_id = 'long'").select("task").distinct().count()
+    assert tasks >= 4  # the long file's chunks are decoded by several tasks
+    whole, _ = AU.normalise_pcm(AU.read_audio(spark, d, with_content=True), target_rate=16000)
+    a = {(r.file_id, r.frame_idx): bytes(r.pcm) for r in whole.collect()}
+    b = {(r.file_id, r.frame_idx): bytes(r.pcm) for r in frames.collect()}
+    assert a == b and sum(1 for k in b if k[0] == "long") == 300
