@@ -226,9 +226,12 @@ def read_audio(spark, root: str, formats=S.AUDIO_FORMATS, with_content: bool = F
 
 
 def audio_headers(files: DataFrame) -> DataFrame:
-    """Header facts per landed file, reading only each file's first bytes."""
-    return files.withColumn("h", wav_header(read_prefix(F.col("path")))).select(
-        "*", F.col("h.*")
+    """Header facts per landed file (sample_rate, channels, n_frames, sample_width; null when
+    unreadable), from a chunk walk that reads only chunk headers, never the audio."""
+    w = wav_layout_of_path(F.col("path"))
+    return files.withColumn("h", w).select(
+        "*", F.col("h.sample_rate").alias("sample_rate"), F.col("h.channels").alias("channels"),
+        F.col("h.n_frames").alias("n_frames"), F.col("h.sample_width").alias("sample_width"),
     ).drop("h")
 
 
@@ -428,6 +431,51 @@ def riff_layout(prefix: bytes | None) -> tuple | None:
     return None
 
 
+def riff_walk(path: str) -> tuple | None:
+    """(rate, channels, sample_width, data_offset, n_frames) of a PCM WAV file, reading only
+    chunk headers and the ``fmt `` body: other chunks are skipped by seeking, however large."""
+    import struct
+
+    try:
+        with _open(path) as fh:
+            size = fh.size()
+            head = fh.read_at(12, 0)
+            if len(head) < 12 or head[:4] != b"RIFF" or head[8:12] != b"WAVE":
+                return None
+            pos, fmt = 12, None
+            while pos + 8 <= size:
+                ch = fh.read_at(8, pos)
+                cid, csize = ch[:4], int.from_bytes(ch[4:8], "little")
+                body = pos + 8
+                if cid == b"fmt ":
+                    tag, chans, rate, _br, align, _bits = struct.unpack("<HHIIHH", fh.read_at(16, body))
+                    if tag not in _PCM_TAGS or chans == 0 or align == 0:
+                        return None
+                    fmt = (rate, chans, align // chans)
+                elif cid == b"data":
+                    if fmt is None:
+                        return None
+                    rate, chans, width = fmt
+                    avail = min(csize, size - body)  # a truncated data chunk holds what is there
+                    return (rate, chans, width, body, avail // (chans * width))
+                pos = body + csize + (csize & 1)
+    except Exception:  # noqa: BLE001 - unreadable is a value here
+        return None
+    return None
+
+
+@F.pandas_udf(WAV_LAYOUT)
+def wav_layout_of_path(path: pd.Series) -> pd.DataFrame:
+    """Layout of each WAV file by walking its chunks on the executor (reads overlap per batch)."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(max_workers=16) as pool:
+        rows = list(pool.map(riff_walk, list(path)))
+    cols = ["sample_rate", "channels", "sample_width", "data_offset", "n_frames"]
+    dtypes = ["Int32", "Int32", "Int32", "Int64", "Int64"]
+    return pd.DataFrame({c: pd.array([r[i] if r else None for r in rows], dtype=d) for i, (c, d) in enumerate(zip(cols, dtypes))})
+
+
 @F.pandas_udf(WAV_LAYOUT)
 def wav_layout(prefix: pd.Series) -> pd.DataFrame:
     rows = [riff_layout(p) for p in prefix]
@@ -502,7 +550,7 @@ def normalise_wav_files(files: DataFrame, target_rate: int = S.SAMPLE_RATE, chun
     """
     spark = files.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lay = files.select("file_id", "path", wav_layout(read_prefix(F.col("path"))).alias("w")).select("file_id", "path", "w.*")
+    lay = files.select("file_id", "path", wav_layout_of_path(F.col("path")).alias("w")).select("file_id", "path", "w.*")
     bad = lay.where(F.col("sample_rate").isNull() | (F.col("sample_rate") <= 0)).select(
         "file_id", F.lit("not a PCM WAV file").alias("error"))
     ok = lay.where(F.col("sample_rate") > 0).withColumn(

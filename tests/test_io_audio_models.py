@@ -397,3 +397,21 @@ def test_diarize_keeps_times_across_missing_frames(spark):
     ta = [(r.start_ms, r.end_ms) for r in a.orderBy("segment_idx").collect()]
     tb = [(r.start_ms, r.end_ms) for r in b.orderBy("segment_idx").collect()]
     assert ta == tb == [(0, 3000), (3000, 6000), (6000, 9000), (9000, 12000)]
+
+
+def test_header_after_large_metadata_chunk(spark, tmpdir_new):
+    import numpy as np
+
+    x = (np.arange(32000) % 200 - 100).astype("<i2").tobytes()
+    meta = b"LIST" + (200_000).to_bytes(4, "little") + b"\x00" * 200_000
+    fmt = b"fmt " + (16).to_bytes(4, "little") + (1).to_bytes(2, "little") + (1).to_bytes(2, "little") \
+        + (16000).to_bytes(4, "little") + (32000).to_bytes(4, "little") + (2).to_bytes(2, "little") + (16).to_bytes(2, "little")
+    data = b"data" + len(x).to_bytes(4, "little") + x
+    body = b"WAVE" + meta + fmt + data
+    with open(os.path.join(tmpdir_new, "meta.wav"), "wb") as fh:
+        fh.write(b"RIFF" + len(body).to_bytes(4, "little") + body)
+    files = AU.read_audio(spark, tmpdir_new)
+    v = AU.validate_audio(AU.audio_headers(files)).first()
+    assert (v.sample_rate, v.channels, v.n_frames, v.valid) == (16000, 1, 32000, True)
+    frames, rejects = AU.normalise_wav_files(files.select("file_id", "path"), target_rate=16000, chunk_s=1)
+    assert rejects.count() == 0 and bytes(frames.where("frame_idx = 0").first().pcm) == x[:32000]
