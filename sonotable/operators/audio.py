@@ -181,29 +181,6 @@ def fs_and_path(uri: str):
     return pafs.FileSystem.from_uri(uri)
 
 
-def _prefix(p: str, nbytes: int = 65536) -> bytes | None:
-    try:
-        fs, name = fs_and_path(p)
-        with fs.open_input_stream(name) as f:
-            return f.read(nbytes)
-    except Exception:  # noqa: BLE001 - unreadable is a value here
-        return None
-
-
-@F.pandas_udf(T.BinaryType())
-def read_prefix(path: pd.Series) -> pd.Series:
-    """First 64 KiB of each file, read from the executor (headers without whole-file transfer).
-
-    Reads of one Arrow batch overlap on a small thread pool: on object stores the
-    per-file latency, not bandwidth, bounds a header scan.
-    """
-    from concurrent.futures import ThreadPoolExecutor
-
-    with ThreadPoolExecutor(max_workers=16) as pool:
-        out = list(pool.map(_prefix, list(path)))
-    return pd.Series(out, dtype=object)
-
-
 def read_audio(spark, root: str, formats=S.AUDIO_FORMATS, with_content: bool = False) -> DataFrame:
     """Landed audio files under ``root`` -> (path, file_id, ext, length, modificationTime[, content]).
 
@@ -402,35 +379,6 @@ WAV_LAYOUT = T.StructType([
 _PCM_TAGS = (1, 0xFFFE)  # plain PCM and the extensible form
 
 
-def riff_layout(prefix: bytes | None) -> tuple | None:
-    """(rate, channels, sample_width, data_offset, n_frames) of a PCM WAV from its first bytes."""
-    import struct
-
-    if prefix is None:
-        return None
-    b = bytes(prefix)
-    if len(b) < 12 or b[:4] != b"RIFF" or b[8:12] != b"WAVE":
-        return None
-    pos, fmt = 12, None
-    while pos + 8 <= len(b):
-        cid, size = b[pos : pos + 4], int.from_bytes(b[pos + 4 : pos + 8], "little")
-        body = pos + 8
-        if cid == b"fmt ":
-            if body + 16 > len(b):
-                return None
-            tag, ch, rate, _byte_rate, align, bits = struct.unpack("<HHIIHH", b[body : body + 16])
-            if tag not in _PCM_TAGS or ch == 0 or align == 0:
-                return None
-            fmt = (rate, ch, align // ch)
-        elif cid == b"data":
-            if fmt is None:
-                return None
-            rate, ch, width = fmt
-            return (rate, ch, width, body, size // (ch * width))
-        pos = body + size + (size & 1)
-    return None
-
-
 def riff_walk(path: str) -> tuple | None:
     """(rate, channels, sample_width, data_offset, n_frames) of a PCM WAV file, reading only
     chunk headers and the ``fmt `` body: other chunks are skipped by seeking, however large."""
@@ -476,14 +424,6 @@ def wav_layout_of_path(path: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({c: pd.array([r[i] if r else None for r in rows], dtype=d) for i, (c, d) in enumerate(zip(cols, dtypes))})
 
 
-@F.pandas_udf(WAV_LAYOUT)
-def wav_layout(prefix: pd.Series) -> pd.DataFrame:
-    rows = [riff_layout(p) for p in prefix]
-    cols = ["sample_rate", "channels", "sample_width", "data_offset", "n_frames"]
-    dtypes = ["Int32", "Int32", "Int32", "Int64", "Int64"]
-    return pd.DataFrame({c: pd.array([r[i] if r else None for r in rows], dtype=d) for i, (c, d) in enumerate(zip(cols, dtypes))})
-
-
 def _open(path: str):
     fs, name = fs_and_path(path)
     return fs.open_input_file(name)
