@@ -415,3 +415,11 @@ def test_header_after_large_metadata_chunk(spark, tmpdir_new):
     assert (v.sample_rate, v.channels, v.n_frames, v.valid) == (16000, 1, 32000, True)
     frames, rejects = AU.normalise_wav_files(files.select("file_id", "path"), target_rate=16000, chunk_s=1)
     assert rejects.count() == 0 and bytes(frames.where("frame_idx = 0").first().pcm) == x[:32000]
+
+
+def test_read_inputs_crlf(spark, tmpdir_new):
+    p = os.path.join(tmpdir_new, "win.txt")
+    with open(p, "wb") as fh:
+        fh.write(b"# list\r\nhttps://youtu.be/abcdefghijk\r\n\r\n/data/a b.wav\r\n")
+    rows = IO.read_inputs(spark, p).orderBy("line_no").collect()
+    assert [(r.line_no, r.source, r.file_id) for r in rows] == [(1, "https://youtu.be/abcdefghijk", "abcdefghijk"), (3, "/data/a b.wav", "a b")]
