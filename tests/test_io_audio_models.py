@@ -423,3 +423,18 @@ def test_read_inputs_crlf(spark, tmpdir_new):
         fh.write(b"# list\r\nhttps://youtu.be/abcdefghijk\r\n\r\n/data/a b.wav\r\n")
     rows = IO.read_inputs(spark, p).orderBy("line_no").collect()
     assert [(r.line_no, r.source, r.file_id) for r in rows] == [(1, "https://youtu.be/abcdefghijk", "abcdefghijk"), (3, "/data/a b.wav", "a b")]
+
+
+def test_literal_interchange_edge_cases(spark, tmpdir_new):
+    # an empty RTTM file (what a file without speech exports) has no segments and no rejects
+    p = os.path.join(tmpdir_new, "empty.rttm")
+    _write(p, "\n")
+    segs, rejects = IO.read_rttm(spark, p)
+    assert segs.count() == 0 and rejects.count() == 0
+    # a JSON array of numbers is not an annotation array: a reject, no segments
+    d = os.path.join(tmpdir_new, "json")
+    os.makedirs(d)
+    _write(os.path.join(d, "nums.json"), "[1, 2]")
+    _write(os.path.join(d, "fine.json"), json.dumps([{"speaker": "S", "start": 1.0, "end": 2.0}]))
+    s2, r2 = IO.read_annotations(spark, d + "/*.json")
+    assert [r.file_id for r in s2.collect()] == ["fine"] and [r.file_id for r in r2.collect()] == ["nums"]
