@@ -143,6 +143,21 @@ def progress(events: DataFrame) -> DataFrame:
     )
 
 
+def progress_elapsed(events: DataFrame) -> DataFrame:
+    """``progress`` plus ``elapsed_us``: time from the file's previous event to its newest stage message."""
+    prev = previous_values(events.select("file_id", "seq", "us", "action", "stage"), "file_id", ["seq"], ["us"])
+    latest = prev.where(F.col("action") == "stage").groupBy("file_id").agg(
+        F.max_by(F.struct("stage", "us", (F.col("us") - F.col("prev_us")).alias("elapsed")), F.col("seq")).alias("_m")
+    )
+    return latest.select(
+        "file_id",
+        F.col("_m.stage").alias("stage"),
+        L.stage_progress(F.col("_m.stage")).alias("progress"),
+        TF.clock_text(F.col("_m.us")).alias("clock"),
+        F.col("_m.elapsed").alias("elapsed_us"),
+    )
+
+
 def error_triage(events: DataFrame) -> DataFrame:
     return events.where(F.col("action") == "failed").select(
         "file_id", "seq", "error", L.classify_error("error").alias("category")

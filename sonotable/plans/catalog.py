@@ -530,3 +530,10 @@ def q_stream_audio_intake(spark, sf):
         parent.alias("file_id"), F.col("file_id").cast("long").alias("clip"), "sample_rate", "channels", "n_frames",
         "duration_ms", "valid", "problems", "warnings",
     )
+
+
+@register("progress_elapsed")
+def q_progress_elapsed(spark, sf):
+    from sonotable.operators import state as ST
+
+    return ST.progress_elapsed(FX.stage_log(spark, sf))

@@ -580,3 +580,13 @@ SELECT file_id, CAST(clip AS BIGINT) AS clip, CAST(100 AS INTEGER) AS sample_rat
        CAST(n_frames * 10 AS BIGINT) AS duration_ms, false AS valid, 'sample_rate' AS problems,
        CASE WHEN n_frames * 1000 < 100 * 30000 THEN 'short_audio' ELSE '' END AS warnings
 FROM c""")
+
+query("progress_elapsed", ["fx_stage_log"], """
+SELECT file_id, stage,
+       CAST(CASE stage WHEN 'download' THEN 20 WHEN 'diarize' THEN 45 WHEN 'emotion' THEN 65
+                       WHEN 'language' THEN 80 WHEN 'annotate' THEN 100 ELSE 0 END AS DOUBLE) / 100 AS progress,
+       strftime(make_timestamp(us), '%H:%M:%S') AS clock, elapsed_us
+FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY seq DESC) AS rn
+      FROM (SELECT *, us - lag(us) OVER (PARTITION BY file_id ORDER BY seq) AS elapsed_us FROM fx_stage_log)
+      WHERE action = 'stage')
+WHERE rn = 1""")
