@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonotable.llm import exact_dedup, secrets
+from sonotable.llm import exact_dedup, packing, rans, secrets
 from sonotable.llm.common import documents
+from sonotable.session import scratch_path
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,11 +18,23 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(secrets.span_text(base).cast("binary"), 256).alias("base_sha256"), secrets.span_text(F.col("spans")).alias("spans"))
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
+def op8_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-files")
+    rans.write_tokens(documents(spark, sf_dir), path)
+    return rans.read_tokens(spark, path)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
 QUERIES = {
     "op1_secret_scans": op1_secret_scans,
+    "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_rans_token_files": op8_rans_token_files,
     "op10_exact_dedup": op10_exact_dedup,
 }
