@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonotable.llm import exact_dedup, packing, rans, secrets
+from sonotable.llm import exact_dedup, packing, rans, secrets, toxicity
 from sonotable.llm.common import documents
 from sonotable.session import scratch_path
 
@@ -28,6 +28,11 @@ def op8_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.read_tokens(spark, path)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
@@ -36,5 +41,6 @@ QUERIES = {
     "op1_secret_scans": op1_secret_scans,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_rans_token_files": op8_rans_token_files,
+    "op9_toxicity": op9_toxicity,
     "op10_exact_dedup": op10_exact_dedup,
 }
