@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonotable.llm import exact_dedup, packing, rans, secrets, toxicity
+from sonotable.llm import decontam, exact_dedup, packing, rans, secrets, toxicity
 from sonotable.llm.common import documents
 from sonotable.session import scratch_path
 
@@ -18,6 +18,10 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(secrets.span_text(base).cast("binary"), 256).alias("base_sha256"), secrets.span_text(F.col("spans")).alias("spans"))
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
@@ -39,6 +43,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_secret_scans": op1_secret_scans,
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_rans_token_files": op8_rans_token_files,
     "op9_toxicity": op9_toxicity,
