@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonotable.llm import decontam, exact_dedup, packing, rans, secrets, toxicity
+from sonotable.llm import decontam, exact_dedup, packing, pii, rans, secrets, toxicity
 from sonotable.llm.common import documents
 from sonotable.session import scratch_path
 
@@ -22,6 +22,10 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op6_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(documents(spark, sf_dir))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
@@ -44,6 +48,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_secret_scans": op1_secret_scans,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op6_feistel_pseudonyms": op6_feistel_pseudonyms,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_rans_token_files": op8_rans_token_files,
     "op9_toxicity": op9_toxicity,
