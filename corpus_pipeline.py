@@ -1,25 +1,56 @@
-"""Corpus pipeline: each stage reads what the one before it kept, as a Parquet table."""
+"""Corpus pipeline: each stage reads what the one before it kept, as a Parquet table.
+
+``run`` returns the last stage's rows: where each piece of each document that is left lies
+in the packed sequences. All stages before it return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sonotable.llm import exact_dedup
+from sonotable.llm import decontam, exact_dedup, ngram_join, packing, toxicity
 from sonotable.llm.common import documents, written
 
 
-def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.5 or more go; the classifier learns from the labels of those that are in ``docs``."""
+    return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts (A-Z lower-cased) the largest ``doc_id`` stays."""
     return exact_dedup.without_copies(docs)
 
 
-STAGES = [("exact_dedup", exact)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of documents linked by a Jaccard similarity of 0.75 the smallest ``doc_id`` stays."""
+    return ngram_join.one_of_each(docs)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a test item go."""
+    return decontam.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 2048 tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("benchmark decontamination", drop_benchmark_leaks),
+    ("best-fit packing", pack),
+]
 
-#: The toxicity classifier and near duplicates are beyond SQL; tests/llm compares each stage with a brute-force version.
+#: A trained classifier, BM25 search and bin packing are beyond SQL; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = written(stage(spark, docs, sf_dir), f"stage-{k}")
     return docs

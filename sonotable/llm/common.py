@@ -44,3 +44,63 @@ def select_plain(df: DataFrame, *names: str) -> DataFrame:
     at = {c: i for i, c in reversed(list(enumerate(df.columns)))}
     renamed = df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
     return renamed.select(*[F.col(f"_c{at[n]}").alias(n) for n in names])
+
+
+def _filter_mask(h, bits: int = 3):
+    mask = F.lit(0).cast("long")
+    for i in range(bits):
+        mask = mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 46 + 6 * i).bitwiseAND(63).cast("int")))
+    return mask
+
+
+def probed(rows: DataFrame, keys: DataFrame, key: str, max_words: int = 1 << 20, rows_per_word: int = 8) -> DataFrame:
+    """``rows`` with ``_maybe``: false where ``keys`` (a written table) surely lacks the key.
+
+    The Bloom filter that is broadcast has at most ``max_words`` words of 64 bits; the more
+    keys beyond that, the more rows are true.
+    """
+    words, n = 1024, keys.count()
+    while words < max_words and words * rows_per_word < n:
+        words *= 2
+    h = F.xxhash64(key)
+    made = keys.select(h.bitwiseAND(words - 1).alias("_word"), _filter_mask(h).alias("_mask")).groupBy("_word").agg(F.bit_or("_mask").alias("_mask"))
+    out = rows.withColumn("_word", h.bitwiseAND(words - 1)).join(F.broadcast(written(made, "key-filter")), "_word", "left")
+    maybe = F.coalesce(F.col("_mask").bitwiseAND(_filter_mask(h)) == _filter_mask(h), F.lit(False))
+    return out.withColumn("_maybe", maybe).drop("_word", "_mask")
+
+
+def semi_join_small(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose ``key`` is in ``keys`` (a written table); most others are dropped before the shuffle."""
+    return probed(rows, keys, key).where("_maybe").drop("_maybe").join(keys, key, "left_semi")
+
+
+def anti_join_small(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose ``key`` is not in ``keys`` (a written table); most of them are not shuffled."""
+    both = probed(rows, keys, key)
+    return both.where("not _maybe").drop("_maybe").unionByName(both.where("_maybe").drop("_maybe").join(keys, key, "left_anti"))
+
+
+def connected(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
+    """(node, root) for every node of ``edges`` (a, b); the root is the smallest node that links lead to.
+
+    Alternates the large-star and the small-star step: each round is a group-by and a join
+    over the edges, whose number does not grow, written to the shared folder.
+    """
+    edges = written(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+    last = None
+    for _ in range(max_rounds):
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a")
+        small = small.select("a", F.col("m").alias("b")).union(small.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
+        edges = written(small, name)
+        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if state == last:
+            break
+        last = state
+    else:
+        raise RuntimeError(f"{name}: no fixed point in {max_rounds} rounds")
+    # a star: every node points at its root
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
