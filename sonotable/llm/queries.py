@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonotable.llm import decontam, exact_dedup, ngram_join, packing, pii, rans, secrets, toxicity
+from sonotable.llm import decontam, exact_dedup, ngram_join, packing, pii, rans, secrets, substring, toxicity
 from sonotable.llm.common import documents
 from sonotable.session import scratch_path
 
@@ -18,6 +18,10 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(secrets.span_text(base).cast("binary"), 256).alias("base_sha256"), secrets.span_text(F.col("spans")).alias("spans"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(documents(spark, sf_dir))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(documents(spark, sf_dir))
 
@@ -51,6 +55,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_secret_scans": op1_secret_scans,
+    "op2_substring_dedup": op2_substring_dedup,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_feistel_pseudonyms": op6_feistel_pseudonyms,
