@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonotable.llm import decontam, exact_dedup, ngram_join, packing, pii, rans, secrets, substring, toxicity
+from sonotable.llm import decontam, exact_dedup, ngram_join, packing, pii, rans, secrets, substring, suffix_dedup, toxicity
 from sonotable.llm.common import documents
 from sonotable.session import scratch_path
 
@@ -22,6 +22,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(documents(spark, sf_dir))
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(documents(spark, sf_dir))
 
@@ -56,6 +60,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_secret_scans": op1_secret_scans,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_feistel_pseudonyms": op6_feistel_pseudonyms,

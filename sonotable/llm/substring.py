@@ -46,7 +46,7 @@ BUCKET_BYTES = 16 << 20  # text per bucket
 WORDS = "doc_id long, n_words long, sha binary"
 DEALT = "bucket int, flush binary, docs binary, hashes binary, owners binary, many binary, later_hashes binary, later_owners binary"
 FOUND = "flush binary, docs binary, hashes binary, owners binary, later binary"
-REPEATED = "doc_id long, later binary, first binary"
+REPEATED = "doc_id long, later binary, first binary, hot binary"
 
 
 def _word_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -68,8 +68,11 @@ def _of_blob(value) -> np.ndarray:
     return np.frombuffer(value, dtype=np.uint64)
 
 
-def _deal(n_buckets: int, column: str, hashes_of):
-    """Packed windows by bucket: of each flush, the smallest document of each hash, and the later ones apart."""
+def _deal(n_buckets: int, column: str, hashes_of, self_repeats: bool = False):
+    """Packed windows by bucket: of each flush, the smallest document of each hash, and the later ones apart.
+
+    With ``self_repeats``, a hash that a document has twice counts as repeated.
+    """
     def packed(docs: list[int], found: list[np.ndarray]) -> Iterator[pd.DataFrame]:
         ids, index = np.unique(np.array(docs, dtype=np.int64), return_inverse=True)
         owner = np.repeat(index, [len(h) for h in found])
@@ -78,11 +81,15 @@ def _deal(n_buckets: int, column: str, hashes_of):
         h, owner = h[order], owner[order]
         new = np.ones(len(h), dtype=bool)
         new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-        h, owner = h[new], owner[new]
+        twice = np.zeros(len(h), dtype=bool)
+        twice[:-1] = ~new[1:]
+        h, owner, twice = h[new], owner[new], twice[new]
         first = np.ones(len(h), dtype=bool)
         first[1:] = h[1:] != h[:-1]
         many = np.zeros(len(h), dtype=bool)
         many[:-1] = ~first[1:]
+        if self_repeats:
+            many |= twice
         bucket = bucket_of(h, n_buckets)  # ascending, as h is
         cuts = np.searchsorted(bucket, np.arange(n_buckets + 1))
         narrow = np.uint16 if len(ids) <= 1 << 16 else np.uint32
@@ -119,8 +126,11 @@ def _owners(docs: bytes, owners: bytes) -> np.ndarray:
     return np.frombuffer(owners, dtype=np.uint16 if len(docs) <= 8 << 16 else np.uint32).astype(np.int64)
 
 
-def _match(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Windows of a bucket that occur in two or more documents, and whether they are later there."""
+LATER, HOT = 1, 2  # bits of a reply
+
+
+def _match(pdf: pd.DataFrame, hot: int | None = None) -> pd.DataFrame:
+    """Windows of a bucket that occur in two or more documents, whether they are later there, and whether more than ``hot`` have them."""
     h = unblob(pdf["hashes"], np.uint64)
     sizes = [len(b) // 8 for b in pdf["hashes"]]
     cuts = np.concatenate([[0], np.cumsum(sizes)])
@@ -137,32 +147,41 @@ def _match(pdf: pd.DataFrame) -> pd.DataFrame:
     np.logical_or.at(more, group, later | many[order])
     is_later, is_repeated = np.zeros(len(h), dtype=bool), np.zeros(len(h), dtype=bool)
     is_later[order], is_repeated[order] = later, more[group]
+    if hot is not None:
+        every, n = np.unique(np.concatenate([h, unblob(pdf["later_hashes"], np.uint64)]), return_counts=True)
+        often = every[n > hot]
     rows = []
     for r, a, z in zip(pdf.itertuples(index=False), cuts, cuts[1:]):
         keep = is_repeated[a:z]
         hashes = np.concatenate([h[a:z][keep], np.frombuffer(r.later_hashes, dtype=np.uint64)])
         owners = np.concatenate([_owners(r.docs, r.owners)[keep], _owners(r.docs, r.later_owners)])
         if len(hashes):
-            flags = np.concatenate([is_later[a:z][keep], np.ones(len(r.later_hashes) // 8, dtype=bool)])
+            flags = np.concatenate([is_later[a:z][keep], np.ones(len(r.later_hashes) // 8, dtype=bool)]).astype(np.uint8) * LATER
+            if hot is not None:
+                flags |= np.isin(hashes, often).astype(np.uint8) * np.uint8(HOT)
             rows.append((r.flush, r.docs, blob(hashes), blob(owners.astype(np.uint32)), blob(flags)))
     return pd.DataFrame(rows, columns=["flush", "docs", "hashes", "owners", "later"])
 
 
 def _by_document(pdf: pd.DataFrame) -> pd.DataFrame:
     docs = np.frombuffer(pdf["docs"].iloc[0], dtype=np.int64)
-    h, owner, later = unblob(pdf["hashes"], np.uint64), unblob(pdf["owners"], np.uint32), unblob(pdf["later"], bool)
+    h, owner, flags = unblob(pdf["hashes"], np.uint64), unblob(pdf["owners"], np.uint32), unblob(pdf["later"], np.uint8)
     order = np.lexsort((h, owner))
-    h, owner, later = h[order], owner[order], later[order]
+    h, owner, flags = h[order], owner[order], flags[order]
+    hot, later = flags & HOT > 0, flags & LATER > 0
     ids, cuts = np.unique(owner, return_index=True)
     ends = [*cuts[1:], len(owner)]
-    return pd.DataFrame({"doc_id": docs[ids], "later": [blob(h[a:z][later[a:z]]) for a, z in zip(cuts, ends)],
-                         "first": [blob(h[a:z][~later[a:z]]) for a, z in zip(cuts, ends)]})
+    pick = lambda which: [blob(h[a:z][which[a:z]]) for a, z in zip(cuts, ends)]
+    return pd.DataFrame({"doc_id": docs[ids], "later": pick(later & ~hot), "first": pick(~later & ~hot), "hot": pick(hot)})
+
 
+def repeated_windows(rows: DataFrame, column: str, hashes_of, n_buckets: int, name: str, self_repeats: bool = False, hot: int | None = None) -> DataFrame:
+    """(doc_id, later, first, hot): blobs of the hashes of a document's windows that other documents have too.
 
-def repeated_windows(rows: DataFrame, column: str, hashes_of, n_buckets: int, name: str) -> DataFrame:
-    """(doc_id, later, first): hashes of a document's windows that other documents have too, as arrays of blobs."""
-    dealt = rows.select("doc_id", column).mapInPandas(_deal(n_buckets, column, hashes_of), DEALT)
-    found = dealt.groupBy("bucket").applyInPandas(_match, FOUND)
+    Those that more than ``hot`` documents have are listed apart, whether later or not.
+    """
+    dealt = rows.select("doc_id", column).mapInPandas(_deal(n_buckets, column, hashes_of, self_repeats), DEALT)
+    found = dealt.groupBy("bucket").applyInPandas(lambda pdf: _match(pdf, hot), FOUND)
     return written(found.groupBy("flush").applyInPandas(_by_document, REPEATED), name)
 
 
@@ -216,8 +235,8 @@ def _extend(length: int):
     return run
 
 
-def _per_document(repeated: DataFrame) -> DataFrame:
-    return repeated.groupBy("doc_id").agg(F.collect_list("later").alias("later"), F.collect_list("first").alias("first"))
+def per_document(repeated: DataFrame) -> DataFrame:
+    return repeated.groupBy("doc_id").agg(F.collect_list("later").alias("later"), F.collect_list("first").alias("first"), F.collect_list("hot").alias("hot"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -245,7 +264,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     release(spark)
 
     ids = written(repeated.select("doc_id").distinct(), "substring-affected")
-    texts = probed(single, ids, "doc_id").where("_maybe").drop("_maybe").join(_per_document(repeated), "doc_id")
+    texts = probed(single, ids, "doc_id").where("_maybe").drop("_maybe").join(per_document(repeated), "doc_id")
     state = written(texts.mapInPandas(_strip(length), "doc_id long, n_words long, n_removed long, sha binary, longest int, hashes binary, places binary"), "substring-stripped")
     release(spark)
 
@@ -254,7 +273,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     while not level.isEmpty():
         at *= 2
         found = repeated_windows(level, "hashes", _of_blob, n_buckets, f"substring-level{at}")
-        nxt = level.join(_per_document(found), "doc_id").mapInPandas(_extend(at), "doc_id long, longest int, hashes binary, places binary")
+        nxt = level.join(per_document(found), "doc_id").mapInPandas(_extend(at), "doc_id long, longest int, hashes binary, places binary")
         nxt = written(nxt, f"substring-state{at}")
         longest.append(nxt.select("doc_id", "longest"))
         level = nxt.select("doc_id", "hashes", "places").where(F.length("hashes") > 0)
