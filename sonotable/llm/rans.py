@@ -36,8 +36,8 @@ from sonotable.session import scratch_path
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 PRECISION = 20          # frequencies sum to 2**PRECISION
-LANES = 512
-SEGMENT = 128 * LANES   # ids between checkpoints
+LANES = 2048
+SEGMENT = 64 * LANES   # ids between checkpoints
 BLOCK_IDS = 4 * SEGMENT
 _LOW = np.uint64(1 << 31)
 

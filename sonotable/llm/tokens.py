@@ -12,11 +12,14 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 
 import numpy as np
 
-#: Cached parts per Python worker; the cache starts anew when it is full.
+#: Cached parts per Python worker and generation (see ``_Cache``).
 MAX_PARTS = 300_000
+_ENDS = frozenset(".,;:!?")
 
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 _IRREGULAR = re.compile(r" (?![!-~]|\w)")
@@ -31,16 +34,22 @@ def _byte_chars() -> dict[int, int]:
     return {b: b for b in printable} | {b: 256 + i for i, b in enumerate(others)}
 
 
-class _Parts(dict):
-    def __init__(self, coder: "Coder", lead: str):
+class _Cache(dict):
+    """Computed values of two generations: when the young one is full it becomes the old one, and used entries move up."""
+
+    def __init__(self, compute):
         super().__init__()
-        self.coder, self.lead = coder, lead
+        self.compute, self.old = compute, {}
 
-    def __missing__(self, part: str) -> bytes:
+    def __missing__(self, key: str) -> bytes:
         if len(self) >= MAX_PARTS:
+            self.old = dict(self)
             self.clear()
-        out = self[part] = self.coder.part(self.lead + part, _PLAIN.fullmatch(part) is not None)
-        return out
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
+        self[key] = value
+        return value
 
 
 class Coder:
@@ -52,18 +61,33 @@ class Coder:
         self.whole.encode_special_tokens = True  # the strings of special tokens are ordinary text
         self.model = self.whole.model
         self.chars = _byte_chars()
-        self.plain, self.spaced = _Parts(self, ""), _Parts(self, " ")
+        self.space = chr(self.chars[32])
+        self.plain = _Cache(lambda part: self._part("", part))
+        self.spaced = _Cache(lambda part: self._part(" ", part))
+        self.piece = _Cache(self._piece)
 
     def _pipeline(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
 
-    def part(self, text: str, plain: bool) -> bytes:
-        if not plain:
-            return self._pipeline(text)
-        ids: list[int] = []
-        for piece in _PIECE.findall(text):
-            ids += [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.chars))]
-        return np.array(ids, dtype="<u2").tobytes()
+    def _piece(self, piece: str) -> bytes:
+        if piece.isascii() and piece.isprintable():
+            symbols = piece.replace(" ", self.space)
+        else:
+            symbols = piece.encode().decode("latin-1").translate(self.chars)
+        ids = array("H", [t.id for t in self.model.tokenize(symbols)])
+        if sys.byteorder != "little":
+            ids.byteswap()
+        return ids.tobytes()
+
+    def _part(self, lead: str, part: str) -> bytes:
+        if part.isascii():
+            if part.isalpha():
+                return self.piece[lead + part]
+            if part[-1:] in _ENDS and part[:-1].isalpha():
+                return self.piece[lead + part[:-1]] + self.piece[part[-1]]
+        if _PLAIN.fullmatch(part):
+            return b"".join(map(self.piece.__getitem__, _PIECE.findall(lead + part)))
+        return self._pipeline(lead + part)
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of ``text`` as little-endian unsigned 16-bit numbers."""
