@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sonotable import schemas as S
+from sonotable.session import scratch_path
 
 # ---------------------------------------------------------------------------
 # J4: segment x frames
@@ -250,7 +251,7 @@ def todo_audio(inputs: DataFrame, valid_audio: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------
-# M4: normalise PCM WAV into 1 s mono frames at the target rate
+# M4: normalise WAV audio into 1 s mono frames at the target rate
 # ---------------------------------------------------------------------------
 
 FRAMES_OUT = T.StructType([
@@ -260,156 +261,82 @@ FRAMES_OUT = T.StructType([
     T.StructField("error", T.StringType()),
 ])
 
+WAV_LAYOUT = T.StructType([
+    T.StructField("sample_rate", T.IntegerType()),
+    T.StructField("channels", T.IntegerType()),
+    T.StructField("sample_width", T.IntegerType()),
+    T.StructField("sample_format", T.StringType()),
+    T.StructField("data_offset", T.LongType()),
+    T.StructField("n_frames", T.LongType()),
+])
 
-def _decode_pcm(blob: bytes) -> tuple[np.ndarray, int]:
-    with wave.open(io.BytesIO(bytes(blob)), "rb") as w:
-        rate, ch, width, n = w.getframerate(), w.getnchannels(), w.getsampwidth(), w.getnframes()
-        raw = w.readframes(n)
-    if width == 2:
-        x = np.frombuffer(raw, dtype="<i2").astype(np.float64)
-    elif width == 1:
-        x = (np.frombuffer(raw, dtype=np.uint8).astype(np.float64) - 128.0) * 256.0
-    elif width == 4:
-        x = np.frombuffer(raw, dtype="<i4").astype(np.float64) / 65536.0
-    else:
-        raise ValueError(f"unsupported sample width {width}")
-    x = x[: (len(x) // ch) * ch].reshape(-1, ch).mean(axis=1)  # mix down to mono
-    return x, rate
-
-
-def _resample(x: np.ndarray, rate: int, target: int) -> np.ndarray:
-    if rate == target or len(x) == 0:
-        return x
-    n_out = int(len(x) * target // rate)
-    t = np.arange(n_out, dtype=np.float64) * (rate / target)
-    return np.interp(t, np.arange(len(x), dtype=np.float64), x)
-
-
-def normalise_batches(target_rate: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out_f, out_i, out_p, out_e = [], [], [], []
-            for fid, blob in zip(pdf["file_id"], pdf["content"]):
-                try:
-                    x, rate = _decode_pcm(blob)
-                    y = np.clip(np.rint(_resample(x, rate, target_rate)), -32768, 32767).astype(np.int16)
-                    for k in range(0, max(len(y), 1), target_rate):
-                        out_f.append(fid)
-                        out_i.append(k // target_rate)
-                        out_p.append(y[k : k + target_rate].astype("<i2").tobytes())
-                        out_e.append(None)
-                except Exception as exc:  # noqa: BLE001 - a bad file is a row, not a failed task
-                    out_f.append(fid)
-                    out_i.append(-1)
-                    out_p.append(None)
-                    out_e.append(f"{type(exc).__name__}: {exc}")
-            yield pd.DataFrame({"file_id": out_f, "frame_idx": out_i, "pcm": out_p, "error": out_e})
-
-    return run
-
-
-def normalise_pcm(audio: DataFrame, target_rate: int = S.SAMPLE_RATE) -> tuple[DataFrame, DataFrame]:
-    """(file_id, content) WAV rows -> (audio_frames, rejects).
-
-    Channels are averaged, the rate is changed by linear interpolation and the
-    result cut into 1 s frames of int16 little-endian bytes. One file is decoded by one Python
-    call; a file that is not PCM WAV becomes a reject row. Only PCM WAV is
-    decoded here (no codec for compressed formats).
-    """
-    out = audio.select("file_id", "content").mapInPandas(normalise_batches(target_rate), FRAMES_OUT)
-    frames = out.where(F.col("error").isNull()).drop("error")
-    rejects = out.where(F.col("error").isNotNull()).select("file_id", "error")
-    return frames, rejects
-
-
-# ---------------------------------------------------------------------------
-# WAV bytes built with Spark expressions (tests and fixtures)
-# ---------------------------------------------------------------------------
-
-
-def pack_wav_bytes(rate: int, channels: int, mono: np.ndarray) -> bytes:
-    """A 16-bit PCM WAV of ``mono`` samples repeated on every channel."""
-    buf = io.BytesIO()
-    with wave.open(buf, "wb") as w:
-        w.setnchannels(int(channels))
-        w.setsampwidth(2)
-        w.setframerate(int(rate))
-        w.writeframes(np.repeat(mono.astype("<i2")[:, None], int(channels), axis=1).tobytes())
-    return buf.getvalue()
+# Format tags of a RIFF ``fmt `` chunk.
+TAG_INT, TAG_FLOAT, TAG_EXTENSIBLE = 1, 3, 0xFFFE
+CHUNK_S = 60
+SINC_ZEROS = 16  # zero crossings of the low-pass kernel on each side
 
 
-@F.pandas_udf(T.BinaryType())
-def wav_from_pcm(rate: pd.Series, channels: pd.Series, pcm: pd.Series) -> pd.Series:
-    """WAV bytes from int16 PCM bytes (mono samples copied to each channel)."""
-    return pd.Series([pack_wav_bytes(r, c, pcm_array(p)) for r, c, p in zip(rate, channels, pcm)], dtype=object)
+class _Bytes:
+    """A WAV held in memory, with the two calls that a random-access file has."""
 
+    def __init__(self, data: bytes):
+        self.data = bytes(data)
 
-def _le(x: Column, nbytes: int) -> Column:
-    h = F.lpad(F.hex(F.pmod(x.cast("long"), F.lit(1 << (8 * nbytes)))), 2 * nbytes, "0")
-    return F.concat(*[F.substring(h, 2 * nbytes - 2 * k - 1, 2) for k in range(nbytes)])
+    def size(self) -> int:
+        return len(self.data)
 
+    def read_at(self, n: int, offset: int) -> bytes:
+        return self.data[offset:offset + n]
 
-def wav_bytes(rate: Column, channels: Column, n_frames: Column, samples: Column | None = None) -> Column:
-    """A 16-bit PCM WAV as BINARY: 44-byte header declaring ``n_frames``, then ``samples`` (interleaved) if given."""
-    data_len = n_frames * channels * 2
-    header_hex = F.concat(
-        F.hex(F.lit("RIFF")), _le(data_len + 36, 4), F.hex(F.lit("WAVEfmt ")), _le(F.lit(16), 4),
-        _le(F.lit(1), 2), _le(channels, 2), _le(rate, 4), _le(rate * channels * 2, 4), _le(channels * 2, 2),
-        _le(F.lit(16), 2), F.hex(F.lit("data")), _le(data_len, 4),
-    )
-    if samples is None:
-        return F.unhex(header_hex)
-    body = F.array_join(F.transform(samples, lambda s: _le(s, 2)), "")
-    return F.unhex(F.concat(header_hex, body))
 
+def _open(path: str):
+    fs, name = fs_and_path(path)
+    return fs.open_input_file(name)
 
 
-# ---------------------------------------------------------------------------
-# M4 at scale: chunked normalisation with byte-range reads (no whole file per row)
-# ---------------------------------------------------------------------------
+def riff_layout(fh) -> tuple | None:
+    """(rate, channels, sample_width, sample_format, data_offset, n_frames) of an uncompressed WAV.
 
-WAV_LAYOUT = T.StructType([
-    T.StructField("sample_rate", T.IntegerType()),
-    T.StructField("channels", T.IntegerType()),
-    T.StructField("sample_width", T.IntegerType()),
-    T.StructField("data_offset", T.LongType()),
-    T.StructField("n_frames", T.LongType()),
-])
+    Only chunk headers and the ``fmt `` body are read; other chunks are skipped by
+    seeking, however large. The extensible form names its real format in a subformat.
+    """
+    import struct
 
-_PCM_TAGS = (1, 0xFFFE)  # plain PCM and the extensible form
+    size = fh.size()
+    head = fh.read_at(12, 0)
+    if len(head) < 12 or head[:4] != b"RIFF" or head[8:12] != b"WAVE":
+        return None
+    pos, fmt = 12, None
+    while pos + 8 <= size:
+        ch = fh.read_at(8, pos)
+        cid, csize = ch[:4], int.from_bytes(ch[4:8], "little")
+        body = pos + 8
+        if cid == b"fmt ":
+            raw = fh.read_at(min(csize, 40), body)
+            tag, chans, rate, _br, align, _bits = struct.unpack("<HHIIHH", raw[:16])
+            if tag == TAG_EXTENSIBLE:
+                tag = int.from_bytes(raw[24:26], "little") if len(raw) >= 26 else 0
+            if tag not in (TAG_INT, TAG_FLOAT) or chans == 0 or align == 0 or rate == 0:
+                return None
+            width, kind = align // chans, "float" if tag == TAG_FLOAT else "int"
+            if width not in ((4, 8) if kind == "float" else (1, 2, 3, 4)):
+                return None
+            fmt = (rate, chans, width, kind)
+        elif cid == b"data":
+            if fmt is None:
+                return None
+            avail = min(csize, size - body)  # a truncated data chunk holds what is there
+            return (*fmt, body, avail // (fmt[1] * fmt[2]))
+        pos = body + csize + (csize & 1)
+    return None
 
 
 def riff_walk(path: str) -> tuple | None:
-    """(rate, channels, sample_width, data_offset, n_frames) of a PCM WAV file, reading only
-    chunk headers and the ``fmt `` body: other chunks are skipped by seeking, however large."""
-    import struct
-
     try:
         with _open(path) as fh:
-            size = fh.size()
-            head = fh.read_at(12, 0)
-            if len(head) < 12 or head[:4] != b"RIFF" or head[8:12] != b"WAVE":
-                return None
-            pos, fmt = 12, None
-            while pos + 8 <= size:
-                ch = fh.read_at(8, pos)
-                cid, csize = ch[:4], int.from_bytes(ch[4:8], "little")
-                body = pos + 8
-                if cid == b"fmt ":
-                    tag, chans, rate, _br, align, _bits = struct.unpack("<HHIIHH", fh.read_at(16, body))
-                    if tag not in _PCM_TAGS or chans == 0 or align == 0:
-                        return None
-                    fmt = (rate, chans, align // chans)
-                elif cid == b"data":
-                    if fmt is None:
-                        return None
-                    rate, chans, width = fmt
-                    avail = min(csize, size - body)  # a truncated data chunk holds what is there
-                    return (rate, chans, width, body, avail // (chans * width))
-                pos = body + csize + (csize & 1)
+            return riff_layout(fh)
     except Exception:  # noqa: BLE001 - unreadable is a value here
         return None
-    return None
 
 
 @F.pandas_udf(WAV_LAYOUT)
@@ -419,116 +346,148 @@ def wav_layout_of_path(path: pd.Series) -> pd.DataFrame:
 
     with ThreadPoolExecutor(max_workers=16) as pool:
         rows = list(pool.map(riff_walk, list(path)))
-    cols = ["sample_rate", "channels", "sample_width", "data_offset", "n_frames"]
-    dtypes = ["Int32", "Int32", "Int32", "Int64", "Int64"]
-    return pd.DataFrame({c: pd.array([r[i] if r else None for r in rows], dtype=d) for i, (c, d) in enumerate(zip(cols, dtypes))})
+    dtypes = {"sample_rate": "Int32", "channels": "Int32", "sample_width": "Int32", "sample_format": "object", "data_offset": "Int64", "n_frames": "Int64"}
+    return pd.DataFrame({c: pd.array([r[i] if r else None for r in rows], dtype=d) for i, (c, d) in enumerate(dtypes.items())})
 
 
-def _open(path: str):
-    fs, name = fs_and_path(path)
-    return fs.open_input_file(name)
-
-
-def _decode_block(raw: bytes, channels: int, width: int) -> np.ndarray:
-    if width == 2:
-        x = np.frombuffer(raw, dtype="<i2").astype(np.float64)
+def decode_samples(raw: bytes, channels: int, width: int, kind: str = "int") -> np.ndarray:
+    """Mono samples on the 16-bit scale (float64), channels averaged."""
+    if kind == "float":
+        x = np.frombuffer(raw, dtype="<f4" if width == 4 else "<f8").astype(np.float64) * 32768.0
     elif width == 1:
         x = (np.frombuffer(raw, dtype=np.uint8).astype(np.float64) - 128.0) * 256.0
-    elif width == 4:
-        x = np.frombuffer(raw, dtype="<i4").astype(np.float64) / 65536.0
+    elif width == 3:
+        b = np.frombuffer(raw[:len(raw) // 3 * 3], dtype=np.uint8).reshape(-1, 3).astype(np.int32)
+        x = ((b[:, 0] << 8 | b[:, 1] << 16 | b[:, 2] << 24) >> 8).astype(np.float64) / 256.0
     else:
-        raise ValueError(f"unsupported sample width {width}")
+        x = np.frombuffer(raw, dtype="<i2" if width == 2 else "<i4").astype(np.float64) / (1.0 if width == 2 else 65536.0)
     return x[: (len(x) // channels) * channels].reshape(-1, channels).mean(axis=1)
 
 
-def _chunk_reader(target: int, chunk_s: int):
-    per_chunk = target * chunk_s
+def resample(x: np.ndarray, first: int, n_in: int, lo: int, hi: int, rate: int, target: int) -> np.ndarray:
+    """Output samples ``lo`` to ``hi`` from the input samples ``x``, which start at ``first`` of ``n_in``.
+
+    Positions count from the start of the recording, so chunks join without a seam. A
+    lower rate goes through a Hann-windowed sinc that cuts above half the target rate
+    (its weights sum to one at the ends of the recording, too); a higher one is
+    interpolated linearly.
+    """
+    t = np.arange(lo, hi, dtype=np.float64) * (rate / target)
+    if rate < target:
+        return np.interp(t, np.arange(first, first + len(x), dtype=np.float64), x)
+    cut = target / rate
+    half = int(np.ceil(SINC_ZEROS / cut))
+    base = np.floor(t).astype(np.int64)
+    total, weight = np.zeros(len(t)), np.zeros(len(t))
+    for k in range(-half + 1, half + 1):
+        at = base + k
+        u = t - at
+        w = np.sinc(u * cut) * (0.5 + 0.5 * np.cos(np.pi * np.clip(u / half, -1, 1)))
+        w[(at < 0) | (at >= n_in)] = 0.0
+        total += w * x[np.clip(at - first, 0, len(x) - 1)]
+        weight += w
+    return total / weight
+
+
+def _input_range(lo: int, hi: int, n_in: int, rate: int, target: int) -> tuple[int, int]:
+    """Input samples that output samples ``lo`` to ``hi`` need."""
+    if rate == target:
+        return lo, hi
+    reach = 2 if rate < target else int(np.ceil(SINC_ZEROS * rate / target)) + 1
+    return max(0, lo * rate // target - reach), min(n_in, -(-hi * rate // target) + reach)
+
+
+def chunk_frames(fh, layout: tuple, chunk: int, target: int, chunk_s: int) -> Iterator[tuple[int, bytes]]:
+    """(frame_idx, pcm) of one chunk of a recording, reading only the bytes it needs."""
+    rate, channels, width, kind, offset, n_in = layout
+    n_out = n_in * target // rate
+    lo, hi = chunk * target * chunk_s, min((chunk + 1) * target * chunk_s, n_out)
+    y = np.zeros(0, dtype=np.int16)
+    if hi > lo:
+        a, z = _input_range(lo, hi, n_in, rate, target)
+        align = channels * width
+        x = decode_samples(fh.read_at((z - a) * align, offset + a * align), channels, width, kind)
+        x = x if rate == target else resample(x, a, n_in, lo, hi, rate, target)
+        y = np.clip(np.rint(x), -32768, 32767).astype("<i2")
+    for k in range(0, max(len(y), 1), target):
+        yield chunk * chunk_s + k // target, y[k:k + target].tobytes()
+
+
+def _rows_of(parts) -> pd.DataFrame:
+    """parts: (file_id, thunk yielding (frame_idx, pcm)); a part that raises is one row with its error."""
+    out: list[tuple] = []
+    for fid, frames in parts:
+        try:
+            out += [(fid, i, pcm, None) for i, pcm in frames()]
+        except Exception as exc:  # noqa: BLE001 - a bad part is a row, not a failed task
+            out.append((fid, -1, None, f"{type(exc).__name__}: {exc}"))
+    return pd.DataFrame(out, columns=["file_id", "frame_idx", "pcm", "error"])
+
+
+def _split(out: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(frames, rejects) of decoded parts, written once to the shared folder so that neither decodes again."""
+    path = scratch_path(out.sparkSession, "decoded")
+    out.write.parquet(path)
+    out = out.sparkSession.read.schema(FRAMES_OUT).parquet(path)
+    return out.where(F.col("error").isNull()).drop("error"), out.where(F.col("error").isNotNull()).select("file_id", "error")
+
+
+def normalise_pcm(audio: DataFrame, target_rate: int = S.SAMPLE_RATE) -> tuple[DataFrame, DataFrame]:
+    """(file_id, content) WAV rows -> (audio_frames, rejects): for clips that are already columns.
+
+    Decoded chunk by chunk like files are, so what is expanded at a time is one chunk.
+    """
+    def parts(content):
+        def frames():
+            fh = _Bytes(content)
+            layout = riff_layout(fh)
+            if layout is None:
+                raise ValueError("not an uncompressed WAV")
+            n_out = layout[5] * target_rate // layout[0]
+            for chunk in range(max(1, -(-n_out // (target_rate * CHUNK_S)))):
+                yield from chunk_frames(fh, layout, chunk, target_rate, CHUNK_S)
+        return frames
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out_f, out_i, out_p, out_e = [], [], [], []
-            for r in pdf.itertuples(index=False):
-                try:
-                    rate, ch, width, off, n_in, n_out = (int(r.sample_rate), int(r.channels), int(r.sample_width),
-                                                          int(r.data_offset), int(r.n_frames), int(r.n_out))
-                    lo, hi = r.chunk * per_chunk, min((r.chunk + 1) * per_chunk, n_out)
-                    if hi <= lo:
-                        y = np.zeros(0, dtype=np.int16)
-                    else:
-                        if rate == target:
-                            in_lo, in_hi, t = lo, hi, None
-                        else:
-                            t = np.arange(lo, hi, dtype=np.float64) * (rate / target)
-                            in_lo, in_hi = int(np.floor(t[0])), min(int(np.floor(t[-1])) + 2, n_in)
-                        align = ch * width
-                        with _open(r.path) as fh:
-                            raw = fh.read_at((in_hi - in_lo) * align, off + in_lo * align)
-                        x = _decode_block(raw, ch, width)
-                        if t is not None:
-                            x = np.interp(t, np.arange(in_lo, in_lo + len(x), dtype=np.float64), x)
-                        y = np.clip(np.rint(x), -32768, 32767).astype(np.int16)
-                    first = r.chunk * chunk_s
-                    for k in range(0, max(len(y), 1), target):
-                        out_f.append(r.file_id), out_i.append(first + k // target)
-                        out_p.append(y[k : k + target].astype("<i2").tobytes()), out_e.append(None)
-                except Exception as exc:  # noqa: BLE001 - a bad chunk is a row, not a failed task
-                    out_f.append(r.file_id), out_i.append(-1), out_p.append(None), out_e.append(f"{type(exc).__name__}: {exc}")
-            yield pd.DataFrame({"file_id": out_f, "frame_idx": out_i, "pcm": out_p, "error": out_e})
-
-    return run
-
-
-def normalise_wav_files(files: DataFrame, target_rate: int = S.SAMPLE_RATE, chunk_s: int = 60,
-                        num_partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(file_id, path) of PCM WAV files -> (audio_frames, rejects), never holding a whole file.
-
-    Only each file's header is read to plan it; the output is cut into chunks
-    of ``chunk_s`` seconds, one row per chunk, spread over tasks by an explicit
-    hash repartition on (file_id, chunk), and each task reads just the byte
-    range its chunk needs. Mixing and linear resampling use the same global
-    sample positions as whole-file processing, so the frames are identical.
+            yield _rows_of((fid, parts(content)) for fid, content in zip(pdf["file_id"], pdf["content"]))
+
+    return _split(audio.select("file_id", "content").mapInPandas(run, FRAMES_OUT))
+
+
+def normalised_parts(files: DataFrame, target_rate: int = S.SAMPLE_RATE, chunk_s: int = CHUNK_S) -> DataFrame:
+    """(file_id, path) of WAV files -> (file_id, frame_idx, pcm, error), never holding a whole file.
+
+    Only each file's header is read to plan it; the output is cut into chunks of
+    ``chunk_s`` seconds, one narrow row per chunk, range-partitioned by (file_id, chunk) so
+    that a long recording is spread over tasks and frames come out in file order. Each task
+    reads just the bytes its chunk needs. What cannot be decoded is a row with an error.
     """
-    spark = files.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     lay = files.select("file_id", "path", wav_layout_of_path(F.col("path")).alias("w")).select("file_id", "path", "w.*")
-    bad = lay.where(F.col("sample_rate").isNull() | (F.col("sample_rate") <= 0)).select(
-        "file_id", F.lit("not a PCM WAV file").alias("error"))
-    ok = lay.where(F.col("sample_rate") > 0).withColumn(
+    path = scratch_path(files.sparkSession, "wav-layout")  # headers are read once; range bounds come from narrow rows
+    lay.write.parquet(path)
+    lay = files.sparkSession.read.schema(lay.schema).parquet(path)
+    bad = lay.where(F.col("sample_rate").isNull()).select(
+        "file_id", F.lit(-1).cast("long").alias("frame_idx"), F.lit(None).cast("binary").alias("pcm"), F.lit("not an uncompressed WAV file").alias("error"))
+    ok = lay.where(F.col("sample_rate").isNotNull()).withColumn(
         "n_out", F.floor(F.col("n_frames") * F.lit(target_rate) / F.col("sample_rate")).cast("long"))
-    per_chunk = target_rate * chunk_s
-    last_chunk = F.greatest(F.ceil(F.col("n_out") / F.lit(per_chunk)).cast("long") - 1, F.lit(0).cast("long"))
-    chunks = ok.select("*", F.explode(F.sequence(F.lit(0).cast("long"), last_chunk)).alias("chunk")).repartition(
-        n, "file_id", "chunk")
-    out = chunks.mapInPandas(_chunk_reader(target_rate, chunk_s), FRAMES_OUT)
-    frames = out.where(F.col("error").isNull()).drop("error")
-    rejects = out.where(F.col("error").isNotNull()).select("file_id", "error").unionByName(bad)
-    return frames, rejects
+    last_chunk = F.greatest(F.ceil(F.col("n_out") / F.lit(target_rate * chunk_s)).cast("long") - 1, F.lit(0).cast("long"))
+    chunks = ok.select("*", F.explode(F.sequence(F.lit(0).cast("long"), last_chunk)).alias("chunk")).repartitionByRange("file_id", "chunk")
 
+    def part(r):
+        def frames():
+            with _open(r.path) as fh:
+                layout = (int(r.sample_rate), int(r.channels), int(r.sample_width), r.sample_format, int(r.data_offset), int(r.n_frames))
+                yield from chunk_frames(fh, layout, int(r.chunk), target_rate, chunk_s)
+        return frames
 
-def _write_bytes(path: str, data: bytes) -> None:
-    fs, name = fs_and_path(path)
-    fs.create_dir(name.rsplit("/", 1)[0], recursive=True)
-    with fs.open_output_stream(name) as out:
-        out.write(data)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield _rows_of((r.file_id, part(r)) for r in pdf.itertuples(index=False))
 
+    return chunks.mapInPandas(run, FRAMES_OUT).unionByName(bad)
 
-def land_wav_clips(frames: DataFrame, folder: str, rate: int, clip_s: int = 60) -> DataFrame:
-    """Write audio_frames as mono 16-bit WAV files of ``clip_s`` seconds under ``folder``.
 
-    One group is one clip (at most ``clip_s`` frames), assembled and written by
-    the executor that holds it; a retried task rewrites the same bytes to the
-    same path. Returns (file_id, clip, path).
-    """
-    out_t = T.StructType([T.StructField("file_id", T.StringType()), T.StructField("clip", T.LongType()),
-                          T.StructField("path", T.StringType())])
-
-    def write_clip(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_idx")
-        fid, clip = pdf["file_id"].iloc[0], int(pdf["clip"].iloc[0])
-        mono = np.concatenate([pcm_array(p) for p in pdf["pcm"]])
-        path = f"{folder}/{fid}/{clip:06d}.wav"
-        _write_bytes(path, pack_wav_bytes(rate, 1, mono))
-        return pd.DataFrame({"file_id": [fid], "clip": [clip], "path": [path]})
-
-    c = frames.select("file_id", "frame_idx", "pcm", (F.col("frame_idx") / F.lit(clip_s)).cast("long").alias("clip"))
-    return c.groupBy("file_id", "clip").applyInPandas(write_clip, out_t)
+def normalise_wav_files(files: DataFrame, target_rate: int = S.SAMPLE_RATE, chunk_s: int = CHUNK_S) -> tuple[DataFrame, DataFrame]:
+    """(file_id, path) of WAV files -> (audio_frames, rejects); see ``normalised_parts``."""
+    return _split(normalised_parts(files, target_rate, chunk_s))

@@ -1,130 +1,62 @@
 """Order-dependent operators that stay safe when one key holds a large share of rows.
 
-``row_number()/lag() over (partition by key order by ...)`` sends every row of a
-key to one task. Here rows are range-partitioned on ``(key, order...)`` instead,
-so a hot key is cut into many contiguous slices. The per-slice work is a window
-over ``(key, slice)`` — bounded by one range partition — and the only
-cross-slice fact needed is carried by a table with at most one row per slice
-(a proven size bound: the number of range partitions), which is broadcast.
-
-Both the per-slice pass and the per-slice summary must see the same slices.
-Spark seeds range-partition sampling per exchange instance, so two branches
-that re-plan the exchange can cut different boundaries; the sliced rows are
-therefore written once as a parquet table in the shared checkpoint folder
-(``spark.checkpoint.dir``) and both branches read that copy (with column
-pruning and real size statistics). Lost executors re-read it instead of
-re-sampling.
+``row_number()/lag() over (partition by key order by ...)`` sends every row of a key to
+one task. Here the caller names a coarse *slice* of the order (a day of a timestamp, a
+block of a sequence number, a split of a file): an expression that never decreases along
+it. The work per row is a window over (key, slice); what crosses slices is one row per
+(key, slice), joined back on both. There is one plan at every size, nothing is sampled
+and nothing runs while the query is built.
+
+``df`` is read twice, so pass a table or a cheap plan.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sonotable.session import scratch_path
-
-_PID = "_seq_pid"
-
-# rows one task may take for a plain per-key window; larger keys are sliced
-DEFAULT_MAX_GROUP_ROWS = 1_000_000
-
-
-def _largest_group(df: DataFrame, key: str) -> int:
-    """Row count of the largest key: a partial/final aggregate, one number to the driver."""
-    row = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()
-    return int(row[0] or 0)
+_SLICE = "_slice"
 
 
-def _needs_slices(df: DataFrame, key: str, max_group_rows: int | None) -> bool:
-    limit = DEFAULT_MAX_GROUP_ROWS if max_group_rows is None else max_group_rows
-    return limit <= 0 or _largest_group(df, key) > limit
+def _with_slice(df: DataFrame, slice_by: Column | str) -> DataFrame:
+    return df.withColumn(_SLICE, F.col(slice_by) if isinstance(slice_by, str) else slice_by)
 
 
-def _slices(df: DataFrame, key: str, order: list[str], num_slices: int | None) -> DataFrame:
-    spark = df.sparkSession
-    n = num_slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sliced = df.repartitionByRange(n, F.col(key), *[F.col(c) for c in order]).withColumn(_PID, F.spark_partition_id())
-    path = scratch_path(spark, "slices")
-    sliced.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+def _join_per_slice(rows: DataFrame, per_slice: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the columns of their (key, slice); null keys meet, too."""
+    right = per_slice.withColumnRenamed(key, "_r_key").withColumnRenamed(_SLICE, "_r_slice")
+    on = F.col(key).eqNullSafe(F.col("_r_key")) & F.col(_SLICE).eqNullSafe(F.col("_r_slice"))
+    return rows.join(right, on, "left").drop("_r_key", "_r_slice")
 
 
-def positional_index(df: DataFrame, key: str, order: list[str], name: str = "idx", num_slices: int | None = None,
-                     max_group_rows: int | None = None) -> DataFrame:
+def positional_index(df: DataFrame, key: str, order: list[str], slice_by: Column | str, name: str = "idx") -> DataFrame:
     """Add ``name`` = 0-based position of each row within its ``key``, by ``order``.
 
-    Equals ``row_number() over (partition by key order by order) - 1``; ``order``
-    must make rows unique within a key so the result is deterministic. The
-    largest key is measured first: within ``max_group_rows`` (a per-task row
-    budget) the plain window is used, beyond it the sliced form. A
-    non-positive budget always slices.
+    Equals ``row_number() over (partition by key order by order) - 1``; ``order`` must make
+    rows unique within a key so that the result is deterministic.
     """
-    if not _needs_slices(df, key, max_group_rows):
-        return df.withColumn(name, (F.row_number().over(Window.partitionBy(key).orderBy(*order)) - F.lit(1)).cast("long"))
-    sl = _slices(df, key, order, num_slices)
-    local = sl.withColumn(
-        name, F.row_number().over(Window.partitionBy(key, _PID).orderBy(*order)) - F.lit(1)
-    )
-    counts = sl.groupBy(key, _PID).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(key).orderBy(_PID)
-    # only the first key of a slice can continue from earlier slices, so at most
-    # (slices - 1) rows have a positive offset
-    offsets = (
-        counts.withColumn("_off", F.sum("_n").over(w) - F.col("_n"))
-        .where(F.col("_off") > 0)
-        .select(key, _PID, "_off")
-    )
-    out = local.join(F.broadcast(offsets), [key, _PID], "left")
-    return out.withColumn(name, (F.col(name) + F.coalesce(F.col("_off"), F.lit(0))).cast("long")).drop(_PID, "_off")
+    sliced = _with_slice(df, slice_by)
+    local = sliced.withColumn(name, F.row_number().over(Window.partitionBy(key, _SLICE).orderBy(*order)) - 1)
+    counts = sliced.groupBy(key, _SLICE).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(key).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(key, _SLICE, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    out = _join_per_slice(local, offsets, key)
+    return out.withColumn(name, (F.col(name) + F.col("_before")).cast("long")).drop(_SLICE, "_before")
 
 
-def previous_values(
-    df: DataFrame, key: str, order: list[str], cols: list[str], prefix: str = "prev_", num_slices: int | None = None,
-    max_group_rows: int | None = None,
-) -> DataFrame:
+def previous_values(df: DataFrame, key: str, order: list[str], cols: list[str], slice_by: Column | str, prefix: str = "prev_") -> DataFrame:
     """Add ``prefix+c`` = value of ``c`` on the previous row of the same key (null on the first).
 
-    Equals ``lag(c) over (partition by key order by order)``; same size check
-    as ``positional_index``.
+    Equals ``lag(c) over (partition by key order by order)``.
     """
-    if not _needs_slices(df, key, max_group_rows):
-        w = Window.partitionBy(key).orderBy(*order)
-        for c in cols:
-            df = df.withColumn(prefix + c, F.lag(c).over(w))
-        return df
-    sl = _slices(df, key, order, num_slices)
-    w = Window.partitionBy(key, _PID).orderBy(*order)
-    local = sl.withColumn("_rn", F.row_number().over(w))
+    sliced = _with_slice(df, slice_by)
+    w = Window.partitionBy(key, _SLICE).orderBy(*order)
+    local = sliced.withColumn("_rn", F.row_number().over(w))
     for c in cols:
         local = local.withColumn(prefix + c, F.lag(c).over(w))
-    # last row of every non-empty slice: at most one row per slice
-    order_struct = F.struct(F.col(key), *[F.col(c) for c in order])  # slice order is (key, order)
-    tails = sl.groupBy(_PID).agg(
-        F.max_by(F.struct(F.col(key).alias("_k"), *[F.col(c).alias("_t_" + c) for c in cols]), order_struct).alias("_tail")
-    )
-    prev_tail = tails.withColumn(
-        "_prev", F.lag("_tail").over(Window.orderBy(_PID))
-    ).select(_PID, "_prev")
-    out = local.join(F.broadcast(prev_tail), _PID, "left")
-    first_in_slice = (F.col("_rn") == 1) & (F.col("_prev._k") == F.col(key))
+    tails = sliced.groupBy(key, _SLICE).agg(F.max_by(F.struct(*[F.col(c).alias("_t_" + c) for c in cols]), F.struct(*order)).alias("_tail"))
+    prev = tails.select(key, _SLICE, F.lag("_tail").over(Window.partitionBy(key).orderBy(_SLICE)).alias("_prev"))
+    out = _join_per_slice(local, prev, key)
     for c in cols:
-        out = out.withColumn(prefix + c, F.when(first_in_slice, F.col("_prev._t_" + c)).otherwise(F.col(prefix + c)))
-    return out.drop(_PID, "_rn", "_prev")
-
-
-def index_by_slices(df: DataFrame, key: str, slice_col: str, order: list[str], name: str = "idx") -> DataFrame:
-    """Position within ``key`` by (``slice_col``, ``order``) when the data already carries
-    deterministic slices (e.g. time windows of a recording): no sampling pass.
-
-    The position inside a slice is a window over (key, slice); the offset of a
-    slice is the number of rows of the same key in earlier slices, from a
-    one-row-per-(key, slice) count table that is joined back on (key, slice).
-    ``df`` is read twice, so pass a materialised table when it is expensive.
-    """
-    local = df.withColumn(name, F.row_number().over(Window.partitionBy(key, slice_col).orderBy(*order)) - F.lit(1))
-    counts = df.groupBy(key, slice_col).agg(F.count(F.lit(1)).alias("_n"))
-    offs = counts.withColumn(
-        "_off", F.sum("_n").over(Window.partitionBy(key).orderBy(slice_col)) - F.col("_n")
-    ).select(key, slice_col, "_off")
-    out = local.join(offs, [key, slice_col], "left")
-    return out.withColumn(name, (F.col(name) + F.coalesce("_off", F.lit(0))).cast("long")).drop("_off")
+        out = out.withColumn(prefix + c, F.when(F.col("_rn") == 1, F.col("_prev._t_" + c)).otherwise(F.col(prefix + c)))
+    return out.drop(_SLICE, "_rn", "_prev")

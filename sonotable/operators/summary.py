@@ -29,6 +29,12 @@ def languages_expr(language: str = "language") -> Column:
     return F.when(joined == "", F.lit(S.UNKNOWN)).otherwise(joined)
 
 
+def audio_seconds() -> F.Column:
+    """n_frames / sample_rate to 2 places, half up, in exact integers."""
+    rate = F.col("sample_rate").cast("long")
+    return F.floor((F.col("n_frames") * 200 + rate) / (rate * 2)).cast("long").cast("double") / F.lit(100.0)
+
+
 def file_summary(segments: DataFrame, durations: DataFrame | None = None) -> DataFrame:
     """One row per file: num_speakers, num_segments, duration_sec, languages_detected.
 
@@ -48,13 +54,7 @@ def file_summary(segments: DataFrame, durations: DataFrame | None = None) -> Dat
     if durations is not None:
         d = durations.select("file_id", "n_frames", "sample_rate", F.lit(True).alias("_has_audio"))
         agg = agg.join(d, "file_id", "left")
-        rate = F.col("sample_rate").cast("long")
-        centi = F.floor((F.col("n_frames") * 200 + rate) / (rate * 2)).cast("long")
-        dur = (
-            F.when(F.col("_has_audio").isNull(), F.lit(0.0))
-            .when(rate > 0, centi.cast("double") / F.lit(100.0))
-            .otherwise(fallback)
-        )
+        dur = F.when(F.col("_has_audio").isNull(), F.lit(0.0)).when(F.col("sample_rate") > 0, audio_seconds()).otherwise(fallback)
         agg = agg.withColumn("duration_sec", dur)
     else:
         agg = agg.withColumn("duration_sec", fallback)

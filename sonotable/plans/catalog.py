@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from sonotable.operators import segments as SG
 from sonotable.operators import summary as SM
 from sonotable.plans import fixtures as FX
+from sonotable.plans import wav_fixtures as WF
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, QueryFn] = {}
@@ -331,7 +332,7 @@ def _file_headers(spark, sf):
     rate = F.element_at(F.array(*[F.lit(r) for r in FX.HEADER_RATES]), (F.col("user_id") % 4 + 1).cast("int"))
     ch = F.when(F.col("user_id") % 5 == 4, F.lit(2)).otherwise(F.lit(1))
     n = F.floor(F.col("max_end_ms") * rate / 1000).cast("long")
-    blobs = last.select("file_id", AU.wav_bytes(rate, ch, n).alias("content"))
+    blobs = last.select("file_id", WF.wav_bytes(rate, ch, n).alias("content"))
     return blobs.select("file_id", AU.wav_header(F.col("content")).alias("h")).select("file_id", "h.*")
 
 
@@ -367,7 +368,7 @@ def q_normalise_pcm(spark, sf):
     ch = F.when(F.col("frame_idx") % 3 == 1, F.lit(2)).otherwise(F.lit(1))
     clips = fr.select(
         F.concat_ws("/", "file_id", F.col("frame_idx").cast("string")).alias("file_id"),
-        AU.wav_from_pcm(F.lit(FX.FRAME_SAMPLES), ch, F.col("pcm")).alias("content"),
+        WF.wav_from_pcm(F.lit(FX.FRAME_SAMPLES), ch, F.col("pcm")).alias("content"),
     )
     frames, _rejects = AU.normalise_pcm(clips, target_rate=FX.FRAME_SAMPLES)
     key = F.split("file_id", "/")
@@ -473,6 +474,136 @@ def q_annotation_run(spark, sf):
     return out["manifest"].drop("append_seq", "processed_us")
 
 
+def _job_inputs(spark, sf, segs):
+    from sonotable.functions import ids as I
+
+    files = segs.groupBy("file_id").agg(F.min("user_id").alias("line_no"))
+    return files.select("file_id", "line_no", I.artifact_path(F.lit("in"), "audio", "file_id", ".wav").alias("source"))
+
+
+@register("annotation_run_failures")
+def q_annotation_run_failures(spark, sf):
+    """The job with silent files, files of half a second, and a diarizer that raises for some windows: outcome per file."""
+    from sonotable.plans import annotate_job, stubs
+    from sonotable.session import scratch_path
+
+    segs = FX.segments(spark, sf)
+    inputs = _job_inputs(spark, sf, segs)
+    who = segs.select("file_id", (F.col("user_id") % 5).alias("kind")).distinct()
+    fr = FX.frames(spark, sf, segs).join(who, "file_id")
+    silence = F.unhex(F.repeat(F.lit("00"), 2 * FX.FRAME_SAMPLES))
+    pcm = F.when(F.col("kind") == 0, silence).when(F.col("kind") == 1, F.col("pcm").substr(1, FX.FRAME_SAMPLES)).otherwise(F.col("pcm"))
+    audio = fr.where("kind <> 1 OR frame_idx = 0").select("file_id", "frame_idx", pcm.alias("pcm"))
+    out = annotate_job.run(
+        spark, inputs, scratch_path(spark, "annotation_failures"), stubs.picky_turns, stubs.energy_scores, stubs.energy_probs,
+        audio_frames=audio, rate=FX.FRAME_SAMPLES, window_s=60, run_us=FX.RUN_CUT_US)
+    m = out["manifest"].select("file_id", F.col("status").alias("manifest_status"), "num_speakers", "num_segments", "duration_sec")
+    return out["state"].select("file_id", "status", "stage", "error").join(m, "file_id", "left")
+
+
+@register("annotation_rerun")
+def q_annotation_rerun(spark, sf):
+    """A first run over part of the files with a diarizer that raises for some, then a run over all: equal to one clean run."""
+    from sonotable.plans import annotate_job, stubs
+    from sonotable.session import scratch_path
+
+    segs = FX.segments(spark, sf)
+    inputs = _job_inputs(spark, sf, segs)
+    frames = FX.frames(spark, sf, segs)
+    root = scratch_path(spark, "annotation_rerun")
+    rest = dict(audio_frames=frames, rate=FX.FRAME_SAMPLES, window_s=60)
+    annotate_job.run(spark, inputs.where("line_no % 2 = 0"), root, stubs.picky_turns, stubs.energy_scores, stubs.energy_probs, run_us=FX.RUN_CUT_US, **rest)
+    out = annotate_job.run(spark, inputs, root, stubs.fixed_turns, stubs.energy_scores, stubs.energy_probs, run_us=FX.RUN_CUT_US + 1000, **rest)
+    return out["manifest"].drop("append_seq", "processed_us")
+
+
+# --- exchanged files: written, read back ----------------------------------------
+
+
+@register("rttm_files")
+def q_rttm_files(spark, sf):
+    from sonotable import sinks as K
+    from sonotable.session import scratch_path
+    from sonotable.sources import interchange as IO
+
+    path = scratch_path(spark, "rttm")
+    K.write_rttm(FX.segments(spark, sf), path)
+    segs, rejects = IO.read_rttm(spark, f"{path}/file_id=*")
+    return segs.select("file_id", "segment_idx", "speaker", "start_ms", "end_ms").unionByName(
+        rejects.select(F.col("line").alias("file_id")), allowMissingColumns=True)
+
+
+@register("annotation_files")
+def q_annotation_files(spark, sf):
+    from sonotable import sinks as K
+    from sonotable.session import scratch_path
+    from sonotable.sources import interchange as IO
+
+    path = scratch_path(spark, "annotations")
+    K.write_annotations(FX.segments(spark, sf), path)
+    segs, rejects = IO.read_annotation_export(spark, path)
+    return segs.unionByName(rejects.select("file_id"), allowMissingColumns=True)
+
+
+@register("state_files")
+def q_state_files(spark, sf):
+    """State as JSON lines, every seventh line cut off: what reads back, and how many lines do not."""
+    from sonotable import sinks as K
+    from sonotable.operators import state as ST
+    from sonotable.session import scratch_path
+    from sonotable.sources import interchange as IO
+
+    path = scratch_path(spark, "state")
+    state = ST.fold_state(FX.stage_log(spark, sf))
+    cut = F.substring("file_id", 2, 6).cast("int") % 7 == 0
+    for name, part in (("good", state.where(~cut)), ("bad", state.where(cut))):
+        lines = K.file_state_json(part)
+        text = F.col("json") if name == "good" else F.substring("json", 1, 30)
+        lines.select(text.alias("value")).write.mode("append").text(path)
+    back, rejects = IO.read_file_state(spark, path, with_rejects=True)
+    lost = rejects.agg(F.count(F.lit(1)).cast("string").alias("error")).select(F.lit("rejects").alias("file_id"), "error")
+    return back.select("file_id", "status", "stage", "url", "error").unionByName(lost, allowMissingColumns=True)
+
+
+@register("manifest_files")
+def q_manifest_files(spark, sf):
+    from sonotable import sinks as K
+    from sonotable.session import scratch_path
+    from sonotable.sources import interchange as IO
+
+    path = scratch_path(spark, "manifest")
+    K.append_manifest(_manifest_log(spark, sf), path)
+    return IO.read_manifest(spark, path).drop("processed_at")
+
+
+@register("input_list_files")
+def q_input_list_files(spark, sf):
+    """The input lines as several list files, read back with their ids."""
+    from sonotable.session import scratch_path
+    from sonotable.sources import interchange as IO
+
+    path = scratch_path(spark, "lists")
+    FX.lines(spark, sf).repartitionByRange(4, "line_no").sortWithinPartitions("line_no").select(F.col("line").alias("value")).write.text(path)
+    return IO.read_inputs(spark, path).select("file_id", "source", "is_url")
+
+
+@register("normalise_resampled")
+def q_normalise_resampled(spark, sf):
+    """Constant signals of two seconds in eight sample formats and rates, and files that are no WAV, normalised to 16 kHz."""
+    from sonotable.operators import audio as AU
+    from sonotable.session import scratch_path
+
+    users = FX.table(spark, sf, "events").select("user_id").distinct().select("user_id", FX.fid("user_id").alias("file_id"))
+    listing = scratch_path(spark, "wav_formats")
+    WF.land_constant_wavs(users, scratch_path(spark, "wav_format_files")).write.parquet(listing)
+    files = spark.read.parquet(listing)
+    frames, rejects = AU.normalise_wav_files(files, target_rate=16000, chunk_s=1)
+    st = AU.pcm_stats("pcm")
+    per = frames.select("file_id", st["n_samples"].alias("n"), st["sample_sum"].alias("s"), st["sum_sq"].alias("q"))
+    per = per.groupBy("file_id").agg(F.sum("n").cast("long").alias("n_samples"), F.sum("s").cast("long").alias("sample_sum"), F.sum("q").cast("long").alias("sum_sq"))
+    return per.withColumn("error", F.lit(None).cast("string")).unionByName(rejects, allowMissingColumns=True)
+
+
 @register("quality_report")
 def q_quality_report(spark, sf):
     return SG.quality_report(SG.check_annotations(FX.segments(spark, sf)))
@@ -480,11 +611,11 @@ def q_quality_report(spark, sf):
 
 @register("segment_index_sliced")
 def q_segment_index_sliced(spark, sf):
-    """Position of each event in its file through the sliced (hot-file) path, whatever the sizes."""
+    """Position of each event in its file, by slices of a month."""
     from sonotable.operators.sequence import positional_index
 
     ev = FX.table(spark, sf, "events").select("event_id", "ts", "user_id")
-    out = positional_index(ev, "user_id", ["ts", "event_id"], name="segment_idx", max_group_rows=0)
+    out = positional_index(ev, "user_id", ["ts", "event_id"], FX.month_of("ts"), name="segment_idx")
     return out.select(FX.fid("user_id").alias("file_id"), "event_id", "segment_idx")
 
 
@@ -495,7 +626,7 @@ def q_normalise_wav_files(spark, sf):
     from sonotable.session import scratch_path
 
     clip_s = FX.LANDED_FILE_S
-    landed = AU.land_wav_clips(FX.frames(spark, sf), scratch_path(spark, "wav_clips"), FX.FRAME_SAMPLES, clip_s)
+    landed = WF.land_wav_clips(FX.frames(spark, sf), scratch_path(spark, "wav_clips"), FX.FRAME_SAMPLES, clip_s)
     # the clip files are written once here; the normaliser then reads only their bytes
     listing = scratch_path(spark, "wav_clip_list")
     landed.write.parquet(listing)
@@ -521,7 +652,7 @@ def q_stream_audio_intake(spark, sf):
 
     folder = scratch_path(spark, "wav_landing")
     listing = scratch_path(spark, "wav_landing_list")
-    AU.land_wav_clips(FX.frames(spark, sf), folder, FX.FRAME_SAMPLES, FX.LANDED_FILE_S).write.parquet(listing)
+    WF.land_wav_clips(FX.frames(spark, sf), folder, FX.FRAME_SAMPLES, FX.LANDED_FILE_S).write.parquet(listing)
     out, ck = _stream_dirs(spark, "stream_audio_intake")
     t = stream_audio(spark, folder, out, ck)
     # clip files are <folder>/<file_id>/<clip>.wav

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sonotable.functions.timefmt import epoch_micros
 from sonotable.operators.sequence import positional_index
 
 EMOTION_BY_EVENT = {"error": "error", "view": "neutral", "click": "happy", "purchase": "surprise", "signup": "sad"}
@@ -37,12 +38,17 @@ def _map(mapping: dict, col: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv]), col)
 
 
+def month_of(ts: str) -> F.Column:
+    """Slice of a ``timestamp_ntz`` order: 30 days."""
+    return F.floor(epoch_micros(F.col(ts), "timestamp_ntz") / (30 * 86_400_000_000))
+
+
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """fx_segments: one diarized and enriched segment per event."""
     ev = table(spark, sf_dir, "events").select(
         "event_id", "ts", "user_id", "event_type", _k().alias("k")
     )
-    ev = positional_index(ev, "user_id", ["ts", "event_id"], name="segment_idx")
+    ev = positional_index(ev, "user_id", ["ts", "event_id"], month_of("ts"), name="segment_idx")
     e = F.col("event_id")
     too_short = F.col("k") * 75 < 500
     emotion = F.when(too_short, "too_short").otherwise(_map(EMOTION_BY_EVENT, F.col("event_type")))

@@ -590,3 +590,49 @@ FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY seq DESC) AS rn
       FROM (SELECT *, us - lag(us) OVER (PARTITION BY file_id ORDER BY seq) AS elapsed_us FROM fx_stage_log)
       WHERE action = 'stage')
 WHERE rn = 1""")
+
+# a job that fails for some files: silent (0 of 5), half a second (1 of 5), and windows whose first sample is a multiple of 11
+query("annotation_run_failures", ["fx_turns"], """
+WITH f AS (SELECT DISTINCT file_id, user_id, last_frame FROM fx_turns),
+bad AS (SELECT DISTINCT file_id FROM f, range(0, last_frame // 60 + 1) r(wi)
+        WHERE ((wi * 60 * 7919 + user_id * 17) % 2001 - 1000) % 11 = 0),
+per AS (SELECT file_id, CAST(count(DISTINCT speaker) AS BIGINT) AS sp, CAST(count(*) AS BIGINT) AS sg FROM fx_turns GROUP BY file_id),
+k AS (SELECT f.*, CASE WHEN user_id % 5 = 0 THEN 'silent' WHEN user_id % 5 = 1 THEN 'short' WHEN b.file_id IS NOT NULL THEN 'raised' ELSE 'fine' END AS kind
+      FROM f LEFT JOIN bad b USING (file_id))
+SELECT k.file_id, CASE WHEN kind IN ('silent', 'fine') THEN 'completed' ELSE 'failed' END AS status,
+       CASE kind WHEN 'silent' THEN 'diarize' WHEN 'fine' THEN 'annotate' WHEN 'raised' THEN 'download' END AS stage,
+       CASE kind WHEN 'short' THEN 'Download failed: no valid audio (missing, unreadable or under 1 s)'
+                 WHEN 'raised' THEN 'Diarization failed: RuntimeError: no turns found' END AS error,
+       CASE WHEN kind IN ('silent', 'fine') THEN 'completed' ELSE 'failed' END AS manifest_status,
+       CASE kind WHEN 'fine' THEN sp ELSE 0 END AS num_speakers, CASE kind WHEN 'fine' THEN sg ELSE 0 END AS num_segments,
+       CASE WHEN kind IN ('silent', 'fine') THEN CAST(last_frame + 1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS duration_sec
+FROM k JOIN per USING (file_id)""")
+
+QUERIES["annotation_rerun"] = QUERIES["annotation_run"]
+
+# --- exchanged files, written and read back ---------------------------------------
+
+query("rttm_files", ["fx_segments"], """
+SELECT file_id, segment_idx, coalesce(speaker, 'UNKNOWN') AS speaker, start_ms, end_ms FROM fx_segments""")
+
+query("annotation_files", ["fx_segments"], """
+SELECT file_id, segment_idx, coalesce(speaker, 'UNKNOWN') AS speaker, start_ms, end_ms,
+       coalesce(emotion, 'unknown') AS emotion, coalesce(emotion_confidence, 0) AS emotion_confidence,
+       coalesce(language, 'unknown') AS language, coalesce(language_confidence, 0) AS language_confidence
+FROM fx_segments""")
+
+query("state_files", ["fx_state"], """
+SELECT file_id, status, stage, url, error FROM fx_state WHERE CAST(substr(file_id, 2, 6) AS INTEGER) % 7 <> 0
+UNION ALL SELECT 'rejects', NULL, NULL, NULL, CAST(count(*) AS VARCHAR) FROM fx_state WHERE CAST(substr(file_id, 2, 6) AS INTEGER) % 7 = 0""")
+
+query("manifest_files", ["fx_manifest"], """
+SELECT file_id, url, status, num_speakers, num_segments, duration_sec, languages_detected FROM fx_manifest""")
+
+query("input_list_files", ["fx_inputs"], "SELECT file_id, source, is_url FROM fx_inputs")
+
+QUERIES["normalise_resampled"] = """
+WITH u AS (SELECT DISTINCT user_id, 'f' || lpad(CAST(user_id AS VARCHAR), 6, '0') AS file_id, (user_id * 37 % 201 - 100) * 256 AS v FROM events)
+SELECT file_id, CAST(CASE WHEN user_id % 9 <> 8 THEN 32000 END AS BIGINT) AS n_samples,
+       CAST(CASE WHEN user_id % 9 <> 8 THEN 32000 * v END AS BIGINT) AS sample_sum, CAST(CASE WHEN user_id % 9 <> 8 THEN 32000 * v * v END AS BIGINT) AS sum_sq,
+       CASE WHEN user_id % 9 = 8 THEN 'not an uncompressed WAV file' END AS error
+FROM u"""

@@ -41,11 +41,14 @@ def get_session(cores: str | int = "*", app: str = "sonotable", extra: dict | No
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    A cluster names it; only when it is unset (tests, local runs) a fresh
-    local folder is taken and recorded in the session.
+    A cluster names it. Only where it is unset and all tasks run in this process (tests,
+    local runs) is a fresh local folder taken and recorded in the session.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir is not set: executors and driver need a folder that all of them share")
         current = tempfile.mkdtemp(prefix="sonotable-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     if not spark.sparkContext.getCheckpointDir():

@@ -94,14 +94,14 @@ def write_annotations(segments: DataFrame, path: str, files: DataFrame | None =
     _ordered_export(annotation_lines(segments, files), "line_idx", path, keep_others=keep_others)
 
 
-def append_manifest(rows: DataFrame, path: str) -> None:
+def append_manifest(rows: DataFrame, path: str, mode: str = "append") -> None:
     """Append manifest rows (CSV with header per part); readers take the latest row per file."""
     from sonotable.functions.timefmt import iso_text
 
     out = rows
     if "processed_us" in rows.columns:
         out = rows.withColumn("processed_at", iso_text("processed_us"))
-    out.select(*S.MANIFEST_COLUMNS).write.mode("append").option("header", True).csv(path)
+    out.select(*S.MANIFEST_COLUMNS).write.mode(mode).option("header", True).csv(path)
 
 
 def write_segment_csv(segments: DataFrame, path: str, num_partitions: int | None = None) -> None:

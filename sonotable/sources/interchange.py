@@ -13,6 +13,7 @@ from sonotable.functions import ids as I
 from sonotable.functions import rttm as R
 from sonotable.operators.inputs import clean_inputs
 from sonotable.operators.sequence import positional_index
+from sonotable.storage import exists
 
 
 def raw_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -30,23 +31,18 @@ def raw_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def ordered_lines(spark: SparkSession, path: str, keep=None) -> DataFrame:
-    """(path, line_no, line, ...) with dense 0-based positions per file among the kept lines."""
-    lines = raw_lines(spark, path)
-    if keep is not None:
-        lines = keep(lines)
-    out = positional_index(lines, "path", ["_blk", "_pos"], name="line_no")
-    return out.drop("_blk", "_pos")
+def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line_no, line) with dense 0-based line positions per file."""
+    return positional_index(raw_lines(spark, path), "path", ["_blk", "_pos"], "_blk", name="line_no").drop("_blk", "_pos")
 
 
 def read_inputs(spark: SparkSession, path: str) -> DataFrame:
-    """Input list text file(s) -> (line_no, source, is_url, file_id); ``#`` lines and blanks dropped.
+    """Input list text file(s) -> (path, line_no, source, is_url, file_id); ``#`` lines and blanks dropped.
 
-    ``line_no`` is the 0-based line position in its file (the first line of a
-    repeated id wins downstream).
+    ``line_no`` is the 0-based line position in its file. The order of inputs is
+    (path, line_no): of a repeated id the first line in that order wins downstream.
     """
-    lines = ordered_lines(spark, path)
-    return clean_inputs(lines.select("line_no", "line")).withColumn("file_id", I.file_id("source"))
+    return clean_inputs(ordered_lines(spark, path)).withColumn("file_id", I.file_id("source"))
 
 
 def read_rttm(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -55,28 +51,13 @@ def read_rttm(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     Lines with at least 9 fields starting ``SPEAKER`` are segments; others are
     skipped. A line with a non-numeric start or duration goes to ``rejects``
     and the rest of the file is kept. ``segment_idx`` is the position among the
-    file's accepted segment lines.
+    accepted lines of a file id, over all parts read, by part name and line.
     """
     parsed = raw_lines(spark, path).select("*", R.parse_line("line").alias("p")).where(F.col("p.is_speaker"))
-    good = ordered_lines(spark, path, keep=lambda df: df.select("*", R.parse_line("line").alias("p")).where(F.col("p.ok")))
-    segs = good.select(
-        F.col("p.file_id").alias("file_id"),
-        F.col("line_no").alias("segment_idx"),
-        F.col("p.speaker").alias("speaker"),
-        F.col("p.start_ms").alias("start_ms"),
-        F.col("p.end_ms").alias("end_ms"),
-    )
+    good = parsed.where(F.col("p.ok")).select("path", "_blk", "_pos", "p.*")
+    segs = positional_index(good, "file_id", ["path", "_blk", "_pos"], F.struct("path", "_blk"), name="segment_idx")
     rejects = parsed.where(~F.col("p.ok")).select("path", F.col("_blk").alias("block_start"), "line")
-    return segs, rejects
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path (or glob) matches anything, via the Hadoop file system of the path."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = fs.globStatus(p)
-    return found is not None and len(found) > 0
+    return segs.select("file_id", "segment_idx", "speaker", "start_ms", "end_ms"), rejects
 
 
 def _empty(spark: SparkSession, schema: str) -> DataFrame:
@@ -95,7 +76,7 @@ def read_annotations(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     objects (object, scalar array, truncated text) is a reject, not an empty
     file. Absent keys read as null and take defaults in ``normalise``.
     """
-    if not _exists(spark, path):  # a missing annotation file reads as no segments
+    if not exists(spark, path):  # a missing annotation file reads as no segments
         return (_empty(spark, "file_id string, segment_idx long, speaker string, start_ms long, end_ms long, "
                               "emotion string, emotion_confidence double, language string, language_confidence double"),
                 _empty(spark, "file_id string, name string"))
@@ -132,24 +113,56 @@ def parse_annotation_lines(lines: DataFrame) -> DataFrame:
     return recs.select("file_id", "segment_idx", *[F.col(f"r.{k}").alias(k) for k, _ in S.ANNOTATION_DEFAULTS])
 
 
-def read_file_state(spark: SparkSession, path: str) -> DataFrame:
-    """State snapshot(s) -> one row per file.
+def read_annotation_export(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """What ``sinks.write_annotations`` wrote -> (segments, rejects).
+
+    The exchange form of a large set is one folder ``file_id=<id>`` per file, its parts
+    holding one array element per line in part order: read by lines, with the id from the
+    folder. Concatenated, the parts of a folder are one JSON document.
+    """
+    lines = spark.read.schema("value string, file_id string").text(path).select(
+        "file_id", F.col("_metadata.file_name").alias("part"), F.col("_metadata.file_block_start").alias("_blk"),
+        F.monotonically_increasing_id().alias("_pos"), F.col("value").alias("line"))
+    lines = lines.where(F.trim("line") != "")
+    order = ["part", "_blk", "_pos"]
+    lines = positional_index(lines, "file_id", order, F.struct("part", "_blk"), name="line_idx")
+    element = ~F.col("line").rlike(r"^\s*\[?\s*\]\s*$")
+    body = F.regexp_replace("line", r"^\s*[\[,]\s*|\s*\]\s*$", "")
+    parsed = lines.where(element).select("file_id", "line_idx", "line", F.from_json(body, S.ANNOTATION_RECORD).alias("r"),
+                                         F.try_parse_json(body).isNotNull().alias("_ok"))
+    rejects = parsed.where(~F.col("_ok")).select("file_id", "line")
+    segs = parsed.where("_ok").select(
+        "file_id", F.col("line_idx").alias("segment_idx"), F.col("r.speaker").alias("speaker"),
+        F.round(F.col("r.start") * 1000).cast("long").alias("start_ms"), F.round(F.col("r.end") * 1000).cast("long").alias("end_ms"),
+        F.col("r.emotion").alias("emotion"), F.col("r.emotion_confidence").alias("emotion_confidence"),
+        F.col("r.language").alias("language"), F.col("r.language_confidence").alias("language_confidence"))
+    return segs, rejects
+
+
+def read_file_state(spark: SparkSession, path: str, with_rejects: bool = False) -> DataFrame | tuple[DataFrame, DataFrame]:
+    """State snapshot(s) -> one row per file (and the rejected lines or files).
 
-    Accepts a whole-file JSON object ``{file_id: record}`` (pretty-printed or
-    not) and the bucketed export (one object per line). A corrupt snapshot
-    reads as empty (no rows), like a fresh start.
+    The export has one ``{file_id: record}`` object per line and is read by lines: a bad
+    line is a reject and all others count. A file in which no line is an object by itself
+    is read as one document, pretty-printed or not; if it isn't one, it is a reject.
     """
     mt = T.MapType(T.StringType(), S.STATE_RECORD)
-    if not _exists(spark, path):  # no snapshot yet: a fresh start
-        return _empty(spark, "file_id string, status string, stage string, url string, started_at string, "
-                             "completed_at string, error string")
-    raw = spark.read.text(path, wholetext=True)
-    whole = F.from_json("value", mt)
-    lines = F.filter(F.split(F.col("value"), r"\r?\n"), lambda ln: F.trim(ln) != "")
-    per_line = F.transform(lines, lambda ln: F.from_json(ln, mt))
-    all_lines_parse = F.size(F.filter(per_line, lambda m: m.isNull())) == 0
-    maps = F.when((F.size(lines) > 0) & all_lines_parse, per_line).when(whole.isNotNull(), F.array(whole))
-    return raw.select(F.explode(maps).alias("m")).select(F.explode("m").alias("file_id", "r")).select("file_id", "r.*")
+    state_t = "file_id string, status string, stage string, url string, started_at string, completed_at string, error string"
+    if not exists(spark, path):  # no snapshot yet: a fresh start
+        none = _empty(spark, state_t), _empty(spark, "path string, line string")
+        return none if with_rejects else none[0]
+    one_line = r"^\s*\{\s*\"(?:[^\"\\\\]|\\\\.)*\"\s*:\s*\{.*\}\s*\}\s*$"
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line")).where(F.trim("line") != "")
+    m = F.when(F.col("line").rlike(one_line) & F.try_parse_json("line").isNotNull(), F.from_json("line", mt))
+    parsed = lines.select("path", "line", m.alias("m"))
+    by_line = parsed.groupBy("path").agg(F.count("m").alias("n")).where("n > 0").select("path")
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line"))
+    whole = whole.join(by_line, "path", "left_anti").where(F.trim("line") != "").select(
+        "path", "line", F.when(F.try_parse_json("line").isNotNull(), F.from_json("line", mt)).alias("m"))
+    every = parsed.join(by_line, "path", "left_semi").unionByName(whole)
+    state = every.where("m is not null").select(F.explode("m").alias("file_id", "r")).select("file_id", "r.*")
+    bad = every.where("m is null").select("path", F.explode(F.split("line", r"\r?\n")).alias("line")).where(F.trim("line") != "")
+    return (state, bad) if with_rejects else state
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:

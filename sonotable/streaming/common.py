@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sonotable.storage import exists
+
 
 def batch_log_writer(path: str, transform: Callable[[DataFrame, int], DataFrame] | None = None):
     """foreachBatch function appending each micro-batch to ``path/batch_id=<id>`` (overwritten on replay)."""
@@ -64,10 +66,9 @@ def compact_batch_log(spark: SparkSession, path: str, keys: list[str]) -> int:
 
 
 def _latest_snapshot(spark: SparkSession, path: str):
-    try:
-        snaps = spark.read.parquet(f"{path}_snapshot")
-    except Exception:  # noqa: BLE001 - no snapshot yet
+    if not exists(spark, f"{path}_snapshot"):
         return None
+    snaps = spark.read.parquet(f"{path}_snapshot")
     upto = snaps.agg(F.max("upto")).first()[0]
     if upto is None:
         return None

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from sonotable.operators import audio as AU
 from sonotable.operators.inputs import clean_inputs, dedupe_inputs, with_file_ids
+from sonotable.storage import exists
 from sonotable.streaming.common import read_batch_log, run_available
 
 
 def _known_ids(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    try:
-        t = read_batch_log(spark, path)
-    except Exception:  # noqa: BLE001 - nothing written yet
+    if not exists(spark, path):
         return None
+    t = read_batch_log(spark, path)
     return t.where(F.col("batch_id") < batch_id).select("file_id").distinct()
 
 
@@ -37,7 +37,7 @@ def stream_audio(spark: SparkSession, root: str, out_path: str, checkpoint: str,
     """Landed audio folder as a stream -> table of header facts and validation per new file.
 
     The file source remembers processed files in its checkpoint; ``content`` is
-    never selected, the header is read from each file's first bytes.
+    never selected; header facts come from a walk over the chunk headers.
     """
     from sonotable.functions import ids as I
 

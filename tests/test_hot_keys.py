@@ -22,8 +22,7 @@ def _segments(spark):
         F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.format_string("f%05d", F.col("id") % 2000)).alias("file_id"),
         F.col("id"),
     )
-    # the hot file (10,000 rows) is over a 5,000-row task budget, so it is sliced
-    segs = SQ.positional_index(base, "file_id", ["id"], "segment_idx", num_slices=12, max_group_rows=5000)
+    segs = SQ.positional_index(base, "file_id", ["id"], F.floor(F.col("id") / 5000), "segment_idx")
     return segs.select(
         "file_id", "segment_idx",
         F.concat(F.lit("S"), (F.col("id") % 4).cast("string")).alias("speaker"),
@@ -39,9 +38,10 @@ def _segments(spark):
 
 def test_hot_file_is_cut_into_slices(spark):
     base = spark.range(N).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.lit("x")).alias("k"), "id")
-    sl = SQ._slices(base, "k", ["id"], 12)
-    per = {r[SQ._PID]: r["n"] for r in sl.where("k = 'hot'").groupBy(SQ._PID).agg(F.count("*").alias("n")).collect()}
-    assert len(per) >= 3 and max(per.values()) < N // 3  # no slice holds the whole hot file
+    plan = SQ.positional_index(base, "k", ["id"], F.floor(F.col("id") / 5000))._jdf.queryExecution().executedPlan().toString()
+    # rows are dealt by key and slice, and only the one-row-per-slice counts by key alone
+    assert "hashpartitioning(k" in plan and "_slice" in plan.split("hashpartitioning(k", 1)[1].split("\n")[0]
+    assert "SinglePartition" not in plan and "rangepartitioning" not in plan
 
 
 def test_hot_file_index_and_summaries_exact(spark):
@@ -74,7 +74,7 @@ def test_hot_file_fold_and_lag(spark):
     last_status = [r for r in rows if r["action"] in ("started", "completed", "failed")][-1]["action"]
     assert hot.status == {"started": "in_progress"}.get(last_status, last_status)
     assert hot.stage == [r for r in rows if r["action"] == "stage"][-1]["stage"]
-    lag = SQ.previous_values(ev, "file_id", ["seq"], ["us"], num_slices=12, max_group_rows=5000)
+    lag = SQ.previous_values(ev, "file_id", ["seq"], ["us"], F.floor(F.col("seq") / 5000))
     ref = ev.withColumn("ref", F.lag("us").over(Window.partitionBy("file_id").orderBy("seq")))
     bad = lag.join(ref.select("seq", "ref"), "seq").where("NOT (prev_us <=> ref)")
     assert bad.count() == 0
@@ -107,8 +107,8 @@ def test_long_recording_normalised_across_tasks(spark):
         with wave.open(os.path.join(d, f"{name}.wav"), "wb") as w:
             w.setnchannels(1), w.setsampwidth(2), w.setframerate(8000), w.writeframes(x.tobytes())
     files = AU.read_audio(spark, d).select("file_id", "path")
-    frames, _ = AU.normalise_wav_files(files, target_rate=16000, chunk_s=20, num_partitions=8)
-    tagged = frames.withColumn("task", F.spark_partition_id())
+    frames, _ = AU.normalise_wav_files(files, target_rate=16000, chunk_s=20)
+    tagged = AU.normalised_parts(files, target_rate=16000, chunk_s=20).withColumn("task", F.spark_partition_id())
     tasks = tagged.where("file_id = 'long'").select("task").distinct().count()
     assert tasks >= 4  # the long file's chunks are decoded by several tasks
     whole, _ = AU.normalise_pcm(AU.read_audio(spark, d, with_content=True), target_rate=16000)

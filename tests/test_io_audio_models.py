@@ -281,7 +281,7 @@ def test_chunked_normalisation_equals_whole_file(spark):
     _wav(os.path.join(d, "odd.wav"), 22050, 2, 13.3, freq=97.0)
     whole, wr = AU.normalise_pcm(AU.read_audio(spark, d, with_content=True), target_rate=16000)
     files = AU.read_audio(spark, d).select("file_id", "path")
-    chunked, cr = AU.normalise_wav_files(files, target_rate=16000, chunk_s=7, num_partitions=5)
+    chunked, cr = AU.normalise_wav_files(files, target_rate=16000, chunk_s=7)
     a = {(r.file_id, r.frame_idx): bytes(r.pcm) for r in whole.collect()}
     b = {(r.file_id, r.frame_idx): bytes(r.pcm) for r in chunked.collect()}
     assert a == b
@@ -349,9 +349,9 @@ def test_annotation_job_exports(spark, tmpdir_new):
     root = os.path.join(tmpdir_new, "job")
     first = inputs.where("file_id < 'f000008'")
     annotate_job.run(spark, first, root, stubs.fixed_turns, stubs.energy_scores, stubs.energy_probs,
-                     audio_frames=frames, rate=FX.FRAME_SAMPLES, window_s=60, run_us=10)
+                     audio_frames=frames, rate=FX.FRAME_SAMPLES, window_s=60, run_us=10, exports=True)
     annotate_job.run(spark, inputs, root, stubs.fixed_turns, stubs.energy_scores, stubs.energy_probs,
-                     audio_frames=frames, rate=FX.FRAME_SAMPLES, window_s=60, run_us=20)
+                     audio_frames=frames, rate=FX.FRAME_SAMPLES, window_s=60, run_us=20, exports=True)
     n_files = files.count()
     jdirs = glob.glob(os.path.join(root, "exports/json/file_id=*"))
     assert len(jdirs) == n_files  # the second run kept the first run's folders
@@ -361,8 +361,8 @@ def test_annotation_job_exports(spark, tmpdir_new):
     rttm, rej = IO.read_rttm(spark, os.path.join(root, "exports/rttm/*/*.txt"))
     turns = spark.read.parquet(os.path.join(root, "turns"))
     assert rttm.count() == turns.count() and rej.count() == 0
-    assert IO.read_manifest(spark, os.path.join(root, "exports/manifest_csv")).count() == n_files
-    st = IO.read_file_state(spark, os.path.join(root, "exports/state_json"))
+    assert IO.read_manifest(spark, os.path.join(root, "exports/manifest_csv/run=*")).count() == n_files
+    st = IO.read_file_state(spark, os.path.join(root, "exports/state_json/run=*"))
     assert st.where("status = 'completed'").count() == n_files
 
 
