@@ -80,27 +80,59 @@ def anti_join_small(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return both.where("not _maybe").drop("_maybe").unionByName(both.where("_maybe").drop("_maybe").join(keys, key, "left_anti"))
 
 
-def connected(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
+#: Links that one task of ``connected`` contracts at a time.
+LINKS_PER_TASK = 500_000
+
+
+def _contract(batches):
+    """Links of one task as stars: every node points at the smallest that they connect it with."""
+    import pandas as pd
+
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        top = x
+        while root[top] != top:
+            top = root[top]
+        while root[x] != top:
+            root[x], x = top, root[x]
+        return top
+
+    for pdf in batches:
+        for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist()):
+            root.setdefault(a, a)
+            root.setdefault(b, b)
+            a, b = find(a), find(b)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+    nodes = [x for x in root if find(x) != x]
+    yield pd.DataFrame({"a": nodes, "b": [find(x) for x in nodes]}, dtype="int64")
+
+
+def connected(edges: DataFrame, name: str, links_per_task: int = LINKS_PER_TASK, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b); the root is the smallest node that links lead to.
 
-    Alternates the large-star and the small-star step: each round is a group-by and a join
-    over the edges, whose number does not grow, written to the shared folder.
+    A round first contracts the links of each task to stars, then joins the stars of
+    different tasks by a large-star and a small-star step (a group-by and a join over the
+    links, whose number never grows). Once all that is left fits one task, its stars are
+    the answer. Every round is written to the shared folder.
     """
     edges = written(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    last = None
     for _ in range(max_rounds):
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        tasks = -(-edges.count() // links_per_task)
+        if tasks <= 1:
+            edges = written(edges.coalesce(1).mapInPandas(_contract, "a long, b long"), name)
+            # a star: every node points at its root
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
+        stars = edges.repartition(tasks).mapInPandas(_contract, "a long, b long").distinct()
+        both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.select("a", F.col("m").alias("b")).union(small.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
-        edges = written(small, name)
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == last:
-            break
-        last = state
-    else:
-        raise RuntimeError(f"{name}: no fixed point in {max_rounds} rounds")
-    # a star: every node points at its root
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
+        following = written(small, name)
+        if following.exceptAll(edges).isEmpty() and edges.exceptAll(following).isEmpty():
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
+        edges = following
+    raise RuntimeError(f"{name}: no fixed point in {max_rounds} rounds")

@@ -48,7 +48,7 @@ RARE_DF = 2000           # tokens of more sets than this are of the frequent cla
 K = 2                    # size of a combination
 FLUSH = 1 << 20          # tokens gathered before a task sends packed rows
 BUCKET_BYTES = 16 << 20  # text per bucket
-BLOCK = 4096             # sets verified in one task against each other
+BLOCK = 1024            # sets verified in one task against each other
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -276,9 +276,10 @@ def jaccard_components(docs: DataFrame, rare_df: int = RARE_DF, block: int = BLO
 
     dealt = rows.where("doc_id is not null").mapInPandas(_deal(n_buckets, True), DEALT)
     shared = dealt.groupBy("bucket").applyInPandas(_shared_counts, "flush binary, shared binary, ids binary")
-    left = written(shared.groupBy("flush").applyInPandas(_survivors, "s0 long, s1 long").distinct(), "ngram-left")
-    release(spark)
+    left = shared.groupBy("flush").applyInPandas(_survivors, "s0 long, s1 long").distinct()
     chosen = written(left.join(classes, ["s0", "s1"]).select(F.col("id").alias("doc_id")).distinct(), "ngram-chosen")
+    del dealt, shared, left
+    release(spark)
     texts = semi_join_small(rows, chosen, "doc_id")
 
     freq = texts.mapInPandas(_deal(n_buckets, False), DEALT).groupBy("bucket").applyInPandas(_with_df, DEALT + ", df binary")
@@ -286,7 +287,7 @@ def jaccard_components(docs: DataFrame, rare_df: int = RARE_DF, block: int = BLO
     entries = indexed.select("id", F.explode("signatures").alias("signature"))
     first = entries.groupBy("signature").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     stars = entries.join(first, "signature").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
-    groups = written(connected(stars, "ngram-candidates"), "ngram-groups")
+    groups = connected(stars, "ngram-candidates")
 
     sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
     blocks = F.ceil(F.col("size") / block).cast("int")
