@@ -208,7 +208,7 @@ class Index:
 def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         parts = [p for t in pdf["text"] for p in parts_of(words_of(t))]
-        yield pd.DataFrame({"words": parts, "n": [len(p) for p in parts]})
+        yield pd.DataFrame({"words": pd.Series(parts, dtype=object), "n": pd.Series([len(p) for p in parts], dtype="int64")})
 
 
 def indexes(benchmark: DataFrame, max_shard_bytes: int = 32 << 20) -> list[Index]:

@@ -95,7 +95,7 @@ def _sampled(doc_id: Column, share: float, seed: int) -> Column:
 def _word_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         found = [sorted(features_of(t)) for t in pdf["text"]]
-        yield pd.DataFrame({"positive": pdf["positive"].repeat([len(w) for w in found]).to_numpy(), "word": [x for w in found for x in w]})
+        yield pd.DataFrame({"positive": pdf["positive"].repeat([len(w) for w in found]).to_numpy(), "word": pd.Series([x for w in found for x in w], dtype=object)})
 
 
 def _feature_rows(words: list[str]):
