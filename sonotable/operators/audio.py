@@ -273,6 +273,7 @@ WAV_LAYOUT = T.StructType([
 # Format tags of a RIFF ``fmt `` chunk.
 TAG_INT, TAG_FLOAT, TAG_EXTENSIBLE = 1, 3, 0xFFFE
 CHUNK_S = 60
+CHUNKS_PER_TASK = 64
 SINC_ZEROS = 16  # zero crossings of the low-pass kernel on each side
 
 
@@ -472,7 +473,10 @@ def normalised_parts(files: DataFrame, target_rate: int = S.SAMPLE_RATE, chunk_s
     ok = lay.where(F.col("sample_rate").isNotNull()).withColumn(
         "n_out", F.floor(F.col("n_frames") * F.lit(target_rate) / F.col("sample_rate")).cast("long"))
     last_chunk = F.greatest(F.ceil(F.col("n_out") / F.lit(target_rate * chunk_s)).cast("long") - 1, F.lit(0).cast("long"))
-    chunks = ok.select("*", F.explode(F.sequence(F.lit(0).cast("long"), last_chunk)).alias("chunk")).repartitionByRange("file_id", "chunk")
+    # a narrow row stands for a minute of audio: the number of tasks follows the chunks, not the bytes of their rows
+    n_chunks = ok.agg(F.sum(last_chunk + 1)).first()[0] or 1
+    tasks = max(min(n_chunks, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))), n_chunks // CHUNKS_PER_TASK)
+    chunks = ok.select("*", F.explode(F.sequence(F.lit(0).cast("long"), last_chunk)).alias("chunk")).repartitionByRange(tasks, "file_id", "chunk")
 
     def part(r):
         def frames():

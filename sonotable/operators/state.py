@@ -124,13 +124,14 @@ def pending_stages(inputs: DataFrame, state: DataFrame) -> DataFrame:
     return j.where(run).select("file_id", F.col("_i").cast("long").alias("stage_pos"), "stage")
 
 
-# slices of the event order of a file
-SEQ_SLICE = F.floor(F.col("seq") / 100_000)
+def _seq_slice() -> F.Column:
+    """Slices of the event order of a file."""
+    return F.floor(F.col("seq") / 100_000)
 
 
 def stage_elapsed(events: DataFrame) -> DataFrame:
     """Time since the file's previous event, per event (null for the first)."""
-    prev = previous_values(events.select("file_id", "seq", "us", "action", "stage"), "file_id", ["seq"], ["us"], SEQ_SLICE)
+    prev = previous_values(events.select("file_id", "seq", "us", "action", "stage"), "file_id", ["seq"], ["us"], _seq_slice())
     return prev.select("file_id", "seq", "action", "stage", (F.col("us") - F.col("prev_us")).alias("elapsed_us"))
 
 
@@ -149,7 +150,7 @@ def progress(events: DataFrame) -> DataFrame:
 
 def progress_elapsed(events: DataFrame) -> DataFrame:
     """``progress`` plus ``elapsed_us``: time from the file's previous event to its newest stage message."""
-    prev = previous_values(events.select("file_id", "seq", "us", "action", "stage"), "file_id", ["seq"], ["us"], SEQ_SLICE)
+    prev = previous_values(events.select("file_id", "seq", "us", "action", "stage"), "file_id", ["seq"], ["us"], _seq_slice())
     latest = prev.where(F.col("action") == "stage").groupBy("file_id").agg(
         F.max_by(F.struct("stage", "us", (F.col("us") - F.col("prev_us")).alias("elapsed")), F.col("seq")).alias("_m")
     )
