@@ -85,12 +85,18 @@ def summary_metrics(segments: DataFrame, files: DataFrame | None = None, duratio
     ``durations_ms`` (file_id, duration_ms) is the audio length, <= 0 or absent
     falling back to the largest segment end.
     """
-    base = segments.groupBy("file_id").agg(
-        num_speakers_expr().alias("num_speakers"), F.max("end_ms").alias("_max_end_ms")
-    )
-    emo = dominant_value(segments, "emotion")
-    lang = dominant_value(segments, "language")
-    out = base.join(emo, "file_id", "left").join(lang, "file_id", "left")
+    # one pass: a (kind, value) row per label, counted map-side, then one row per file
+    labels = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in ("speaker", "emotion", "language")])
+    rows = segments.select("file_id", "segment_idx", "end_ms", F.inline(labels))
+    counts = rows.groupBy("file_id", "kind", "value").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("segment_idx").alias("_first"), F.max("end_ms").alias("_end"))
+
+    def dominant(kind: str) -> F.Column:
+        real = (F.col("kind") == kind) & L.is_label("value", (S.TOO_SHORT, S.ERROR))
+        return F.max_by("value", F.when(real, F.struct(F.col("_n"), -F.col("_first")))).alias(f"dominant_{kind}")
+
+    out = counts.groupBy("file_id").agg(
+        F.count_if(F.col("kind") == "speaker").alias("num_speakers"), F.max("_end").alias("_max_end_ms"), dominant("emotion"), dominant("language"))
     if durations_ms is not None:
         out = out.join(durations_ms.select("file_id", "duration_ms"), "file_id", "left")
         dur = F.when(F.coalesce(F.col("duration_ms"), F.lit(0)) > 0, F.col("duration_ms")).otherwise(F.col("_max_end_ms"))
