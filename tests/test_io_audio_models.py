@@ -399,6 +399,35 @@ def test_diarize_keeps_times_across_missing_frames(spark):
     assert ta == tb == [(0, 3000), (3000, 6000), (6000, 9000), (9000, 12000)]
 
 
+def test_speakers_and_turns_do_not_depend_on_windows(spark):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(7)
+    levels = []
+    while len(levels) < 400:  # runs of up to 70 s of four speakers, with pauses
+        levels += [rng.choice([0, 1, 2, 3, 4])] * rng.randrange(1, 70)
+    frames = [("g", i, np.full(10, x, dtype="<i2").tobytes()) for i, x in enumerate(levels)]
+    df = spark.createDataFrame(frames, "file_id string, frame_idx long, pcm binary")
+    want, k = [], 0
+    while k < len(levels):
+        end = k
+        while end < len(levels) and levels[end] == levels[k]:
+            end += 1
+        if levels[k]:
+            want.append((k * 1000, end * 1000, levels[k]))
+        k = end
+    for window_s in (20, 60, 1000):
+        segs, errors = IF.diarize(df, stubs.voiced_turns, rate=10, window_s=window_s, overlap_s=10)
+        got = [(r.start_ms, r.end_ms, r.speaker) for r in segs.orderBy("segment_idx").collect()]
+        assert errors.count() == 0 and [g[:2] for g in got] == [w[:2] for w in want], window_s
+        names = {}
+        for g, w in zip(got, want):
+            assert names.setdefault(w[2], g[2]) == g[2]
+        assert len(set(names.values())) == len(names)
+
+
 def test_header_after_large_metadata_chunk(spark, tmpdir_new):
     import numpy as np
 
