@@ -225,7 +225,8 @@ def test_planted_items_are_found_and_others_left(spark):
 def test_pseudonyms_keep_formats_links_and_come_back(spark):
     texts = ["pay 4111 1111 1111 1111 now", "4111111111111111", "4111111111111112 bad", "call +1 (017) 555-7713 or 212-555-0199.",
              "ssn 123-45-6789 and 000-12-1234", "ip 129.38.82.176, 999.1.1.1", "on 2024-02-29 or 29.02.2024 not 2023-02-30",
-             "mail und.34@mail7.example.com", "", None, "x 5500 0000 0000 0004\n12/05/1987 y 129.38.82.176", "9" * 40 + " " + "1 " * 3000]
+             "mail und.34@mail7.example.com", "", None, "x 5500 0000 0000 0004\n12/05/1987 y 129.38.82.176", "9" * 40 + " " + "1 " * 3000,
+             "a" * 200_000 + "1"]  # a run without end is read once
     docs = docs_of(spark, list(enumerate(texts)))
     changed = pii.pseudonymise(docs)
     got = {r.doc_id: r for r in changed.collect()}
