@@ -39,8 +39,22 @@ def ascii_lower(text):
         F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
 
+#: Texts that a Python worker is handed at a time; Spark's own default of 10,000 whole texts takes too much memory.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def select_plain(df: DataFrame, *names: str) -> DataFrame:
-    """Columns by exact name only; a column whose name differs in case does not make them ambiguous."""
+    """Columns by exact name only; a column whose name differs in case does not make them ambiguous.
+
+    Every operator on texts starts here, so this also bounds the batches that tasks hand to Python.
+    """
+    bounded_batches(df.sparkSession)
     at = {c: i for i, c in reversed(list(enumerate(df.columns)))}
     renamed = df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
     return renamed.select(*[F.col(f"_c{at[n]}").alias(n) for n in names])

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-MAX_WORDS = 400_000
+MAX_WORDS = 150_000  # cached per Python worker
 
 # odd multipliers for the positions of a run; fixed, so that all tasks agree
 MULTIPLIERS = np.random.default_rng(20240229).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

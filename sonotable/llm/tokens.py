@@ -18,7 +18,7 @@ from array import array
 import numpy as np
 
 #: Cached parts per Python worker and generation (see ``_Cache``).
-MAX_PARTS = 300_000
+MAX_PARTS = 250_000
 _ENDS = frozenset(".,;:!?")
 
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -64,12 +64,12 @@ class Coder:
         self.space = chr(self.chars[32])
         self.plain = _Cache(lambda part: self._part("", part))
         self.spaced = _Cache(lambda part: self._part(" ", part))
-        self.piece = _Cache(self._piece)
 
     def _pipeline(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
 
     def _piece(self, piece: str) -> bytes:
+        """Ids of what the pipeline would hand to the model as one piece."""
         if piece.isascii() and piece.isprintable():
             symbols = piece.replace(" ", self.space)
         else:
@@ -82,11 +82,11 @@ class Coder:
     def _part(self, lead: str, part: str) -> bytes:
         if part.isascii():
             if part.isalpha():
-                return self.piece[lead + part]
-            if part[-1:] in _ENDS and part[:-1].isalpha():
-                return self.piece[lead + part[:-1]] + self.piece[part[-1]]
+                return self._piece(lead + part)
+            if part[-1:] in _ENDS and part[:-1].isalpha():  # a word and its mark are two pieces
+                return (self.spaced if lead else self.plain)[part[:-1]] + self.plain[part[-1]]
         if _PLAIN.fullmatch(part):
-            return b"".join(map(self.piece.__getitem__, _PIECE.findall(lead + part)))
+            return b"".join(map(self._piece, _PIECE.findall(lead + part)))
         return self._pipeline(lead + part)
 
     def encode(self, text: str) -> np.ndarray:

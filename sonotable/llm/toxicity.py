@@ -64,7 +64,7 @@ def features_of(text: str | None) -> set[str]:
 class Scorer:
     """Sums of weights over the features of a text. Each word's known features are looked up once and cached."""
 
-    def __init__(self, weights: dict[str, float], max_cached: int = 300_000):
+    def __init__(self, weights: dict[str, float], max_cached: int = 100_000):
         self.weights, self.max_cached, self.cache = weights, max_cached, {}
 
     def _known(self, word: str) -> tuple[str, ...]:
