@@ -47,7 +47,7 @@ from sonotable.llm.substring import per_document, repeated_windows
 LENGTH = 100
 GRAM = 24
 SPAN = LENGTH - GRAM + 1      # grams in a string
-CHUNK = 256 << 10             # bytes of contexts in one transform
+CHUNK = 128 << 10             # bytes of contexts in one transform
 FLUSH = 8 << 20               # bytes of contexts gathered before a task sends packed rows
 BUCKET_BYTES = 16 << 20
 HOT = 200_000                 # documents with an anchor, above which its strings are matched one by one
