@@ -63,36 +63,49 @@ def lower_bound(counts: np.ndarray, size: int) -> int:
 def fillings(counts: list[int], room: int, limit: int) -> list[tuple[int, ...]]:
     """Up to ``limit`` fillings of ``room``, least waste first, then those of fewer and larger pieces.
 
-    Pieces are chosen in falling order. A filling is dominated, and left out, if its
-    room still takes another piece: the fuller one is listed instead.
+    Pieces are chosen in falling order, equal ones as one run (length, count), so the stack
+    is as deep as there are lengths. A filling is dominated, and left out, if its room still
+    takes another piece: the fuller one is listed instead.
     """
-    smallest = next((n for n in range(1, room + 1) if counts[n]), None)
-    if smallest is None:
+    lengths = [n for n in range(min(room, len(counts) - 1), 0, -1) if counts[n]]
+    if not lengths:
         return [()]
-    found: list[tuple[int, tuple[int, ...]]] = []
+    smaller = [0] * (len(lengths) + 1)  # all pieces from each length on
+    for i in range(len(lengths) - 1, -1, -1):
+        smaller[i] = smaller[i + 1] + lengths[i] * counts[lengths[i]]
+    found: list[tuple[int, int, list[tuple[int, int]]]] = []
     least = room + 1
     steps = 0
-
-    def descend(room: int, top: int, chosen: tuple[int, ...]) -> None:
-        nonlocal least, steps
-        steps += 1
-        n = min(room, top)
-        any_fit = False
-        while n >= smallest and steps < 4000 and not (least == 0 and len(found) >= limit):
-            used = chosen.count(n)
-            if counts[n] > used:
-                any_fit = True
-                descend(room - n, n, chosen + (n,))
-                if steps > 400 and found:
-                    break
-            n -= 1
-        if not any_fit and not any(counts[m] > chosen.count(m) for m in range(smallest, room + 1)):
-            found.append((room, chosen))
+    runs: list[tuple[int, int]] = []  # (place in lengths, count)
+    at = 0
+    while True:
+        for i in range(at, len(lengths)):  # as many as fit of each length
+            k = min(room // lengths[i], counts[lengths[i]])
+            if k:
+                runs.append((i, k))
+                room -= k * lengths[i]
+                steps += 1
+            if room < lengths[-1]:
+                break
+        taken = dict(runs)
+        if not any(counts[n] > taken.get(i, 0) for i, n in enumerate(lengths) if n <= room):
+            found.append((room, sum(taken.values()), list(runs)))
             least = min(least, room)
-
-    descend(room, room, ())
-    found.sort(key=lambda x: (x[0], len(x[1])))
-    return [c for _, c in found[:limit]] or [()]
+        if steps >= 4000 or steps > 400 and found or least == 0 and len(found) >= limit:
+            break
+        while runs:  # one less of the last run, if smaller pieces can take its place
+            i, k = runs.pop()
+            room += lengths[i]
+            if room - smaller[i + 1] < lengths[i]:
+                if k > 1:
+                    runs.append((i, k - 1))
+                at = i + 1
+                break
+            room += (k - 1) * lengths[i]
+        else:
+            break
+    found.sort(key=lambda x: x[:2])
+    return [tuple(lengths[i] for i, k in r for _ in range(k)) for _, _, r in found[:limit]]
 
 
 def plan(counts: np.ndarray, size: int, max_nodes: int = 20_000, branch: int = 4) -> list[tuple[tuple[int, ...], int]]:
