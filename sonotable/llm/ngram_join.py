@@ -85,7 +85,8 @@ def _deal(n_buckets: int, narrow: bool):
     """Packed rows, one per bucket and flush: keys of the sets' tokens in the bucket, set by set, and how many of each set.
 
     The rows of bucket 0 also hold what identifies the sets: (s0, s1, id, size). A flush is
-    named by a hash of its sets, so that a task that runs again sends the same rows.
+    named by a hash of its sets, so that a task that runs again sends the same rows. Tasks
+    that read the same rows send flushes of one name and content; a bucket keeps one of them.
     """
     def packed(sets: dict) -> Iterator[pd.DataFrame]:
         tokens = np.concatenate([t for t, _ in sets.values()])
@@ -129,6 +130,7 @@ def _counts_of(row) -> np.ndarray:
 
 def _shared_counts(pdf: pd.DataFrame) -> pd.DataFrame:
     """Of the sets in each flush, how many of their tokens in this bucket other sets have as well."""
+    pdf = pdf.drop_duplicates("flush")
     keys = unblob(pdf["keys"], np.uint32)
     order = np.argsort(keys, kind="stable")
     k = keys[order]
@@ -158,6 +160,7 @@ def _survivors(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _with_df(pdf: pd.DataFrame) -> pd.DataFrame:
     """Keys of a bucket and the number of sets that have each."""
+    pdf = pdf.drop_duplicates("flush")
     keys = unblob(pdf["keys"], np.uint64)
     _, inverse, n = np.unique(keys, return_inverse=True, return_counts=True)
     df = n[inverse].astype(np.uint32)

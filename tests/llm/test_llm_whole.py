@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 
-from sonotable.llm import packing
+from sonotable.llm import ngram_join, packing
 
 
 def docs_of(spark, rows):
@@ -43,3 +44,16 @@ def test_packing_of_thousands_of_empty_texts(spark):
         parts.sort()
         assert [o for o, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))]
     assert len(places) == -(-sum(r.length for r in rows) // packing.SIZE)
+
+
+# ---- n-gram join ------------------------------------------------------------------------------------
+
+@pytest.mark.parametrize("others", [[], [(4, "x0 x1 x2 x3 x4 x5"), (3, "X0 x1 x2 x3 x4 x5"), (8, "alone " * 9)]])
+def test_tasks_that_read_the_same_rows(spark, others):
+    words = [f"w{k}" for k in range(60)]
+    rows, part = [(5, " ".join(words)), *others], spark.sparkContext.parallelize
+    # twice the same partition, and a near copy of a repeated row in one of its own
+    tasks = part(rows, 1).union(part(rows, 1)).union(part([(7, " ".join([*words[:-1], "end"]))], 1))
+    got = ngram_join.jaccard_components(spark.createDataFrame(tasks, "doc_id long, text string")).collect()
+    want = [(5, 5), (5, 5), (7, 5)] + [(i, 3 if i < 5 else i) for i, _ in others] * 2
+    assert sorted((r.doc_id, r.component_id) for r in got) == sorted(want)
