@@ -14,7 +14,9 @@ into small ones, without a miss:
    contexts at a time. Breadth-first backward extension derives common prefixes by
    increasing value and stops at ``LENGTH`` (``bwt.string_classes``). Of each class of
    equal strings the first occurrence stays and the others are repeats. Bytes are
-   compared, so the result holds whatever the hashes do.
+   compared, so the result holds whatever the hashes do. An anchor whose different contexts
+   exceed ``CHUNK`` on their own has its strings compared at each place of the anchor in
+   them instead, byte by byte outwards from the anchor: that takes a few integers a context.
 4. Replies go back to the flush, then to the document, which drops the covered bytes.
 
 An anchor beside a very frequent passage can have a context of its own in every document
@@ -205,6 +207,63 @@ def _later_strings(items: list[tuple[bytes, tuple[int, int, int]]]) -> tuple[np.
     return item[later], offset[later]
 
 
+def _joint(c: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Class of each pair (c, x), and which classes have several members; c is less than its length, x less than 2^32."""
+    _, of, n = np.unique(c.astype(np.int64) << 32 | x.astype(np.int64), return_inverse=True, return_counts=True)
+    return of, n[of] > 1
+
+
+def _later_runs(items: list[tuple[bytes, int, tuple[int, int, int]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context number, offset, count) of the strings that occur earlier, for many contexts (text, shift, first place) of one anchor.
+
+    Equal strings have the anchor at the same place ``d``: they share the class of their
+    ``d`` bytes before it and that of the bytes from it on. Contexts that are alone in a
+    class stay alone when it grows by a byte and drop out.
+    """
+    n = len(items)
+    data = np.frombuffer(b"".join(t for t, _, _ in items), dtype=np.uint8)
+    sizes, shift = np.array([len(t) for t, _, _ in items], dtype=np.int64), np.array([s for _, s, _ in items], dtype=np.int64)
+    anchor = np.cumsum(sizes) - sizes + shift
+    place = np.array([p for _, _, p in items], dtype=np.int64)
+    keys = (place[:, 2] + shift, place[:, 1], place[:, 0])
+    by_place = np.lexsort(keys)
+    rank = np.zeros(n, dtype=np.int64)
+    rank[by_place[1:]] = np.cumsum(np.any([k[by_place][1:] != k[by_place][:-1] for k in keys], axis=0))
+
+    at, of = np.arange(n), np.zeros(n, dtype=np.int64)
+    right = []  # contexts and their classes, by bytes after the gram
+    for m in range(GRAM + SPAN - 1):
+        inside = sizes[at] - shift[at] > m
+        at, of = at[inside], of[inside]
+        of, several = _joint(of, data[anchor[at] + m])
+        at, of = at[several], of[several]
+        if m >= GRAM - 1:
+            right.append((at.astype(np.int32), of.astype(np.int32)))
+    later = np.zeros((n, SPAN + 2), dtype=bool)  # column offset + 1
+    at, of = np.arange(n), np.zeros(n, dtype=np.int64)
+    behind = np.empty(n, dtype=np.int64)
+    for d in range(SPAN):
+        if d:
+            inside = shift[at] >= d
+            at, of = at[inside], of[inside]
+            of, several = _joint(of, data[anchor[at] - d])
+            at, of = at[several], of[several]
+        behind[:] = -1
+        behind[right[-1 - d][0]] = right[-1 - d][1]
+        both = behind[at] >= 0
+        member = at[both]
+        c, _ = _joint(of[both], behind[member])
+        order = np.lexsort((rank[member], c))
+        lead = np.ones(len(order), dtype=bool)
+        lead[1:] = c[order][1:] != c[order][:-1]
+        first = order[np.maximum.accumulate(np.where(lead, np.arange(len(order)), 0))]
+        again = member[order[rank[member[order]] != rank[member[first]]]]
+        later[again, shift[again] - d + 1] = True
+    item, start = np.nonzero(later[:, 1:] & ~later[:, :-1])
+    _, end = np.nonzero(later[:, :-1] & ~later[:, 1:])
+    return item, start, end - start
+
+
 def _match_contexts(pdf: pd.DataFrame) -> pd.DataFrame:
     """Which strings of the flushes' contexts in this bucket are later than an equal one."""
     rows = list(pdf.itertuples(index=False))
@@ -234,9 +293,15 @@ def _match_contexts(pdf: pd.DataFrame) -> pd.DataFrame:
             for place, k, owner in places:
                 if place != places[0][0]:
                     replies[k].append((owner, place[2], len(text) - LENGTH + 1))
-        if len(by_text) > 1:  # the strings of one context differ in their place around the anchor
+        size = sum(len(t) for _, t in by_text)
+        if size > CHUNK:
+            several = [(text, shift, *places[0]) for (shift, text), places in by_text.items()]
+            for i, offset, count in zip(*[x.tolist() for x in _later_runs([x[:3] for x in several])]):
+                _, _, place, k, owner = several[i]
+                replies[k].append((owner, place[2] + offset, count))
+        elif len(by_text) > 1:  # the strings of one context differ in their place around the anchor
             chunk += [(text, *places[0]) for (_, text), places in by_text.items()]
-            held += sum(len(t) for _, t in by_text)
+            held += size
             if held >= CHUNK:
                 settle()
                 chunk, held = [], 0

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import random
+import tracemalloc
+
 import numpy as np
+import pandas as pd
 import pytest
 
-from sonotable.llm import ngram_join, packing
+from sonotable.llm import ngram_join, packing, suffix_dedup
 
 
 def docs_of(spark, rows):
@@ -57,3 +61,58 @@ def test_tasks_that_read_the_same_rows(spark, others):
     got = ngram_join.jaccard_components(spark.createDataFrame(tasks, "doc_id long, text string")).collect()
     want = [(5, 5), (5, 5), (7, 5)] + [(i, 3 if i < 5 else i) for i, _ in others] * 2
     assert sorted((r.doc_id, r.component_id) for r in got) == sorted(want)
+
+
+# ---- suffix dedup -----------------------------------------------------------------------------------
+
+def later_strings(texts, length=suffix_dedup.LENGTH):
+    """(document, start) of the strings that an earlier document or place has."""
+    seen, out = set(), set()
+    for i, b in enumerate(texts):
+        for p in range(len(b) - length + 1):
+            if b[p:p + length] in seen:
+                out.add((i, p))
+            seen.add(b[p:p + length])
+    return out
+
+
+def matched(texts):
+    live = suffix_dedup.blob(np.unique(np.concatenate([suffix_dedup.anchors(t)[0][suffix_dedup.anchors(t)[2]] for t in texts])))
+    docs = pd.DataFrame({"doc_id": range(len(texts)), "text": [t.decode("latin-1") for t in texts], "live": [[live]] * len(texts)})
+    dealt = pd.concat(list(suffix_dedup._deal_contexts(1)(iter([docs]))))
+    tracemalloc.start()
+    replies = suffix_dedup._match_contexts(dealt)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    found = set()
+    for r in replies.itertuples(index=False):
+        ids = np.frombuffer(r.docs, dtype=np.int64).reshape(-1, 2)[:, 0]
+        for owner, start, count in zip(*[np.frombuffer(x, dtype=np.int32).tolist() for x in (r.owners, r.starts, r.counts)]):
+            found |= {(int(ids[owner]), p) for p in range(start, start + count)}
+    return found, peak
+
+
+def test_many_different_contexts_of_one_anchor_take_bounded_memory():
+    rng = random.Random(7)
+    letters = b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 .,"
+    passage = bytes(rng.choices(letters, k=130))
+    own = lambda n: bytes(rng.choices(letters, k=n))
+    texts = [own(90) + passage + own(90) for _ in range(6000)]
+    found, peak = matched(texts)
+    assert found == later_strings(texts)
+    assert peak < 150 << 20  # with 66 letters, 4 bytes a letter and byte of the contexts would be over 270 MB
+
+
+def test_strings_around_one_anchor_equal_brute_force(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 0)  # every anchor by its places
+    rng = random.Random(8)
+    for _ in range(40):
+        base = bytes(rng.choices(b"ab", k=rng.choice([1, 3, 400])))
+        base = (base * 400)[:rng.randrange(150, 400)]
+        texts = []
+        for _ in range(rng.randrange(2, 8)):
+            t = bytearray(base)
+            for _ in range(rng.randrange(3)):
+                t[rng.randrange(len(t))] = rng.choice(b"abc")
+            texts.append(bytes(t[rng.randrange(40):]))
+        assert matched(texts)[0] == later_strings(texts)
