@@ -11,8 +11,10 @@ stretch of ``PART_WORDS`` words lies whole in one. For each passage, block-max W
 first, for many passages at once, and blocks that stay below it are skipped; in the others
 cursors move from pivot to pivot.
 
-A hit is then verified: enough of the item's question (3-grams of words) and of its answer
-must occur in the passage and its neighbours. The answer is the item's last sentence.
+A hit is then verified: of the word 3-grams of the part found, or of the item's question
+and also of its answer (its last sentence), a share of ``least_overlap`` must occur in the
+passage and its neighbours. So a trimmed or edited item is found, a question without its
+answer, and a part of a long item; most of the 3-grams of a part are not met by chance.
 
 No documents are shuffled. The index of one shard of the benchmark goes to the tasks;
 shards are cut so that their texts stay below ``max_shard_bytes``, a bound on what is
@@ -201,7 +203,9 @@ class Index:
                 reach = len(question) + len(answer)
                 near = words[max(0, a - reach):b + reach]
                 q, r = overlap(question, near), overlap(answer, near)
-                if q >= least_overlap and r >= least_overlap and (i not in out or score > out[i][0]):
+                found = q >= least_overlap and r >= least_overlap
+                found = found or overlap(parts_of(question + answer)[part - bisect_left(self.of, i)], near) >= least_overlap
+                if found and (i not in out or score > out[i][0]):
                     out[i] = (score, q, r)
 
 

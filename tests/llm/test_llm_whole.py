@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from sonotable.llm import ngram_join, packing, suffix_dedup
+from sonotable.llm import decontam, ngram_join, packing, suffix_dedup
 
 
 def docs_of(spark, rows):
@@ -116,3 +116,27 @@ def test_strings_around_one_anchor_equal_brute_force(monkeypatch):
                 t[rng.randrange(len(t))] = rng.choice(b"abc")
             texts.append(bytes(t[rng.randrange(40):]))
         assert matched(texts)[0] == later_strings(texts)
+
+
+# ---- decontamination --------------------------------------------------------------------------------
+
+def test_trimmed_and_edited_items_are_found(spark):
+    words = lambda name, n: [f"{name}{k}" for k in range(n)]
+    question, long = words("q", 40), words("long", 192)
+    items = [(1, " ".join(question) + ". Er."), (2, " ".join(words("p", 30)) + ". " + " ".join(words("r", 12)) + "."), (3, " ".join(long) + ". Yes it is.")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    fill = words("fill", 200)
+    texts = {
+        1: (question, {1}),                                    # without the answer of one word
+        2: ([*question, "Other"], {1}),                        # with another one
+        3: ([*question[:20], "edit", *question[21:], "Er"], {1}),
+        4: (words("p", 30), {2}),                              # the question without a long answer
+        5: (decontam.parts_of(decontam.words_of(items[2][1]))[1], {3}),  # one part of a long item
+        6: (question[:12], set()), 7: (words("p", 8) + words("r", 3), set()), 8: (["er"], set()), 9: (long[:20], set()),
+        10: (question[::-1], set()),                           # all words, no 3-gram
+        11: ([*question, "er"], {1}),
+    }
+    docs = docs_of(spark, [(k, " ".join(fill[:90] + t + fill[90:])) for k, (t, _) in texts.items()])
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, benchmark).collect()}
+    assert got == {(k, i) for k, (_, want) in texts.items() for i in want}
+    assert sorted(r.doc_id for r in decontam.without_contaminated(docs, benchmark).collect()) == [k for k, (_, want) in texts.items() if not want]
