@@ -10,9 +10,8 @@ repeats, is applied to the pieces by the tasks again.
 Bin completion: a node takes the largest length left and enumerates the undominated
 fillings of the room beside it, best fit first; a filling is used for as many bins as its
 lengths allow, so a path has at most as many nodes as there are lengths. Waste already
-made, plus the waste that any completion must add, prunes a node against the best packing
-so far. The first descent is the best-fit solution and the first incumbent. The search
-ends when the incumbent meets the lower bound or after ``max_nodes`` nodes; that limits
+made prunes a node against the best packing so far. The first descent is the best-fit
+solution and the first incumbent. The search ends when the incumbent meets the lower bound or after ``max_nodes`` nodes; that limits
 the effort for the last few bins, not what is packed.
 
 Placement: the r-th piece of a length (ranked within salted parts of each length, so that
