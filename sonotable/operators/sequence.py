@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sonotable.session import scratch_path
+
 _SLICE = "_slice"
 
 
@@ -60,3 +62,81 @@ def previous_values(df: DataFrame, key: str, order: list[str], cols: list[str],
     for c in cols:
         out = out.withColumn(prefix + c, F.when(F.col("_rn") == 1, F.col("_prev._t_" + c)).otherwise(F.col(prefix + c)))
     return out.drop(_SLICE, "_rn", "_prev")
+
+
+# --- the same two operators without a named slice ---------------------------------------
+#
+# Rows are range-partitioned on (key, order), sorted and written once with their place. The
+# partitions are what a slice is above: they hold equal shares of the rows however the
+# order is distributed, also if all rows have one key. Windows run within a partition, and
+# one carry row per partition says what the partitions before it hold of its first key.
+
+_PART, _AT = "_part", "_at"
+
+
+def ranged(df: DataFrame, key: str, order: list[str], partitions: int | None = None) -> DataFrame:
+    """``df`` in the order of (key, order) as a written table: ``_at`` ascends with it, ``_part`` is the partition.
+
+    Nulls come first. The bounds of the ranges come from Spark's own sampling; all rows
+    are in the table.
+    """
+    spark = df.sparkSession
+    by = [F.col(c).asc_nulls_first() for c in [key, *order]]
+    dealt = df.repartitionByRange(partitions, *by) if partitions else df.repartitionByRange(*by)
+    path = scratch_path(spark, "ranged")
+    placed = dealt.sortWithinPartitions(*by).withColumn(_AT, F.monotonically_increasing_id())
+    placed.withColumn(_PART, F.shiftright(F.col(_AT), 33)).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def ranged_ranks(placed: DataFrame, name: str = "rank") -> DataFrame:
+    """``placed`` with the 0-based position of every row over the whole table."""
+    sizes = placed.groupBy(_PART).agg(F.count(F.lit(1)).alias("_n"), F.min(_AT).alias("_head"))
+    before = Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    offsets = sizes.select(_PART, "_head", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return placed.join(offsets, _PART).withColumn(name, (F.col(_AT) - F.col("_head") + F.col("_before")).cast("long")).drop("_head", "_before")
+
+
+def _with_runs(placed: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with ``_local`` (position within the key's run in its partition) and ``_first`` (first run of the
+    partition); per partition its first and last key and how many rows the last key has there."""
+    w = Window.partitionBy(_PART).orderBy(_AT)
+    starts = placed.withColumn("_new", F.lag(F.struct(key)).over(w).isNull() | ~F.lag(key).over(w).eqNullSafe(F.col(key)))
+    runs = starts.withColumn("_start", F.max(F.when(F.col("_new"), F.col(_AT))).over(w))
+    runs = runs.withColumn("_local", F.col(_AT) - F.col("_start")).withColumn("_first", F.col("_start") == F.min(_AT).over(w))
+    ends = runs.groupBy(_PART).agg(
+        F.max_by(F.struct(F.col(key).alias("k"), (F.col("_local") + 1).alias("n")), _AT).alias("_last"),
+        F.min_by(F.struct(F.col(key).alias("k")), _AT).alias("_head"))
+    return runs.drop("_new", "_start"), ends
+
+
+def ranged_index(df: DataFrame, key: str, order: list[str], name: str = "idx", partitions: int | None = None) -> DataFrame:
+    """``positional_index`` without a slice: equals ``row_number() over (partition by key order by order) - 1``.
+
+    Two exchanges of the rows (by range, then by partition number); a key that holds all
+    rows is spread like any other. Rows with equal key and order are numbered in either order.
+    """
+    runs, ends = _with_runs(ranged(df, key, order, partitions), key)
+    held = Window.partitionBy("_last.k").orderBy(_PART)
+    tails = ends.withColumn("_upto", F.sum("_last.n").over(held))
+    over = Window.orderBy(_PART)  # one row per partition
+    carry = tails.select(_PART, F.when(F.lag("_last.k").over(over).eqNullSafe(F.col("_head.k")), F.lag("_upto").over(over)).alias("_carry"))
+    out = runs.join(carry, _PART)
+    idx = F.col("_local") + F.when(F.col("_first"), F.coalesce("_carry", F.lit(0))).otherwise(0)
+    return out.withColumn(name, idx.cast("long")).drop(_PART, _AT, "_local", "_first", "_carry")
+
+
+def ranged_previous(df: DataFrame, key: str, order: list[str], cols: list[str], prefix: str = "prev_",
+                    partitions: int | None = None) -> DataFrame:
+    """``previous_values`` without a slice: equals ``lag(c) over (partition by key order by order)``."""
+    placed = ranged(df, key, order, partitions)
+    w = Window.partitionBy(_PART).orderBy(_AT)
+    whole = F.struct(F.col(key).alias("k"), *[F.col(c).alias(f"v{i}") for i, c in enumerate(cols)])
+    tails = placed.groupBy(_PART).agg(F.max_by(whole, _AT).alias("_tail"))
+    carry = tails.select(_PART, F.lag("_tail").over(Window.orderBy(_PART)).alias("_carry"))
+    out = placed.withColumn("_prev", F.lag(whole).over(w)).join(carry, _PART)
+    prev = F.coalesce("_prev", "_carry")
+    same = prev.isNotNull() & prev["k"].eqNullSafe(F.col(key))
+    for i, c in enumerate(cols):
+        out = out.withColumn(prefix + c, F.when(same, prev[f"v{i}"]))
+    return out.drop(_PART, _AT, "_prev", "_carry")
