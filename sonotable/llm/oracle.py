@@ -50,3 +50,83 @@ from d left join g on d.rid = g.rid"""
 
 
 ORACLE["op1_secret_scans"] = secrets_sql()
+
+
+#: CRC-32 in SQL: its table by rule, then one step per byte.
+_CRC_TABLE = """crc as (select list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, 3988292384 * (c & 1)))) as t)"""
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of the UTF-8 bytes of ``text``, an expression; ``crc.t`` must be in scope."""
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: cast('0x' || x as bigint))"
+    return f"xor(list_reduce(list_concat([4294967295::bigint], {octets}), lambda c, b: xor(c >> 8, crc.t[1 + (xor(c, b) & 255)])), 4294967295)"
+
+
+ORACLE["op11_histogram_sharding"] = f"""
+with {_CRC_TABLE},
+d as (select doc_id, coalesce(text, '') as text, cast('0x' || substr(md5(coalesce(text, '')), 1, 15) as bigint) as k from documents),
+s as (select *, strlen(text) + 8 as size from d),
+g as (select k, doc_id, sum(size) as held from s group by k, doc_id),
+b as (select k, doc_id, sum(held) over (order by k, doc_id nulls first) - held as before, sum(held) over () as total from g),
+p as (select s.doc_id, s.size, s.text, s.k, cast((24 * b.before) // b.total as integer) as shard
+      from s join b on s.k = b.k and s.doc_id is not distinct from b.doc_id)
+select doc_id, size, {_crc32("text")} as text_crc32, 'bytes' as law, shard,
+  row_number() over (partition by shard order by k, doc_id nulls first) - 1 as slot, cast(null as integer) as grown_shard
+from p, crc
+"""
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen(cast({c} as varchar)) || ':' || cast({c} as varchar), '-')" for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+def _tree(name: str, base: str) -> str:
+    """CTE ``name``(grp, lvl, idx, digest, n): all levels of the trees of ``base`` (grp, lvl, idx, digest, n)."""
+    return f"""{name} as ({base} union all
+  select grp, lvl + 1, idx // 2, sha256(string_agg(digest, '' order by idx)), (n + 1) // 2 from {name} where n > 1 group by grp, lvl, idx // 2, n)"""
+
+
+def _way(nodes: str) -> str:
+    """Siblings of every node of level 0 of ``nodes``, from below: side and digest, or -."""
+    return f"""select b.grp, b.idx, list(coalesce(case when (b.idx >> v.lvl) & 1 = 1 then 'L' else 'R' end || s.digest, '-') order by v.lvl) as way
+  from {nodes} b join (select distinct grp, lvl from {nodes} where n > 1) v on b.grp is not distinct from v.grp
+  left join {nodes} s on s.grp is not distinct from b.grp and s.lvl = v.lvl and s.idx = xor(b.idx >> v.lvl, 1) where b.lvl = 0 group by b.grp, b.idx"""
+
+
+ORACLE["op12_merkle_manifest"] = f"""
+with recursive {_CRC_TABLE},
+d as (select doc_id, lang, {_leaf("n_chars")} as leaf, {_leaf("(n_chars::hugeint + 1)")} as altered, {_crc32("cast(doc_id as varchar)")} % 7 = 0 as hit from documents, crc),
+r as (select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as idx, count(*) over (partition by lang) as n from d),
+{_tree("nodes", "select lang as grp, 0 as lvl, idx, leaf as digest, n from r")},
+sub as (select grp as lang, digest as subroot, row_number() over (order by grp nulls first) - 1 as idx, count(*) over () as n from nodes where n = 1),
+{_tree("top", "select 0 as grp, 0 as lvl, idx, subroot as digest, n from sub")},
+w as ({_way("nodes")}),
+t as ({_way("top")}),
+p as (select r.doc_id, r.leaf, sub.subroot, case when r.hit then r.altered else r.leaf end as claimed, list_concat(coalesce(w.way, []), coalesce(t.way, [])) as way
+  from r join sub on r.lang is not distinct from sub.lang left join w on w.grp is not distinct from r.lang and w.idx = r.idx left join t on t.idx = sub.idx),
+f as (select *, list_reduce(list_concat([claimed], way), lambda a, s: case when s = '-' then sha256(a) when s[1] = 'L' then sha256(s[2:] || a) else sha256(a || s[2:]) end) as folded_root from p)
+select f.doc_id, leaf, subroot, top.digest as root, sha256(array_to_string(list_transform(list_filter(way, lambda s: s <> '-'), lambda s: s[2:]), '')) as proof_sha256,
+  folded_root, folded_root = top.digest as verified
+from f, top where top.n = 1
+"""
+
+ORACLE["op13_phrase_collocations"] = f"""
+with d as (select row_number() over () as rid, coalesce(lang, 'und') as lang, {_A_TO_Z} as text from documents),
+p as (select rid, lang, unnest(regexp_split_to_array(text, '[.,;:!?\\x0A-\\x0D]')) as piece, generate_subscripts(regexp_split_to_array(text, '[.,;:!?\\x0A-\\x0D]'), 1) as pid from d),
+w as (select lang, rid, pid, unnest(regexp_extract_all(piece, '[^\\x20\\x09]+')) as w, generate_subscripts(regexp_extract_all(piece, '[^\\x20\\x09]+'), 1) as nr from p),
+g as (select lang, w as w1, lead(w, 1) over s as w2, lead(w, 2) over s as w3 from w window s as (partition by lang, rid, pid order by nr)),
+n as (select lang, count(*) as n from w group by lang),
+f1 as (select lang, w1, count(*)::hugeint as f from g group by lang, w1),
+f2 as (select lang, w1, w2, count(*)::hugeint as f from g where w2 is not null group by lang, w1, w2),
+f3 as (select lang, w1, w2, w3, count(*)::hugeint as f from g where w3 is not null group by lang, w1, w2, w3 having count(*) >= 10),
+c2 as (select b.lang, b.w1 || ' ' || b.w2 as phrase, b.f as a, x.f as l, y.f as r from f2 b join f1 x on x.lang = b.lang and x.w1 = b.w1 join f1 y on y.lang = b.lang and y.w1 = b.w2
+  where b.f >= 10 and not exists (select 1 from f3 t where t.lang = b.lang and 100 * t.f >= 50 * b.f and ((t.w1 = b.w1 and t.w2 = b.w2) or (t.w2 = b.w1 and t.w3 = b.w2)))),
+c3 as (select t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3 as phrase, t.f as a, x.f as l1, yz.f as r1, xy.f as l2, z.f as r2 from f3 t
+  join f1 x on x.lang = t.lang and x.w1 = t.w1 join f1 z on z.lang = t.lang and z.w1 = t.w3
+  join f2 xy on xy.lang = t.lang and xy.w1 = t.w1 and xy.w2 = t.w2 join f2 yz on yz.lang = t.lang and yz.w1 = t.w2 and yz.w2 = t.w3),
+s as (select lang, phrase, a, l, r, (1000000 * a * a) // (l * r) as score from c2
+  union all select lang, phrase, a, case when k1 <= k2 then l1 else l2 end, case when k1 <= k2 then r1 else r2 end, least(k1, k2)
+  from (select *, (1000000 * a * a) // (l1 * r1) as k1, (1000000 * a * a) // (l2 * r2) as k2 from c3)),
+o as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from s)
+select o.lang, rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n, score::bigint as score from o join n on n.lang = o.lang where rank <= 2000
+"""

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonotable.llm import decontam, exact_dedup, ngram_join, packing, pii, rans, secrets, substring, suffix_dedup, toxicity
-from sonotable.llm.common import documents
+from sonotable.llm import collocations, decontam, exact_dedup, merkle, ngram_join, packing, pii, rans, secrets, sharding, substring, suffix_dedup, toxicity
+from sonotable.llm.common import documents, select_plain
 from sonotable.session import scratch_path
 
 
@@ -57,6 +57,22 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+def op11_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.shard(select_plain(documents(spark, sf_dir), "doc_id", "text"), 24)
+    return out.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"),
+                      F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"),
+                      "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merkle.audited(documents(spark, sf_dir))
+    return found.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("siblings")).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_secret_scans": op1_secret_scans,
     "op2_substring_dedup": op2_substring_dedup,
@@ -68,4 +84,7 @@ QUERIES = {
     "op8_rans_token_files": op8_rans_token_files,
     "op9_toxicity": op9_toxicity,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_histogram_sharding": op11_histogram_sharding,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
