@@ -133,8 +133,10 @@ def boundaries(keyed: DataFrame, targets: list[Target], probes: int = PROBES) ->
         rounds += 1
         each = max(2, probes // len(cells))
         plan = [{"open": i, "col": c.column, "low": c.low[c.column], "width": -(-(c.high[c.column] - c.low[c.column] + 1) // each)} for i, c in enumerate(cells)]
-        # at most one row per target
-        dealt = rows.join(F.broadcast(_rows_of(spark, plan, "open:int,col:int,low:long,width:long")), "open")
+        if len(plan) == 1:
+            dealt = rows.withColumns({k: F.lit(plan[0][k]).cast("long") for k in ("low", "width")}).withColumn("col", F.lit(plan[0]["col"]))
+        else:  # at most one row per target
+            dealt = rows.join(F.broadcast(_rows_of(spark, plan, "open:int,col:int,low:long,width:long")), "open")
         value = F.get(F.array(*KEY), F.col("col"))
         dealt = dealt.withColumn("cell", F.call_function("div", value - F.col("low"), F.col("width")))
         dealt = dealt.select(*KEY, "size", "open", "cell")
