@@ -170,6 +170,9 @@ def collocations(docs: DataFrame, min_count: int = 10, top: int = 2000, inside_p
     triples = triples.select("lang", F.concat_ws(" ", "w1_text", "w2_text", "w3_text").alias("phrase"), "a",
                              F.when(early, F.col("w1_f")).otherwise(F.col("f12")).alias("l"), F.when(early, F.col("f23")).otherwise(F.col("w3_f")).alias("r"))
     scored = pairs.unionByName(triples).withColumn("score", score(F.col("a"), F.col("l"), F.col("r")))
-    best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")  # tasks keep their own first `top` before the exchange
-    ranked = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    order = (F.desc("score"), F.desc("a"), F.asc("phrase"))
+    for salts in (64, 4):  # the first `top` of shares first, so that no task ever gets more than 64 times `top`
+        share = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(salts))).orderBy(*order)
+        scored = scored.withColumn("_place", F.row_number().over(share)).where(F.col("_place") <= top).drop("_place")
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     return ranked.join(sizes, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

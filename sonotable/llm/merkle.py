@@ -155,14 +155,16 @@ def proofs(leaves: DataFrame) -> DataFrame:
     subroots, records = build(numbered.select("tree", "pos", F.col("leaf").alias("digest")), heights, "merkle")
     if subroots is None:
         return spark.createDataFrame([], "doc_id long, leaf string, claimed string, subroot string, root string, siblings array<string>")
+    # the tree of the subroots, number 0 of its own; written, so that its joins stay joins on keys
     subroots = written(subroots, "merkle-subroots")
-    one = F.lit(0).cast("long").alias("tree")
-    top = trees.agg(F.count(F.lit(1)).alias("n")).select(one, _height(F.col("n")).alias("height"))
-    roots, top_records = build(subroots.select(one, F.col("tree").alias("pos"), "digest"), top, "merkle-top")
+    zero = F.lit(0).cast("long")
+    top = written(trees.agg(F.count(F.lit(1)).alias("n")).select(zero.alias("tree"), _height(F.col("n")).alias("height")), "merkle-top-height")
+    upper = written(subroots.select(zero.alias("tree"), F.col("tree").alias("pos"), "digest"), "merkle-top-nodes")
+    roots, top_records = build(upper, top, "merkle-top")
     root = roots.first()["digest"]
 
-    state = spark.range(1).select(one, F.lit(0).cast("long").alias("pos"), F.lit(root).alias("digest"), F.lit("").alias("path"))
-    state = descend(state, top_records, top, subroots.select(one, F.col("tree").alias("pos")), 0)
+    state = written(spark.range(1).select(zero.alias("tree"), zero.alias("pos"), F.lit(root).alias("digest"), F.lit("").alias("path")), "merkle-state")
+    state = descend(state, top_records, top, upper.select("tree", "pos"), 0)
     state = state.select(F.col("pos").alias("tree"), F.lit(0).cast("long").alias("pos"), "digest", "path")
     state = descend(state, records, heights, numbered.select("tree", F.shiftright("pos", SEGMENT).alias("pos")).distinct(), 1)
 

@@ -91,8 +91,9 @@ class Boundary:
     shard: int
 
 
-_SUMS = [F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"),
-         *[f(k).alias(f"{n}_{k}") for k in KEY for n, f in (("low", F.min), ("high", F.max))]]
+def _sums() -> list[Column]:
+    ends = [f(k).alias(f"{n}_{k}") for k in KEY for n, f in (("low", F.min), ("high", F.max))]
+    return [F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"), *ends]
 
 
 def _cell(row, before: dict[str, int], targets: list[Target]) -> Cell:
@@ -107,7 +108,7 @@ def _rows_of(spark, rows: list[dict], schema: str) -> DataFrame:
 def boundaries(keyed: DataFrame, targets: list[Target], probes: int = PROBES) -> tuple[list[Boundary], int]:
     """The boundaries of ``targets`` over ``keyed`` (k0, k1, k2, size; a written table) in key order, and the rounds taken."""
     spark = keyed.sparkSession
-    total = keyed.agg(*_SUMS).first()
+    total = keyed.agg(*_sums()).first()
     if not total["rows"]:
         return [], 0
     whole = {"bytes": int(total["bytes"]), "rows": int(total["rows"])}
@@ -140,7 +141,7 @@ def boundaries(keyed: DataFrame, targets: list[Target], probes: int = PROBES) ->
         value = F.get(F.array(*KEY), F.col("col"))
         dealt = dealt.withColumn("cell", F.call_function("div", value - F.col("low"), F.col("width")))
         dealt = dealt.select(*KEY, "size", "open", "cell")
-        counted = dealt.groupBy("open", "cell").agg(*_SUMS).collect()  # at most PROBES sums
+        counted = dealt.groupBy("open", "cell").agg(*_sums()).collect()  # at most PROBES sums
         counted.sort(key=lambda r: (r["open"], r["cell"]))
         follow, kept = [], []
         at, before = -1, {"bytes": 0, "rows": 0}
