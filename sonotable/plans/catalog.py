@@ -454,6 +454,94 @@ def q_stream_intake(spark, sf):
     )
 
 
+# --- streams fed in three micro-batches, restarted in between --------------------
+
+
+def _fed(spark, rows, batch, name, run):
+    """Land ``rows`` in three parts (``batch``: 0 to 2) and let ``run(stream, number)`` take each in when it is there."""
+    from sonotable.session import scratch_path
+
+    feed = scratch_path(spark, name)
+    for k in range(3):
+        rows.where(batch == k).write.mode("append").parquet(feed)
+        run(spark.readStream.schema(rows.schema).parquet(feed), k)
+
+
+def _thirds(rows, col):
+    top = rows.agg(F.max(col)).first()[0] or 0
+    return F.floor(F.col(col) * 3 / F.lit(top + 1))
+
+
+@register("stream_state_machine")
+def q_stream_state_machine(spark, sf):
+    """Stage events in three micro-batches; the state machine picks up every file where the batch before left it."""
+    from sonotable.streaming import state as SS
+
+    out, ck = _stream_dirs(spark, "stream_state_machine")
+    events = FX.stage_log(spark, sf)
+    _fed(spark, events, _thirds(events, "seq"), "stage_feed", lambda stream, k: SS.stream_state_machine(spark, stream, out, ck))
+    return SS.read_latest(spark, out, ["file_id"])
+
+
+@register("stream_progress_elapsed")
+def q_stream_progress_elapsed(spark, sf):
+    """Newest stage message and the time since the previous event, which may lie in an earlier micro-batch."""
+    from sonotable.streaming import state as SS
+
+    out, ck = _stream_dirs(spark, "stream_progress_elapsed")
+    events = FX.stage_log(spark, sf)
+    made = []
+    _fed(spark, events, _thirds(events, "seq"), "progress_feed", lambda stream, k: made.append(SS.stream_progress_elapsed(spark, stream, out, ck)))
+    return made[-1]
+
+
+@register("stream_intake_batches")
+def q_stream_intake_batches(spark, sf):
+    """Input lines in three micro-batches, every fifth line again in the two after its own: each id once, from its first batch."""
+    from sonotable.streaming.intake import stream_inputs
+
+    out, ck = _stream_dirs(spark, "stream_intake_batches")
+    lines = FX.lines(spark, sf).select("line_no", "line")
+    own = F.col("line_no") % 3
+    later = F.when(F.col("line_no") % 5 == 0, F.sequence(own, F.lit(2).cast("long"))).otherwise(F.array(own))
+    fed = lines.withColumn("batch", F.explode(later))
+    _fed(spark, fed, F.col("batch"), "line_feed", lambda stream, k: stream_inputs(spark, stream.drop("batch"), out, ck))
+    return spark.read.parquet(out).select("file_id", "line_no", "source", F.col("batch_id").cast("long").alias("batch_id"))
+
+
+@register("annotation_stream")
+def q_annotation_stream(spark, sf):
+    """The job as a stream of three micro-batches, the second one killed midway and replayed: equal to one batch run."""
+    from sonotable.plans import stubs
+    from sonotable.session import scratch_path
+    from sonotable.streaming.annotate import annotate_stream, committed_tables
+
+    segs = FX.segments(spark, sf)
+    root, (_, ck) = scratch_path(spark, "annotation_stream"), _stream_dirs(spark, "annotation_stream")
+    frames = lambda files: FX.frames(spark, sf, segs.join(files, "file_id", "left_semi"))
+
+    def take(stream, on_write=None):
+        annotate_stream(spark, stream, root, ck, stubs.fixed_turns, stubs.energy_scores, stubs.energy_probs, audio_of=frames,
+                        rate=FX.FRAME_SAMPLES, window_s=60, on_write=on_write)
+
+    def killed(run, table):
+        if table == "emotion":
+            raise RuntimeError(f"batch {run} is killed after {table}")
+
+    def run(stream, k):
+        if k == 1:
+            try:
+                take(stream, killed)
+            except Exception as lost:  # noqa: BLE001 - only the planned kill may end the batch
+                if "is killed after emotion" not in str(lost):
+                    raise
+        take(stream)
+
+    inputs = _job_inputs(spark, sf, segs)
+    _fed(spark, inputs, F.col("line_no") % 3, "file_feed", run)
+    return committed_tables(spark, root)["manifest"].drop("append_seq", "processed_us")
+
+
 # --- the whole batch job over fixture audio, with stand-in models ---------------
 
 
@@ -619,6 +707,26 @@ def q_segment_index_sliced(spark, sf):
     return out.select(FX.fid("user_id").alias("file_id"), "event_id", "segment_idx")
 
 
+@register("segment_index_ranged")
+def q_segment_index_ranged(spark, sf):
+    """The same positions by range partitions and one carry row each, without a slice."""
+    from sonotable.operators.sequence import ranged_index
+
+    ev = FX.table(spark, sf, "events").select("event_id", "ts", "user_id")
+    out = ranged_index(ev, "user_id", ["ts", "event_id"], name="segment_idx")
+    return out.select(FX.fid("user_id").alias("file_id"), "event_id", "segment_idx")
+
+
+@register("stage_elapsed_ranged")
+def q_stage_elapsed_ranged(spark, sf):
+    """Time since the file's previous event by range partitions and one carry row each, without a slice."""
+    from sonotable.operators.sequence import ranged_previous
+
+    events = FX.stage_log(spark, sf).select("file_id", "seq", "us", "action", "stage")
+    out = ranged_previous(events, "file_id", ["seq"], ["us"])
+    return out.select("file_id", "seq", "action", "stage", (F.col("us") - F.col("prev_us")).alias("elapsed_us"))
+
+
 @register("normalise_wav_files")
 def q_normalise_wav_files(spark, sf):
     """fx_frames landed as 10-minute WAV files, normalised back with header-planned byte-range chunks."""

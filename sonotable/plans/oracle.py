@@ -481,6 +481,11 @@ QUERIES["stream_state"] = QUERIES["file_state"]
 QUERIES["stream_progress"] = QUERIES["progress"]
 QUERIES["stream_intake"] = QUERIES["dedupe_inputs"]
 
+query("stream_intake_batches", ["fx_inputs"], """
+SELECT file_id, line_no, source, line_no % 3 AS batch_id FROM (
+  SELECT file_id, line_no, source, row_number() OVER (PARTITION BY file_id ORDER BY line_no % 3, line_no) AS rn FROM fx_inputs
+) WHERE rn = 1""")
+
 query("file_summary_audio", ["fx_file_summary", "fx_headers"], """
 SELECT s.file_id, s.num_speakers, s.num_segments,
        CAST(floor((h.n_frames * 200 + h.sample_rate) / (2 * h.sample_rate)) AS DOUBLE) / 100 AS duration_sec,
@@ -490,6 +495,9 @@ FROM fx_file_summary s JOIN fx_headers h USING (file_id)""")
 
 query("segment_index_sliced", ["fx_ev"], "SELECT file_id, event_id, CAST(segment_idx AS BIGINT) AS segment_idx FROM fx_ev")
 
+QUERIES["segment_index_ranged"] = QUERIES["segment_index_sliced"]
+QUERIES["stage_elapsed_ranged"] = QUERIES["stage_elapsed"]
+
 query("normalise_wav_files", ["fx_segments"], """
 SELECT m.file_id, CAST(f AS BIGINT) AS frame_idx, CAST(100 AS BIGINT) AS n_samples,
        CAST((SELECT sum((f * 7919 + i * i * 31 + m.user_id * 17) % 2001 - 1000) FROM range(0, 100) r(i)) AS BIGINT) AS sample_sum
@@ -609,6 +617,9 @@ SELECT k.file_id, CASE WHEN kind IN ('silent', 'fine') THEN 'completed' ELSE 'fa
 FROM k JOIN per USING (file_id)""")
 
 QUERIES["annotation_rerun"] = QUERIES["annotation_run"]
+QUERIES["annotation_stream"] = QUERIES["annotation_run"]
+QUERIES["stream_state_machine"] = QUERIES["file_state"]
+QUERIES["stream_progress_elapsed"] = QUERIES["progress_elapsed"]
 
 # --- exchanged files, written and read back ---------------------------------------
 

@@ -5,28 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sonotable.functions import ids as I
 from sonotable.operators import audio as AU
-from sonotable.operators.inputs import clean_inputs, dedupe_inputs, with_file_ids
-from sonotable.storage import exists
+from sonotable.operators.inputs import clean_inputs
 from sonotable.streaming.common import read_batch_log, run_available
-
-
-def _known_ids(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    if not exists(spark, path):
-        return None
-    t = read_batch_log(spark, path)
-    return t.where(F.col("batch_id") < batch_id).select("file_id").distinct()
+from sonotable.streaming.keyed import first_seen
 
 
 def stream_inputs(spark: SparkSession, lines: DataFrame, out_path: str, checkpoint: str) -> DataFrame:
-    """Input lines stream -> table of new file ids (first line per id; ids seen in earlier batches skipped)."""
-
-    def new_ids(batch: DataFrame, batch_id: int) -> DataFrame:
-        ids = dedupe_inputs(with_file_ids(clean_inputs(batch)))
-        known = _known_ids(spark, out_path, batch_id)
-        return ids if known is None else ids.join(known, "file_id", "left_anti")
-
-    run_available(lines, out_path, checkpoint, "append", transform=new_ids)
+    """Input lines stream -> table of new file ids (first line per id; ids of earlier micro-batches are known to the state store)."""
+    ided = clean_inputs(lines).withColumn("file_id", I.file_id("source"))
+    place = ["path", "line_no"] if "path" in ided.columns else ["line_no"]
+    new = first_seen(ided.select("file_id", *place, "source"), "file_id", [*place, "source"])
+    run_available(new, out_path, checkpoint, "append")
     return read_batch_log(spark, out_path)
 
 
@@ -39,8 +30,6 @@ def stream_audio(spark: SparkSession, root: str, out_path: str, checkpoint: str,
     The file source remembers processed files in its checkpoint; ``content`` is
     never selected; header facts come from a walk over the chunk headers.
     """
-    from sonotable.functions import ids as I
-
     src = (
         spark.readStream.format("binaryFile").schema(AUDIO_STREAM_SCHEMA)
         .option("pathGlobFilter", "*.{" + ",".join(formats) + "}")

@@ -1,7 +1,8 @@
-"""T2/T3 as streaming aggregations: the same fold expressions as the batch job.
+"""T2/T3 as streams: as streaming aggregations by the fold expressions of the batch job, and as state machines.
 
-Spark keeps one aggregation buffer per file in the state store, so the state
-is per-key and bounded; no Python runs per event.
+The aggregations keep one buffer per file in the state store and run no Python per event.
+The state machines (``keyed.py``) keep one record per file; they can also say what no
+aggregate can, such as the time since the previous event.
 """
 
 from __future__ import annotations
@@ -9,8 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sonotable.functions import labels as L
+from sonotable.functions import timefmt as TF
 from sonotable.operators import state as ST
 from sonotable.streaming.common import read_latest, run_available
+from sonotable.streaming.keyed import file_states, stage_progress
 
 
 def stream_file_state(spark: SparkSession, events: DataFrame, out_path: str, checkpoint: str) -> DataFrame:
@@ -22,9 +26,6 @@ def stream_file_state(spark: SparkSession, events: DataFrame, out_path: str, che
 
 def stream_progress(spark: SparkSession, events: DataFrame, out_path: str, checkpoint: str) -> DataFrame:
     """Newest stage message per file, kept by a streaming aggregation."""
-    from sonotable.functions import labels as L
-    from sonotable.functions import timefmt as TF
-
     latest = events.where(F.col("action") == "stage").groupBy("file_id").agg(
         F.max_by(F.struct("stage", "us"), F.col("seq")).alias("_m")
     )
@@ -36,3 +37,16 @@ def stream_progress(spark: SparkSession, events: DataFrame, out_path: str, check
         L.stage_progress(F.col("_m.stage")).alias("progress"),
         TF.clock_text(F.col("_m.us")).alias("clock"),
     )
+
+
+def stream_state_machine(spark: SparkSession, events: DataFrame, out_path: str, checkpoint: str) -> DataFrame:
+    """Per-file state by arbitrary stateful processing: one record per file in the state store, whatever order events come in."""
+    run_available(file_states(events), out_path, checkpoint, "update")
+    return read_latest(spark, out_path, ["file_id"])
+
+
+def stream_progress_elapsed(spark: SparkSession, events: DataFrame, out_path: str, checkpoint: str) -> DataFrame:
+    """``stream_progress`` with the time since the file's previous event, also if that came in an earlier micro-batch."""
+    run_available(stage_progress(events), out_path, checkpoint, "update")
+    return read_latest(spark, out_path, ["file_id"]).select(
+        "file_id", "stage", L.stage_progress(F.col("stage")).alias("progress"), TF.clock_text(F.col("us")).alias("clock"), "elapsed_us")
