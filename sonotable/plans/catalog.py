@@ -407,6 +407,30 @@ def q_detect_language(spark, sf):
     return out.select("file_id", "segment_idx", "language", "language_confidence")
 
 
+@register("segment_slices_blocks")
+def q_segment_slices_blocks(spark, sf):
+    """The same slices out of a bucketed frame table: no exchange of PCM."""
+    from sonotable.operators import blocks as BL
+
+    segs = FX.segments(spark, sf)
+    _, to_model = SG.gate_short(segs)
+    blocks = BL.write_blocks(FX.frames(spark, sf, segs), FX.FRAME_SAMPLES, block_s=60, overlap_s=4)  # some segments go on beyond the overlap
+    return BL.slice_stats(to_model, blocks)
+
+
+@register("emotion_language_blocks")
+def q_emotion_language_blocks(spark, sf):
+    """Both models over one reading of a bucketed frame table."""
+    from sonotable.operators import blocks as BL
+    from sonotable.plans import stubs
+
+    segs = FX.segments(spark, sf)
+    base = segs.select("file_id", "segment_idx", "speaker", "start_ms", "end_ms")
+    blocks = BL.write_blocks(FX.frames(spark, sf, segs), FX.FRAME_SAMPLES, block_s=60, overlap_s=4)
+    out = BL.emotion_and_language(base, blocks, stubs.energy_scores, stubs.energy_probs)
+    return out.select("file_id", "segment_idx", "emotion", "emotion_confidence", "language", "language_confidence")
+
+
 @register("diarize")
 def q_diarize(spark, sf):
     from sonotable.operators import infer as IF

@@ -516,7 +516,7 @@ FROM fx_segments s,
      range(CAST(ceil(s.start_ms / 10) AS BIGINT), CAST(ceil(least(s.end_ms, s.start_ms + {cap}) / 10) AS BIGINT)) r(j)
 WHERE s.end_ms - s.start_ms >= 500"""
 
-query("classify_emotion", ["fx_segments"], f"""
+_EMOTION = f"""
 WITH x AS ({_SEG_SAMPLES.format(cap=10**12)}),
 a AS (SELECT file_id, segment_idx, sum(abs(v)) AS sa, count(*) AS n FROM x GROUP BY file_id, segment_idx)
 SELECT s.file_id, s.segment_idx,
@@ -524,9 +524,10 @@ SELECT s.file_id, s.segment_idx,
             ELSE ['neutral', 'happy', 'angry', 'sad', 'fear', 'surprise', 'disgust'][
                  CAST(((a.sa * 10000) // (32768 * a.n)) % 7 AS INTEGER) + 1] END AS emotion,
        CASE WHEN a.n IS NULL OR a.n < 50 THEN CAST(0 AS DOUBLE) ELSE 0.9 END AS emotion_confidence
-FROM fx_segments s LEFT JOIN a USING (file_id, segment_idx)""")
+FROM fx_segments s LEFT JOIN a USING (file_id, segment_idx)"""
+query("classify_emotion", ["fx_segments"], _EMOTION)
 
-query("detect_language", ["fx_segments"], f"""
+_LANGUAGE = f"""
 WITH x AS ({_SEG_SAMPLES.format(cap=30000)}),
 w AS (SELECT file_id, segment_idx,
              abs(sum(v) FILTER (WHERE k % 4 = 0)) + 32768 AS w0, abs(coalesce(sum(v) FILTER (WHERE k % 4 = 1), 0)) + 32768 AS w1,
@@ -541,7 +542,10 @@ SELECT s.file_id, s.segment_idx,
        CASE WHEN b.n IS NULL OR b.n < 50 THEN 'too_short' ELSE b.lang END AS language,
        CASE WHEN b.n IS NULL OR b.n < 50 THEN CAST(0 AS DOUBLE)
             ELSE CAST(floor((2000 * b.top + b.tot) / (2 * b.tot)) AS DOUBLE) / 1000 END AS language_confidence
-FROM fx_segments s LEFT JOIN b USING (file_id, segment_idx)""")
+FROM fx_segments s LEFT JOIN b USING (file_id, segment_idx)"""
+query("detect_language", ["fx_segments"], _LANGUAGE)
+query("emotion_language_blocks", ["fx_segments"], f"SELECT * FROM ({_EMOTION}) JOIN ({_LANGUAGE}) USING (file_id, segment_idx)")
+QUERIES["segment_slices_blocks"] = QUERIES["segment_slices"]
 
 # turns of 3 s inside 60 s windows of each file's frames 0..floor(max(end_ms)/1000)
 cte("fx_turns", ["fx_segments"], """
