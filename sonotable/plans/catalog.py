@@ -657,6 +657,62 @@ def q_annotation_files(spark, sf):
     return segs.unionByName(rejects.select("file_id"), allowMissingColumns=True)
 
 
+@register("foreign_annotation_files")
+def q_foreign_annotation_files(spark, sf):
+    """Annotations as foreign array files, every seventh cut off, read by ranges of 2,000 bytes: segments, and the files that are no array."""
+    from sonotable.session import scratch_path
+    from sonotable.sources import interchange as IO
+
+    path = scratch_path(spark, "foreign")
+    cut = F.substring("file_id", 2, 6).cast("int") % 7 == 0
+    WF.land_texts(_annotation_documents(FX.segments(spark, sf)).withColumn("text", F.when(cut, F.expr("left(text, length(text) - 1)")).otherwise(F.col("text"))), path, ".json")
+    segs, rejects = IO.read_annotation_arrays(spark, path, chunk_bytes=2000)
+    return segs.unionByName(rejects.select("file_id"), allowMissingColumns=True)
+
+
+def _annotation_documents(segs):
+    """One JSON array per file, in segment order, indented like a foreign writer would (fixture files: some hundred segments each)."""
+    from sonotable import sinks as K
+
+    element = F.regexp_replace(K.annotation_record(segs), ",", ",\n  ")
+    per_file = segs.select("file_id", "segment_idx", element.alias("e")).groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("segment_idx", "e"))).alias("x"))
+    return per_file.select("file_id", F.concat(F.lit("[\n "), F.array_join("x.e", " ,\n "), F.lit("\n]")).alias("text"))
+
+
+@register("display_csv_files")
+def q_display_csv_files(spark, sf):
+    """The display table written as CSV folders per file and read back (K4)."""
+    from sonotable import schemas as S
+    from sonotable import sinks as K
+    from sonotable.session import scratch_path
+
+    path = scratch_path(spark, "display")
+    K.write_segment_csv(FX.segments(spark, sf), path)
+    back = spark.read.option("header", True).option("basePath", path).schema(", ".join(f"`{h}` string" for h in S.DISPLAY_HEADERS) + ", file_id string").csv(path)
+    names = ["start_text", "end_text", "speaker", "duration_s", "emotion", "confidence_pct", "language", "lang_confidence_pct"]
+    return back.select("file_id", *[F.col(f"`{h}`").cast("double" if n == "duration_s" else "string").alias(n) for h, n in zip(S.DISPLAY_HEADERS, names)])
+
+
+@register("landed_audio_listing")
+def q_landed_audio_listing(spark, sf):
+    """fx_frames landed as 10-minute WAV files, found by the landing scan without opening one (S2)."""
+    from sonotable.operators import audio as AU
+    from sonotable.session import scratch_path
+
+    folder = scratch_path(spark, "landing")
+    WF.land_wav_clips(FX.frames(spark, sf), folder, rate=FX.FRAME_SAMPLES, clip_s=600).write.parquet(scratch_path(spark, "landing_list"))
+    parent = F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1)  # files are <folder>/<file_id>/<clip>.wav
+    return AU.read_audio(spark, folder).select(parent.alias("file_id"), F.col("file_id").cast("long").alias("clip"), "ext", "length")
+
+
+@register("state_records")
+def q_state_records(spark, sf):
+    """State with its ISO time texts (F5)."""
+    from sonotable.operators import state as ST
+
+    return ST.state_as_records(ST.fold_state(FX.stage_log(spark, sf)))
+
+
 @register("state_files")
 def q_state_files(spark, sf):
     """State as JSON lines, every seventh line cut off: what reads back, and how many lines do not."""

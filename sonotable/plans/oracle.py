@@ -630,6 +630,25 @@ QUERIES["stream_progress_elapsed"] = QUERIES["progress_elapsed"]
 query("rttm_files", ["fx_segments"], """
 SELECT file_id, segment_idx, coalesce(speaker, 'UNKNOWN') AS speaker, start_ms, end_ms FROM fx_segments""")
 
+query("foreign_annotation_files", ["fx_segments"], """
+SELECT file_id, segment_idx, coalesce(speaker, 'UNKNOWN') AS speaker, start_ms, end_ms,
+       coalesce(emotion, 'unknown') AS emotion, coalesce(emotion_confidence, 0) AS emotion_confidence,
+       coalesce(language, 'unknown') AS language, coalesce(language_confidence, 0) AS language_confidence
+FROM fx_segments WHERE CAST(substr(file_id, 2, 6) AS INTEGER) % 7 <> 0
+UNION ALL SELECT DISTINCT file_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM fx_segments WHERE CAST(substr(file_id, 2, 6) AS INTEGER) % 7 = 0""")
+
+QUERIES["display_csv_files"] = f"SELECT * EXCLUDE (segment_idx) FROM ({QUERIES['segment_table']})"
+
+query("landed_audio_listing", ["fx_segments"], """
+WITH f AS (SELECT file_id, CAST(floor(max(end_ms) / 1000) AS BIGINT) AS last_frame FROM fx_segments GROUP BY file_id)
+SELECT file_id, CAST(clip AS BIGINT) AS clip, 'wav' AS ext, CAST(44 + 200 * least(600, last_frame - 600 * clip + 1) AS BIGINT) AS length
+FROM f, range(0, last_frame // 600 + 1) r(clip)""")
+
+query("state_records", ["fx_state"], """
+SELECT file_id, status, stage, url, strftime(make_timestamp(started_us), '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS started_at,
+       strftime(make_timestamp(completed_us), '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS completed_at, error
+FROM fx_state""")
+
 query("annotation_files", ["fx_segments"], """
 SELECT file_id, segment_idx, coalesce(speaker, 'UNKNOWN') AS speaker, start_ms, end_ms,
        coalesce(emotion, 'unknown') AS emotion, coalesce(emotion_confidence, 0) AS emotion_confidence,

@@ -115,3 +115,14 @@ def land_constant_wavs(users: DataFrame, folder: str) -> DataFrame:
             yield pd.DataFrame({"file_id": pdf["file_id"], "path": paths})
 
     return users.mapInPandas(write, "file_id string, path string")
+
+
+def land_texts(texts: DataFrame, folder: str, suffix: str) -> None:
+    """``texts`` (file_id, text) as one file each in ``folder`` (shared storage)."""
+    def write(batches):
+        for pdf in batches:
+            for file_id, text in zip(pdf["file_id"], pdf["text"]):
+                _write_bytes(f"{folder}/{file_id}{suffix}", text.encode())
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    texts.select("file_id", "text").mapInPandas(write, "n long").agg(F.sum("n")).collect()

@@ -103,6 +103,22 @@ def read_annotations(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     return segs, rejects
 
 
+def read_annotation_arrays(spark: SparkSession, root: str, **options) -> tuple[DataFrame, DataFrame]:
+    """``read_annotations`` for files of any size: below ``root``, read by byte ranges (``sources.json_arrays``).
+
+    Rejects carry the reason: (file_id, path, error).
+    """
+    from sonotable.sources.json_arrays import read_json_arrays
+
+    found, bad = read_json_arrays(spark, root, **options)
+    file_id = I.path_stem(F.col("path")).alias("file_id")
+    recs = found.select(file_id, F.col("idx").alias("segment_idx"), F.from_json("element", S.ANNOTATION_RECORD).alias("r"))
+    segs = recs.select(
+        "file_id", "segment_idx", F.col("r.speaker").alias("speaker"), F.round(F.col("r.start") * 1000).cast("long").alias("start_ms"),
+        F.round(F.col("r.end") * 1000).cast("long").alias("end_ms"), *[F.col(f"r.{c}").alias(c) for c in ("emotion", "emotion_confidence", "language", "language_confidence")])
+    return segs, bad.select(file_id, "path", "error")
+
+
 def parse_annotation_lines(lines: DataFrame) -> DataFrame:
     """Element lines written by ``sinks.annotation_lines`` -> segment rows (seconds)."""
     body = F.regexp_replace(F.col("line"), r"^\s*[\[,]\s*|\s*\]\s*$", "")
