@@ -64,14 +64,14 @@ def previous_values(df: DataFrame, key: str, order: list[str], cols: list[str],
     return out.drop(_SLICE, "_rn", "_prev")
 
 
-# --- the same two operators without a named slice ---------------------------------------
+# --- the same operators, and runs of rows, without a named slice -------------------------
 #
 # Rows are range-partitioned on (key, order), sorted and written once with their place. The
 # partitions are what a slice is above: they hold equal shares of the rows however the
 # order is distributed, also if all rows have one key. Windows run within a partition, and
 # one carry row per partition says what the partitions before it hold of its first key.
 
-_PART, _AT = "_part", "_at"
+_PART, _AT, _SAME = "_part", "_at", "_same"
 
 
 def ranged(df: DataFrame, key: str, order: list[str], partitions: int | None = None) -> DataFrame:
@@ -129,14 +129,36 @@ def ranged_index(df: DataFrame, key: str, order: list[str], name: str = "idx", p
 def ranged_previous(df: DataFrame, key: str, order: list[str], cols: list[str], prefix: str = "prev_",
                     partitions: int | None = None) -> DataFrame:
     """``previous_values`` without a slice: equals ``lag(c) over (partition by key order by order)``."""
-    placed = ranged(df, key, order, partitions)
+    return _with_previous(ranged(df, key, order, partitions), key, cols, prefix).drop(_PART, _AT, _SAME)
+
+
+def _with_previous(placed: DataFrame, key: str, cols: list[str], prefix: str) -> DataFrame:
+    """``placed`` with the columns of the row before, where that has the same key (``_same``)."""
     w = Window.partitionBy(_PART).orderBy(_AT)
     whole = F.struct(F.col(key).alias("k"), *[F.col(c).alias(f"v{i}") for i, c in enumerate(cols)])
     tails = placed.groupBy(_PART).agg(F.max_by(whole, _AT).alias("_tail"))
-    carry = tails.select(_PART, F.lag("_tail").over(Window.orderBy(_PART)).alias("_carry"))
+    carry = tails.select(_PART, F.lag("_tail").over(Window.orderBy(_PART)).alias("_carry"))  # one row per partition
     out = placed.withColumn("_prev", F.lag(whole).over(w)).join(carry, _PART)
     prev = F.coalesce("_prev", "_carry")
-    same = prev.isNotNull() & prev["k"].eqNullSafe(F.col(key))
+    out = out.withColumn(_SAME, prev.isNotNull() & prev["k"].eqNullSafe(F.col(key)))
     for i, c in enumerate(cols):
-        out = out.withColumn(prefix + c, F.when(same, prev[f"v{i}"]))
-    return out.drop(_PART, _AT, "_prev", "_carry")
+        out = out.withColumn(prefix + c, F.when(F.col(_SAME), prev[f"v{i}"]))
+    return out.drop("_prev", "_carry")
+
+
+def ranged_runs(df: DataFrame, key: str, order: list[str], cols: list[str], goes_on: Column, name: str = "run",
+                prefix: str = "prev_", partitions: int | None = None) -> DataFrame:
+    """Number runs of rows that hang together, without a slice and however long a run or a key is.
+
+    A row belongs to the run of the row before it (of the same key, by ``order``) where
+    ``goes_on`` is true; it may use ``prefix + c`` of that row for the columns ``cols``.
+    Any other row starts a run. Run numbers ascend with (key, order) over the whole table.
+    """
+    placed = _with_previous(ranged(df, key, order, partitions), key, cols, prefix)
+    starts = placed.withColumn("_new", F.when(F.col(_SAME) & goes_on, 0).otherwise(1))
+    totals = starts.groupBy(_PART).agg(F.sum("_new").alias("_n"))
+    before = Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    offsets = totals.select(_PART, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    within = Window.partitionBy(_PART).orderBy(_AT).rowsBetween(Window.unboundedPreceding, 0)
+    out = starts.withColumn(name, F.sum("_new").over(within)).join(offsets, _PART)
+    return out.withColumn(name, (F.col(name) + F.col("_before")).cast("long")).drop(_PART, _AT, _SAME, "_new", "_before", *[prefix + c for c in cols])

@@ -213,6 +213,21 @@ def q_error_triage(spark, sf):
     return ST.error_triage(FX.stage_log(spark, sf))
 
 
+@register("linked_turns")
+def q_linked_turns(spark, sf):
+    """Events as turns of a recording per user, a window per 16 event ids, each type one voice: speakers linked, turns joined over borders."""
+    from sonotable.operators import infer as IF
+
+    ev = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "user_id", "event_type")
+    kind = F.ascii("event_type").bitwiseAND(F.lit(31)).cast("long")
+    start = F.col("event_id") * 1000
+    turns = ev.select(
+        FX.fid("user_id").alias("file_id"), F.shiftright("event_id", 4).alias("window"), (F.col("event_id") % 16).alias("turn_idx"),
+        F.lit("HEARD").alias("speaker"), start.alias("start_ms"), (start + (F.col("event_id") % 11) * 200_000).alias("end_ms"),
+        kind.alias("voice_no"), F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.when(i == kind, 1.0).otherwise(0.0)).alias("voice"))
+    return IF.join_borders(IF.name_speakers(turns))
+
+
 # --- manifest -----------------------------------------------------------------
 
 
@@ -237,6 +252,20 @@ def q_latest_manifest(spark, sf):
     return MF.latest_manifest(_manifest_log(spark, sf))
 
 
+@register("manifest_upsert")
+def q_manifest_upsert(spark, sf):
+    """All outcomes put into the keyed manifest as three runs of falling and rising time, the middle one replayed: one row per file."""
+    from sonotable.session import scratch_path
+    from sonotable.sinks import keyed as KT
+
+    root = scratch_path(spark, "keyed-manifest")
+    log = _manifest_log(spark, sf)
+    for run, third in enumerate((2, 0, 1)):
+        for _ in range(2 if run == 1 else 1):
+            KT.upsert(log.where(F.col("append_seq") % 3 == third), root, run, "file_id", ["processed_us", "append_seq"], buckets=16)
+    return KT.current(spark, root)
+
+
 # --- interchange round trips ---------------------------------------------------
 
 

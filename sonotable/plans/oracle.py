@@ -402,6 +402,23 @@ SELECT * EXCLUDE (rn) FROM (
 ) WHERE rn = 1""")
 
 
+QUERIES["linked_turns"] = """
+WITH t AS (
+  SELECT 'f' || lpad(CAST(user_id AS VARCHAR), 6, '0') AS file_id, event_id // 16 AS "window", event_id % 16 AS turn_idx, ascii(event_type) & 31 AS kind,
+         event_id * 1000 AS start_ms, event_id * 1000 + (event_id % 11) * 200000 AS end_ms
+  FROM events),
+voices AS (SELECT file_id, kind, row_number() OVER (PARTITION BY file_id ORDER BY min("window" * 32 + kind)) - 1 AS n FROM t GROUP BY file_id, kind),
+named AS (SELECT t.*, 'SPEAKER_' || lpad(CAST(n AS VARCHAR), 2, '0') AS speaker FROM t JOIN voices USING (file_id, kind)),
+before AS (SELECT *, lag("window") OVER w AS prev_window, lag(end_ms) OVER w AS prev_end FROM named
+           WINDOW w AS (PARTITION BY file_id, speaker ORDER BY "window", turn_idx)),
+runs AS (SELECT *, sum(CASE WHEN prev_window < "window" AND start_ms < prev_end THEN 0 ELSE 1 END)
+                  OVER (PARTITION BY file_id, speaker ORDER BY "window", turn_idx) AS run FROM before)
+SELECT file_id, min("window") AS "window", arg_min(turn_idx, start_ms) AS turn_idx, speaker, min(start_ms) AS start_ms, max(end_ms) AS end_ms
+FROM runs GROUP BY file_id, speaker, run"""
+
+QUERIES["manifest_upsert"] = QUERIES["latest_manifest"]
+
+
 # --- interchange round trips ---------------------------------------------------
 
 query("rttm_roundtrip", ["fx_segments"], """

@@ -49,3 +49,25 @@ def test_no_rows(rows):
     assert ranged_index(rows.where("false"), "file_id", ["t", "n"]).count() == 0
     assert ranged_previous(rows.where("false"), "file_id", ["t"], ["n"]).count() == 0
     assert ranged_ranks(ranged(rows.where("false"), "file_id", ["t"])).count() == 0
+
+
+def test_runs_of_one_key_over_partitions(spark):
+    import random
+
+    from sonotable.operators.sequence import ranged_runs
+
+    rng = random.Random(3)
+    rows, at = [], 0
+    for i in range(3000):  # a hot key, a null key and small ones
+        at += rng.choice([1, 1, 1, 1, 1, 1, 1, 1, 1, 5])
+        rows.append((rng.choice(["hot", "hot", "hot", None, f"k{i % 7}"]), at))
+    df = spark.createDataFrame(rows, "k string, at long").repartition(7)
+    near = F.col("at") - F.col("prev_at") <= 3
+    for parts in (1, 8, 40):
+        got = ranged_runs(df, "k", ["at"], ["at"], near, partitions=parts).collect()
+        assert len(got) == len(rows)
+        want, n, last = {}, 0, object()
+        for k, a in sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1])):
+            n += not (last == (k, last[1]) and a - last[1] <= 3) if isinstance(last, tuple) else 1
+            want[(k, a)], last = n, (k, a)
+        assert {(r.k, r.at): r.run for r in got} == want
