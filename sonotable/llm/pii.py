@@ -9,13 +9,20 @@ values get equal pseudonyms in every document and different ones stay different:
 * social security numbers with a valid area, group and serial: among all valid ones;
 * IPv4 addresses: among all 2**32;
 * calendar dates, year or day first: among the 73,170 days from 1900-01-01 on, the same
-  day being the same pseudonym in either notation;
+  day being the same pseudonym in either notation. ``dd/mm/yyyy`` and ``mm/dd/yyyy`` look
+  alike: a value that can be read day first is; one that cannot (its day is above 12) is
+  read month first, if of the years 1900 to 2099, and permuted among such dates alone, so
+  that its pseudonym is read month first, too: days 13 to 28, the ends of months, and 29
+  February each among themselves;
 * e-mail addresses: runs of up to ten letters and digits of the local part, in lower case.
+  Of addresses joined by a sign, each is one.
 
 The network is unbalanced over a domain of a * b values: ``ROUNDS`` times, one half is
 shifted by a keyed SHA-256 of the other, modulo its own size. Every round can be undone,
 so the whole is a permutation of the domain, without cycle walking. ``reveal`` runs it
-backwards. Numbers that fail their validation are left as they are.
+backwards. Numbers that fail their validation are left as they are, and so are phone
+numbers of other shapes than 3-3-4 digits. The key is the caller's: who has it can undo
+the pseudonyms.
 
 Defined results: a null text stays null; an empty one stays empty; rows are mapped one by
 one, so repeated rows and null ids need no rule; other columns are ignored; an empty table
@@ -34,12 +41,14 @@ EPOCH = "1900-01-01"
 DAYS = (270, 271)  # 1900-01-01 to 2100-05-01
 
 # Shapes of the values, tried in this order.
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+DOMAIN = r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+# an address begins after another sign or where the last match ended; its domain is not the local part of the next
+EMAIL = rf"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]+@(?:{DOMAIN}(?![A-Za-z0-9@])|{DOMAIN})"
 DATE = r"(?<![0-9.\-/])(?:[0-9]{4}[-/.][0-9]{2}[-/.][0-9]{2}|[0-9]{2}[-/.][0-9]{2}[-/.][0-9]{4})(?![0-9\-/]|\.[0-9])"
 IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 PHONE = r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ ]?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9])"
-CARD = r"(?<![0-9])(?:[0-9]{4}[ -]){3}[0-9]{1,7}(?![0-9])|(?<![0-9])[0-9]{13,19}(?![0-9])"
+CARD = r"(?<![0-9])(?:[0-9]{4}[ -]){3}[0-9]{1,7}(?![0-9])|(?<![0-9])[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}(?![0-9])|(?<![0-9])[0-9]{13,19}(?![0-9])"
 VALUE = "|".join((EMAIL, DATE, IP, SSN, PHONE, CARD))
 KINDS = ("email", "date", "ip", "ssn", "phone", "card")
 
@@ -147,6 +156,31 @@ def _date(x: Column, key: str, back: bool) -> Column:
     return _refill(x, F.when(x.rlike("^[0-9]{4}"), F.date_format(day, "yyyyMMdd")).otherwise(F.date_format(day, "ddMMyyyy")))
 
 
+# Days behind the 28th of the months other than February.
+MONTH_ENDS = [f"{m:02d}{d}" for m in (1, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12) for d in (29, 30, 31) if d < 31 or m not in (4, 6, 9, 11)]
+
+
+def _month_first(x: Column) -> Column:
+    """Whether ``mm/dd/yyyy`` is a date of 1900 to 2099 whose day is above 12."""
+    iso = F.regexp_replace(x, r"^(..).(..).(....)$", "$3-$1-$2")
+    return (F.substring(x, 4, 2) > "12") & F.substring(x, 7, 4).between("1900", "2099") & F.call_function("try_to_date", iso, F.lit("yyyy-MM-dd")).isNotNull()
+
+
+def _month_first_date(x: Column, key: str, back: bool) -> Column:
+    d = _digits(x)
+    month, day, year = (d.substr(a, n).cast("long") for a, n in ((1, 2), (3, 2), (5, 4)))
+    two, four = (lambda c: _padded(c, F.lit(2))), (lambda c: c.cast("string"))
+    mid = feistel(((year - 1900) * 12 + month - 1) * 16 + day - 13, 240, 160, key, F.lit("month-first-mid"), back)
+    mid = F.concat(two(F.pmod(_div(mid, _long(16)), F.lit(12)) + 1), two(F.pmod(mid, F.lit(16)) + 13), four(_div(mid, _long(192)) + 1900))
+    ends = F.array(*[F.lit(e) for e in MONTH_ENDS])
+    n = len(MONTH_ENDS)
+    end = feistel((year - 1900) * n + F.array_position(ends, F.substring(d, 1, 4)) - 1, 200, n, key, F.lit("month-first-end"), back)
+    end = F.concat(F.element_at(ends, (F.pmod(end, F.lit(n)) + 1).cast("int")), four(_div(end, _long(n)) + 1900))
+    leap = feistel(_div(year - 1904, _long(4)), 7, 7, key, F.lit("month-first-leap"), back)  # 1904 to 2096
+    leap = F.concat(F.lit("0229"), four(leap * 4 + 1904))
+    return _refill(x, F.when(day <= 28, mid).when(month == 2, leap).otherwise(end))
+
+
 def _email(x: Column, key: str, back: bool) -> Column:
     local = F.lower(F.substring_index(x, "@", 1))
     runs, gaps = (F.regexp_extract_all(local, F.lit("([a-z0-9]{0,10})([^a-z0-9]*)"), F.lit(g)) for g in (1, 2))
@@ -168,7 +202,7 @@ def _kind(x: Column) -> Column:
     day = _day(x)
     area, group, serial = (F.split(x, "-")[i] for i in range(3))
     return (F.when(whole(EMAIL), "email")
-            .when(whole(DATE), F.when((day >= 0) & (day < DAYS[0] * DAYS[1]), "date"))
+            .when(whole(DATE), F.when((day >= 0) & (day < DAYS[0] * DAYS[1]), "date").when(~x.rlike("^[0-9]{4}") & _month_first(x), "month_first"))
             .when(whole(IP), F.when(octets, "ip"))
             .when(whole(SSN), F.when(~area.isin("000", "666") & (area < "900") & (group != "00") & (serial != "0000"), "ssn"))
             .when(whole(PHONE), "phone")
@@ -179,17 +213,18 @@ def _replaced(text: Column, key: str, backwards: bool) -> Column:
     """The matches of a text in order: the text before each, the value, its kind and its pseudonym."""
     found = F.lit(rf"\G(?s:(.*?))({VALUE})")
     gaps, values = (F.regexp_extract_all(text, found, F.lit(g)) for g in (1, 2))
-    to = {"email": _email, "date": _date, "ip": _ip, "ssn": _ssn, "phone": _phone, "card": _card}
+    to = {"email": _email, "date": _date, "month_first": _month_first_date, "ip": _ip, "ssn": _ssn, "phone": _phone, "card": _card}
 
     def one(gap: Column, x: Column) -> Column:
         kind = _kind(x)
         out = F.coalesce(*[F.when(kind == k, f(x, key, backwards)) for k, f in to.items()], x)
+        kind = F.when(kind == "month_first", "date").otherwise(kind)
         return F.struct(gap.alias("gap"), x.alias("value"), kind.alias("kind"), out.alias("out"))
 
     return F.zip_with(gaps, values, one)
 
 
-def pseudonymise(docs: DataFrame, key: str = "local-test-key", backwards: bool = False) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, backwards: bool = False) -> DataFrame:
     """doc_id, text with its personal values replaced, and the number of values of each kind (``n_<kind>``)."""
     text = F.col("text")
     none = F.array().cast("array<struct<gap:string,value:string,kind:string,out:string>>")
@@ -205,6 +240,6 @@ def _count(kind: str) -> Column:
     return F.coalesce(F.size(F.filter("found", lambda m: m["kind"] == kind)), F.lit(0)).cast("long").alias(f"n_{kind}")
 
 
-def reveal(docs: DataFrame, key: str = "local-test-key") -> DataFrame:
+def reveal(docs: DataFrame, key: str) -> DataFrame:
     """The inverse of ``pseudonymise`` under the same key (local parts of addresses in lower case)."""
     return pseudonymise(docs, key, backwards=True)

@@ -35,7 +35,8 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op6_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(documents(spark, sf_dir))
+    # production sets the key; the test tables hold no real values
+    return pii.pseudonymise(documents(spark, sf_dir), spark.conf.get("spark.sonotable.pseudonym.key", "test-tables"))
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

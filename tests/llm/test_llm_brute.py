@@ -228,7 +228,7 @@ def test_pseudonyms_keep_formats_links_and_come_back(spark):
              "mail und.34@mail7.example.com", "", None, "x 5500 0000 0000 0004\n12/05/1987 y 129.38.82.176", "9" * 40 + " " + "1 " * 3000,
              "a" * 200_000 + "1"]  # a run without end is read once
     docs = docs_of(spark, list(enumerate(texts)))
-    changed = pii.pseudonymise(docs)
+    changed = pii.pseudonymise(docs, "k")
     got = {r.doc_id: r for r in changed.collect()}
     luhn = lambda d: sum(sum(divmod(int(c) * (2 if k % 2 else 1), 10)) for k, c in enumerate(reversed(d))) % 10 == 0
     card = re.sub(r"\D", "", got[0].text)
@@ -239,10 +239,65 @@ def test_pseudonyms_keep_formats_links_and_come_back(spark):
     assert iso == dotted[::-1] and iso != ("2024", "02", "29")
     assert got[5].text.split(",")[0].split()[1] == got[10].text.split()[-1] and got[8].text == "" and got[9].text is None
     assert got[7].text.endswith("@mail7.example.com") and "und.34" not in got[7].text
-    assert {r.doc_id: r.text for r in pii.reveal(changed).collect()} == dict(enumerate(texts))
+    assert {r.doc_id: r.text for r in pii.reveal(changed, "k").collect()} == dict(enumerate(texts))
     assert {r.doc_id: r.text for r in pii.pseudonymise(docs, key="other").collect()}[1] != got[1].text
 
 
+def plain_feistel(value, a, b, key, kind):
+    left, right = divmod(value, b)
+    for i in range(pii.ROUNDS):
+        said = f"{key}|{kind}|{i}|{right if i % 2 == 0 else left}"
+        shift = int(hashlib.sha256(said.encode()).hexdigest()[:15], 16)
+        if i % 2 == 0:
+            left = (left + shift) % a
+        else:
+            right = (right + shift) % b
+    return left * b + right
+
+
+def test_pseudonyms_of_numbers_equal_a_plain_network(spark):
+    rng = random.Random(9)
+    ips = [rng.randrange(1 << 32) for _ in range(60)]
+    phones = [rng.randrange(10**10) for _ in range(60)]
+    ssns = [(rng.choice([a for a in range(1, 900) if a != 666]), rng.randrange(1, 100), rng.randrange(1, 10000)) for _ in range(60)]
+    dotted = lambda n: ".".join(str(n >> s & 255) for s in (24, 16, 8, 0))
+    dashed = lambda n: f"{n:010d}"[:3] + "-" + f"{n:010d}"[3:6] + "-" + f"{n:010d}"[6:]
+
+    def ssn(n):
+        area = n // (99 * 9999) + 1
+        return f"{area + (area >= 666):03d}-{n // 9999 % 99 + 1:02d}-{n % 9999 + 1:04d}"
+
+    order = [((a - 1 - (a > 666)) * 99 + g - 1) * 9999 + s - 1 for a, g, s in ssns]
+    assert [ssn(n) for n in order] == [f"{a:03d}-{g:02d}-{s:04d}" for a, g, s in ssns]
+    texts = [f"x {dotted(i)} y {dashed(p)} z {ssn(n)}" for i, p, n in zip(ips, phones, order)]
+    want = [f"x {dotted(plain_feistel(i, 1 << 16, 1 << 16, 'k', 'ip'))} y {dashed(plain_feistel(p, 10**5, 10**5, 'k', 'phone10'))}"
+            f" z {ssn(plain_feistel(n, 898 * 11, 9 * 9999, 'k', 'ssn'))}" for i, p, n in zip(ips, phones, order)]
+    got = {r.doc_id: r.text for r in pii.pseudonymise(docs_of(spark, list(enumerate(texts))), "k").collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_joined_addresses_month_first_dates_and_cards_of_fifteen(spark):
+    import datetime
+
+    joined = ["anna@b.com_carl@d.com", "anna@b.com-carl@d.com", "anna@b.com.carl@d.com", "anna@b.com+carl@d.com%dora@e.org", "anna@b.com@d.com"]
+    days = [datetime.date(1900, 1, 1) + datetime.timedelta(days=i) for i in range(0, 73049, 11)]
+    days += [datetime.date(y, 2, 29) for y in range(1904, 2097, 4)]
+    days = sorted({d for d in days if d.day > 12})
+    texts = joined + ["card 3782 822463 10005 and 3782-822463-10005, not 3782 822463 10006"] + [d.strftime("%m/%d/") + str(d.year) for d in days]
+    docs = docs_of(spark, list(enumerate(texts)))
+    changed = pii.pseudonymise(docs, "k")
+    got = [r for r in sorted(changed.collect(), key=lambda r: r.doc_id)]
+    for text, r in zip(joined, got):
+        assert not re.search(r"anna|carl|dora", r.text) and re.sub("[a-z0-9]", "x", r.text) == re.sub("[a-z0-9]", "x", text), r
+    assert [r.n_email for r in got[:5]] == [2, 2, 2, 3, 1] and got[5].n_card == 2 and got[5].text.endswith("3782 822463 10006")
+    one, two = re.findall(r"[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}", got[5].text)[:2]
+    assert one != "3782 822463 10005" and one == two.replace("-", " ")
+    images = [r.text for r in got[6:]]
+    back = [datetime.date(int(t[6:]), int(t[:2]), int(t[3:5])) for t in images]  # every one is a date, month first
+    assert len(set(images)) == len(days) and all(b.day > 12 for b in back) and sum(b == d for b, d in zip(back, days)) < 25
+    assert {r.doc_id: r.text for r in pii.reveal(changed, "k").collect()} == dict(enumerate(texts))
+
+
 def test_feistel_is_a_permutation_of_its_domain(spark):
     from pyspark.sql import functions as F
 

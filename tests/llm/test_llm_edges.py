@@ -46,7 +46,7 @@ OPERATORS = {
     "substring": lambda d, b, lab: substring.remove_repeats(d),
     "suffix": lambda d, b, lab: suffix_dedup.remove_repeats(d),
     "ngram": lambda d, b, lab: ngram_join.jaccard_components(d),
-    "pii": lambda d, b, lab: pii.pseudonymise(d),
+    "pii": lambda d, b, lab: pii.pseudonymise(d, "k"),
     "toxicity": lambda d, b, lab: toxicity.score(d, toxicity.fit(d, lab)),
     "exact": lambda d, b, lab: exact_dedup.exact_dedup(d),
 }
