@@ -860,6 +860,23 @@ def q_normalise_wav_files(spark, sf):
     )
 
 
+@register("wav_source")
+def q_wav_source(spark, sf):
+    """fx_frames landed as 10-minute WAV files and read back by the data source, several byte ranges a file."""
+    from sonotable.operators import audio as AU
+    from sonotable.session import scratch_path
+    from sonotable.sources.wav import wav_frames
+
+    clip_s, folder = FX.LANDED_FILE_S, scratch_path(spark, "wav_source")
+    WF.land_wav_clips(FX.frames(spark, sf), folder, FX.FRAME_SAMPLES, clip_s).write.parquet(scratch_path(spark, "wav_source_list"))
+    read = wav_frames(spark, folder, target_rate=FX.FRAME_SAMPLES, chunk_s=7, partition_bytes=50_000)
+    place = F.split("path", "/")
+    clip, st = F.col("file_id").cast("long"), AU.pcm_stats("pcm")
+    return read.where("error is null").select(
+        F.element_at(place, -2).alias("file_id"), (clip * clip_s + F.col("frame_idx")).alias("frame_idx"),
+        st["n_samples"].alias("n_samples"), st["sample_sum"].alias("sample_sum"))
+
+
 @register("stream_audio_intake")
 def q_stream_audio_intake(spark, sf):
     """fx_frames landed as 10-minute WAV files; a binaryFile stream records header facts and validation per new file."""

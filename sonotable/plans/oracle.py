@@ -521,6 +521,7 @@ SELECT m.file_id, CAST(f AS BIGINT) AS frame_idx, CAST(100 AS BIGINT) AS n_sampl
 FROM (SELECT file_id, user_id, max(end_ms) AS mx FROM fx_segments GROUP BY file_id, user_id) m,
      range(0, CAST(floor(m.mx / 1000) AS BIGINT) + 1) fr(f)""")
 
+QUERIES["wav_source"] = QUERIES["normalise_wav_files"]
 
 
 # --- model operators with the deterministic stand-ins (exact integer statistics) ----
