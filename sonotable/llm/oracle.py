@@ -130,3 +130,66 @@ s as (select lang, phrase, a, l, r, (1000000 * a * a) // (l * r) as score from c
 o as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from s)
 select o.lang, rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n, score::bigint as score from o join n on n.lang = o.lang where rank <= 2000
 """
+
+
+#: Words of a text, an expression: runs without the six ASCII white-space characters.
+_WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
+
+# Windows that two documents have, and their doublings; rows that share a doc_id are one document.
+ORACLE["op2_substring_dedup"] = f"""
+with recursive d as (select row_number() over () as rid, doc_id, {_WORDS.format("coalesce(text, '')")} as w from documents),
+x as (select rid, doc_id, unnest(range(1, len(w) - 11)) as pos, w from d where doc_id is not null and len(w) >= 13),
+s as (select rid, doc_id, pos, array_to_string(w[pos:pos + 12], ' ') as run from x),
+m as (select run, min(doc_id) as least from s group by run having min(doc_id) < max(doc_id)),
+hit as (select rid, list(pos) as starts from s join m using (run) where doc_id > least group by rid),
+gone as (select rid, unnest(list_distinct(flatten(list_transform(starts, lambda a: range(a, a + 13))))) as pos from hit),
+one as (select rid, unnest(w) as word, generate_subscripts(w, 1) as pos from d),
+kept as (select rid, string_agg(word, ' ' order by pos) as kept, count(*) as n from one anti join gone using (rid, pos) group by rid),
+same as (select rid, len(w) as n, min(doc_id) over (partition by w) < doc_id as copied from d where doc_id is not null and len(w) >= 13),
+levels as (
+  select 13 as length, rid, doc_id, pos, md5(run) as run, doc_id > least as later from s join m using (run) where rid not in (select rid from same where copied)
+  union all
+  select length, rid, doc_id, pos, run, doc_id > least from (
+    select 2 * a.length as length, a.rid, a.doc_id, a.pos, md5(a.run || b.run) as run, min(a.doc_id) over (partition by md5(a.run || b.run)) as least, max(a.doc_id) over (partition by md5(a.run || b.run)) as most
+    from levels a join levels b on a.rid = b.rid and b.pos = a.pos + a.length) where least < most),
+longest as (select rid, max(length) filter (later) as longest from levels group by rid)
+select doc_id, len(w)::bigint as n_words, case when hit.rid is null then 0 else len(w) - coalesce(n, 0) end as n_removed,
+  sha256(case when hit.rid is null then array_to_string(w, ' ') else coalesce(kept, '') end) as kept_sha256,
+  coalesce((select any_value(same.n) from same where same.rid = d.rid and copied), longest, 0)::bigint as longest
+from d left join kept using (rid) left join hit using (rid) left join longest using (rid)
+"""
+
+# Every 100-byte string of every text, as hex digits; the first by (doc_id, start) stays.
+ORACLE["op3_suffix_array_dedup"] = f"""
+with d as (select row_number() over () as rid, doc_id, hex(encode(coalesce(text, ''))) as h, strlen(coalesce(text, ''))::bigint as n from documents),
+x as (select rid, doc_id, h, unnest(range(0, n - 99)) as pos from d where n >= 100),
+s as (select rid, doc_id, pos, md5_number(substr(h, 2 * pos + 1, 200)) as k from x),
+later as (select rid, pos from (select rid, pos, row_number() over (partition by k order by doc_id, pos) as r from s) where r > 1),
+e as (select rid, pos, pos - 100 > coalesce(lag(pos) over (partition by rid order by pos), -1000) as opens from later),
+r as (select rid, pos, sum(opens::int) over (partition by rid order by pos) as run from e),
+runs as (select rid, run, min(pos) as a, max(pos) + 100 as z from r group by rid, run),
+k as (select rid, a, z, coalesce(lag(z) over (partition by rid order by a), 0) as p from runs),
+g as (select d.rid, sum(z - a) as n_removed, count(*) as n_spans, string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' order by a) || substr(any_value(h), 2 * max(z) + 1) as kept from k join d on d.rid = k.rid group by d.rid)
+select doc_id, n as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(kept, h))) as kept_sha256 from d left join g on d.rid = g.rid
+"""
+
+# Sets that are equal are one class; classes are paired by their prefixes in rarest-first order and verified whole.
+ORACLE["op4_ngram_jaccard_join"] = f"""
+with recursive d as (select row_number() over () as rid, doc_id, {_WORDS.format(_A_TO_Z)} as w from documents),
+sets as (select rid, doc_id, case when len(w) >= 5 then list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))))
+  when len(w) > 0 then [array_to_string(w, ' ')] else [] end as s from d),
+classes as (select s, min(doc_id) as c, len(s) as n from sets where len(s) > 0 and doc_id is not null group by s),
+one as (select c, n, unnest(s) as x from classes),
+df as (select x, count(*) as df from one group by x),
+ranked as (select c, n, x, row_number() over (partition by c order by df, x) as r from one join df using (x)),
+prefix as (select * from ranked where r <= n - (75 * n + 99) // 100 + 1),
+pairs as (select distinct a.c as a, b.c as b from prefix a join prefix b on a.x = b.x and a.c < b.c and 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n)),
+links as (select a, b from pairs p
+  join classes p1 on p1.c = a join classes p2 on p2.c = b
+  where 100 * len(list_intersect(p1.s, p2.s)) >= 75 * (p1.n + p2.n - len(list_intersect(p1.s, p2.s)))),
+sides as (select a, b from links union all select b, a from links),
+reach as (select a, a as b from sides union select r.a, l.b from reach r join sides l on r.b = l.a),
+root as (select a, min(b) as root from reach group by a)
+select doc_id, len(sets.s)::bigint as n_shingles, coalesce(root, c, doc_id) as component_id
+from sets left join classes on sets.s = classes.s left join root on root.a = classes.c
+"""
