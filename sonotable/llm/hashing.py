@@ -59,6 +59,23 @@ def blob(a: np.ndarray) -> bytes:
     return np.ascontiguousarray(a).tobytes()
 
 
+def planes(values: np.ndarray) -> bytes:
+    """Integers >= 0 in as few bits as the largest needs, bit by bit: upper bits that are all alike compress to nothing."""
+    width = max(1, int(values.max()).bit_length()) if len(values) else 1
+    octets = np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :-(-width // 8)]
+    return np.packbits(np.unpackbits(octets, axis=1, bitorder="little")[:, :width].T, axis=1).tobytes()
+
+
+def unplanes(data: bytes, n: int) -> np.ndarray:
+    """The ``n`` integers of ``planes``."""
+    out = np.zeros((n, 8), dtype=np.uint8)
+    if n:
+        bits = np.unpackbits(np.frombuffer(data, dtype=np.uint8).reshape(-1, -(-n // 8)), axis=1, count=n)
+        octets = np.packbits(bits.T, axis=1, bitorder="little")
+        out[:, :octets.shape[1]] = octets
+    return out.view("<u8").ravel()
+
+
 def unblob(rows, dtype) -> np.ndarray:
     """The arrays of several blobs, one after the other."""
     return np.frombuffer(b"".join(rows), dtype=dtype)

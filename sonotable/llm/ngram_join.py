@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sonotable.llm.common import anti_join_small, connected, release, select_plain, semi_join_small, text_bytes, written
-from sonotable.llm.hashing import blob, bucket_of, mixed, run_hashes, unblob, word_hashes, word_list
+from sonotable.llm.hashing import blob, bucket_of, mixed, planes, run_hashes, unblob, unplanes, word_hashes, word_list
 
 WORDS = 5
 NUM, DEN = 75, 100       # link when DEN * intersection >= NUM * union
@@ -78,13 +78,15 @@ def _set_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 # ---- packed exchange of tokens ---------------------------------------------------------------------
 
-DEALT = "bucket int, flush binary, sets int, keys binary, counts binary, ids binary"
+DEALT = "bucket int, flush binary, held int, keys binary, owners binary, counts binary, ids binary"
 
 
 def _deal(n_buckets: int, narrow: bool):
-    """Packed rows, one per bucket and flush: keys of the sets' tokens in the bucket, set by set, and how many of each set.
+    """Packed rows, one per bucket and flush: keys of the sets' tokens in the bucket, set by set.
 
-    The rows of bucket 0 also hold what identifies the sets: (s0, s1, id, size). A flush is
+    A row lists the ``held`` sets that have tokens in it (``owners``, as steps from one to the
+    next) and how many each has, so what is sent follows the tokens, however many buckets
+    there are. The rows of bucket 0 also hold what identifies the sets: (s0, s1, id, size). A flush is
     named by a hash of its sets, so that a task that runs again sends the same rows. Tasks
     that read the same rows send flushes of one name and content; a bucket keeps one of them.
     """
@@ -102,8 +104,10 @@ def _deal(n_buckets: int, narrow: bool):
         for b in range(n_buckets):
             a, z = ends[b], ends[b + 1]
             keys = tokens[a:z].astype(np.uint32) if narrow else tokens[a:z]
-            rows.append((b, name, len(sizes), blob(keys), blob(np.bincount(owner[a:z], minlength=len(sizes)).astype(np.uint16 if sizes.max() < 65536 else np.uint32)), ids if b == 0 else None))
-        yield pd.DataFrame(rows, columns=["bucket", "flush", "sets", "keys", "counts", "ids"])
+            if z > a or b == 0:
+                own, counts = np.unique(owner[a:z], return_counts=True)
+                rows.append((b, name, len(own), blob(keys), planes(np.diff(own, prepend=0)), planes(counts), ids if b == 0 else None))
+        yield pd.DataFrame(rows, columns=["bucket", "flush", "held", "keys", "owners", "counts", "ids"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sets: dict = {}
@@ -124,8 +128,9 @@ def _deal(n_buckets: int, narrow: bool):
     return run
 
 
-def _counts_of(row) -> np.ndarray:
-    return np.frombuffer(row.counts, dtype=np.uint16 if len(row.counts) == 2 * row.sets else np.uint32).astype(np.int64)
+def _owner_of(row) -> np.ndarray:
+    """The set, by its place in the flush, of every key of a row."""
+    return np.repeat(np.cumsum(unplanes(row.owners, row.held).astype(np.int64)), unplanes(row.counts, row.held).astype(np.int64))
 
 
 def _shared_counts(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -139,21 +144,22 @@ def _shared_counts(pdf: pd.DataFrame) -> pd.DataFrame:
         same = k[1:] == k[:-1]
         twin[1:] |= same
         twin[:-1] |= same
-    shared = np.zeros(len(k), dtype=np.int64)
+    shared = np.zeros(len(k), dtype=bool)
     shared[order] = twin
     out, at = [], 0
     for row in pdf.itertuples(index=False):
-        counts = _counts_of(row)
-        own = np.bincount(np.repeat(np.arange(row.sets), counts), weights=shared[at:at + int(counts.sum())], minlength=row.sets)
-        at += int(counts.sum())
-        out.append((row.flush, blob(own.astype(np.uint32)), row.ids))
-    return pd.DataFrame(out, columns=["flush", "shared", "ids"])
+        owner = _owner_of(row)
+        own, n = np.unique(owner[shared[at:at + len(owner)]], return_counts=True)
+        at += len(owner)
+        if len(own) or row.ids is not None:
+            out.append((row.flush, len(own), planes(np.diff(own, prepend=0)), planes(n), row.ids))
+    return pd.DataFrame(out, columns=["flush", "held", "owners", "counts", "ids"])
 
 
 def _survivors(pdf: pd.DataFrame) -> pd.DataFrame:
     """Sets of a flush that may have a partner."""
-    shared = np.sum([np.frombuffer(b, dtype=np.uint32).astype(np.int64) for b in pdf["shared"]], axis=0)
     ids = unblob([b for b in pdf["ids"] if b is not None], np.int64).reshape(-1, 4)
+    shared = np.bincount(np.concatenate([_owner_of(r) for r in pdf.itertuples(index=False)]), minlength=len(ids))
     keep = ids[shared >= least_overlap(ids[:, 3])]
     return pd.DataFrame({"s0": keep[:, 0], "s1": keep[:, 1]})
 
@@ -166,7 +172,7 @@ def _with_df(pdf: pd.DataFrame) -> pd.DataFrame:
     df = n[inverse].astype(np.uint32)
     sizes = [len(k) // 8 for k in pdf["keys"]]
     cuts = np.concatenate([[0], np.cumsum(sizes)])
-    return pd.DataFrame({"bucket": pdf["bucket"], "flush": pdf["flush"], "sets": pdf["sets"], "keys": pdf["keys"], "counts": pdf["counts"], "ids": pdf["ids"],
+    return pd.DataFrame({"bucket": pdf["bucket"], "flush": pdf["flush"], "held": pdf["held"], "keys": pdf["keys"], "owners": pdf["owners"], "counts": pdf["counts"], "ids": pdf["ids"],
                          "df": [blob(df[a:b]) for a, b in zip(cuts, cuts[1:])]})
 
 
@@ -187,7 +193,7 @@ def _indexed(rare_df: int):
         pdf = pdf.sort_values("bucket")
         ids = unblob([b for b in pdf["ids"] if b is not None], np.int64).reshape(-1, 4)
         keys, df = unblob(pdf["keys"], np.uint64), unblob(pdf["df"], np.uint32)
-        owner = np.concatenate([np.repeat(np.arange(r.sets), _counts_of(r)) for r in pdf.itertuples(index=False)])
+        owner = np.concatenate([_owner_of(r) for r in pdf.itertuples(index=False)])
         order = np.argsort(owner, kind="stable")  # buckets ascend with the hash, so each set is sorted again
         keys, df = keys[order], df[order]
         cuts = np.concatenate([[0], np.cumsum(ids[:, 3])])
@@ -278,7 +284,7 @@ def jaccard_components(docs: DataFrame, rare_df: int = RARE_DF, block: int = BLO
     classes = known.groupBy("s0", "s1").agg(F.min("doc_id").alias("id"))
 
     dealt = rows.where("doc_id is not null").mapInPandas(_deal(n_buckets, True), DEALT)
-    shared = dealt.groupBy("bucket").applyInPandas(_shared_counts, "flush binary, shared binary, ids binary")
+    shared = dealt.groupBy("bucket").applyInPandas(_shared_counts, "flush binary, held int, owners binary, counts binary, ids binary")
     left = shared.groupBy("flush").applyInPandas(_survivors, "s0 long, s1 long").distinct()
     chosen = written(left.join(classes, ["s0", "s1"]).select(F.col("id").alias("doc_id")).distinct(), "ngram-chosen")
     del dealt, shared, left

@@ -14,8 +14,10 @@ Documents whose word sequences are equal are settled before: all but the smalles
 One level is a packed exchange. Tasks gather ``FLUSH`` windows, settle repeats among them
 (only the smallest document of a window is sent on, so a passage of a third of all
 documents costs a row per flush), and deal the windows to buckets by hash. A bucket
-sorts its hashes; replies go back to the flush, then to the document. Documents with no
-repeated window never shuffle their text.
+sorts its hashes; replies go back to the flush, then to the document. A row to a bucket
+holds its own windows and their documents, as offsets from the flush's smallest id, and
+nothing that other rows of the flush hold too: what is sent follows the windows, however
+many buckets there are. Documents with no repeated window never shuffle their text.
 
 Windows are compared by 64-bit hashes: over n different windows, a chance of about
 n**2 / 2**65 that any two are taken for equal.
@@ -37,15 +39,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sonotable.llm.common import anti_join_small, probed, release, select_plain, text_bytes, written
-from sonotable.llm.hashing import MULTIPLIERS, blob, bucket_of, mixed, run_hashes, unblob, word_hashes, word_list
+from sonotable.llm.hashing import MULTIPLIERS, blob, bucket_of, mixed, planes, run_hashes, unblob, unplanes, word_hashes, word_list
 
 LENGTH = 13
 FLUSH = 1 << 20          # windows gathered before a task sends packed rows
 BUCKET_BYTES = 16 << 20  # text per bucket
 
 WORDS = "doc_id long, n_words long, sha binary"
-DEALT = "bucket int, flush binary, docs binary, hashes binary, owners binary, many binary, later_hashes binary, later_owners binary"
-FOUND = "flush binary, docs binary, hashes binary, owners binary, later binary"
+DEALT = "bucket int, flush binary, least long, hashes binary, owners binary, many binary, later_hashes binary, later_owners binary"
+FOUND = "flush binary, least long, hashes binary, owners binary, later binary"
 REPEATED = "doc_id long, later binary, first binary, hot binary"
 
 
@@ -74,8 +76,9 @@ def _deal(n_buckets: int, column: str, hashes_of, self_repeats: bool = False):
     With ``self_repeats``, a hash that a document has twice counts as repeated.
     """
     def packed(docs: list[int], found: list[np.ndarray]) -> Iterator[pd.DataFrame]:
-        ids, index = np.unique(np.array(docs, dtype=np.int64), return_inverse=True)
-        owner = np.repeat(index, [len(h) for h in found])
+        ids = np.array(docs, dtype=np.int64)
+        least = ids.min()
+        owner = np.repeat(ids.view(np.uint64) - least.view(np.uint64), [len(h) for h in found])  # offsets, in the order of the ids
         h = np.concatenate(found)
         order = np.lexsort((owner, h))
         h, owner = h[order], owner[order]
@@ -92,16 +95,14 @@ def _deal(n_buckets: int, column: str, hashes_of, self_repeats: bool = False):
             many |= twice
         bucket = bucket_of(h, n_buckets)  # ascending, as h is
         cuts = np.searchsorted(bucket, np.arange(n_buckets + 1))
-        narrow = np.uint16 if len(ids) <= 1 << 16 else np.uint32
-        docs_blob = blob(ids)
-        name = xxhash.xxh3_128_digest(docs_blob + h.tobytes())
+        name = xxhash.xxh3_128_digest(ids.tobytes() + h.tobytes())
         rows = []
         for b in range(n_buckets):
             at = slice(cuts[b], cuts[b + 1])
             f = first[at]
             if len(f):
-                rows.append((b, name, docs_blob, blob(h[at][f]), blob(owner[at][f].astype(narrow)), blob(many[at][f]), blob(h[at][~f]), blob(owner[at][~f].astype(narrow))))
-        yield pd.DataFrame(rows, columns=["bucket", "flush", "docs", "hashes", "owners", "many", "later_hashes", "later_owners"])
+                rows.append((b, name, int(least), blob(h[at][f]), planes(owner[at][f]), blob(np.packbits(many[at][f])), blob(h[at][~f]), planes(owner[at][~f])))
+        yield pd.DataFrame(rows, columns=["bucket", "flush", "least", "hashes", "owners", "many", "later_hashes", "later_owners"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         docs: list[int] = []
@@ -122,8 +123,9 @@ def _deal(n_buckets: int, column: str, hashes_of, self_repeats: bool = False):
     return run
 
 
-def _owners(docs: bytes, owners: bytes) -> np.ndarray:
-    return np.frombuffer(owners, dtype=np.uint16 if len(docs) <= 8 << 16 else np.uint32).astype(np.int64)
+def _owners(least: int, owners: bytes, hashes: bytes) -> np.ndarray:
+    """The documents of a row's hashes."""
+    return (unplanes(owners, len(hashes) // 8) + np.int64(least).view(np.uint64)).view(np.int64)
 
 
 LATER, HOT = 1, 2  # bits of a reply
@@ -134,8 +136,8 @@ def _match(pdf: pd.DataFrame, hot: int | None = None) -> pd.DataFrame:
     h = unblob(pdf["hashes"], np.uint64)
     sizes = [len(b) // 8 for b in pdf["hashes"]]
     cuts = np.concatenate([[0], np.cumsum(sizes)])
-    doc = np.concatenate([np.frombuffer(r.docs, dtype=np.int64)[_owners(r.docs, r.owners)] for r in pdf.itertuples(index=False)])
-    many = unblob(pdf["many"], bool)
+    doc = np.concatenate([_owners(r.least, r.owners, r.hashes) for r in pdf.itertuples(index=False)])
+    many = np.concatenate([np.unpackbits(np.frombuffer(b, dtype=np.uint8), count=n) for b, n in zip(pdf["many"], sizes)]).astype(bool)
     order = np.lexsort((doc, h))
     hs, ds = h[order], doc[order]
     start = np.ones(len(hs), dtype=bool)
@@ -154,25 +156,25 @@ def _match(pdf: pd.DataFrame, hot: int | None = None) -> pd.DataFrame:
     for r, a, z in zip(pdf.itertuples(index=False), cuts, cuts[1:]):
         keep = is_repeated[a:z]
         hashes = np.concatenate([h[a:z][keep], np.frombuffer(r.later_hashes, dtype=np.uint64)])
-        owners = np.concatenate([_owners(r.docs, r.owners)[keep], _owners(r.docs, r.later_owners)])
+        owners = np.concatenate([unplanes(r.owners, z - a)[keep], unplanes(r.later_owners, len(r.later_hashes) // 8)])
         if len(hashes):
             flags = np.concatenate([is_later[a:z][keep], np.ones(len(r.later_hashes) // 8, dtype=bool)]).astype(np.uint8) * LATER
             if hot is not None:
                 flags |= np.isin(hashes, often).astype(np.uint8) * np.uint8(HOT)
-            rows.append((r.flush, r.docs, blob(hashes), blob(owners.astype(np.uint32)), blob(flags)))
-    return pd.DataFrame(rows, columns=["flush", "docs", "hashes", "owners", "later"])
+            rows.append((r.flush, r.least, blob(hashes), planes(owners), blob(flags)))
+    return pd.DataFrame(rows, columns=["flush", "least", "hashes", "owners", "later"])
 
 
 def _by_document(pdf: pd.DataFrame) -> pd.DataFrame:
-    docs = np.frombuffer(pdf["docs"].iloc[0], dtype=np.int64)
-    h, owner, flags = unblob(pdf["hashes"], np.uint64), unblob(pdf["owners"], np.uint32), unblob(pdf["later"], np.uint8)
+    h, flags = unblob(pdf["hashes"], np.uint64), unblob(pdf["later"], np.uint8)
+    owner = np.concatenate([_owners(*r) for r in zip(pdf["least"], pdf["owners"], pdf["hashes"])])
     order = np.lexsort((h, owner))
     h, owner, flags = h[order], owner[order], flags[order]
     hot, later = flags & HOT > 0, flags & LATER > 0
     ids, cuts = np.unique(owner, return_index=True)
     ends = [*cuts[1:], len(owner)]
     pick = lambda which: [blob(h[a:z][which[a:z]]) for a, z in zip(cuts, ends)]
-    return pd.DataFrame({"doc_id": docs[ids], "later": pick(later & ~hot), "first": pick(~later & ~hot), "hot": pick(hot)})
+    return pd.DataFrame({"doc_id": ids, "later": pick(later & ~hot), "first": pick(~later & ~hot), "hot": pick(hot)})
 
 
 def repeated_windows(rows: DataFrame, column: str, hashes_of, n_buckets: int, name: str, self_repeats: bool = False, hot: int | None = None) -> DataFrame:

@@ -151,12 +151,15 @@ def _deal_contexts(n_buckets: int):
                     first[(key, shift, text)] = owner
                     for column, x in zip(r[:5], (key, text, shift, owner, start)):
                         column.append(x)
-        docs_blob = blob(np.array(docs, dtype=np.int64).reshape(-1, 2))
-        name = xxhash.xxh3_128_digest(docs_blob)
+        every = np.array(docs, dtype=np.int64).reshape(-1, 2)
+        name = xxhash.xxh3_128_digest(blob(every))
         out = []
         for b, (keys, texts, shifts, owners, starts, later_owners, later_starts, later_counts) in enumerate(rows):
             if keys or later_owners:
-                out.append((b, name, docs_blob, blob(np.array(keys, dtype=np.uint64)), b"".join(texts), blob(np.array([len(t) for t in texts], dtype=np.int32)),
+                # a row holds its own documents only, so what is sent does not grow with the buckets
+                own, local = np.unique(np.array(owners + later_owners, dtype=np.int64), return_inverse=True)
+                owners, later_owners = local[:len(owners)], local[len(owners):]
+                out.append((b, name, blob(every[own]), blob(np.array(keys, dtype=np.uint64)), b"".join(texts), blob(np.array([len(t) for t in texts], dtype=np.int32)),
                             blob(np.array(shifts, dtype=np.uint8)), *[blob(np.array(x, dtype=np.int32)) for x in (owners, starts, later_owners, later_starts, later_counts)]))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in CONTEXTS.split(", ")])
 
@@ -316,8 +319,10 @@ def _match_contexts(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _ranges(pdf: pd.DataFrame) -> pd.DataFrame:
-    docs = np.frombuffer(pdf["docs"].iloc[0], dtype=np.int64).reshape(-1, 2)
+    docs, place = np.unique(unblob(pdf["docs"], np.int64).reshape(-1, 2), axis=0, return_inverse=True)
+    before = np.concatenate([[0], np.cumsum([len(d) // 16 for d in pdf["docs"]])])
     owner, start, count = (unblob(pdf[c], np.int32) for c in ("owners", "starts", "counts"))
+    owner = place.ravel()[owner + np.repeat(before[:-1], [len(o) // 4 for o in pdf["owners"]])]
     order = np.lexsort((start, owner))
     owner, start, count = owner[order], start[order], count[order]
     ids, cuts = np.unique(owner, return_index=True)

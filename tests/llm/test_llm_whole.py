@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from sonotable.llm import decontam, ngram_join, packing, suffix_dedup
+from sonotable.llm import decontam, hashing, ngram_join, packing, substring, suffix_dedup
 
 
 def docs_of(spark, rows):
@@ -140,3 +140,47 @@ def test_trimmed_and_edited_items_are_found(spark):
     got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, benchmark).collect()}
     assert got == {(k, i) for k, (_, want) in texts.items() for i in want}
     assert sorted(r.doc_id for r in decontam.without_contaminated(docs, benchmark).collect()) == [k for k, (_, want) in texts.items() if not want]
+
+
+# ---- packed exchange --------------------------------------------------------------------------------
+
+def sent(deal, rows, buckets):
+    """Bytes of all packed rows, each blob lz4 as in a shuffle, and how many rows."""
+    import pyarrow as pa
+
+    size, count = 0, 0
+    for pdf in deal(buckets)(iter([rows])):
+        for r in pdf.itertuples(index=False):
+            size += sum(len(pa.compress(x, codec="lz4", asbytes=True)) if isinstance(x, bytes) and x else 8 for x in r)
+            count += 1
+    return size, count
+
+
+def test_packed_rows_follow_the_text_and_not_the_buckets():
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(5000)]
+    rows = pd.DataFrame({"doc_id": rng.sample(range(200_000), 4500), "text": [" ".join(rng.choices(words, k=240)) for _ in range(4500)]})
+    deals = {"windows": lambda b: substring._deal(b, "text", substring._of_text), "shingles": lambda b: ngram_join._deal(b, True), "tokens": lambda b: ngram_join._deal(b, False)}
+    figures = {}
+    for name, deal in deals.items():
+        figures[name] = sent(deal, rows, 31), sent(deal, rows, 1789)
+    # which set has a 32-bit token costs about a byte where buckets hold few tokens of a set, a few bits where they hold many
+    bound = {"windows": 1.2, "shingles": 1.3, "tokens": 1.2}
+    assert all(many[0] < bound[name] * few[0] for name, (few, many) in figures.items()), figures
+
+
+def test_planes_give_back_any_integers():
+    for values in ([], [0], [255, 256], [0, 65535, 1], [2**40, 3, 0], [2**64 - 1, 0]):
+        a = np.array(values, dtype=np.uint64)
+        assert hashing.unplanes(hashing.planes(a), len(a)).tolist() == values
+
+
+def test_windows_of_any_ids_keep_their_documents():
+    text = " ".join(f"x{i}" for i in range(20))
+    rows = pd.DataFrame({"doc_id": [-2**63, 2**63 - 1, -5, 7], "text": [text, text + " a", "b " + text, "none"]})
+    dealt = pd.concat(list(substring._deal(3, "text", substring._of_text)(iter([rows]))))
+    found = pd.concat([substring._match(g) for _, g in dealt.groupby("bucket")])
+    by = substring._by_document(found).set_index("doc_id")
+    assert sorted(by.index) == [-2**63, -5, 2**63 - 1]
+    assert len(by["first"][-2**63]) == 8 * 8 and not by["later"][-2**63]
+    assert len(by["later"][-5]) == len(by["later"][2**63 - 1]) == 8 * 8
