@@ -273,7 +273,8 @@ WAV_LAYOUT = T.StructType([
 # Format tags of a RIFF ``fmt `` chunk.
 TAG_INT, TAG_FLOAT, TAG_EXTENSIBLE = 1, 3, 0xFFFE
 CHUNK_S = 60
-CHUNKS_PER_TASK = 64
+TASK_BYTES = 128 << 20   # read and written by one task
+CHUNK_BYTES = 128 << 10  # what opening a file for a chunk is counted as
 SINC_ZEROS = 16  # zero crossings of the low-pass kernel on each side
 
 
@@ -473,9 +474,10 @@ def normalised_parts(files: DataFrame, target_rate: int = S.SAMPLE_RATE, chunk_s
     ok = lay.where(F.col("sample_rate").isNotNull()).withColumn(
         "n_out", F.floor(F.col("n_frames") * F.lit(target_rate) / F.col("sample_rate")).cast("long"))
     last_chunk = F.greatest(F.ceil(F.col("n_out") / F.lit(target_rate * chunk_s)).cast("long") - 1, F.lit(0).cast("long"))
-    # a narrow row stands for a minute of audio: the number of tasks follows the chunks, not the bytes of their rows
-    n_chunks = ok.agg(F.sum(last_chunk + 1)).first()[0] or 1
-    tasks = max(min(n_chunks, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))), n_chunks // CHUNKS_PER_TASK)
+    # a narrow row stands for a minute of audio: the number of tasks follows the bytes that chunks read and give, not those of their rows
+    moved = F.col("n_frames") * F.col("channels") * F.col("sample_width") + F.col("n_out") * 2 + (last_chunk + 1) * CHUNK_BYTES
+    n_chunks, n_bytes = ok.agg(F.coalesce(F.sum(last_chunk + 1), F.lit(1)), F.coalesce(F.sum(moved), F.lit(0))).first()
+    tasks = max(min(n_chunks, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))), -(-n_bytes // TASK_BYTES))
     chunks = ok.select("*", F.explode(F.sequence(F.lit(0).cast("long"), last_chunk)).alias("chunk")).repartitionByRange(tasks, "file_id", "chunk")
 
     def part(r):

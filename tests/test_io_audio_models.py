@@ -301,6 +301,18 @@ def test_annotation_job_from_wav_files(spark, tmpdir_new):
                   "short": "failed", "junk": "failed"}
     m = {r.file_id: r for r in out["manifest"].collect()}
     assert m["long"].num_segments == 11 and m["long"].duration_sec == 31.0
+    # a longer recording in place of the short one is landed and completed; of valid ones nothing is decoded again
+    again = os.path.join(tmpdir_new, "again")
+    os.makedirs(again)
+    _wav(os.path.join(again, "short.wav"), 16000, 1, 3.0)
+    longer = spark.createDataFrame([("short", os.path.join(again, "short.wav"))], "file_id string, path string")
+    job = os.path.join(tmpdir_new, "job")
+    out = annotate_job.run(spark, inputs, job, stubs.fixed_turns, stubs.energy_scores, stubs.energy_probs,
+                           landed_files=files.where("file_id <> 'short'").unionByName(longer), rate=16000, window_s=600, run_us=6)
+    st = {r.file_id: r.status for r in out["state"].collect()}
+    assert st.pop("junk") == "failed" and set(st.values()) == {"completed"}
+    assert {r.file_id: r.duration_sec for r in out["manifest"].collect()}["short"] == 3.0
+    assert {r.file_id for r in spark.read.parquet(os.path.join(job, "audio", "run=6")).select("file_id").distinct().collect()} == {"short", "junk"}
 
 
 def test_line_readers_keep_order_across_splits(spark, tmpdir_new):
