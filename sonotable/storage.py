@@ -15,6 +15,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether a path is a folder, by the Hadoop file system of the path."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+
+
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A parquet table that may not have been written yet, or may hold no rows."""
     if not exists(spark, path):
