@@ -11,7 +11,9 @@ spread over its frame numbers instead of one key.
 
 from __future__ import annotations
 
+import functools
 import io
+import math
 import wave
 from collections.abc import Iterator
 
@@ -374,21 +376,47 @@ def resample(x: np.ndarray, first: int, n_in: int, lo: int, hi: int, rate: int,
     (its weights sum to one at the ends of the recording, too); a higher one is
     interpolated linearly.
     """
-    t = np.arange(lo, hi, dtype=np.float64) * (rate / target)
     if rate < target:
+        t = np.arange(lo, hi, dtype=np.float64) * (rate / target)
         return np.interp(t, np.arange(first, first + len(x), dtype=np.float64), x)
+    base, weights, sums = _sinc_weights(rate, target)
+    phases, taps = weights.shape
+    n = np.arange(lo, hi, dtype=np.int64)
+    if not len(n):
+        return np.zeros(0)
+    phase = n % phases
+    at = n // phases * (rate // math.gcd(rate, target)) + base[phase] - taps // 2 + 1  # first input sample of each output
+    x = np.pad(x[max(0, at[0] - first):], (max(0, first - at[0]), max(0, at[-1] + taps - first - len(x))))
+    heard = np.lib.stride_tricks.sliding_window_view(x, taps)
+    at0 = at - at[0]
+    total = np.empty(len(n))
+    if len(n) >= 16 * phases:  # outputs of one phase share their weights
+        for k in range(phases):
+            total[k::phases] = heard[at0[k::phases]] @ weights[phase[k]]
+    else:
+        step = max(1, (1 << 20) // taps)
+        for k in range(0, len(n), step):
+            total[k:k + step] = np.einsum("ij,ij->i", heard[at0[k:k + step]], weights[phase[k:k + step]])
+    weight = sums[phase]
+    for k in np.flatnonzero((at < 0) | (at + taps > n_in)).tolist():  # at the ends of the recording
+        weight[k] = weights[phase[k], max(0, -at[k]):n_in - at[k]].sum()
+    return total / weight
+
+
+@functools.lru_cache(maxsize=8)
+def _sinc_weights(rate: int, target: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every phase of the output: the whole input place, the weights of the input samples around it, and their sum.
+
+    Output n sits at input n * rate / target: places repeat after target / gcd outputs.
+    """
+    phases = target // math.gcd(rate, target)
     cut = target / rate
     half = int(np.ceil(SINC_ZEROS / cut))
-    base = np.floor(t).astype(np.int64)
-    total, weight = np.zeros(len(t)), np.zeros(len(t))
-    for k in range(-half + 1, half + 1):
-        at = base + k
-        u = t - at
-        w = np.sinc(u * cut) * (0.5 + 0.5 * np.cos(np.pi * np.clip(u / half, -1, 1)))
-        w[(at < 0) | (at >= n_in)] = 0.0
-        total += w * x[np.clip(at - first, 0, len(x) - 1)]
-        weight += w
-    return total / weight
+    place = np.arange(phases, dtype=np.int64) * rate
+    base = place // target
+    u = ((place - base * target) / target)[:, None] - np.arange(-half + 1, half + 1)
+    weights = np.sinc(u * cut) * (0.5 + 0.5 * np.cos(np.pi * np.clip(u / half, -1, 1)))
+    return base, weights, weights.sum(axis=1)
 
 
 def _input_range(lo: int, hi: int, n_in: int, rate: int, target: int) -> tuple[int, int]:
