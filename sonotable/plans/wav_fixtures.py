@@ -7,11 +7,13 @@ import wave
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sonotable.operators.audio import fs_and_path, pcm_array
+from sonotable.operators.grouped import by_key, in_batches, sorted_groups
 
 
 def pack_wav_bytes(rate: int, channels: int, mono: np.ndarray) -> bytes:
@@ -61,22 +63,20 @@ def land_wav_clips(frames: DataFrame, folder: str, rate: int, clip_s: int = 60)
     """Write audio_frames as mono 16-bit WAV files of ``clip_s`` seconds under ``folder``.
 
     One group is one clip (at most ``clip_s`` frames), assembled and written by
-    the executor that holds it; a retried task rewrites the same bytes to the
+    the task that holds it, one clip after the other; a retried task rewrites the same bytes to the
     same path. Returns (file_id, clip, path).
     """
-    out_t = T.StructType([T.StructField("file_id", T.StringType()), T.StructField("clip", T.LongType()),
-                          T.StructField("path", T.StringType())])
+    out = pa.schema([("file_id", pa.string()), ("clip", pa.int64()), ("path", pa.string())])
 
-    def write_clip(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_idx")
-        fid, clip = pdf["file_id"].iloc[0], int(pdf["clip"].iloc[0])
-        mono = np.concatenate([pcm_array(p) for p in pdf["pcm"]])
-        path = f"{folder}/{fid}/{clip:06d}.wav"
-        _write_bytes(path, pack_wav_bytes(rate, 1, mono))
-        return pd.DataFrame({"file_id": [fid], "clip": [clip], "path": [path]})
+    def write_clips(batches):
+        for (fid, clip), g in sorted_groups(batches, ["file_id", "clip"]):
+            path = f"{folder}/{fid}/{clip:06d}.wav"
+            _write_bytes(path, pack_wav_bytes(rate, 1, np.concatenate([pcm_array(p) for p in g["pcm"]])))
+            yield fid, clip, path
 
     c = frames.select("file_id", "frame_idx", "pcm", (F.col("frame_idx") / F.lit(clip_s)).cast("long").alias("clip"))
-    return c.groupBy("file_id", "clip").applyInPandas(write_clip, out_t)
+    rows = by_key(c, ["file_id", "clip"], ["frame_idx"])
+    return rows.mapInArrow(lambda batches: in_batches(write_clips(batches), out), "file_id string, clip long, path string")
 
 
 # (sample width, format tag, subformat if extensible, rate, channels) of the constant signals

@@ -4,9 +4,10 @@ Columns ``path, file_id, frame_idx, pcm, error``: one-second mono frames at ``ta
 as ``operators.audio.normalised_parts`` gives them, one row with an error per file that is
 no uncompressed WAV, and one per range that could not be read. Planning lists the folder and opens no file: files are cut into byte
 ranges of ``partition_bytes`` and small ones put together up to that size, so tasks follow
-bytes and a long recording is read by many. A task walks the header of each file it has a
+bytes and a long recording is read by many; of more than ``max_tasks`` of these a task takes
+several, one after the other. A task walks the header of each file it has a
 range of and decodes the chunks (``chunk_s`` seconds) whose first input byte lies in its
-range, reading only what they need; it holds one chunk at a time.
+range, reading only what they need; it holds one chunk and one batch of frames at a time.
 
 Equality and IN filters on ``file_id`` and ``path`` are applied to the listing, where the
 session allows filters to be pushed into Python sources (``wav_frames`` sets the option by
@@ -24,11 +25,14 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 
 from sonotable import schemas as S
 from sonotable.operators import audio as AU
+from sonotable.operators.grouped import in_batches
 
 NAME = "wav_frames"
 SCHEMA = "path string, file_id string, frame_idx bigint, pcm binary, error string"
 ARROW = pa.schema([("path", pa.string()), ("file_id", pa.string()), ("frame_idx", pa.int64()), ("pcm", pa.binary()), ("error", pa.string())])
 PARTITION_BYTES = 64 << 20
+MAX_TASKS = 512
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 4096  # what is given to Spark at a time
 ENDINGS = (".wav", ".wave")
 
 
@@ -58,6 +62,13 @@ def packed(files: list[tuple[str, int]], partition_bytes: int) -> Iterator[Range
         yield Ranges(parts)
 
 
+def dealt(ranges: list[Ranges], max_tasks: int) -> Iterator[Ranges]:
+    """The same parts in at most ``max_tasks`` tasks: where there are more, each takes as many neighbours as the others."""
+    n = min(len(ranges), max_tasks)
+    for k in range(n):
+        yield Ranges([part for r in ranges[k * len(ranges) // n:(k + 1) * len(ranges) // n] for part in r.parts])
+
+
 def first_bytes(layout: tuple, target: int, chunk_s: int) -> Iterator[tuple[int, int]]:
     """(chunk, place of its first input byte in the file) of a recording, at least chunk 0."""
     rate, channels, width, _, offset, n_in = layout
@@ -72,8 +83,9 @@ class WavReader(DataSourceReader):
         self.target = int(options.get("target_rate", S.SAMPLE_RATE))
         self.chunk_s = int(options.get("chunk_s", AU.CHUNK_S))
         self.partition_bytes = int(options.get("partition_bytes", PARTITION_BYTES))
-        if min(self.target, self.chunk_s, self.partition_bytes) < 1:
-            raise ValueError("target_rate, chunk_s and partition_bytes must be positive")
+        self.max_tasks = int(options.get("max_tasks", MAX_TASKS))
+        if min(self.target, self.chunk_s, self.partition_bytes, self.max_tasks) < 1:
+            raise ValueError("target_rate, chunk_s, partition_bytes and max_tasks must be positive")
         self.only: list[tuple[str, set]] = []
 
     def _files(self) -> list[tuple[str, int]]:
@@ -90,7 +102,7 @@ class WavReader(DataSourceReader):
         return sorted((p, n) for p, n in found if all(value[c](p) in allowed for c, allowed in self.only))
 
     def partitions(self) -> list[Ranges]:
-        return list(packed(self._files(), self.partition_bytes)) or [Ranges([])]
+        return list(dealt(list(packed(self._files(), self.partition_bytes)), self.max_tasks)) or [Ranges([])]
 
     def _frames(self, path: str, start: int, end: int) -> Iterator[list[tuple[int, bytes | None, str | None]]]:
         try:
@@ -107,13 +119,21 @@ class WavReader(DataSourceReader):
         except Exception as exc:  # noqa: BLE001 - a range that cannot be read is a row, not a failed task
             yield [(-1, None, f"{type(exc).__name__}: {exc}")]
 
-    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+    def _rows(self, partition: Ranges) -> Iterator[tuple]:
         for path, file_id, start, end in partition.parts:
             for rows in self._frames(path, start, end):
-                index, pcm, error = zip(*rows)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([path] * len(rows), pa.string()), pa.array([file_id] * len(rows), pa.string()), pa.array(index, pa.int64()),
-                     pa.array(pcm, pa.binary()), pa.array(error, pa.string())], schema=ARROW)
+                for index, pcm, error in rows:
+                    yield path, file_id, index, pcm, error
+
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        part, held = [], 0
+        for row in self._rows(partition):
+            part.append(row)
+            held += len(row[3] or b"")
+            if held >= BATCH_BYTES or len(part) >= BATCH_ROWS:
+                yield from in_batches(iter(part), ARROW, BATCH_ROWS)
+                part, held = [], 0
+        yield from in_batches(iter(part), ARROW, BATCH_ROWS)
 
 
 class PruningWavReader(WavReader):
@@ -138,7 +158,7 @@ class WavSource(DataSource):
 
 
 def wav_frames(spark: SparkSession, root: str, **options) -> DataFrame:
-    """Frames and rejects of the WAV files under ``root``; options ``target_rate``, ``chunk_s``, ``partition_bytes``."""
+    """Frames and rejects of the WAV files under ``root``; options ``target_rate``, ``chunk_s``, ``partition_bytes``, ``max_tasks``."""
     spark.dataSource.register(WavSource)
     prune = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
     return spark.read.format(NAME).options(prune=prune, **options).load(root)
