@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +28,7 @@ from sonotable import schemas as S
 from sonotable.functions import labels as L
 from sonotable.operators import audio as AU
 from sonotable.operators import infer as IF
+from sonotable.operators.grouped import in_batches
 from sonotable.operators.segments import attach_stage, gate_short
 from sonotable.session import scratch_path
 
@@ -83,22 +85,22 @@ def wanted_slices(segments: DataFrame, blocks: Blocks) -> DataFrame:
     return rows.select("file_id", "block", "segment_idx", (lo - F.col("_s0")).alias("offset"), "piece", lo.alias("_g0"), hi.alias("_g1"))
 
 
-def slices_of(block: pd.DataFrame, wanted: pd.DataFrame) -> list[np.ndarray | None]:
+def slices_of(starts: np.ndarray, pcm: list, wanted: list[tuple[int, int]]) -> list[np.ndarray | None]:
     """int16 samples of each wanted range (_g0, _g1), in order; None where there is no audio.
 
-    A missing frame is silence, unless nothing follows it: then the slice ends before it.
+    ``starts``: the first sample of each frame. A missing frame is silence, unless nothing
+    follows it: then the slice ends before it.
     """
-    pcm = [AU.pcm_array(p) for p in block["pcm"]]
-    starts = block["_start"].to_numpy()
+    parts = [AU.pcm_array(p) for p in pcm]
     order = np.argsort(starts, kind="stable")
-    starts, parts = starts[order], [pcm[i] for i in order]
+    starts, parts = starts[order], [parts[i] for i in order]
     ends = starts + np.array([len(p) for p in parts], dtype=np.int64)
     base = int(starts[0]) if len(starts) else 0
     buf = np.zeros(int(ends.max()) - base if len(ends) else 0, dtype=np.int16)
     for s, p in zip(starts.tolist(), parts):
         buf[s - base:s - base + len(p)] = p
     out = []
-    for g0, g1 in zip(wanted["_g0"].tolist(), wanted["_g1"].tolist()):
+    for g0, g1 in wanted:
         last = int(np.searchsorted(starts, g1)) - 1  # the last frame that starts before the end
         end = min(int(ends[last]), g1) if last >= 0 else g0
         if end <= g0:
@@ -110,32 +112,33 @@ def slices_of(block: pd.DataFrame, wanted: pd.DataFrame) -> list[np.ndarray | No
     return out
 
 
-def apply_to_slices(segments: DataFrame, blocks: Blocks, fn: Callable[[str, pd.DataFrame, list[np.ndarray]], pd.DataFrame], schema) -> DataFrame:
-    """``fn(file_id, rows, int16 slices)`` per block, for those of ``wanted_slices`` that have audio there."""
+def apply_to_slices(segments: DataFrame, blocks: Blocks, fn: Callable[[str, list[dict], list[np.ndarray]], list[tuple]], schema: pa.Schema, ddl) -> DataFrame:
+    """``fn(file_id, rows, int16 slices)`` per block, for those of ``wanted_slices`` that have audio there; gives rows of ``schema``."""
     rate = blocks.rate
 
-    def run(key, wanted: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+    def run(key, wanted: pa.Table, block: pa.Table) -> pa.Table:
+        rows: list[dict] = []
         found: list[np.ndarray] = []
-        if len(wanted) and len(block):
-            given = slices_of(block.assign(_start=block["frame_idx"] * rate), wanted)
-            found = [x for x in given if x is not None]
-            wanted = wanted[[x is not None for x in given]]
-        else:
-            wanted = wanted.iloc[:0]
-        return fn(key[0], wanted.reset_index(drop=True), found)
+        if wanted.num_rows and block.num_rows:
+            asked = wanted.to_pylist()
+            starts = block["frame_idx"].to_numpy().astype(np.int64) * rate
+            given = slices_of(starts, block["pcm"].to_pylist(), [(r["_g0"], r["_g1"]) for r in asked])
+            rows, found = [r for r, x in zip(asked, given) if x is not None], [x for x in given if x is not None]
+        out = fn(key[0].as_py(), rows, found) if rows else []
+        return pa.Table.from_batches(in_batches(iter(out), schema), schema)
 
     frames = blocks.read(segments.sparkSession).select("file_id", "block", "frame_idx", "pcm")
-    return wanted_slices(segments, blocks).groupBy("file_id", "block").cogroup(frames.groupBy("file_id", "block")).applyInPandas(run, schema)
+    return wanted_slices(segments, blocks).groupBy("file_id", "block").cogroup(frames.groupBy("file_id", "block")).applyInArrow(run, ddl)
 
 
 def slice_stats(segments: DataFrame, blocks: Blocks) -> DataFrame:
     """Sample count and sum of squares per segment; a missing frame between others counts as silence."""
     def stats(file_id, rows, slices):
         wide = [x.astype(np.int64) for x in slices]
-        return pd.DataFrame({"file_id": pd.Series([file_id] * len(wide), dtype=object), "segment_idx": rows["segment_idx"].astype("int64"),
-                             "n": pd.Series([len(x) for x in wide], dtype="int64"), "s": pd.Series([int((x * x).sum()) for x in wide], dtype="int64")})
+        return [(file_id, r["segment_idx"], len(x), int((x * x).sum())) for r, x in zip(rows, wide)]
 
-    parts = apply_to_slices(segments, blocks, stats, "file_id string, segment_idx long, n long, s long")
+    schema = pa.schema([("file_id", pa.string()), ("segment_idx", pa.int64()), ("n", pa.int64()), ("s", pa.int64())])
+    parts = apply_to_slices(segments, blocks, stats, schema, "file_id string, segment_idx long, n long, s long")
     return parts.groupBy("file_id", "segment_idx").agg(F.sum("n").alias("n_samples"), F.sum("s").alias("sum_sq"))
 
 
@@ -144,19 +147,21 @@ OUTCOMES_T = [T.StructField("emotion_outcome", T.StringType()), T.StructField("s
 KEYS_T = [T.StructField("file_id", T.StringType()), T.StructField("segment_idx", T.LongType())]
 WHOLE_T = T.StructType(KEYS_T + OUTCOMES_T)
 BLOCK_T = T.StructType(KEYS_T + OUTCOMES_T + [T.StructField("offset", T.LongType()), T.StructField("samples", T.BinaryType())])
+BLOCK_A = pa.schema([("file_id", pa.string()), ("segment_idx", pa.int64()), ("emotion_outcome", pa.string()), ("scores", IF.payload_arrow("scores")),
+                     ("language_outcome", pa.string()), ("probs", IF.payload_arrow("probs")), ("offset", pa.int64()), ("samples", pa.binary())])
 
 
 def _both(emotion_model: Callable, language_model: Callable, rate: int, batch_size: int):
     """(file ids, segment numbers, int16 slices) -> rows of WHOLE_T; the second model hears the first 30 s."""
     least = rate * S.MIN_SEGMENT_MS // 1000
-    scores = IF._run_batches(emotion_model, rate, batch_size, "scores", least)
-    probs = IF._run_batches(language_model, rate, batch_size, "probs", least)
+    scores = IF._outcomes(emotion_model, rate, batch_size, "scores", least)
+    probs = IF._outcomes(language_model, rate, batch_size, "probs", least)
     cap = rate * S.LANGUAGE_WINDOW_MS // 1000
 
     def run(file_ids, idx, slices) -> list[tuple]:
         def through(model, arrays) -> dict[tuple, tuple]:
-            batch = pd.DataFrame({"file_id": file_ids, "segment_idx": idx, "samples": [x.astype("<i2").tobytes() for x in arrays]})
-            return {(f, i): (o, p) for out in model(iter([batch])) for f, i, o, p in zip(out["file_id"], out["segment_idx"].tolist(), out["outcome"], out["payload"])}
+            rows = zip(file_ids, idx, [x.astype("<i2").tobytes() for x in arrays], [None] * len(arrays))
+            return {(f, i): (o, p) for f, i, o, p, _ in model(rows)}
 
         if not len(idx):
             return []
@@ -175,12 +180,11 @@ def emotion_and_language(segments: DataFrame, blocks: Blocks, emotion_model: Cal
     short, to_model = gate_short(segments)
     both = _both(emotion_model, language_model, rate, batch_size)
 
-    def in_block(file_id, rows, slices) -> pd.DataFrame:
-        cut = rows["piece"].to_numpy(dtype=bool)
-        whole = np.flatnonzero(~cut)
-        out = [(*r, None, None) for r in both([file_id] * len(whole), rows["segment_idx"].to_numpy()[whole].tolist(), [slices[k] for k in whole])]
-        out += [(file_id, int(rows["segment_idx"][k]), None, None, None, None, int(rows["offset"][k]), slices[k].astype("<i2").tobytes()) for k in np.flatnonzero(cut)]
-        return pd.DataFrame(out, columns=BLOCK_T.names).astype({"offset": "Int64"})
+    def in_block(file_id, rows, slices) -> list[tuple]:
+        whole = [(r["segment_idx"], x) for r, x in zip(rows, slices) if not r["piece"]]
+        heard = both([file_id] * len(whole), [i for i, _ in whole], [x for _, x in whole])
+        out = [(*r[:5], IF.payload_cell(r[5]), None, None) for r in heard]
+        return out + [(file_id, r["segment_idx"], None, None, None, None, r["offset"], x.astype("<i2").tobytes()) for r, x in zip(rows, slices) if r["piece"]]
 
     def joined(batches):
         for pdf in batches:
@@ -189,7 +193,7 @@ def emotion_and_language(segments: DataFrame, blocks: Blocks, emotion_model: Cal
 
     # written once: what the models say is read for whole segments and for pieces
     path = scratch_path(spark, "block-outcomes")
-    apply_to_slices(to_model, blocks, in_block, BLOCK_T).write.parquet(path)
+    apply_to_slices(to_model, blocks, in_block, BLOCK_A, BLOCK_T).write.parquet(path)
     found = spark.read.schema(BLOCK_T).parquet(path)
     pieces = found.where("samples is not null").select("file_id", "segment_idx", F.col("offset").alias("frame_idx"), "offset", "samples")
     long = AU.gather_segments(pieces).mapInPandas(joined, WHOLE_T)
