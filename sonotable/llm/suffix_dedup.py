@@ -33,6 +33,7 @@ table gives none.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,6 +53,7 @@ SPAN = LENGTH - GRAM + 1      # grams in a string
 CHUNK = 128 << 10             # bytes of contexts in one transform
 FLUSH = 8 << 20               # bytes of contexts gathered before a task sends packed rows
 BUCKET_BYTES = 16 << 20
+CONTEXT_BYTES = 4 << 20       # text whose contexts make a bucket: several times as many bytes as the text
 HOT = 200_000                 # documents with an anchor, above which its strings are matched one by one
 
 _BYTE = np.random.default_rng(20240301).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -268,52 +270,61 @@ def _later_runs(items: list[tuple[bytes, int, tuple[int, int, int]]]) -> tuple[n
 
 
 def _match_contexts(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Which strings of the flushes' contexts in this bucket are later than an equal one."""
+    """Which strings of the flushes' contexts in this bucket are later than an equal one.
+
+    Contexts stay in the rows' bytes and are met in the order of their anchors, so beside
+    arrays of a few integers a context only those of one anchor and of one transform are held.
+    """
     rows = list(pdf.itertuples(index=False))
-    found: dict[int, dict[tuple[int, bytes], list]] = {}
-    replies: list[list[tuple[int, int, int]]] = []
-    for k, r in enumerate(rows):
-        docs = np.frombuffer(r.docs, dtype=np.int64).reshape(-1, 2)
-        owners, starts, sizes = (np.frombuffer(x, dtype=np.int32).tolist() for x in (r.owners, r.starts, r.sizes))
-        shifts, keys = np.frombuffer(r.shifts, dtype=np.uint8).tolist(), np.frombuffer(r.keys, dtype=np.uint64).tolist()
-        at = 0
-        for key, n, shift, owner, start in zip(keys, sizes, shifts, owners, starts):
-            found.setdefault(key, {}).setdefault((shift, r.texts[at:at + n]), []).append(((*docs[owner].tolist(), start), k, owner))
-            at += n
-        later = (np.frombuffer(x, dtype=np.int32).tolist() for x in (r.later_owners, r.later_starts, r.later_counts))
-        replies.append(list(zip(*later)))
+    docs = [np.frombuffer(r.docs, dtype=np.int64).reshape(-1, 2) for r in rows]
+    sizes = [np.frombuffer(r.sizes, dtype=np.int32) for r in rows]
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(n) for n in sizes])
+    begin = np.concatenate([np.zeros(0, dtype=np.int64), *[np.cumsum(n, dtype=np.int64) - n for n in sizes]])
+    size, key, shift = np.concatenate([np.zeros(0, dtype=np.int32), *sizes]), unblob(pdf["keys"], np.uint64), unblob(pdf["shifts"], np.uint8)
+    owner, start = unblob(pdf["owners"], np.int32), unblob(pdf["starts"], np.int32)
+    order = np.argsort(key, kind="stable").astype(np.int32)
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(key[order])) + 1, [len(key)]]).tolist()
+    replies = array("i")  # row, owner, start, count
     chunk: list[tuple[bytes, tuple, int, int]] = []
     held = 0
 
     def settle() -> None:
         for i, offset in zip(*[x.tolist() for x in _later_strings([(t, p) for t, p, _, _ in chunk])]):
             _, place, k, owner = chunk[i]
-            replies[k].append((owner, place[2] + offset, 1))
+            replies.extend((k, owner, place[2] + offset, 1))
 
-    for by_text in found.values():
+    for first, last in zip(cuts, cuts[1:]):
+        by_text: dict[tuple[int, bytes], list] = {}
+        at = order[first:last]
+        for k, at_byte, n, own_shift, o, s in zip(*[x[at].tolist() for x in (row, begin, size, shift, owner, start)]):
+            by_text.setdefault((own_shift, rows[k].texts[at_byte:at_byte + n]), []).append(((*docs[k][o].tolist(), s), k, o))
         for (_, text), places in by_text.items():
             places.sort()
-            for place, k, owner in places:
+            for place, k, o in places:
                 if place != places[0][0]:
-                    replies[k].append((owner, place[2], len(text) - LENGTH + 1))
-        size = sum(len(t) for _, t in by_text)
-        if size > CHUNK:
-            several = [(text, shift, *places[0]) for (shift, text), places in by_text.items()]
+                    replies.extend((k, o, place[2], len(text) - LENGTH + 1))
+        total = sum(len(t) for _, t in by_text)
+        if total > CHUNK:
+            several = [(text, own_shift, *places[0]) for (own_shift, text), places in by_text.items()]
             for i, offset, count in zip(*[x.tolist() for x in _later_runs([x[:3] for x in several])]):
-                _, _, place, k, owner = several[i]
-                replies[k].append((owner, place[2] + offset, count))
+                _, _, place, k, o = several[i]
+                replies.extend((k, o, place[2] + offset, count))
         elif len(by_text) > 1:  # the strings of one context differ in their place around the anchor
-            chunk += [(text, *places[0]) for (_, text), places in by_text.items()]
-            held += size
-            if held >= CHUNK:
+            if held + total > CHUNK:
                 settle()
                 chunk, held = [], 0
+            chunk += [(text, *places[0]) for (_, text), places in by_text.items()]
+            held += total
     if chunk:
         settle()
+    reply = np.frombuffer(replies, dtype=np.int32).reshape(-1, 4)
+    within = np.searchsorted(reply[by_row := np.argsort(reply[:, 0], kind="stable"), 0], np.arange(len(rows) + 1))
     out = []
-    for r, reply in zip(rows, replies):
-        if reply:
-            a = np.array(sorted(reply), dtype=np.int32)
+    for k, r in enumerate(rows):
+        later = [np.frombuffer(x, dtype=np.int32) for x in (r.later_owners, r.later_starts, r.later_counts)]
+        a = np.concatenate([reply[by_row[within[k]:within[k + 1]], 1:], np.stack(later, axis=1)])
+        if len(a):
+            a = a[np.lexsort(a.T[::-1])]
             out.append((r.flush, r.docs, *[blob(a[:, i]) for i in range(3)]))
     return pd.DataFrame(out, columns=["flush", "docs", "owners", "starts", "counts"])
 
@@ -382,7 +393,8 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
     spark = docs.sparkSession
     rows = select_plain(docs, "doc_id", "text")
-    n_buckets = max(8, -(-text_bytes(rows) // BUCKET_BYTES))
+    n_bytes = text_bytes(rows)
+    n_buckets = max(8, -(-n_bytes // BUCKET_BYTES))
     sizes = written(rows.mapInPandas(_byte_rows, BYTES), "suffix-bytes")
 
     # texts that a smaller doc_id has as well
@@ -399,7 +411,7 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     live = per_document(repeated).select("doc_id", F.concat("later", "first").alias("live"), "hot")
     ids = written(repeated.select("doc_id").distinct(), "suffix-ids")
     texts = probed(single, ids, "doc_id").where("_maybe").drop("_maybe").join(live, "doc_id")
-    replies = texts.mapInPandas(_deal_contexts(n_buckets), CONTEXTS).groupBy("bucket").applyInPandas(_match_contexts, REPLIES)
+    replies = texts.mapInPandas(_deal_contexts(max(8, -(-n_bytes // CONTEXT_BYTES))), CONTEXTS).groupBy("bucket").applyInPandas(_match_contexts, REPLIES)
     ranges = replies.groupBy("flush").applyInPandas(_ranges, "doc_id long, version long, starts binary, counts binary")
     if not repeated.where(F.length("hot") > 0).isEmpty():
         ranges = ranges.unionByName(_hot_ranges(texts))
