@@ -13,7 +13,8 @@ from sonotable.functions import ids as I
 from sonotable.functions import rttm as R
 from sonotable.operators.inputs import clean_inputs
 from sonotable.operators.sequence import positional_index
-from sonotable.storage import exists
+from sonotable.session import scratch_path
+from sonotable.storage import exists, few_listing_tasks
 
 
 def raw_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -23,7 +24,9 @@ def raw_lines(spark: SparkSession, path: str) -> DataFrame:
     split); ``monotonically_increasing_id`` gives the second because a split is
     read in order inside its task. Large files are read by many tasks.
     """
-    return spark.read.text(path).select(
+    with few_listing_tasks(spark):
+        lines = spark.read.text(path)
+    return lines.select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("_blk"),
         F.monotonically_increasing_id().alias("_pos"),
@@ -31,6 +34,17 @@ def raw_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _landed(parsed: DataFrame, name: str) -> DataFrame:
+    """``parsed`` as a table in the shared checkpoint folder, for what reads it several times.
+
+    Opening many small files costs more than all else: they are opened once, here. The
+    table's own parts are of Spark's advisory size, however many files were read.
+    """
+    path = scratch_path(parsed.sparkSession, name)
+    parsed.hint("rebalance").write.parquet(path)
+    return parsed.sparkSession.read.schema(parsed.schema).parquet(path)
+
+
 def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, line_no, line) with dense 0-based line positions per file."""
     return positional_index(raw_lines(spark, path), "path", ["_blk", "_pos"], "_blk", name="line_no").drop("_blk", "_pos")
@@ -52,8 +66,10 @@ def read_rttm(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     skipped. A line with a non-numeric start or duration goes to ``rejects``
     and the rest of the file is kept. ``segment_idx`` is the position among the
     accepted lines of a file id, over all parts read, by part name and line.
+    The files are read once, when this is called.
     """
     parsed = raw_lines(spark, path).select("*", R.parse_line("line").alias("p")).where(F.col("p.is_speaker"))
+    parsed = _landed(parsed.select("path", "_blk", "_pos", F.when(~F.col("p.ok"), F.col("line")).alias("line"), "p"), "rttm-lines")
     good = parsed.where(F.col("p.ok")).select("path", "_blk", "_pos", "p.*")
     segs = positional_index(good, "file_id", ["path", "_blk", "_pos"], F.struct("path", "_blk"), name="segment_idx")
     rejects = parsed.where(~F.col("p.ok")).select("path", F.col("_blk").alias("block_start"), "line")
@@ -134,19 +150,23 @@ def read_annotation_export(spark: SparkSession, path: str) -> tuple[DataFrame, D
 
     The exchange form of a large set is one folder ``file_id=<id>`` per file, its parts
     holding one array element per line in part order: read by lines, with the id from the
-    folder. Concatenated, the parts of a folder are one JSON document.
+    folder. Concatenated, the parts of a folder are one JSON document. The files are read
+    once, when this is called.
     """
-    lines = spark.read.schema("value string, file_id string").text(path).select(
+    with few_listing_tasks(spark):
+        lines = spark.read.schema("value string, file_id string").text(path)
+    lines = lines.select(
         "file_id", F.col("_metadata.file_name").alias("part"), F.col("_metadata.file_block_start").alias("_blk"),
         F.monotonically_increasing_id().alias("_pos"), F.col("value").alias("line"))
-    lines = lines.where(F.trim("line") != "")
-    order = ["part", "_blk", "_pos"]
-    lines = positional_index(lines, "file_id", order, F.struct("part", "_blk"), name="line_idx")
     element = ~F.col("line").rlike(r"^\s*\[?\s*\]\s*$")
     body = F.regexp_replace("line", r"^\s*[\[,]\s*|\s*\]\s*$", "")
-    parsed = lines.where(element).select("file_id", "line_idx", "line", F.from_json(body, S.ANNOTATION_RECORD).alias("r"),
-                                         F.try_parse_json(body).isNotNull().alias("_ok"))
-    rejects = parsed.where(~F.col("_ok")).select("file_id", "line")
+    ok = F.try_parse_json(body).isNotNull()
+    lines = lines.where(F.trim("line") != "").select("*", element.alias("_element"), ok.alias("_ok"))
+    lines = _landed(lines.select("file_id", "part", "_blk", "_pos", "_element", "_ok", F.when(~F.col("_ok"), F.col("line")).alias("line"),
+                                 F.when(F.col("_element"), F.from_json(body, S.ANNOTATION_RECORD)).alias("r")), "annotation-lines")
+    rejects = lines.where("_element and not _ok").select("file_id", "line")
+    lines = positional_index(lines.drop("line"), "file_id", ["part", "_blk", "_pos"], F.struct("part", "_blk"), name="line_idx")
+    parsed = lines.where("_element")
     segs = parsed.where("_ok").select(
         "file_id", F.col("line_idx").alias("segment_idx"), F.col("r.speaker").alias("speaker"),
         F.round(F.col("r.start") * 1000).cast("long").alias("start_ms"), F.round(F.col("r.end") * 1000).cast("long").alias("end_ms"),

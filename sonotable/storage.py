@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -21,6 +24,22 @@ def is_folder(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
 
 
+@contextmanager
+def few_listing_tasks(spark: SparkSession, per_core: int = 8) -> Iterator[None]:
+    """Frames made within list their folders by ``per_core`` tasks a core.
+
+    Spark's own bound is 10,000: with a folder per file nearly each has a task of its own,
+    which takes many times as long as its listing.
+    """
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), per_core * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A parquet table that may not have been written yet, or may hold no rows."""
     if not exists(spark, path):
