@@ -98,7 +98,11 @@ def _sliding(a: np.ndarray, span: int, best) -> np.ndarray:
 
 
 def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Gram hashes, the smallest in each string of ``LENGTH`` bytes, and the places of those that are smallest in one."""
+    """Gram hashes, that of the anchor of each string of ``LENGTH`` bytes, and the places of the anchors.
+
+    What is smallest is decided before the last mixing: hashes of anchors would else be
+    small, and nearly all of them fall into the first buckets.
+    """
     if len(data) < LENGTH:
         none = np.zeros(0, dtype=np.uint64)
         return none, none, np.zeros(0, dtype=np.int64)
@@ -106,7 +110,7 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     least = _sliding(h, SPAN, np.minimum)
     pad = np.zeros(SPAN - 1, dtype=np.uint64)
     most = _sliding(np.concatenate([pad, least, pad]), SPAN, np.maximum)
-    return h, least, np.flatnonzero(most == h)
+    return mixed(h), mixed(least), np.flatnonzero(most == h)
 
 
 def anchor_hashes(text: str | None) -> np.ndarray:

@@ -176,3 +176,12 @@ def test_exported_folders_are_listed_by_few_tasks_and_read_once(spark, tmpdir_ne
     assert not any(f.startswith(f"file:{path}") for f in back.unionByName(rejects.select("line" if kind == "rttm" else "file_id"), allowMissingColumns=True).inputFiles())
     columns = back.columns
     assert sorted(back.collect()) == sorted(segs.select(*columns).collect()) and rejects.count() == 0
+
+
+def test_anchors_are_spread_over_the_buckets():  # op3_suffix_array_dedup
+    from sonotable.llm import suffix_dedup as SD
+
+    text = np.random.default_rng(6).integers(97, 123, 200_000, dtype=np.uint8).tobytes().decode()
+    h = SD.anchor_hashes(text)
+    dealt = np.bincount(SD.bucket_of(h, 32), minlength=32)
+    assert len(h) > 3200 and dealt.max() < 2 * len(h) / 32  # smallest hashes as they are: nine of ten in the first bucket
