@@ -6,23 +6,29 @@ import numpy as np
 
 
 def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes sorted by their first ``depth`` symbols (at least), by prefix doubling from packed runs."""
+    """Suffixes sorted by their first ``depth`` symbols; a round sorts by as many ranks as fit 62 bits."""
     n = len(symbols)
-    bits = max(1, int(symbols.max()).bit_length())
-    have = max(1, 62 // (bits + 1))
-    key = np.zeros(n, dtype=np.int64)
-    padded = np.concatenate([symbols.astype(np.int64) + 1, np.zeros(have, dtype=np.int64)])
-    for k in range(have):
-        key = (key << (bits + 1)) | padded[k:k + n]
+    bits = max(1, (int(symbols.max()) + 1).bit_length())
+    have = min(depth, 62 // bits)
+    values = symbols
+    places = range(have)
     while True:
-        order = np.argsort(key, kind="stable")
+        key = np.zeros(n, dtype=np.int64)
+        for k in places:  # past the end: 0
+            key <<= bits
+            key[:max(0, n - k)] += values[k:] + np.int64(1)
+        order = np.argsort(key)
         if have >= depth:
             return order
-        rank = np.empty(n, dtype=np.int64)
-        rank[order] = np.cumsum(np.concatenate([[1], key[order][1:] != key[order][:-1]]))
-        key = rank * (n + 2)
-        key[:n - have] += rank[have:] if have < n else 0
-        have *= 2
+        key = key[order]
+        values = np.empty(n, dtype=np.int64)
+        values[order] = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]]))
+        bits = n.bit_length()
+        places = [0]
+        for _ in range(62 // bits - 1):  # ranks may overlap
+            places.append(min(places[-1] + have, depth - have))
+        places = sorted(set(places))
+        have += places[-1]
 
 
 def string_classes(symbols: np.ndarray, length: int) -> np.ndarray:
@@ -36,23 +42,34 @@ def string_classes(symbols: np.ndarray, length: int) -> np.ndarray:
     The rounds stop at ``length``, so every end is met once at most and what is left
     unmarked separates nothing.
     """
-    order = suffix_order(symbols, length + 1)
     n = len(symbols)
-    letters, last = np.unique(symbols, return_inverse=True)
-    transform = last[order - 1]  # the symbol before each suffix
-    n_letters = len(letters)
-    occurs = np.zeros((n_letters, n + 1), dtype=np.int32)
-    for c in range(n_letters):
-        np.cumsum(transform == c, out=occurs[c, 1:])
-    first = np.concatenate([[0], np.cumsum(np.bincount(last, minlength=n_letters))[:-1]]).astype(np.int32)
-    own = slice(1 if letters[0] == 0 else 0, None)  # a separator is never extended to
-    occurs, first = occurs[own], first[own, None]
+    present = np.bincount(symbols) > 0
+    letter = (np.cumsum(present) - 1).astype(np.uint16)[symbols]
+    order = suffix_order(letter, length + 1)
+    transform = letter[order - 1]  # the symbol before each suffix
+    # where each suffix is with that symbol in front, with a gap between symbols; a separator is never extended to
+    slot = np.arange(1, n + 1, dtype=np.int32) + letter[order]
+    place = np.empty(slot[-1] + 2, dtype=np.int32)
+    place[slot] = np.arange(n, dtype=np.int32)
+    back = np.empty(n, dtype=np.int32)
+    back[np.argsort(transform, kind="stable")] = slot
+    if present[0]:
+        back[transform == 0] = -1
     met = np.zeros(n + 1, dtype=bool)
     met[n] = True
-    low, high = np.array([0]), np.array([n])
+    of = np.full(len(place), -1, dtype=np.int32)  # the last interval that was extended to a slot
+    low, high, intervals = np.array([0]), np.array([n]), 0
     for _ in range(length):
-        a, z = first + occurs[:, low], first + occurs[:, high]
-        new = (z > a) & ~met[z]
+        size = high - low
+        to = back[np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        source = np.repeat(np.arange(intervals, intervals + len(low), dtype=np.int32), size)
+        intervals += len(low)
+        to, source = to[to >= 0], source[to >= 0]
+        of[to] = source
+        # suffixes of one interval and one symbol go to neighbouring slots
+        a, z = (np.sort(place[to[of[to + side] != source]]) for side in (-1, 1))
+        z += 1
+        new = ~met[z]
         low, high = a[new], z[new]
         if not len(low):
             break

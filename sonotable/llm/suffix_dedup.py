@@ -293,9 +293,15 @@ def _match_contexts(pdf: pd.DataFrame) -> pd.DataFrame:
     held = 0
 
     def settle() -> None:
-        for i, offset in zip(*[x.tolist() for x in _later_strings([(t, p) for t, p, _, _ in chunk])]):
+        item, offset = _later_strings([(t, p) for t, p, _, _ in chunk])
+        order = np.lexsort((offset, item))
+        item, offset = item[order], offset[order]
+        lead = np.ones(len(order) + 1, dtype=bool)
+        lead[1:-1] = (item[1:] != item[:-1]) | (offset[1:] != offset[:-1] + 1)
+        cuts = np.flatnonzero(lead)
+        for i, first, count in zip(*[x.tolist() for x in (item[lead[:-1]], offset[lead[:-1]], np.diff(cuts))]):
             _, place, k, owner = chunk[i]
-            replies.extend((k, owner, place[2] + offset, 1))
+            replies.extend((k, owner, place[2] + first, count))
 
     for first, last in zip(cuts, cuts[1:]):
         by_text: dict[tuple[int, bytes], list] = {}

@@ -185,3 +185,46 @@ def test_anchors_are_spread_over_the_buckets():  # op3_suffix_array_dedup
     h = SD.anchor_hashes(text)
     dealt = np.bincount(SD.bucket_of(h, 32), minlength=32)
     assert len(h) > 3200 and dealt.max() < 2 * len(h) / 32  # smallest hashes as they are: nine of ten in the first bucket
+
+
+def test_transform_takes_no_table_of_letters_times_suffixes():  # op3_suffix_array_dedup
+    import tracemalloc
+
+    from sonotable.llm.bwt import string_classes
+
+    rng = np.random.default_rng(8)
+    text = rng.integers(1, 250, 30_000, dtype=np.uint16)
+    symbols = np.concatenate([text, [0], text, [0]]).astype(np.uint16)
+    tracemalloc.start()
+    classes = string_classes(symbols, 100)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    own = len(text) - 99
+    assert np.array_equal(classes[:own], classes[len(text) + 1:][:own]) and len(np.unique(classes[:own])) == own
+    assert peak < 150 * len(symbols)  # 4 bytes a letter of the alphabet and suffix: over 1,000 a suffix
+
+
+def test_repeats_of_a_transform_are_replied_as_runs():  # op3_suffix_array_dedup
+    from sonotable.llm import suffix_dedup as SD
+
+    rng = np.random.default_rng(9)
+    base = rng.integers(97, 123, 2000, dtype=np.uint8)
+    texts = []
+    for k in range(3):  # copies that differ in a letter every 300
+        t = base.copy()
+        t[50 + 40 * k::300] = ord("A") + k
+        texts.append(t.tobytes())
+    live = [[SD.blob(SD.anchor_hashes(t.decode()))] for t in texts]
+    docs = pd.DataFrame({"doc_id": range(3), "text": [t.decode() for t in texts], "live": live})
+    found, given = set(), 0
+    for r in SD._match_contexts(pd.concat(list(SD._deal_contexts(1)(iter([docs]))))).itertuples(index=False):
+        ids = np.frombuffer(r.docs, dtype=np.int64).reshape(-1, 2)[:, 0]
+        for owner, start, count in zip(*[np.frombuffer(x, dtype=np.int32).tolist() for x in (r.owners, r.starts, r.counts)]):
+            found |= {(int(ids[owner]), p) for p in range(start, start + count)}
+            given += 1
+    seen, want = set(), set()
+    for k, t in enumerate(texts):
+        for p in range(len(t) - SD.LENGTH + 1):
+            want |= {(k, p)} if t[p:p + SD.LENGTH] in seen else set()
+            seen.add(t[p:p + SD.LENGTH])
+    assert found == want and given < len(want) / 8  # a reply for each string before
