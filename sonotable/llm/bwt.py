@@ -57,18 +57,26 @@ def string_classes(symbols: np.ndarray, length: int) -> np.ndarray:
         back[transform == 0] = -1
     met = np.zeros(n + 1, dtype=bool)
     met[n] = True
-    of = np.full(len(place), -1, dtype=np.int32)  # the last interval that was extended to a slot
+    # equal symbols in a row go to neighbouring slots, so an interval is extended by its runs of the transform
+    head = np.flatnonzero(np.concatenate([[True], transform[1:] != transform[:-1], [True]])).astype(np.int32)
+    run = np.repeat(np.arange(len(head) - 1, dtype=np.int32), np.diff(head))
+    begun, ended = np.full((2, len(place)), -1, dtype=np.int32)  # the last interval with a run that begins, ends at a slot
     low, high, intervals = np.array([0]), np.array([n]), 0
     for _ in range(length):
-        size = high - low
-        to = back[np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        size = run[high - 1] - run[low] + 1
+        last = np.cumsum(size)
+        runs = np.repeat(run[low] - last + size, size) + np.arange(last[-1])
+        begin, end = head[runs], head[runs + 1]
+        begin[last - size], end[last - 1] = low, high
         source = np.repeat(np.arange(intervals, intervals + len(low), dtype=np.int32), size)
         intervals += len(low)
-        to, source = to[to >= 0], source[to >= 0]
-        of[to] = source
-        # suffixes of one interval and one symbol go to neighbouring slots
-        a, z = (np.sort(place[to[of[to + side] != source]]) for side in (-1, 1))
-        z += 1
+        a = back[begin]
+        own = a >= 0
+        a, source = a[own], source[own]
+        z = a + (end - begin)[own]
+        begun[a], ended[z] = source, source
+        # runs of one symbol in an interval join
+        a, z = np.sort(place[a[ended[a] != source]]), np.sort(place[z[begun[z] != source] - 1]) + 1
         new = ~met[z]
         low, high = a[new], z[new]
         if not len(low):
