@@ -454,18 +454,20 @@ def _rows_of(parts) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["file_id", "frame_idx", "pcm", "error"])
 
 
-def _split(out: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(frames, rejects) of decoded parts, written once to the shared folder so that neither decodes again."""
-    path = scratch_path(out.sparkSession, "decoded")
-    out.write.parquet(path)
-    out = out.sparkSession.read.schema(FRAMES_OUT).parquet(path)
+def _split(out: DataFrame, keep: bool) -> tuple[DataFrame, DataFrame]:
+    """(frames, rejects) of decoded parts; with ``keep`` written once to the shared folder so that neither decodes again."""
+    if keep:
+        path = scratch_path(out.sparkSession, "decoded")
+        out.write.parquet(path)
+        out = out.sparkSession.read.schema(FRAMES_OUT).parquet(path)
     return out.where(F.col("error").isNull()).drop("error"), out.where(F.col("error").isNotNull()).select("file_id", "error")
 
 
-def normalise_pcm(audio: DataFrame, target_rate: int = S.SAMPLE_RATE) -> tuple[DataFrame, DataFrame]:
+def normalise_pcm(audio: DataFrame, target_rate: int = S.SAMPLE_RATE, keep: bool = True) -> tuple[DataFrame, DataFrame]:
     """(file_id, content) WAV rows -> (audio_frames, rejects): for clips that are already columns.
 
     Decoded chunk by chunk like files are, so what is expanded at a time is one chunk.
+    ``keep`` as in ``normalise_wav_files``.
     """
     def parts(content):
         def frames():
@@ -482,7 +484,7 @@ def normalise_pcm(audio: DataFrame, target_rate: int = S.SAMPLE_RATE) -> tuple[D
         for pdf in batches:
             yield _rows_of((fid, parts(content)) for fid, content in zip(pdf["file_id"], pdf["content"]))
 
-    return _split(audio.select("file_id", "content").mapInPandas(run, FRAMES_OUT))
+    return _split(audio.select("file_id", "content").mapInPandas(run, FRAMES_OUT), keep)
 
 
 def normalised_parts(files: DataFrame, target_rate: int = S.SAMPLE_RATE, chunk_s: int = CHUNK_S) -> DataFrame:
@@ -522,6 +524,11 @@ def normalised_parts(files: DataFrame, target_rate: int = S.SAMPLE_RATE, chunk_s
     return chunks.mapInPandas(run, FRAMES_OUT).unionByName(bad)
 
 
-def normalise_wav_files(files: DataFrame, target_rate: int = S.SAMPLE_RATE, chunk_s: int = CHUNK_S) -> tuple[DataFrame, DataFrame]:
-    """(file_id, path) of WAV files -> (audio_frames, rejects); see ``normalised_parts``."""
-    return _split(normalised_parts(files, target_rate, chunk_s))
+def normalise_wav_files(files: DataFrame, target_rate: int = S.SAMPLE_RATE, chunk_s: int = CHUNK_S,
+                        keep: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(file_id, path) of WAV files -> (audio_frames, rejects); see ``normalised_parts``.
+
+    ``keep`` writes what is decoded to the shared folder, for callers that read it more than
+    once. Without it nothing is written, and every reading of frames or rejects decodes.
+    """
+    return _split(normalised_parts(files, target_rate, chunk_s), keep)

@@ -59,12 +59,14 @@ def _write_bytes(path: str, data: bytes) -> None:
         out.write(data)
 
 
-def land_wav_clips(frames: DataFrame, folder: str, rate: int, clip_s: int = 60) -> DataFrame:
+def land_wav_clips(frames: DataFrame, folder: str, rate: int, clip_s: int = 60, in_order: bool = False) -> DataFrame:
     """Write audio_frames as mono 16-bit WAV files of ``clip_s`` seconds under ``folder``.
 
     One group is one clip (at most ``clip_s`` frames), assembled and written by
     the task that holds it, one clip after the other; a retried task rewrites the same bytes to the
-    same path. Returns (file_id, clip, path).
+    same path. ``in_order`` says that the frames of a clip already come next to each other
+    and in order, in one task: they are written where they are made, and no PCM is dealt.
+    Returns (file_id, clip, path).
     """
     out = pa.schema([("file_id", pa.string()), ("clip", pa.int64()), ("path", pa.string())])
 
@@ -75,7 +77,7 @@ def land_wav_clips(frames: DataFrame, folder: str, rate: int, clip_s: int = 60)
             yield fid, clip, path
 
     c = frames.select("file_id", "frame_idx", "pcm", (F.col("frame_idx") / F.lit(clip_s)).cast("long").alias("clip"))
-    rows = by_key(c, ["file_id", "clip"], ["frame_idx"])
+    rows = c if in_order else by_key(c, ["file_id", "clip"], ["frame_idx"])
     return rows.mapInArrow(lambda batches: in_batches(write_clips(batches), out), "file_id string, clip long, path string")
 
 
