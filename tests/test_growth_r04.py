@@ -68,3 +68,50 @@ def test_frames_by_spans_are_the_same_frames_in_order(spark, tmpdir_new):
     for r in spans.select("file_id", "frame_idx", F.spark_partition_id().alias("p")).collect():
         parts.setdefault((r.file_id, r.frame_idx // 50), []).append((r.p, r.frame_idx))
     assert all(len({p for p, _ in x}) == 1 and x == sorted(x) for x in parts.values())
+
+
+def test_packed_frames_come_back_as_they_were(spark):
+    from sonotable.operators.grouped import packed, unpacked
+
+    rows = [("a", i, bytes([i % 256, 1]) * (i % 7 * 90)) for i in range(130)] + [("a", 5, b"again"), ("a", 6, None), (None, 3, b"xy"), ("b", -1, b"neg"), ("b", 40, b"z" * 9000), ("b", None, b"")]
+    df = spark.createDataFrame(rows, "file_id string, frame_idx long, pcm binary").coalesce(1)
+    got = packed(df, 40, 10).collect()
+    back = [(r.file_id, r.block, i, pcm) for r in got for i, pcm in unpacked(r.frame_idx, bytes(r.pcm))]
+    want = [(f, b, i, pcm) for f, i, pcm in rows if i is not None for b in {i // 40, i // 40 - (i % 40 < 10 and i // 40 > 0)}]
+    key = lambda x: (x[0] or "", x[1], x[2], x[3] or b"")
+    assert sorted(back, key=key) == sorted(want, key=key)
+    assert len(got) < len(want) / 4
+
+
+def test_diarization_deals_the_overlap_of_a_block_and_not_of_a_window(spark, tmpdir_new, monkeypatch):
+    from sonotable.operators import infer as IF
+    from sonotable.operators.grouped import unpacked
+    from sonotable.plans import stubs
+
+    dealt = []
+    by_key = IF.by_key
+
+    def seen(rows, keys, order):
+        if "pcm" in rows.columns:
+            dealt.append(rows)
+        return by_key(rows, keys, order)
+
+    monkeypatch.setattr(IF, "by_key", seen)
+    frames = FX.frames(spark, events(spark, tmpdir_new, users=2, each=200))
+    turns, errors = IF.diarize(frames, stubs.fixed_turns, rate=FX.FRAME_SAMPLES, window_s=60, overlap_s=30)
+    n = sum(1 for r in dealt[0].collect() for _ in unpacked(r.frame_idx, bytes(r.pcm)))
+    assert n <= 1.06 * frames.count()  # 1.5 times with an overlap for every window
+    only, _ = IF.diarize(frames, stubs.fixed_turns, rate=FX.FRAME_SAMPLES, window_s=60, overlap_s=30, files=spark.createDataFrame([("f000001",)], "file_id string"))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(only) == rows(turns.where("file_id = 'f000001'")) and errors.count() == 0 and only.count() > 400
+
+
+def test_what_is_written_in_between_leaves_no_shuffle_files(spark):
+    from sonotable.storage import written
+
+    local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    names = lambda: set(local.getAllBlocks().mkString("\n").split("\n"))
+    before = {x for x in names() if x.startswith("shuffle")}
+    back = written(spark.range(1000).repartition(5, "id"), "between")
+    assert {x for x in names() if x.startswith("shuffle")} <= before and back.count() == 1000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
