@@ -115,3 +115,23 @@ def test_what_is_written_in_between_leaves_no_shuffle_files(spark):
     back = written(spark.range(1000).repartition(5, "id"), "between")
     assert {x for x in names() if x.startswith("shuffle")} <= before and back.count() == 1000
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
+
+
+def test_the_job_joins_no_pcm_and_logs_every_event_once(spark, tmpdir_new, monkeypatch):
+    from sonotable.operators import infer as IF
+    from sonotable.plans import annotate_job, stubs
+
+    plans = []
+    for name in ("diarize", "classify_emotion", "detect_language"):
+        def seen(*args, fn=getattr(IF, name), at=0 if name == "diarize" else 1, **kwargs):
+            plans.append(args[at]._jdf.queryExecution().optimizedPlan().toString())
+            return fn(*args, **kwargs)
+        monkeypatch.setattr(IF, name, seen)
+    sf = events(spark, tmpdir_new)
+    segs = FX.segments(spark, sf)
+    out = annotate_job.run(spark, catalog._job_inputs(spark, sf, segs), f"{tmpdir_new}/job", stubs.fixed_turns, stubs.energy_scores, stubs.energy_probs,
+                           audio_frames=FX.frames(spark, sf, segs), rate=FX.FRAME_SAMPLES, window_s=60, run_us=7)
+    assert len(plans) == 3 and not any("Join" in p for p in plans)
+    log = spark.read.parquet(f"{tmpdir_new}/job/events").groupBy("file_id").agg(F.sort_array(F.collect_list("seq")).alias("x")).collect()
+    assert len(log) == 3 and all(r.x == [70, 71, 72, 73, 74, 75, 76] for r in log)
+    assert {r.status for r in out["state"].collect()} == {"completed"}
