@@ -135,3 +135,15 @@ def test_the_job_joins_no_pcm_and_logs_every_event_once(spark, tmpdir_new, monke
     log = spark.read.parquet(f"{tmpdir_new}/job/events").groupBy("file_id").agg(F.sort_array(F.collect_list("seq")).alias("x")).collect()
     assert len(log) == 3 and all(r.x == [70, 71, 72, 73, 74, 75, 76] for r in log)
     assert {r.status for r in out["state"].collect()} == {"completed"}
+
+
+def test_results_of_segments_are_never_broadcast(spark, tmpdir_new):
+    """A table of labels is a few bytes on disk for many rows: its size there says nothing of what a broadcast takes."""
+    from sonotable.operators.segments import attach_stage
+
+    segs = spark.range(30_000).select(F.format_string("f%06d", F.floor(F.col("id") / 150)).alias("file_id"), (F.col("id") % 150).alias("segment_idx"))
+    for name, df in (("turns", segs), ("emotion", segs.withColumn("emotion", F.lit("happy")))):
+        df.sortWithinPartitions("file_id", "segment_idx").write.parquet(f"{tmpdir_new}/{name}")
+    out = attach_stage(spark.read.parquet(f"{tmpdir_new}/turns"), spark.read.parquet(f"{tmpdir_new}/emotion"), ["emotion"])
+    assert out.where("emotion = 'happy'").count() == 30_000
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
